@@ -46,3 +46,9 @@ def word_hashes(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, also where ``body`` uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]
+
+
+def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of few rows, since one row may hold a very long text."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
