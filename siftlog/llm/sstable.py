@@ -309,7 +309,8 @@ def lookup(manifest: DataFrame, doc_ids: list[int]) -> dict[int, list[list[int]]
         wanted = [i for i in doc_ids if last is not None and (first is None or first <= i) and i <= last]
         reader = ShardReader(path) if wanted else None
         for i in wanted:
-            found.setdefault(i, []).extend(x.tolist() for x in reader.get(i))
+            if got := reader.get(i):
+                found.setdefault(i, []).extend(x.tolist() for x in got)
     return found
 
 
