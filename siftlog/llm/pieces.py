@@ -50,7 +50,6 @@ class Pieces:
     _shared: dict[str, "Pieces"] = {}
 
     def __init__(self, path: str):
-        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -62,17 +61,16 @@ class Pieces:
         self.known = frozenset(p for p in self.score if len(p) == 1)
         self.longest = max(map(len, self.score))
         self.unknown = min(self.score.values()) - 10
+        self.ids = {p.replace("▁", " "): i for i, p, _ in normal}
+        self.begins = frozenset(p[:n] for p in self.score for n in range(1, len(p) + 1))
         self.bytes = [b""] * len(model.pieces)
+        self.of_byte = [0] * 256
         for i, p, _ in normal:
             self.bytes[i] = p.replace("▁", " ").encode()
         for i, p in enumerate(model.pieces):
             if p.type == kind.BYTE:
+                self.of_byte[int(p.piece[3:-1], 16)] = i
                 self.bytes[i] = bytes([int(p.piece[3:-1], 16)])
-        # The library's own best-path encoder, over these pieces and scores, without a space of its own before the text.
-        model.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
-        model.normalizer_spec.add_dummy_prefix = False
-        model.normalizer_spec.remove_extra_whitespaces = False
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         cut = "\n" if "\n" not in self.known else ""
         self.words = re.compile(rf" *[^ {cut}]+|{cut}| +" if cut else r" *[^ ]+| +").findall
         self.memo: dict[str, bytes] = {}
@@ -84,11 +82,31 @@ class Pieces:
         return cls._shared[path]
 
     def _ids(self, word: str) -> bytes:
-        # Around characters without a piece every path has a cut.
-        if not self.known.issuperset(word):
-            parts = re.findall("|".join((f"[{re.escape(''.join(sorted(self.known & set(word))))}]+", ".")) if self.known & set(word) else ".", word, re.DOTALL)
-            return b"".join(np.array(self.library.encode(p), TYPE).tobytes() for p in parts)
-        return np.array(self.library.encode(word), TYPE).tobytes()
+        """The ids on a best path through one word."""
+        n, score, begins = len(word), self.score, self.begins
+        best: list[float | None] = [0.0, *[None] * n]
+        came = [0] * (n + 1)
+        for i in range(n):
+            here, single = best[i], False
+            if here is None:
+                continue
+            for j in range(i + 1, n + 1):
+                part = word[i:j]
+                if part not in begins:
+                    break
+                if (s := score.get(part)) is not None:
+                    single |= j == i + 1
+                    if best[j] is None or here + s > best[j]:
+                        best[j], came[j] = here + s, i
+            if not single and (best[i + 1] is None or here + self.unknown > best[i + 1]):
+                best[i + 1], came[i + 1] = here + self.unknown, i
+        out, at = [], n
+        while at:
+            part = word[came[at] : at]
+            i = self.ids.get(part)
+            out += [i] if i is not None else [self.of_byte[b] for b in reversed(part.encode("utf-8", "replace"))]
+            at = came[at]
+        return np.array(out[::-1], TYPE).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text that begins and ends at cuts; a space stands for the word mark."""
