@@ -3,7 +3,7 @@
 Two character models of order 5, one of toxic and one of ordinary texts, have their own counts of the highest order
 and share the backoff counts below it (in how many contexts a shorter run occurs), so that a rare expression that
 neither class knows well says nothing. A document's value is the difference of both log-likelihoods for each
-character; a logistic function of it, fitted on labelled rows that the models haven't seen, is the score.
+character, where it exceeds a margin; a logistic function of it, fitted on labelled rows that the models haven't seen, is the score.
 
 Characters are folded to 28 symbols (letters without accents, other letters hashed to them, all else one boundary),
 so all tables have a fixed size, 28^5 at most. Counts are of all labelled training texts.
@@ -31,6 +31,8 @@ SYMBOLS = 28
 ORDER = 5
 GRAMS = SYMBOLS**ORDER
 DISCOUNT = 0.75
+#: A symbol counts by how far its log ratio exceeds this; smaller differences are noise that a long text sums up.
+MARGIN = 0.5
 FULL = 4_000_000  # grams that a task holds before it sums them up
 
 _table = None
@@ -115,19 +117,28 @@ def shared_backoff(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return p
 
 
+def _smoothed(counts: np.ndarray, backoff: np.ndarray) -> np.ndarray:
+    """Probabilities of rows of counts with an absolute discount, whose mass goes to ``backoff``."""
+    n = counts.reshape(-1, SYMBOLS).astype(np.float32)
+    total = n.sum(1, keepdims=True)
+    kept = np.maximum(n - np.float32(DISCOUNT), 0)
+    return np.where(total > 0, (kept + (total - kept.sum(1, keepdims=True)) * backoff) / np.maximum(total, 1), backoff)
+
+
 def log_ratio(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """For each 5-gram how much likelier, in logarithms, its last symbol is in toxic texts."""
+    """For each 5-gram how much likelier, in logarithms, its last symbol is in toxic texts, beyond ``MARGIN``.
+
+    The ordinary model backs off to the shared continuation counts, the toxic one, which has seen far less, to the
+    shared counts of both classes, which themselves back off to the continuation counts.
+    """
     backoff = shared_backoff(ordinary, toxic).reshape(-1, SYMBOLS)
     out = np.zeros(GRAMS, np.float16)
     step = GRAMS // SYMBOLS
     for i in range(SYMBOLS):
-        part = []
-        for c in (toxic, ordinary):
-            n = c[i * step : (i + 1) * step].reshape(-1, SYMBOLS).astype(np.float32)
-            total = n.sum(1, keepdims=True)
-            kept = np.maximum(n - np.float32(DISCOUNT), 0)
-            part.append(np.where(total > 0, (kept + (total - kept.sum(1, keepdims=True)) * backoff) / np.maximum(total, 1), backoff))
-        out[i * step : (i + 1) * step] = (np.log(np.maximum(part[0], 1e-12)) - np.log(np.maximum(part[1], 1e-12))).ravel()
+        part = slice(i * step, (i + 1) * step)
+        both = _smoothed(ordinary[part] + toxic[part], backoff)
+        ratio = np.log(np.maximum(_smoothed(toxic[part], both), 1e-12)) - np.log(np.maximum(_smoothed(ordinary[part], backoff), 1e-12))
+        out[part] = np.maximum(ratio.ravel() - MARGIN, 0)
     return out
 
 
@@ -138,7 +149,7 @@ class Calibration:
 
 
 def values(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """doc_id and the difference of both log-likelihoods for each character."""
+    """doc_id and the difference of both log-likelihoods, beyond the margin, for each character."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ratio)
 
