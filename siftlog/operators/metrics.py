@@ -85,3 +85,45 @@ def macro_auc(df: DataFrame, truth: str = "truth") -> DataFrame:
     won = each.select("label", "part", "pos", "neg", F.coalesce(F.sum("neg").over(inside), F.lit(0)).alias("under")).join(F.broadcast(below), ["label", "part"])
     auc = won.groupBy("label").agg((F.sum(F.col("pos") * (F.col("below") + F.col("under") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
     return auc.agg(F.when(F.count("auc") == 3, F.round(F.avg("auc"), 6)).alias("macro_auc"))
+
+
+def diagnostics(run: DataFrame) -> DataFrame:
+    """What routing changed in each source: ``run`` has source, truth, clf, final and routed."""
+    clf, final, truth = F.col("clf"), F.col("final"), F.col("truth")
+    benign = F.lit(LABELS[0])
+    counts = {
+        "routed": F.col("routed"),
+        "changed": clf != final,
+        "vetoed": (clf != benign) & (final == benign),
+        "raised": (clf == benign) & (final != benign),
+        "retyped": (clf != final) & (clf != benign) & (final != benign),
+        "fixed": (clf != truth) & (final == truth),
+        "broken": (clf == truth) & (final != truth),
+    }
+    return run.groupBy("source").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+
+
+def validation(submission: DataFrame, expected: DataFrame, most: int = 5) -> DataFrame:
+    """One row: how many ids are duplicate, missing or extra and labels invalid, with some of each, and whether all is well."""
+    ids = expected.select("event_id").distinct()
+    sub = submission.select("event_id", "pred_label")
+    some = lambda df, c, n: df.agg(F.count(F.lit(1)).alias(n)).join(F.broadcast(df.orderBy(c).limit(most).agg(F.array_join(F.sort_array(F.collect_list(F.col(c).cast("string"))), ",").alias(f"{n}_ids"))))
+    parts = [
+        some(sub.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "event_id", "duplicate"),
+        some(ids.join(sub, "event_id", "left_anti"), "event_id", "missing"),
+        some(sub.select("event_id").distinct().join(ids, "event_id", "left_anti"), "event_id", "extra"),
+        some(sub.where(F.col("pred_label").isNull() | ~F.col("pred_label").isin(*LABELS)), "event_id", "invalid"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(F.broadcast(p))
+    return out.withColumn("valid", (F.col("duplicate") + F.col("missing") + F.col("extra") + F.col("invalid")) == 0)
+
+
+def check_submission(submission: DataFrame, expected: DataFrame) -> None:
+    """Raise one error that names everything that is wrong."""
+    if set(submission.columns) != {"event_id", "pred_label"}:
+        raise ValueError(f"columns are {submission.columns}; event_id and pred_label are expected")
+    row = validation(submission, expected).first()
+    if not row["valid"]:
+        raise ValueError("; ".join(f"{n} {row[n]} ({row[n + '_ids']})" for n in ("duplicate", "missing", "extra", "invalid") if row[n]))

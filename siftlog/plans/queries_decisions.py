@@ -1,0 +1,457 @@
+"""Queries of decisions, evaluation, policies, model requests and models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from siftlog.functions import text
+from siftlog.operators import aggregates, decide, documents, metrics, models, policy, requests, route, sampling
+from siftlog.plans.queries_tables import EV, LD, PR, ev, train_valid
+from siftlog.plans.registry import SOURCE, VERDICT_SQL, query
+from siftlog.schema import LABELS, labelled_documents, read, with_probabilities
+
+P = decide.probabilities()
+ARGMAX = "CASE WHEN {0} >= {1} AND {0} >= {2} THEN 'benign' WHEN {1} >= {2} THEN 'suspicious' ELSE 'malicious' END"
+
+
+def argmax(w: float) -> str:
+    return ARGMAX.format(f"p_benign * {w}::DOUBLE", "p_suspicious", "p_malicious")
+
+
+def least(m: float, p: str = "p_") -> str:
+    b, s, x = (f"{p}{label}" for label in LABELS)
+    r = [f"(({s} + {x}) * {m}::DOUBLE)", f"({b} * 1::DOUBLE + {x} * 0.5::DOUBLE)", f"({b} * 1::DOUBLE + {s} * 0.5::DOUBLE)"]
+    return f"CASE WHEN {r[0]} <= {r[1]} AND {r[0]} <= {r[2]} THEN 'benign' WHEN {r[1]} <= {r[2]} THEN 'suspicious' ELSE 'malicious' END"
+
+
+def risks_sql(m: float) -> str:
+    return f"list_sort([(p_suspicious + p_malicious) * {m}::DOUBLE, p_benign * 1::DOUBLE + p_malicious * 0.5::DOUBLE, p_benign * 1::DOUBLE + p_suspicious * 0.5::DOUBLE])"
+
+
+def scored(spark, sf):
+    return with_probabilities(ev(spark, sf))
+
+
+#: A reply for a third of the events: its probabilities are those of the event, turned.
+REPLIED = "rp AS (SELECT *, CASE WHEN eid % 3 = 0 THEN p_suspicious END AS q_benign, CASE WHEN eid % 3 = 0 THEN p_malicious END AS q_suspicious, CASE WHEN eid % 3 = 0 THEN p_benign END AS q_malicious FROM pr)"
+
+
+def replied(spark, sf):
+    turned = {"q_benign": "p_suspicious", "q_suspicious": "p_malicious", "q_malicious": "p_benign"}
+    return scored(spark, sf).withColumns({a: F.when(F.col("eid") % 3 == 0, F.col(b)) for a, b in turned.items()})
+
+
+@query("d1_weighted_argmax", PR + f"SELECT event_id, {argmax(1)} AS w1, {argmax(10)} AS w10 FROM pr")
+def _(spark, sf):
+    return scored(spark, sf).select("event_id", decide.weighted_argmax(P).alias("w1"), decide.weighted_argmax(P, None, {"benign": 10}).alias("w10"))
+
+
+_MASK = f", s AS (SELECT *, {SOURCE} AS source FROM pr), m AS (SELECT source, list(DISTINCT label_binary) AS labels FROM s WHERE eid % 2 = 0 AND eid % 10 < 6 GROUP BY source), j AS (SELECT s.*, m.labels FROM s LEFT JOIN m USING (source)), k AS (SELECT *, " + ", ".join(f"CASE WHEN labels IS NULL OR list_contains(labels, '{x}') THEN p_{x} ELSE '-infinity'::DOUBLE END AS s_{x}" for x in LABELS) + " FROM j)"
+
+
+@query("d2_masked_prediction", PR + _MASK + f" SELECT event_id, {ARGMAX.format('s_benign', 's_suspicious', 's_malicious')} AS pred FROM k")
+def _(spark, sf):
+    df = scored(spark, sf)
+    mask = aggregates.source_mask(df.where("eid % 2 = 0 and eid % 10 < 6"), "source", "label", 1).select("source", "labels")
+    return df.join(mask, "source", "left").select("event_id", decide.weighted_argmax(P, F.col("labels")).alias("pred"))
+
+
+@query("d3_verdict_rule_override", f"WITH {VERDICT_SQL} SELECT event_id, CASE WHEN vendor_state = 'missing' AND verdict = 'block' THEN 'malicious' ELSE 'benign' END AS pred FROM vd")
+def _(spark, sf):
+    df = ev(spark, sf)
+    state, verdict = documents.verdict_cell(df)
+    return df.select("event_id", F.when((state == "missing") & (verdict == "block"), "malicious").otherwise("benign").alias("pred"))
+
+
+@query("d4_date_rule_override", EV + "SELECT event_id, CASE WHEN timestamp < (SELECT min(timestamp) + 3600 FROM ev) THEN 'malicious' ELSE 'benign' END AS pred FROM ev")
+def _(spark, sf):
+    df = ev(spark, sf)
+    cut = df.agg((F.min("timestamp") + 3600).alias("cut"))
+    return df.join(F.broadcast(cut)).select("event_id", F.when(F.col("timestamp") < F.col("cut"), "malicious").otherwise("benign").alias("pred"))
+
+
+@query("d5_min_cost", PR + "SELECT event_id, " + ", ".join(f"{least(m)} AS m{m}" for m in (1, 2, 5, 10)) + " FROM pr")
+def _(spark, sf):
+    return scored(spark, sf).select("event_id", *[decide.min_cost(P, m).alias(f"m{m}") for m in (1, 2, 5, 10)])
+
+
+@query("d6_cost_confidence", PR + f"SELECT event_id, round(CASE WHEN {risks_sql(2)}[1] + {risks_sql(2)}[2] > 0 THEN {risks_sql(2)}[2] / ({risks_sql(2)}[1] + {risks_sql(2)}[2]) ELSE 1 END, 6) AS conf FROM pr")
+def _(spark, sf):
+    return scored(spark, sf).select("event_id", F.round(decide.cost_confidence(P, 2), 6).alias("conf"))
+
+
+@query("d7_benign_first", PR + f"SELECT event_id, {argmax(2)} AS pred, round(greatest(p_benign * 2, p_suspicious, p_malicious) / (p_benign * 2 + p_suspicious + p_malicious), 6) AS conf FROM pr")
+def _(spark, sf):
+    return scored(spark, sf).select("event_id", decide.benign_first(P, 2).alias("pred"), F.round(decide.decision_confidence(P, 2), 6).alias("conf"))
+
+
+_TYPE = "CASE WHEN p_suspicious >= p_malicious THEN 'suspicious' ELSE 'malicious' END"
+_MIX = ", mx AS (SELECT *, " + ", ".join(f"0.5::DOUBLE * p_{x} + 0.5::DOUBLE * q_{x} AS x_{x}" for x in LABELS) + f", {least(5)} AS clf FROM rp)"
+
+
+@query("d8_fusion_by_cost", PR + ", " + REPLIED + _MIX + f" SELECT event_id, CASE WHEN q_benign IS NULL THEN clf WHEN clf = 'malicious' THEN clf WHEN {least(10, 'q_')} <> 'benign' THEN {_TYPE} ELSE 'benign' END AS gate_km, CASE WHEN q_benign IS NULL THEN clf WHEN clf = 'benign' AND {least(10, 'q_')} <> 'benign' THEN {_TYPE} ELSE clf END AS raise, CASE WHEN q_benign IS NULL THEN clf WHEN clf = 'malicious' THEN clf WHEN {least(5, 'x_')} <> 'benign' THEN {_TYPE} ELSE 'benign' END AS mix_km FROM mx")
+def _(spark, sf):
+    clf, q = decide.min_cost(P, 5), decide.probabilities("q_")
+    return replied(spark, sf).select("event_id", *[decide.fuse_by_cost(r, x, clf, P, q, 5).alias(r) for r, x in (("gate_km", 10), ("raise", 10), ("mix_km", 0.5))])
+
+
+_BY = ARGMAX.format("q_benign * 10", "q_suspicious", "q_malicious")
+
+
+@query("d9_fusion_by_label", PR + ", " + REPLIED + f", l AS (SELECT *, {argmax(2)} AS clf, CASE WHEN q_benign IS NOT NULL THEN {_BY} END AS byp, CASE WHEN eid % 3 = 0 THEN label_binary END AS reply FROM rp) SELECT event_id, CASE WHEN reply IS NULL THEN clf ELSE reply END AS llm, CASE WHEN reply IS NULL THEN clf WHEN reply = 'benign' THEN 'benign' ELSE {_TYPE} END AS llm_gate, CASE WHEN reply IS NULL THEN clf WHEN reply = 'benign' OR clf = 'benign' THEN 'benign' ELSE clf END AS agree_alert, CASE WHEN reply IS NULL THEN clf ELSE byp END AS llm_prob, CASE WHEN reply IS NULL THEN clf WHEN byp = 'benign' THEN 'benign' ELSE {_TYPE} END AS llm_prob_gate, CASE WHEN reply IS NULL THEN clf WHEN clf = 'malicious' THEN clf WHEN byp = 'benign' THEN 'benign' ELSE {_TYPE} END AS llm_prob_gate_km FROM l")
+def _(spark, sf):
+    df = replied(spark, sf).withColumn("reply", F.when(F.col("eid") % 3 == 0, F.col("label")))
+    clf, q = decide.benign_first(P, 2), decide.probabilities("q_")
+    rules = ("llm", "llm_gate", "agree_alert", "llm_prob", "llm_prob_gate", "llm_prob_gate_km")
+    return df.select("event_id", *[decide.fuse_by_label(r, clf, P, F.col("reply"), q, 10).alias(r) for r in rules])
+
+
+@query("d10_routing_triggers", PR + f", s AS (SELECT *, {SOURCE} AS source, {argmax(1)} AS clf FROM pr), c AS (SELECT DISTINCT source, label_binary AS label FROM s WHERE eid % 2 = 0 AND eid % 10 < 8) SELECT event_id, source NOT IN (SELECT source FROM c) AS unseen_source, NOT EXISTS (SELECT 1 FROM c WHERE c.source = s.source AND c.label = s.clf) AS new_pair, cast(eid % 97 AS double) / 97 < 0.2 AS novel, p_benign < 0.3 AS doubtful FROM s WHERE eid % 2 = 1")
+def _(spark, sf):
+    df = scored(spark, sf).withColumns({"clf": decide.weighted_argmax(P), "maxsim": (F.col("eid") % 97).cast("double") / 97, "conf": F.col("p_benign")})
+    docs = route.with_cells(df.where("eid % 2 = 1"), df.where("eid % 2 = 0 and eid % 10 < 8").select("source", "label"))
+    return docs.select("event_id", *[c.alias(n) for n, c in route.triggers(0.3, 0.2).items()])
+
+
+@query("d11_route_all_fired", PR + "SELECT event_id, p_benign < 0.3 AS routed FROM pr")
+def _(spark, sf):
+    df = scored(spark, sf).withColumns({"conf": F.col("p_benign"), "known_source": F.lit(True), "known_pair": F.lit(True), "maxsim": F.lit(1.0)})
+    return route.route(df, route.triggers(0.3, None)["doubtful"], 0, "event_id").select("event_id", "routed")
+
+
+@query("d12_versions", f"WITH {VERDICT_SQL}, pr AS (SELECT *, 1 - p_suspicious - p_malicious AS p_benign FROM (SELECT *, cast((eid * 37) % 101 as double) / 202 AS p_suspicious, cast((eid * 53) % 97 as double) / 194 AS p_malicious FROM vd)) SELECT event_id, {argmax(1)} AS b, {argmax(10)} AS f, CASE WHEN vendor_state = 'missing' AND verdict = 'block' THEN 'malicious' ELSE {argmax(10)} END AS g FROM pr")
+def _(spark, sf):
+    df = scored(spark, sf)
+    state, verdict = documents.verdict_cell(df)
+    f = decide.weighted_argmax(P, None, {"benign": 10})
+    return df.select("event_id", decide.weighted_argmax(P).alias("b"), f.alias("f"), F.when((state == "missing") & (verdict == "block"), "malicious").otherwise(f).alias("g"))
+
+
+@query("d13_counterfactual_stability", EV + "SELECT count(*) AS n, cast(0 AS bigint) AS changed FROM ev")
+def _(spark, sf):
+    # A decision on the time-free view must not change when all numbers and dates of the message do.
+    view = lambda m: text.firewall_verdict(text.timefree(m))
+    m = F.col("message_sanitized")
+    return ev(spark, sf).select(view(m).alias("a"), view(text.perturbed(m, 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("changed"))
+
+
+@query("d14_view_invariance")
+def _(spark, sf):
+    m = F.col("message_sanitized")
+    rows = ev(spark, sf).select(text.classifier_view(m).alias("a"), text.classifier_view(text.perturbed(m, 1)).alias("b"), text.reader_view(m).alias("r"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("changed"), F.count_if(F.col("r").rlike(r"\b[0-9]{1,2}:[0-9]{2}:[0-9]{2}\b")).alias("times_left"))
+
+
+# --- evaluation ---
+
+
+def metrics_sql(groups: str, source: str, present: bool = True) -> str:
+    """All metrics from the nine cells of ``source`` (truth, pred and the groups)."""
+    g = f"{groups}, " if groups else ""
+    cells = ", ".join(f"cast(count_if(truth = '{t}' AND pred = '{p}') AS double) AS t{i}p{j}" for i, t in enumerate(LABELS) for j, p in enumerate(LABELS))
+    c = [[f"t{i}p{j}" for j in range(3)] for i in range(3)]
+    sup = [f"({'+'.join(c[i])})" for i in range(3)]
+    prd = [f"({'+'.join(c[j][i] for j in range(3))})" for i in range(3)]
+    total, hit = f"({'+'.join(sup)})", "(t0p0+t1p1+t2p2)"
+    sh = lambda a, b: f"(CASE WHEN {b} <> 0 THEN ({a}) / {b} ELSE 0 END)"
+    out = {"items": total, "accuracy": sh(hit, total)}
+    f1s = []
+    for i, x in enumerate(LABELS):
+        f1 = sh(f"2 * {sh(c[i][i], prd[i])} * {sh(c[i][i], sup[i])}", f"({sh(c[i][i], prd[i])} + {sh(c[i][i], sup[i])})")
+        out |= {f"precision_{x}": sh(c[i][i], prd[i]), f"recall_{x}": sh(c[i][i], sup[i]), f"f1_{x}": f1}
+        f1s.append(f1)
+    n = "(" + " + ".join(f"CASE WHEN {s} > 0 THEN 1 ELSE 0 END" for s in sup) + ")" if present else "3"
+    out["macro_f1"] = sh(" + ".join(f"CASE WHEN {s} > 0 THEN {f} ELSE 0 END" if present else f for f, s in zip(f1s, sup, strict=True)), n)
+    out["weighted_f1"] = sh(" + ".join(f"{f} * {s}" for f, s in zip(f1s, sup, strict=True)), total)
+    miss, swap, caught, fa = "(t1p0+t2p0)", "(t1p2+t2p1)", "(t1p1+t1p2+t2p1+t2p2)", "(t0p1+t0p2)"
+    rec, pre = sh(caught, f"({caught} + {miss})"), sh(caught, f"({caught} + {fa})")
+    out |= {"benign_misses": fa, "errors": f"{total} - {hit}", "cost": f"10 * {fa} + ({total} - {hit} - {fa})", "threat_misses": miss, "false_alarms": fa, "swaps": swap, "threat_recall": rec, "threat_precision": pre, "threat_f1": sh(f"2 * {rec} * {pre}", f"({rec} + {pre})"), "partial_accuracy": sh(f"{hit} + 0.5::DOUBLE * {swap}", total)}
+    out |= {f"cost_m{m}": f"{m} * {miss} + {fa} + 0.5::DOUBLE * {swap}" for m in (2, 5, 10)}
+    return f"cl AS (SELECT {g}{cells} FROM {source} {'GROUP BY ' + groups if groups else ''}) SELECT {g}" + ", ".join(f"round({v}, 6) AS {k}" for k, v in out.items()) + " FROM cl"
+
+
+_TP = f", tp AS (SELECT *, {SOURCE} AS source, label_binary AS truth, {least(5)} AS pred FROM pr), "
+
+
+def truth_pred(spark, sf):
+    df = scored(spark, sf)
+    return df.withColumns({"truth": F.col("label"), "pred": decide.min_cost(P, 5)})
+
+
+@query("e1_confusion_metrics", PR + _TP + metrics_sql("source", "tp"))
+def _(spark, sf):
+    return metrics.evaluate(truth_pred(spark, sf), ("source",))
+
+
+@query("e2_metrics_all_labels", PR + _TP + metrics_sql("pipeline", "tp", False))
+def _(spark, sf):
+    return metrics.evaluate(truth_pred(spark, sf), ("pipeline",), present_only=False)
+
+
+@query("e3_macro_auc", PR + ", l AS (" + " UNION ALL ".join(f"SELECT '{x}' AS label, p_{x} AS score, label_binary = '{x}' AS hit FROM pr" for x in LABELS) + "), e AS (SELECT label, score, count_if(hit) AS pos, count_if(NOT hit) AS neg FROM l GROUP BY ALL), w AS (SELECT label, pos, neg, coalesce(sum(neg) OVER (PARTITION BY label ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM e) SELECT round(avg(auc), 6) AS macro_auc FROM (SELECT sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auc FROM w GROUP BY label)")
+def _(spark, sf):
+    return metrics.macro_auc(truth_pred(spark, sf))
+
+
+@query("e4_submission_validation", EV + "SELECT cast(0 AS bigint) AS duplicate, cast(count_if(eid % 50 = 0) AS bigint) AS missing, cast(0 AS bigint) AS extra, cast(count_if(eid % 50 <> 0 AND eid % 70 = 1) AS bigint) AS invalid, '' AS duplicate_ids, (SELECT string_agg(event_id, ',' ORDER BY event_id) FROM (SELECT event_id FROM ev WHERE eid % 50 = 0 ORDER BY event_id LIMIT 5)) AS missing_ids, '' AS extra_ids, (SELECT string_agg(event_id, ',' ORDER BY event_id) FROM (SELECT event_id FROM ev WHERE eid % 50 <> 0 AND eid % 70 = 1 ORDER BY event_id LIMIT 5)) AS invalid_ids, false AS valid FROM ev")
+def _(spark, sf):
+    df = ev(spark, sf)
+    sub = df.where("eid % 50 <> 0").select("event_id", F.when(F.col("eid") % 70 == 1, "unknown").otherwise(F.col("label")).alias("pred_label"))
+    return metrics.validation(sub, df)
+
+
+@query("e5_run_scores", PR + f", tp AS (SELECT label_binary AS truth, unnest([{{'part': 'final', 'pred': {least(5)}}}, {{'part': 'classifier', 'pred': {argmax(1)}}}, {{'part': CASE WHEN p_benign < 0.3 THEN 'routed' END, 'pred': {least(5)}}}], recursive := true) FROM pr), t2 AS (SELECT * FROM tp WHERE part IS NOT NULL), " + metrics_sql("part", "t2"))
+def _(spark, sf):
+    df = scored(spark, sf)
+    final = decide.min_cost(P, 5)
+    parts = F.array(F.struct(F.lit("final").alias("part"), final.alias("pred")), F.struct(F.lit("classifier").alias("part"), decide.weighted_argmax(P).alias("pred")), F.struct(F.when(F.col("p_benign") < 0.3, "routed").alias("part"), final.alias("pred")))
+    return metrics.evaluate(df.select(F.col("label").alias("truth"), F.inline(parts)).where("part is not null"), ("part",))
+
+
+@query("e6_submissions", PR + ", tp AS (" + " UNION ALL ".join(f"SELECT {w} AS version, label_binary AS truth, {argmax(w)} AS pred FROM pr" for w in (1, 2, 5)) + "), " + metrics_sql("version", "tp"))
+def _(spark, sf):
+    versions = F.array(*[F.struct(F.lit(w).alias("version"), decide.benign_first(P, w).alias("pred")) for w in (1, 2, 5)])
+    return metrics.evaluate(scored(spark, sf).select(F.col("label").alias("truth"), F.inline(versions)), ("version",))
+
+
+@query("e7_holdout_summary", PR + ", tp AS (" + " UNION ALL ".join(f"SELECT {w}::DOUBLE AS w, pipeline AS kind, label_binary AS truth, {argmax(w)} AS pred FROM pr" for w in (1, 10)) + "), " + metrics_sql("w, kind", "tp"))
+def _(spark, sf):
+    df = scored(spark, sf).select(F.col("pipeline").alias("kind"), F.col("event_id").alias("holdout"), "label", "p_benign", "p_suspicious", "p_malicious").withColumn("holdout", F.lit("all"))
+    counts = policy.weighted_costs(df, [1, 10])
+    return counts.select("w", "kind", *[F.round(v, 6).alias(k) for k, v in metrics.metric_columns().items()])
+
+
+@query("e8_fusion_ablation", PR + ", " + REPLIED + _MIX + f", fu AS (SELECT label_binary AS truth, 'gate_km' AS rule, CASE WHEN q_benign IS NULL THEN clf WHEN clf = 'malicious' THEN clf WHEN {least(10, 'q_')} <> 'benign' THEN {_TYPE} ELSE 'benign' END AS pred FROM mx UNION ALL SELECT label_binary, 'none', clf FROM mx), " + metrics_sql("rule", "fu"))
+def _(spark, sf):
+    clf, q = decide.min_cost(P, 5), decide.probabilities("q_")
+    variants = F.array(F.struct(F.lit("gate_km").alias("rule"), decide.fuse_by_cost("gate_km", 10, clf, P, q, 5).alias("pred")), F.struct(F.lit("none").alias("rule"), clf.alias("pred")))
+    return metrics.evaluate(replied(spark, sf).select(F.col("label").alias("truth"), F.inline(variants)), ("rule",))
+
+
+@query("e9_subsets_of_external_rows", PR + f", k AS (SELECT DISTINCT message_sanitized AS m FROM ev WHERE eid % 2 = 0), x AS (SELECT label_binary AS truth, {argmax(1)} AS pred, message_sanitized NOT IN (SELECT m FROM k) AS novel FROM pr WHERE eid % 2 = 1), tp AS (SELECT 'all' AS subset, truth, pred FROM x UNION ALL SELECT 'novel_raw', truth, pred FROM x WHERE novel), " + metrics_sql("subset", "tp"))
+def _(spark, sf):
+    train, valid = train_valid(spark, sf)
+    known = train.select("message_sanitized").distinct().withColumn("known", F.lit(True))
+    rows = with_probabilities(valid).join(known, "message_sanitized", "left")
+    subsets = F.filter(F.array(F.lit("all"), F.when(F.col("known").isNull(), "novel_raw")), lambda x: x.isNotNull())
+    return metrics.evaluate(rows.select(F.col("label").alias("truth"), decide.weighted_argmax(P).alias("pred"), F.explode(subsets).alias("subset")), ("subset",))
+
+
+# --- policies ---
+
+_HOLD = "CASE WHEN eid % 3 = 0 THEN 'cl5' WHEN eid % 3 = 1 THEN 'loso' ELSE 'loco' END"
+
+
+def _held(spark, sf):
+    df = replied(spark, sf)
+    return df.withColumns({"kind": F.expr(_HOLD), "holdout": F.col("pipeline"), "maxsim": (F.col("eid") % 97).cast("double") / 97, "answered": F.col("eid") % 3 == 0, "known_pairs": F.create_map(*[x for label in LABELS for x in (F.lit(label), F.lit(label != "malicious"))])})
+
+
+@query("g1_training_cells", LD + ", c AS (SELECT source, label, count(*) AS n FROM ld GROUP BY ALL), h AS (SELECT DISTINCT source AS holdout FROM ld) SELECT 'loso' AS kind, holdout, source, label FROM h, c WHERE source <> holdout")
+def _(spark, sf):
+    docs = labelled_documents(spark, sf)
+    return policy.training_cells(docs.select(F.lit("loso").alias("kind"), F.col("source").alias("holdout"), "doc_id"), docs)
+
+
+@query("g2_policy_costs")
+def _(spark, sf):
+    df = _held(spark, sf).withColumn("reply", F.when(F.col("answered"), F.col("label")))
+    return policy.routing_costs(df, 2.0, 0.6, 0.2, "llm_gate")
+
+
+_COST = "{m}::DOUBLE * (t1p0 + t2p0) + t0p1 + t0p2 + 0.5::DOUBLE * (t1p2 + t2p1)"
+
+
+def objectives_sql(with_regret: bool) -> str:
+    cells = ", ".join(f"cast(count_if(truth = '{t}' AND pred = '{p}') AS double) AS t{i}p{j}" for i, t in enumerate(LABELS) for j, p in enumerate(LABELS))
+    long = " UNION ALL ".join(f"SELECT w, kind, count(*) AS d, {m}::DOUBLE AS miss, {m}::DOUBLE * count_if(truth <> 'benign' AND pred = 'benign') + count_if(truth = 'benign' AND pred <> 'benign') + 0.5::DOUBLE * count_if(truth <> 'benign' AND pred <> 'benign' AND truth <> pred) AS c FROM tp GROUP BY w, kind, holdout" for m in (2, 5, 10))
+    assert cells
+    parts = []
+    for k in policy.KINDS:
+        parts += [f"sum(CASE WHEN kind = '{k}' THEN c END) / sum(CASE WHEN kind = '{k}' THEN d END) AS {k}_pooled", f"avg(CASE WHEN kind = '{k}' THEN c / d END) AS {k}_macro"]
+    ob = lambda a: f"0.99::DOUBLE * cl5_pooled + 0.01::DOUBLE * (loso_{a} + loco_{a}) / 2"
+    head = PR + ", tp AS (" + " UNION ALL ".join(f"SELECT {w}::DOUBLE AS w, {_HOLD} AS kind, pipeline AS holdout, label_binary AS truth, {argmax(w)} AS pred FROM pr" for w in (1, 2, 5, 10)) + f"), lg AS ({long}), ag AS (SELECT w, miss, {', '.join(parts)} FROM lg GROUP BY w, miss), ob AS (SELECT w, miss, {ob('macro')} AS om, {ob('pooled')} AS op FROM ag)"
+    if not with_regret:
+        return head + " SELECT w, miss, round(om, 6) AS objective_macro, round(op, 6) AS objective_pooled FROM ob"
+    return head + ", r AS (SELECT w, greatest(om / min(om) OVER (PARTITION BY miss), op / min(op) OVER (PARTITION BY miss)) AS r FROM ob) SELECT w, round(max(r), 6) AS regret FROM r GROUP BY w"
+
+
+@query("g3_objectives", objectives_sql(False))
+def _(spark, sf):
+    table = policy.objectives(policy.weighted_costs(_held(spark, sf), [1, 2, 5, 10]), "w")
+    return table.select("w", "miss", *[F.round(c, 6).alias(c) for c in ("objective_macro", "objective_pooled")])
+
+
+@query("g5_minimax_regret", objectives_sql(True))
+def _(spark, sf):
+    table = policy.objectives(policy.weighted_costs(_held(spark, sf), [1, 2, 5, 10]), "w")
+    return policy.regrets(table, "w").select("w", F.round("regret", 6).alias("regret"))
+
+
+@query("g6_weight_selection", objectives_sql(True).replace("SELECT w, round(max(r), 6) AS regret FROM r GROUP BY w", "SELECT w FROM (SELECT w, round(max(r), 6) AS regret FROM r GROUP BY w ORDER BY regret, w LIMIT 1)"))
+def _(spark, sf):
+    table = policy.objectives(policy.weighted_costs(_held(spark, sf), [1, 2, 5, 10]), "w")
+    return policy.regrets(table, "w").select("w", F.round("regret", 6).alias("regret")).orderBy("regret", "w").limit(1).select("w")
+
+
+RULES = [("gate_km", 10.0), ("raise", 10.0), ("mix_km", 0.5)]
+NOVELTIES, DOUBTS = [0.1, 0.3], [0.6, 0.8]
+
+
+def _grid(spark):
+    """Each combination of the choices, a table of a few hundred rows."""
+    axis = lambda name, values: spark.createDataFrame([(v,) for v in values], name)
+    grid = axis("m double", policy.MISSES)
+    for a in (axis("t int", [-1, 0, 1]), axis("s int", [-1, 0, 1]), axis("pair boolean", [True, False]), axis("unseen boolean", [True, False]), axis("rule int", [-1, 0, 1, 2])):
+        grid = grid.join(F.broadcast(a))
+    return grid.withColumn("config", F.concat_ws("|", "m", "t", "s", "pair", "unseen", "rule"))
+
+
+def _routing(spark, sf):
+    cells = policy.decision_cells(_held(spark, sf), policy.MISSES, RULES, NOVELTIES, DOUBTS)
+    return policy.routing_grid(cells, _grid(spark), len(RULES))
+
+
+@query("g4_estimated_confusions")
+def _(spark, sf):
+    return _routing(spark, sf).where("config like '5.0|1|0|true|false|0%'").select("config", "kind", "holdout", *[F.round(f"t{i}p{j}", 4).alias(f"t{i}p{j}") for i in range(3) for j in range(3)])
+
+
+@query("g7_routing_grid")
+def _(spark, sf):
+    counts = _routing(spark, sf)
+    share = counts.groupBy("config").agg((F.sum("n_routed") / F.sum("docs")).alias("routed_share"))
+    regret = policy.regrets(policy.objectives(counts, "config"), "config")
+    return regret.join(share, "config").where("routed_share <= 0.9").orderBy("regret", "config").limit(20).select("config", F.round("regret", 6).alias("regret"), F.round("routed_share", 6).alias("routed_share"))
+
+
+@query("g8_other_aggregations")
+def _(spark, sf):
+    table = policy.objectives(policy.weighted_costs(_held(spark, sf), [1, 2, 5, 10]), "w")
+    names = ("macro", "pooled", "macro_large", "root")
+    best = [policy.regrets(table, "w", (f"objective_{a}",)).select(F.lit(a).alias("aggregation"), "w", F.round("regret", 6).alias("regret")) for a in names]
+    out = best[0]
+    for b in best[1:]:
+        out = out.unionByName(b)
+    return out
+
+
+@query("g9_prior_sensitivity")
+def _(spark, sf):
+    counts = policy.weighted_costs(_held(spark, sf), [1, 2, 5, 10])
+    parts = [policy.regrets(policy.objectives(counts, "w", prior_ood=p), "w").select(F.lit(p).alias("prior"), "w", F.round("regret", 6).alias("regret")) for p in (0.001, 0.05)]
+    return parts[0].unionByName(parts[1])
+
+
+# --- requests ---
+
+INTRO, NOTES = "Label one security log event.", "Reply with one line of JSON."
+DEFINITIONS = {"benign": "routine activity", "suspicious": "a control flagged or blocked something", "malicious": "evidence of hostile activity"}
+CODEBOOK = [
+    ("benign", 0, "cloud flow records that were accepted", ["Amazon Web Services/AWS VPC Security|benign"]),
+    ("benign", 1, "records without metadata", ["/|benign"]),
+    ("suspicious", 0, "firewall denies of a known vendor", ["Cisco/ASA Firewall|suspicious", "Crowdstrike/Falcon|suspicious"]),
+    ("malicious", 0, "denies without vendor", ["/|malicious"]),
+]
+
+
+def _prompts(spark, sf):
+    book = spark.createDataFrame(CODEBOOK, "label string, place int, line string, cells array<string>")
+    held = ev(spark, sf).select(F.col("source").alias("holdout"), F.concat_ws("|", "source", "label").alias("cell")).groupBy("holdout").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
+    return requests.system_prompts(book, held, INTRO, DEFINITIONS, NOTES)
+
+
+_USER = "'pipeline: ' || pipeline || chr(10) || 'vendor: ' || CASE WHEN coalesce(vendor_name, '') = '' THEN '(empty)' ELSE vendor_name END || chr(10) || 'product: ' || CASE WHEN product_name = '' THEN '(empty)' ELSE product_name END || chr(10) || 'message:' || chr(10) || CASE WHEN message_sanitized = '' THEN '(empty)' ELSE message_sanitized END"
+
+
+@query("l1_user_prompts", EV + f"SELECT event_id, {_USER} AS prompt FROM ev")
+def _(spark, sf):
+    return ev(spark, sf).select("event_id", requests.user_prompt(*[F.col(c) for c in ("pipeline", "vendor_name", "product_name", "message_sanitized")]).alias("prompt"))
+
+
+@query("l1_system_prompts")
+def _(spark, sf):
+    return _prompts(spark, sf)
+
+
+@query("l2_unanswered_requests", EV + f", r AS (SELECT DISTINCT sha1('v2' || chr(0) || 'sys' || chr(0) || {_USER}) AS key FROM ev), c AS (SELECT DISTINCT sha1('v2' || chr(0) || 'sys' || chr(0) || {_USER}) AS key FROM ev WHERE eid % 5 = 0) SELECT key FROM r WHERE key NOT IN (SELECT key FROM c)")
+def _(spark, sf):
+    keyed = lambda df: df.select(requests.request_key(F.lit("sys"), requests.user_prompt(*[F.col(c) for c in ("pipeline", "vendor_name", "product_name", "message_sanitized")])).alias("key"))
+    df = ev(spark, sf)
+    return requests.unanswered(keyed(df), keyed(df.where("eid % 5 = 0")))
+
+
+@query("l3_parsed_replies", "WITH r AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'ok {\"label\": \"Benign\", \"reason\": \"x\"}' WHEN conv_id % 3 = 1 THEN text || ' I think this is Suspicious.' ELSE 'no idea' END AS t FROM conversations) SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'benign' ELSE lower(list_last(regexp_extract_all(t, '(?i)\\b(benign|suspicious|malicious)\\b', 1))) END AS label FROM r")
+def _(spark, sf):
+    rows = read(spark, sf, "conversations")
+    reply = F.when(F.col("conv_id") % 3 == 0, 'ok {"label": "Benign", "reason": "x"}').when(F.col("conv_id") % 3 == 1, F.concat("text", F.lit(" I think this is Suspicious."))).otherwise("no idea")
+    return rows.select("conv_id", "turn", requests.parse_reply(reply).alias("label"))
+
+
+@query("l4_label_probabilities", "WITH c AS (SELECT event_id AS key, unnest(['ben', ' Sus', 'mal', 'x']) AS token, unnest([-0.1 * (event_id % 7 + 1), -0.2 * (event_id % 5 + 1), -0.3, -0.4]) AS lp FROM events), m AS (SELECT key, CASE WHEN token = 'ben' THEN 'b' WHEN token = ' Sus' THEN 's' WHEN token = 'mal' THEN 'm' END AS l, exp(cast(lp AS double)) AS p FROM c), s AS (SELECT key, sum(p) FILTER (l = 'b') AS b, sum(p) FILTER (l = 's') AS s, sum(p) FILTER (l = 'm') AS m FROM m WHERE l IS NOT NULL GROUP BY key) SELECT key, round(b / (b + s + m), 6) AS p_benign, round(s / (b + s + m), 6) AS p_suspicious, round(m / (b + s + m), 6) AS p_malicious FROM s")
+def _(spark, sf):
+    e = F.col("event_id")
+    pairs = (("ben", -0.1 * (e % 7 + 1)), (" Sus", -0.2 * (e % 5 + 1)), ("mal", F.lit(-0.3)), ("x", F.lit(-0.4)))
+    rows = read(spark, sf, "events").select(e.alias("key"), F.inline(F.array(*[F.struct(F.lit(t).alias("token"), lp.cast("double").alias("logprob")) for t, lp in pairs])))
+    return requests.label_probabilities(rows).select("key", *[F.round(f"p_{x}", 6).alias(f"p_{x}") for x in LABELS])
+
+
+def _asked(spark, sf):
+    user = requests.user_prompt(*[F.col(c) for c in ("pipeline", "vendor_name", "product_name", "message_sanitized")])
+    rows = ev(spark, sf).select("event_id", "label", F.lit("sys").alias("system"), user.alias("user")).withColumn("key", requests.request_key(F.col("system"), F.col("user")))
+    return rows, requests.ask(rows.select("key", "system", "user").dropDuplicates(["key"]), requests.keyword_model)
+
+
+_STUB = f"CASE WHEN regexp_matches(lower({_USER}), 'deny|block|reject|fail') THEN 'suspicious' ELSE 'benign' END"
+
+
+@query("l5_batched_scoring", EV + f"SELECT event_id, {_STUB} AS label FROM ev")
+def _(spark, sf):
+    rows, replies = _asked(spark, sf)
+    return rows.select("event_id", "key").join(replies.select("key", "label"), "key").select("event_id", "label")
+
+
+@query("l6_model_alone", PR + f", s AS (SELECT event_id FROM ev ORDER BY md5(event_id || '|8'), event_id LIMIT 500), b AS (SELECT label_binary AS truth, {argmax(1)} AS a, {_STUB} AS m FROM pr WHERE event_id IN (SELECT event_id FROM s)), tp AS (SELECT 'system' AS variant, truth, a AS pred FROM b UNION ALL SELECT 'model_only', truth, m FROM b), " + metrics_sql("variant", "tp"))
+def _(spark, sf):
+    rows, replies = _asked(spark, sf)
+    some = sampling.uniform_sample(rows.select("event_id"), 500, "event_id", 8)
+    alone = rows.join(some, "event_id").join(replies.select("key", F.col("label").alias("pred")), "key").select("event_id", "pred")
+    system = scored(spark, sf).select("event_id", F.col("label").alias("truth"), decide.weighted_argmax(P).alias("pred"))
+    return requests.compare_on_events(system, alone)
+
+
+# --- tables of models ---
+
+
+@query("m1_tfidf", "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\w.\\-/:=@+]+')) AS term FROM documents WHERE doc_id % 5 = 0), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents WHERE doc_id % 5 = 0), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 3) SELECT doc_id, term, tf, df, round((1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1), 4) AS raw FROM tf JOIN df USING (term), n".replace("WHERE doc_id % 5 = 0", ""))
+def _(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[a-zA-Z0-9_.\-/:=@+]+"), F.lit(0)).alias("terms"))
+    weights = models.tfidf(docs, "doc_id", "terms", min_df=3)
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    return weights.join(F.broadcast(n)).select("doc_id", "term", "tf", "df", F.round((1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1), 4).alias("raw"))
+
+
+@query("m3_char_terms")
+def _(spark, sf):
+    return ev(spark, sf).select(F.explode(models.char_terms(F.col("message_sanitized"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m6_blend", PR + "SELECT event_id, " + ", ".join(f"round((p_{a} + p_{b}) / 2, 6) AS p_{a}" for a, b in (("benign", "suspicious"), ("suspicious", "malicious"), ("malicious", "benign"))) + " FROM pr")
+def _(spark, sf):
+    a = scored(spark, sf).select("event_id", *[f"p_{x}" for x in LABELS])
+    b = a.select("event_id", F.col("p_suspicious").alias("p_benign"), F.col("p_malicious").alias("p_suspicious"), F.col("p_benign").alias("p_malicious"))
+    return models.blend(a, b, "event_id").select("event_id", *[F.round(f"p_{x}", 6).alias(f"p_{x}") for x in LABELS])
+
+
+@query("m11_em_priors", "WITH RECURSIVE " + PR.removeprefix("WITH ") + ", em(i, b, s, m) AS (SELECT 0, 0.6::DOUBLE, 0.3::DOUBLE, 0.1::DOUBLE UNION ALL SELECT i + 1, n.b, n.s, n.m FROM em, LATERAL (SELECT avg(x / (x + y + z)) AS b, avg(y / (x + y + z)) AS s, avg(z / (x + y + z)) AS m FROM (SELECT p_benign * em.b / 0.6::DOUBLE AS x, p_suspicious * em.s / 0.3::DOUBLE AS y, p_malicious * em.m / 0.1::DOUBLE AS z FROM pr)) n WHERE i < 5) SELECT round(b, 6) AS benign, round(s, 6) AS suspicious, round(m, 6) AS malicious FROM em WHERE i = 5")
+def _(spark, sf):
+    prior = models.estimate_priors(scored(spark, sf), [0.6, 0.3, 0.1], steps=5, stop=0.0)
+    return spark.createDataFrame([tuple(prior)], ", ".join(f"{x} double" for x in LABELS)).select(*[F.round(x, 6).alias(x) for x in LABELS])
+
+
+_TEMP = "greatest(p_{0}, 1e-12) ** (1 / {1}::DOUBLE)"
+
+
+@query("m12_temperature_loss", PR + ", l AS (" + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS temperature, label_binary AS label, -ln(CASE label_binary " + " ".join(f"WHEN '{x}' THEN {_TEMP.format(x, t)}" for x in LABELS) + " END / (" + " + ".join(_TEMP.format(x, t) for x in LABELS) + ")) AS loss FROM pr" for t in (0.5, 1, 2)) + "), e AS (SELECT temperature, label, avg(loss) AS loss FROM l GROUP BY ALL) SELECT temperature, round(avg(loss), 6) AS loss FROM e GROUP BY ALL")
+def _(spark, sf):
+    return models.tempered_loss(scored(spark, sf), [0.5, 1.0, 2.0])
