@@ -44,6 +44,10 @@ BLOOM_HASHES = 7
 #: Words whose ids a worker remembers; beyond it starts afresh.
 MEMO_WORDS = 1_000_000
 
+#: How byte-level tokenizers write bytes: printable ones of Latin-1 as themselves, others in order from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARACTERS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+
 MANIFEST = "part long, path string, documents long, tokens long, first_id long, last_id long"
 
 
@@ -65,7 +69,9 @@ class WordEncoder:
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.type = np.dtype("<u4" if self.wide else "<u2")
         self.memo: dict[str, bytes] = {"": b""}
-        self.plain = re.compile(r"([A-Za-z]+)([.,;:!?]?)").fullmatch
+        # Letters whose normal form and lower case are one letter each, and perhaps a mark: such words need the merges only.
+        self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)").fullmatch
+        self.pack = {n: struct.Struct(f"<{n}{'I' if self.wide else 'H'}").pack for n in range(1, 65)}
 
     @classmethod
     def get(cls, path: str) -> "WordEncoder":
@@ -73,23 +79,23 @@ class WordEncoder:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
+    def _merged(self, part: str) -> bytes:
+        """The ids of one run of letters or one mark."""
+        ids = [t.id for t in self.tokenizer.model.tokenize(part.lower().encode().decode("latin-1").translate(BYTE_CHARACTERS))]
+        return self.pack[len(ids)](*ids) if len(ids) in self.pack else np.array(ids, self.type).tobytes()
+
     def _learn(self, missing: list[str]) -> None:
-        memo, kind, model = self.memo, self.type, self.tokenizer.model
-        other = []
+        memo, other = self.memo, []
         for w in missing:
             if m := self.plain(w):
                 letters, mark = m.groups()
-                if mark:
-                    for part in (letters.lower(), mark):
-                        if part not in memo:
-                            memo[part] = np.array([t.id for t in model.tokenize(part)], kind).tobytes()
-                    memo[w] = memo[letters.lower()] + memo[mark]
-                else:
-                    memo[w] = np.array([t.id for t in model.tokenize(letters.lower())], kind).tobytes()
+                if mark and letters not in memo:
+                    memo[letters] = self._merged(letters)
+                memo[w] = memo[letters] + self._merged(mark) if mark else self._merged(letters)
             else:
                 other.append(w)
         for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, kind).tobytes()
+            memo[w] = np.array(e.ids, self.type).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
