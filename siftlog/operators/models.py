@@ -41,9 +41,12 @@ def char_terms(doc: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     words = F.filter(F.split(F.lower(F.coalesce(doc, F.lit(""))), r"\s+"), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
+    def of_size(w: Column, n: int) -> Column:
+        many = F.length(w) - n + 1
+        return F.when(many >= 1, F.transform(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), lambda i: w.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
     def runs(w: Column) -> Column:
-        each = [F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i, n=n: w.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes]
-        return F.concat(*each)
+        return F.concat(*[of_size(w, n) for n in sizes])
 
     return F.flatten(F.transform(padded, runs))
 

@@ -175,5 +175,5 @@ def objectives(counts: DataFrame, config: str, misses: tuple[float, ...] = MISSE
 def regrets(table: DataFrame, config: str, objectives_: tuple[str, ...] = ("objective_macro", "objective_pooled")) -> DataFrame:
     """The largest ratio of a configuration's objective to the best one, over miss costs and aggregations."""
     best = table.groupBy("miss").agg(*[F.min(o).alias(f"best_{o}") for o in objectives_])  # a row for each miss cost
-    ratios = table.join(F.broadcast(best), "miss").select(config, "miss", F.greatest(*[F.col(o) / F.col(f"best_{o}") for o in objectives_]).alias("r"))
+    ratios = table.join(F.broadcast(best), "miss").select(config, "miss", F.array_max(F.array(*[F.col(o) / F.col(f"best_{o}") for o in objectives_])).alias("r"))
     return ratios.groupBy(config).agg(F.max("r").alias("regret"))

@@ -130,6 +130,14 @@ _DOT = "list_sum(list_transform(range(1, 65), lambda i: cast(q.embedding[i] AS d
 _NORM = "sqrt(list_sum(list_transform({0}.embedding, lambda x: cast(x AS double) * x)))"
 
 
+@query("j7_rule_rows_by_id", VD + "SELECT event_id, vendor_state, verdict FROM vd WHERE eid % 3 = 0")
+def _(spark, sf):
+    df = ev(spark, sf)
+    state, verdict = documents.verdict_cell(df)
+    rows = df.select("event_id", state.alias("vendor_state"), verdict.alias("verdict"))
+    return df.where("eid % 3 = 0").select("event_id").join(rows, "event_id")
+
+
 @query("j8_nearest_neighbour", f"WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), r AS (SELECT * FROM embeddings WHERE vec_id % 50 <> 0) SELECT q.vec_id, round(max({_DOT} / ({_NORM.format('q')} * {_NORM.format('r')})), 3) AS maxsim FROM q, r GROUP BY q.vec_id")
 def _(spark, sf):
     vectors = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
