@@ -196,7 +196,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     texts = docs.where(remainder(5) > 1).select("doc_id", "text")
-    ordinary, toxic = count_grams(texts.join(marks.where(remainder(5) > 1), "doc_id").select("text", "toxic"))
+    # A sort-merge join at every size: labels grow with the documents, so they are never broadcast.
+    ordinary, toxic = count_grams(texts.join(marks.where(remainder(5) > 1).hint("merge"), "doc_id").select("text", "toxic"))
     scored = staged(values(docs, log_ratio(ordinary, toxic)), "toxicity")
     fit = calibrate(scored.where(remainder(5) == 1).join(marks, "doc_id").select("value", "toxic"))
     score = 1 / (1 + F.exp(-F.least(F.greatest(F.lit(fit.base) + fit.slope * F.col("value"), F.lit(-40.0)), F.lit(40.0))))
