@@ -5,6 +5,7 @@ Probabilities are three columns in the order of LABELS. Ties go to the first lab
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,11 +14,23 @@ from pyspark.sql import functions as F
 from siftlog.schema import LABELS
 
 SWAP_COST = 0.5
-Probabilities = tuple[Column, Column, Column]
+
+
+class Probabilities(Sequence):
+    """Three columns in the order of LABELS, made when they are used, so that modules can name them without a session."""
+
+    def __init__(self, prefix: str):
+        self.prefix = prefix
+
+    def __len__(self) -> int:
+        return len(LABELS)
+
+    def __getitem__(self, i: int) -> Column:
+        return F.col(self.prefix + LABELS[i])
 
 
 def probabilities(prefix: str = "p_") -> Probabilities:
-    return tuple(F.col(prefix + label) for label in LABELS)
+    return Probabilities(prefix)
 
 
 def first_best(scores: list[Column], largest: bool = True) -> Column:
@@ -68,7 +81,7 @@ def alert_type(p: Probabilities) -> Column:
     return F.when(p[1] >= p[2], LABELS[1]).otherwise(LABELS[2])
 
 
-def one_hot(label: Column) -> Probabilities:
+def one_hot(label: Column) -> tuple[Column, ...]:
     return tuple((label == x).cast("double") for x in LABELS)
 
 
