@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlog.llm.common import let, words
+from siftlog.llm.common import let, staged, words
 
 #: Character classes, each a run of such characters; what matches none of them is the class "other".
 CLASSES = (r"[a-z]+", r"[\x20\x09-\x0D]+", r"[A-Z]+", r"[À-ɏ]+", r"[0-9]+", r"[.,;:!?'\"()-]+")
@@ -188,5 +188,6 @@ def keep_good(docs: DataFrame, params: QualityParams = QualityParams()) -> DataF
     columns = docs.columns
     # The verdict is computed beside the row itself; own columns that clash with its names are set aside.
     packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)]).alias("_row"), "text")
-    kept = judge(packed, learn_references(docs.select("lang", "text"), params), params).where("kept")
+    # Written with its verdict first: a filter on it would be pushed below the counts and repeat them in each of their uses.
+    kept = staged(judge(packed, learn_references(docs.select("lang", "text"), params), params).drop("text"), "judged").where("kept")
     return kept.select(*[F.col("_row")[f"k{i}"].alias(c) for i, c in enumerate(columns)])
