@@ -56,10 +56,11 @@ CLOSES = {
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "outside", "link", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "parent", "children", "outside", "within", "link", "chars", "tags", "link_chars", "link_tags", "density")
 
     def __init__(self, tag: str, parent: "Node | None", outside: bool):
         self.tag, self.parent, self.outside = tag, parent, outside
+        self.within = tag in ("article", "main") or (parent is not None and parent.within)
         self.link = tag == "a" or (parent is not None and parent.link)
         self.children: list = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -106,10 +107,11 @@ def parse(page: str) -> Node:
                 at = at.parent
             if last is not None:
                 now = last.parent
-        outside = now.outside or tag in OUTSIDE
+        # A header belongs to what it stands in: to an article with its heading, or else to the page.
+        outside = now.outside or tag in OUTSIDE or (tag == "header" and not now.within)
         if not outside and m.group(4):
             words = [w.lower() for g in NAMES.findall(m.group(4)) for w in WORD.findall(" ".join(g))]
-            outside = not MARKS.isdisjoint(words)
+            outside = not MARKS.isdisjoint(words) or ("header" in words and not now.within)
         node = Node(tag, now, outside)
         now.children.append(node)
         if tag not in VOID and not m.group(4).endswith("/"):

@@ -407,6 +407,11 @@ def test_main_text():
     assert html_text.main_text(PAGE) == "The head&line\nFirst paragraph with énough text to be dense, and more of it.\nSecond paragraph, also long enough to matter for density.\nThird one ends the piece with a few words."
 
 
+def test_headers_of_page_and_article():
+    page = "<header><h2>The site</h2><p>Its motto, which is long enough to be dense text as well.</p></header><div class='header'>More</div><main><header><h1>Title</h1></header><p>The text of the article, of some length.</p><p>And more of it here.</p></main>"
+    assert html_text.main_text(page) == "Title\nThe text of the article, of some length.\nAnd more of it here."
+
+
 def test_pages_that_are_odd(spark):
     odd = [None, "", "plain text", "<p>", "<div><div><div>", "<a href=x>only link</a>", "<p>one<p>two</div></b>three", "<" * 5000, "<a " + '"' * 5000, "<!-- never closed", "<script>alert(1)"]
     rows = [(i, "u", h) for i, h in enumerate(odd)]
