@@ -1,10 +1,9 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of elements. For each node the density is its characters per tag, adjusted by how much of its
-text and of the whole body is in links (Sun, Song and Liao 2011); a node's sum is that of its children's densities.
-The least density on the path from the node with the largest sum to the body is the threshold; of the nodes that reach
-it, the one with the largest sum is the article. Its blocks, without elements that never belong to an article (by tag
-or by their class and id words), are the text.
+text and of the whole body is in links (Sun, Song and Liao 2011); a node's sum is that of the densities of its children
+and of the text directly in it. The node with the largest sum is the article. Its blocks, without elements that never
+belong to an article (by tag or by their class and id words), are the text.
 
 Edge cases: null and empty pages give an empty text, as do pages without text; unclosed and wrongly nested tags are
 closed where the next tag implies it; text outside any element counts as the body's; of equal sums the first node in
@@ -140,24 +139,35 @@ def measure(root: Node) -> list[Node]:
             elif not c.outside:
                 node.chars, node.tags = node.chars + c.chars, node.tags + c.tags + 1
                 node.link_chars, node.link_tags = node.link_chars + c.link_chars, node.link_tags + c.link_tags + (c.tag == "a")
-    body_share = root.link_chars / max(root.chars, 1)
     for node in nodes:
-        if node.chars and not node.outside:
-            c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
-            base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + body_share * c + math.e)
-            node.density = c / t * math.log(max(c / lc * t / lt, 1.0)) / max(math.log(base), 1.0) if base > 1 else 0.0
+        if not node.outside:
+            node.density = _density(root, node.chars, node.tags, node.link_chars, node.link_tags)
     return nodes
 
 
+def _density(root: Node, c: int, t: int, link_chars: int, link_tags: int) -> float:
+    if not c:
+        return 0.0
+    t, lc, lt = max(t, 1), max(link_chars, 1), max(link_tags, 1)
+    base = math.log(c / max(c - link_chars, 1) * link_chars + root.link_chars / max(root.chars, 1) * c + math.e)
+    return c / t * math.log(max(c / lc * t / lt, 1.0)) / max(math.log(base), 1.0)
+
+
+def _parts(root: Node, node: Node) -> list[float]:
+    """The densities of a node's children and of each run of text directly in it, without those of 0."""
+    out, run = [], 0
+    for c in [*node.children, None]:
+        if isinstance(c, str):
+            run += len(SPACES.sub(" ", c).strip())
+        else:
+            out += [_density(root, run, 1, run * node.link, 0), c.density if c is not None and not c.outside else 0.0]
+            run = 0
+    return [d for d in out if d > 0]
+
+
 def article(root: Node) -> Node:
-    nodes = [n for n in measure(root) if not n.outside]
-    sums = {id(n): sum(c.density for c in n.children if isinstance(c, Node) and not c.outside) for n in nodes}
-    top = max(nodes, key=lambda n: sums[id(n)])
-    threshold, at = top.density, top
-    while at is not None:
-        threshold, at = min(threshold, at.density), at.parent
-    chosen = max((n for n in nodes if n.density >= threshold), key=lambda n: sums[id(n)])
-    return chosen if sums[id(chosen)] > 0 else root
+    """The node with the largest sum, the first of equal ones; the root if no text has a density."""
+    return max((n for n in measure(root) if not n.outside), key=lambda n: sum(_parts(root, n)))
 
 
 def blocks(top: Node) -> list[str]:

@@ -428,6 +428,18 @@ def test_density_by_hand():
     assert html_text.article(root) is div
 
 
+def sentences(seed: int, n: int) -> str:
+    return f"start{seed} " + prose(seed, n) + f" end{seed}"
+
+
+def test_density_chooses_without_links():
+    body = [sentences(i, 60) for i in range(4)]
+    page = f"<div><p>Our house</p><p>Open daily</p></div><div><h1>Head</h1>{''.join(f'<p>{t}</p>' for t in body)}</div><div><p>Imprint</p><p>Call us</p></div>"
+    assert html_text.main_text(page) == "\n".join(["Head", *body])
+    lines = "<br>".join(body)
+    assert html_text.main_text(f"<div>{lines}</div><div><p>Imprint</p><p>Call us</p></div>") == " ".join(body)
+
+
 def test_warc_records(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/ b", PAGE), (2, None, None), (3, "u", "<a href='x&amp;y'>ü</a>")], "page_id long, url string, html string")
     derived = warc.derive(warc.responses(pages))
