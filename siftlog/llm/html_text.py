@@ -2,8 +2,12 @@
 
 A page becomes a tree of elements. For each node the density is its characters per tag, adjusted by how much of its
 text and of the whole body is in links (Sun, Song and Liao 2011); a node's sum is that of the densities of its children
-and of the text directly in it. The node with the largest sum is the article. Its blocks, without elements that never
-belong to an article (by tag or by their class and id words), are the text.
+and of the text directly in it. The node with the largest sum is the article's core; an ``article`` element around it
+is kept whole. The least density on the path from the core to the body is the threshold, or half the core's mean part
+where that is less, as size alone raises the density of pages with few links. On the way up to the body, siblings that reach
+the threshold belong to the article, with what lies between them and the headings and paragraphs next to them. The
+blocks of all this, without elements that never belong to an article (by tag or by their class and id words), are the
+text.
 
 Edge cases: null and empty pages give an empty text, as do pages without text; unclosed and wrongly nested tags are
 closed where the next tag implies it; text outside any element counts as the body's; of equal sums the first node in
@@ -41,6 +45,7 @@ MARKS = frozenset(
     "ad ads adv advert advertisement advertisements banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer discussion disqus footer masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promoted promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 WORD = re.compile(r"[A-Za-z]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 #: What an opening tag closes, up to the border named after it.
 CLOSES = {
@@ -170,6 +175,39 @@ def article(root: Node) -> Node:
     return max((n for n in measure(root) if not n.outside), key=lambda n: sum(_parts(root, n)))
 
 
+def content(root: Node) -> Node:
+    """A node with all that belongs to the article."""
+    top = at = article(root)
+    parts, path = _parts(root, top), []
+    while at is not None:
+        path.append(at)
+        at = at.parent
+    if not parts:
+        return root
+    threshold = min(*(n.density for n in path), sum(parts) / len(parts) / 2)
+    whole = max((i for i, n in enumerate(path) if n.tag == "article"), default=0)
+    kept = path[whole]
+    for at, above in zip(path[whole:], path[whole + 1 :], strict=False):
+        all_ = above.children
+        dense = [i for i, c in enumerate(all_) if c is at or (isinstance(c, Node) and not c.outside and c.density >= threshold)]
+        if len(dense) > 1:
+            first, last = dense[0], dense[-1] + 1
+            while first > 0 and _beside(all_[first - 1]):
+                first -= 1
+            while last < len(all_) and _beside(all_[last]):
+                last += 1
+            kept, below = Node(above.tag, None, False), kept
+            kept.children = [below if c is at else c for c in all_[first:last]]
+    return kept
+
+
+def _beside(c: "Node | str") -> bool:
+    """Whether ``c`` goes with the article's part next to it: a heading, a paragraph, or nothing."""
+    if isinstance(c, str):
+        return not c.strip()
+    return c.outside or c.tag in HEADINGS or (c.tag == "p" and c.density > 0)
+
+
 def blocks(top: Node) -> list[str]:
     """The text of each block below ``top`` in page order, white space as one space."""
     out: list[str] = []
@@ -200,7 +238,7 @@ def blocks(top: Node) -> list[str]:
 
 
 def main_text(page: str | None) -> str:
-    return "\n".join(blocks(article(parse(page)))) if page else ""
+    return "\n".join(blocks(content(parse(page)))) if page else ""
 
 
 def all_text(page: str | None) -> tuple[str, list[str]]:

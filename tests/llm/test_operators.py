@@ -440,6 +440,27 @@ def test_density_chooses_without_links():
     assert html_text.main_text(f"<div>{lines}</div><div><p>Imprint</p><p>Call us</p></div>") == " ".join(body)
 
 
+@pytest.mark.parametrize("link", ["", "<a href=x>more</a>"])
+def test_articles_in_several_parts(link):
+    few, menu = "<div><p>Our house</p><p>Open daily</p></div>", "<div><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></div>"
+    for sizes in ((5, 4, 6), (8, 3, 3), (2, 9, 2)):
+        parts = [[sentences(100 * i + k, 40 + 7 * i) for k in range(n)] for i, n in enumerate(sizes)]
+        sections = "".join(f"<section><h2>Part {i}</h2>" + "".join(f"<p>{t} {link}</p>" for t in p) + "</section>" for i, p in enumerate(parts))
+        want = "\n".join(x for i, p in enumerate(parts) for x in (f"Part {i}", *(f"{t} {'more' if link else ''}".strip() for t in p)))
+        assert html_text.main_text(f"{few}{sections}{menu}") == want
+        assert html_text.main_text(f"{menu}<div><h1>Head</h1>{sections}</div>{few}") == "Head\n" + want
+        assert html_text.main_text(f"{menu}<article><h1>Head</h1>{sections}</article>{few}") == "Head\n" + want
+
+
+@pytest.mark.parametrize("link", ["", "<a href=x>more</a>"])
+def test_article_with_a_long_list(link):
+    few, paragraphs, items = "<div><p>Our house</p><p>Open daily</p></div>", [sentences(i, 40) for i in range(3)], [sentences(50 + i, 12) for i in range(60)]
+    for item, around in (("<li>{}</li>", "ul"), ("<tr><td>{}</td></tr>", "table")):
+        page = "<div><h1>Head</h1>" + "".join(f"<p>{t} {link}</p>" for t in paragraphs) + f"<{around}>" + "".join(item.format(t) for t in items) + f"</{around}><p>The end.</p></div>"
+        want = ["Head", *(f"{t} {'more' if link else ''}".strip() for t in paragraphs), *items, "The end."]
+        assert html_text.main_text(few + page + few) == "\n".join(want)
+
+
 def test_warc_records(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/ b", PAGE), (2, None, None), (3, "u", "<a href='x&amp;y'>ü</a>")], "page_id long, url string, html string")
     derived = warc.derive(warc.responses(pages))
