@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from siftlog.llm.common import bounded_batches
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(.*?)(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>|[^<]+|<",
     re.DOTALL | re.IGNORECASE,
 )
@@ -37,8 +37,10 @@ SPACES = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td textarea tfoot th thead title tr ul".split()
 )
+#: What holds text without tags; outside, too.
+TEXT_ONLY = frozenset(("title", "textarea"))
 OUTSIDE = frozenset("nav aside footer form menu button select dialog head object canvas".split())
 #: Words of a class, id or role that mark what isn't article.
 MARKS = frozenset(
@@ -72,14 +74,18 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """The body's tree: children are nodes and strings. Comments, scripts, styles and the like are left out."""
+    """The page's tree: children are nodes and strings. Comments, scripts, styles and the like are left out."""
     root = Node("body", None, False)
     now, hidden = root, 0
     for m in TOKEN.finditer(page):
-        raw, closing, tag = m.group(1), m.group(2), m.group(3)
+        raw, closing, tag, attributes = m.group(1), m.group(3), m.group(4), m.group(5)
         if tag is None:
             piece = m.group()
-            if raw is None and not piece.startswith(("<!", "<?")) and not now.outside:
+            if raw is not None and raw.lower() in TEXT_ONLY:
+                node = Node(raw.lower(), now, True)
+                node.children.append(html.unescape(m.group(2)))
+                now.children.append(node)
+            elif raw is None and not piece.startswith(("<!", "<?")):
                 now.children.append(html.unescape(piece))
             continue
         tag = tag.lower()
@@ -113,12 +119,12 @@ def parse(page: str) -> Node:
                 now = last.parent
         # A header belongs to what it stands in: to an article with its heading, or else to the page.
         outside = now.outside or tag in OUTSIDE or (tag == "header" and not now.within)
-        if not outside and m.group(4):
-            words = [w.lower() for g in NAMES.findall(m.group(4)) for w in WORD.findall(" ".join(g))]
+        if not outside and attributes:
+            words = [w.lower() for g in NAMES.findall(attributes) for w in WORD.findall(" ".join(g))]
             outside = not MARKS.isdisjoint(words) or ("header" in words and not now.within)
         node = Node(tag, now, outside)
         now.children.append(node)
-        if tag not in VOID and not m.group(4).endswith("/"):
+        if tag not in VOID and not attributes.endswith("/"):
             now = node
     return root
 
@@ -241,15 +247,17 @@ def main_text(page: str | None) -> str:
     return "\n".join(blocks(content(parse(page)))) if page else ""
 
 
-def all_text(page: str | None) -> tuple[str, list[str]]:
-    """The text of a whole page, and where its links lead; for archives."""
+def all_text(page: str | None) -> tuple[str, list[str], str]:
+    """The text of a whole page, where its links lead, and its title; for archives."""
     if not page:
-        return "", []
+        return "", [], ""
     links = [html.unescape(a or b or c) for a, b, c in re.findall(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", page, re.IGNORECASE)]
     root = parse(page)
-    for node in _order(root):
+    nodes = _order(root)
+    for node in nodes:
         node.outside = False
-    return "\n".join(blocks(root)), links
+    title = next((n for n in nodes if n.tag == "title"), None)
+    return "\n".join(blocks(root)), links, " ".join(blocks(title)) if title else ""
 
 
 def extracted(pages: DataFrame) -> DataFrame:

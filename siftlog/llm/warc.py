@@ -1,7 +1,8 @@
 """Derivatives of WARC responses: linked metadata and plain-text conversion records.
 
 ``responses`` makes a response record of each page. ``derive`` reads response records and builds for each a metadata
-record (JSON: source headers, title length, links) and a conversion record (plain text). Both name the response in
+record (JSON: source headers, title and its length, links) and a conversion record (the text of the whole page, with its
+title, menus and footers, but without scripts, styles, templates, noscript, iframe and svg elements). Both name the response in
 ``WARC-Refers-To``, and carry its target URI, date and payload digest; each has its own block digest.
 Record identifiers are name-based, so that a task that runs again makes the same records.
 
@@ -77,11 +78,11 @@ def derivatives(record: bytes) -> tuple[bytes, bytes]:
     head, _, payload = block.partition(b"\r\n\r\n")
     status, *lines = head.decode("latin-1").split("\r\n")
     headers = {k: v.strip() for k, _, v in (x.partition(":") for x in lines)}
-    text, links = all_text(payload.decode("utf-8", "replace"))
+    text, links, title = all_text(payload.decode("utf-8", "replace"))
     source = fields["WARC-Record-ID"]
     kept = [("WARC-Date", fields["WARC-Date"]), ("WARC-Target-URI", fields["WARC-Target-URI"]), ("WARC-Refers-To", source), ("WARC-Payload-Digest", fields["WARC-Payload-Digest"])]
     meta = json.dumps(
-        {"envelope": {k: v for k, v in fields.items() if k != "Content-Length"}, "status": status, "headers": headers, "payload_length": len(payload), "payload_digest_ok": digest(payload) == fields["WARC-Payload-Digest"], "links": links},
+        {"envelope": {k: v for k, v in fields.items() if k != "Content-Length"}, "status": status, "headers": headers, "payload_length": len(payload), "payload_digest_ok": digest(payload) == fields["WARC-Payload-Digest"], "links": links, "title": title, "title_length": len(title)},
         ensure_ascii=False,
         sort_keys=True,
     ).encode()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -475,6 +476,17 @@ def test_warc_records(spark, tmp_path):
     assert sum(f["records"] for f in files) == 9
 
 
+def test_conversion_records_hold_the_whole_page():
+    _, plain = warc.read_record(warc.derivatives(warc.response(1, "u", PAGE))[1])
+    want = ["T", "Home", "News", "Buy now, this is a long advert text that goes on and on.", "The head&line", "First paragraph with énough text to be dense, and more of it.", "Second paragraph, also long enough to matter for density.", "Read also this.", "Search here", "Third one ends the piece with a few words.", "Nice article, I read it all with pleasure and joy.", "© someone"]
+    assert plain.decode().split("\n") == want
+    page = "<title>A &amp;\n b</title><header>H</header><form>F<textarea>1 < 2 <p></textarea><button>B</button></form><div class='comments'>C</div><dialog>D</dialog>"
+    meta, plain = (warc.read_record(r)[1] for r in warc.derivatives(warc.response(1, "u", page)))
+    assert plain.decode().split("\n") == ["A & b", "H", "F", "1 < 2 <p>", "B", "C", "D"]
+    assert (json.loads(meta)["title"], json.loads(meta)["title_length"]) == ("A & b", 5)
+    assert html_text.main_text(page) == ""
+
+
 # --- 10 ---
 
 
