@@ -11,8 +11,9 @@
 Pairs are tried in three rounds, so that large groups need no pair for each two members: first each text with the
 leader of one band, then with the leaders of all its bands and its neighbours there, then with every text of a band
 that is still in another class. Where that leaves a band with more than 16 texts, as a passage does that many different
-texts have, its pairs must share a second such band; of pairs at the threshold 0.4 in a hundred don't, of closer ones
-next to none, and rounds 1 and 2 need no second band. Two texts of which one weighs less than 0.8 times the other can't be similar
+texts have, its texts are paired by prefix filtering, which loses no pair: in one order of all shingles, the rarest
+first, two similar texts have their first common shingle so early that the weights from there on reach what they must
+share. Two texts of which one weighs less than 0.8 times the other can't be similar
 and aren't paired. A pair in one class already needs no test, as it changes nothing.
 
 Edge cases: a null text is a class of its own row; texts without words are alike only if equal; texts of one to four
@@ -286,11 +287,9 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
     left = staged(named.join(open_keys, "key").withColumn("size", size), "open")
     small = left.where(F.col("n") <= SMALL_BUCKET).select("key", "node", "weight", "label", "size")
-    # What many different texts have in common fills a band's bucket with them; there, two bands must be shared.
-    own = left.where(F.col("n") > SMALL_BUCKET).groupBy("node", "weight", "label", "size").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    two = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
-    large = own.select(F.explode(two).alias("key"), "node", "weight", "label", "size")
-    rest = _pairs(small, fits).union(_pairs(large, fits)).distinct()
+    # What many different texts have in common fills a band's bucket with them; there, rare shingles choose the pairs.
+    large = left.where(F.col("n") > SMALL_BUCKET).select("node", "weight", "label", "size").distinct()
+    rest = _pairs(small, fits).union(_prefix_pairs(staged(large, "large"), sets, idf, params)).distinct()
     last = staged(_verified(rest.join(tried, ["a", "b"], "left_anti"), sets, idf, params), "links")
     labels = components(last, labels)
 
@@ -309,6 +308,44 @@ def _pairs(rows: DataFrame, fits) -> DataFrame:
     return rows.join(right, ["key", "size"]).where(differ).select(F.col("node").alias("a"), "b")
 
 
+def _prefix_pairs(rows: DataFrame, sets: DataFrame, idf: np.ndarray, params: MinHashParams) -> DataFrame:
+    """Pairs (a, b) of ``rows`` (node, weight, label, size) with different labels: all that can reach the threshold.
+
+    If the overlap of two texts is o, their first common shingle leaves at least o of each one's weight from there on;
+    and o is at least threshold / (1 + threshold) of both weights together, and threshold times the larger one.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(idf)
+    t = params.threshold - 1e-4
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sh = batch.column(3)
+            offsets, flat = sh.offsets.to_numpy(), sh.values.to_numpy(zero_copy_only=False).view(np.uint32)
+            which, keys, totals, rests = [], [], [], []
+            for i in range(batch.num_rows):
+                x, n = np.unique(flat[offsets[i] : offsets[i + 1]], return_counts=True)
+                rarity = shared.value[x & (FEATURES - 1)]
+                order = np.lexsort((x, -rarity))
+                w = ((1 + np.log(n)) * rarity)[order]
+                rest = np.cumsum(w[::-1])[::-1]
+                k = int((rest >= t * rest[0]).sum()) if len(x) else 0
+                which.append(np.full(k, i))
+                keys.append(x[order[:k]].view(np.int32))
+                totals.append(np.full(k, rest[0] if k else 0.0))
+                rests.append(rest[:k])
+            if which:
+                own = batch.select([0, 1, 2]).take(pa.array(np.concatenate(which)))
+                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(np.concatenate(c)) for c in (keys, totals, rests))], names=["node", "label", "size", "key", "total", "rest"])
+
+    given = rows.join(sets, "node").select("node", "label", "size", "sh")
+    cut = staged(given.mapInArrow(prefixes, "node binary, label binary, size int, key int, total double, rest double"), "prefixes")
+    near = F.array(F.col("size"), F.col("size") + 1, F.col("size") - 1)
+    right = cut.select("key", F.explode(near).alias("size"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("total").alias("tb"), F.col("rest").alias("rb"))
+    needed = F.greatest(F.lit(t / (1 + t)) * (F.col("total") + F.col("tb")), F.lit(t) * F.greatest("total", "tb"))
+    can = (F.col("label") != F.col("lb")) & (F.col("node") < F.col("b")) & (F.least("total", "tb") >= needed) & (F.least("rest", "rb") >= needed)
+    return cut.join(right, ["key", "size"]).where(can).select(F.col("node").alias("a"), "b").distinct()
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Those of ``pairs`` whose texts are in different classes."""
     x = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))

@@ -106,6 +106,48 @@ def test_samples_collide_as_often_as_the_similarity():
     assert abs(got - want) < 0.03
 
 
+def test_crowded_buckets_lose_no_pair(spark):
+    # One band in all: pairs share no second one. Most texts have a passage in common that fills buckets.
+    passage, params = prose(40, 130), minhash.MinHashParams(bands=1, rows=1)
+    texts = {}
+    for i in range(60):
+        tail = prose(1000 + i, 70).split()
+        texts[2 * i] = f"{passage} {' '.join(tail)}"
+        tail[i % 60] = "changed"
+        texts[2 * i + 1] = f"{passage} {' '.join(tail)}"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    idf = minhash.inverse_frequencies(*minhash.document_frequencies(df, params))
+    keys = {r["doc_id"]: r["bands"][0] for r in minhash.signatures(df, idf, params).collect()}
+    crowded = {k for k, n in Counter(keys.values()).items() if n > minhash.SMALL_BUCKET}
+    together = [i for i in range(0, 120, 2) if keys[i] == keys[i + 1] and keys[i] in crowded]
+    assert len(together) > 10
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df, params).collect()}
+    assert [i for i in together if got[i] != got[i + 1]] == []
+    brute = brute_classes(texts, idf, params)
+    assert all(brute[i] == brute[c] for i, c in got.items())
+
+
+def test_prefix_pairs_hold_all_similar_ones(spark):
+    r, rows = random.Random(8), []
+    for i in range(80):
+        own = np.array([r.randrange(60) ** 2 for _ in range(r.randint(1, 30))], np.uint32) if i % 2 else np.where(rng_mask(r, 24), np.arange(24), 900 + i).astype(np.uint32)
+        rows.append((bytes([i]), np.sort(own).view(np.int32)))
+    idf = np.linspace(1, 2, minhash.FEATURES).astype(np.float32)
+    idf[:4000] = 1 + np.arange(4000) % 7 / 7
+    weight = [float(minhash.weights(s.view(np.uint32).astype(np.uint64), idf)[1].sum()) for _, s in rows]
+    params = minhash.MinHashParams()
+    size = [int(np.floor(np.log(w) / -np.log(params.threshold - 1e-4))) for w in weight]
+    given = spark.createDataFrame([(n, w, n, z) for (n, _), w, z in zip(rows, weight, size)], "node binary, weight float, label binary, size int")
+    sets = spark.createDataFrame([(n, s.tolist()) for n, s in rows], "node binary, sh array<int>")
+    got = {(bytes(x["a"]), bytes(x["b"])) for x in minhash._prefix_pairs(given, sets, idf, params).collect()}
+    want = {(a, b) for a, s in rows for b, u in rows if a < b and minhash.jaccard(s, u, idf) >= params.threshold}
+    assert len(want) > 20 and want <= got and len(got) < 80 * 79 // 4
+
+
+def rng_mask(r: random.Random, n: int) -> list[bool]:
+    return [r.random() < 0.93 for _ in range(n)]
+
+
 def test_minhash_empty(empty):
     assert minhash.near_duplicates(empty).count() == 0
 
