@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
 
 Words are lower case without punctuation. Every run of three words of a test item is a seed. One pass over the
 documents looks up all their runs among the seeds and, where two different seeds of an item (or its only one) lie
-within one and a half times its length, cuts out the passage; it also counts how often each word of the benchmark
-occurs in the documents. From these counts follows which seeds are rare: those that independent words would form less
-than ``rare_rate`` times in a million words. Passages with a rare seed are aligned with the item by Smith-Waterman over
-words (match 2, mismatch -1, gap -1); the score is the best alignment's share of a perfect one.
+within one and a half times its length, cuts out the passage. No seed is too common to count: how often words occur in
+the documents doesn't tell whether a passage is a copy, so the alignment decides. Passages are aligned with the item by
+Smith-Waterman over words (match 2, mismatch -1, gap -1); the score is the best alignment's share of a perfect one.
 
 The benchmark is a stated query set: it is taken in blocks of ``block_items`` items, each broadcast in turn.
 
@@ -31,7 +30,6 @@ from siftlog.llm.minhash import node_of, rolling
 @dataclass(frozen=True)
 class DecontaminationParams:
     seed_words: int = 3
-    rare_rate: float = 1.0
     threshold: float = 0.5
     block_items: int = 50_000
 
@@ -48,7 +46,6 @@ class Seeds:
     ids: np.ndarray
     hashes: np.ndarray  # distinct, in order
     owners: list[list[tuple[int, int]]]  # of each hash: item and place in it
-    words: np.ndarray  # distinct, in order
 
 
 def make_seeds(rows: list, n: int) -> Seeds:
@@ -58,8 +55,7 @@ def make_seeds(rows: list, n: int) -> Seeds:
         for place, h in enumerate(rolling(w, min(n, len(w))).tolist() if len(w) else ()):
             found.setdefault(h, []).append((i, place))
     hashes = np.array(sorted(found), np.uint64)
-    words = np.unique(np.concatenate(items)) if items else np.zeros(0, np.uint64)
-    return Seeds(items, np.array([r["item_id"] for r in rows], np.int64), hashes, [found[h] for h in hashes.tolist()], words)
+    return Seeds(items, np.array([r["item_id"] for r in rows], np.int64), hashes, [found[h] for h in hashes.tolist()])
 
 
 def _member(values: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +67,8 @@ def _member(values: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.nda
     return where, at[where]
 
 
-def passages(words: np.ndarray, seeds: Seeds, n: int) -> Iterator[tuple[int, list[int], int, int]]:
-    """Item, seeds' places in it, and begin and end of each passage that may be a copy of an item."""
+def passages(words: np.ndarray, seeds: Seeds, n: int) -> Iterator[tuple[int, int, int]]:
+    """Item, and begin and end of each passage that may be a copy of an item."""
     hits: dict[int, list[tuple[int, int]]] = {}
     for size in {n} | {len(w) for w in seeds.items if 0 < len(w) < n}:
         if len(words) >= size:
@@ -92,7 +88,7 @@ def passages(words: np.ndarray, seeds: Seeds, n: int) -> Iterator[tuple[int, lis
                 end += 1
             places = {place for _, place in found[begin:end]}
             if len(places) >= need:
-                yield item, sorted(places), max(0, found[begin][0] - length), found[end - 1][0] + n + length
+                yield item, max(0, found[begin][0] - length), found[end - 1][0] + n + length
             begin = end
 
 
@@ -114,57 +110,35 @@ def _block(docs: DataFrame, items: list, params: DecontaminationParams) -> DataF
     spark = docs.sparkSession
     seeds = make_seeds(items, n)
     shared = spark.sparkContext.broadcast(seeds)
-    schema = "kind int, doc_id long, node binary, item int, places array<int>, words array<long>, n long"
+    names = ["doc_id", "node", "item", "words"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        counts, total = np.zeros(len(s.words), np.int64), 0
         for batch in batches:
             column = batch.column(2)
             offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            counts += np.bincount(_member(flat, s.words)[1], minlength=len(s.words))
-            total += len(flat)
             rows = []
             for i in range(batch.num_rows):
                 own = flat[offsets[i] : offsets[i + 1]]
-                for item, places, a, b in passages(own, s, n):
-                    rows.append((0, batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), item, places, own[a:b].view(np.int64).tolist(), 1))
+                for item, a, b in passages(own, s, n):
+                    rows.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), item, own[a:b].view(np.int64).tolist()))
             if rows:
-                yield _rows(rows)
-        used = np.flatnonzero(counts)
-        yield _rows([(1, None, None, int(k), None, None, int(counts[k])) for k in used] + [(2, None, None, 0, None, None, total)])
-
-    types = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64())
-    names = ["kind", "doc_id", "node", "item", "places", "words", "n"]
-    _rows = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    found = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_of().alias("node"), plain_words(F.col("text")).alias("w")).mapInArrow(search, schema), "passages")
-    sums = found.where("kind > 0").groupBy("kind", "item").agg(F.sum("n").alias("n")).collect()  # a row for each word of the benchmark
-    total = sum(r["n"] for r in sums if r["kind"] == 2)
-    rate = np.full(len(seeds.words), 1.0 / max(total, 1))
-    for r in sums:
-        if r["kind"] == 1:
-            rate[r["item"]] = r["n"] / max(total, 1)
-    rare = []
-    for w in seeds.items:
-        p = rate[np.searchsorted(seeds.words, w)] if len(w) else np.zeros(0)
-        size = min(n, len(w))
-        rare.append({k for k in range(len(w) - size + 1) if np.prod(p[k : k + size]) * 1e6 < params.rare_rate} if size else set())
-    known = spark.sparkContext.broadcast((seeds.items, seeds.ids, rare))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64())), strict=True)], names=names)
+
+    found = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_of().alias("node"), plain_words(F.col("text")).alias("w")).mapInArrow(search, "doc_id long, node binary, item int, words array<long>"), "passages")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, ids, rare = known.value
+        items, ids = shared.value.items, shared.value.ids
         for batch in batches:
             rows = []
-            for doc_id, node, item, places, words in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
-                if rare[item].intersection(places):
-                    value = align(items[item], np.array(words, np.int64).view(np.uint64))
-                    if value >= params.threshold:
-                        rows.append((doc_id, node, int(ids[item]), value))
+            for doc_id, node, item, words in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                value = align(items[item], np.array(words, np.int64).view(np.uint64))
+                if value >= params.threshold:
+                    rows.append((doc_id, node, int(ids[item]), value))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.float64()), strict=True)], names=["doc_id", "node", "item_id", "score"])
 
-    near = found.where("kind = 0").select("doc_id", "node", "item", "places", "words").repartition(F.hash("node", "item"))
+    near = found.repartition(F.xxhash64("doc_id", "node", "item"))
     return near.mapInArrow(score, "doc_id long, node binary, item_id long, score double")
 
 

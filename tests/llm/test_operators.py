@@ -562,3 +562,13 @@ def test_leaks(spark):
     assert decontaminate.keep_clean(docs, bench).count() == 62
     assert decontaminate.leaks(docs, bench.where("false")).count() == 0
     assert decontaminate.leaks(docs.where("false"), bench).count() == 0
+
+
+def test_leaks_of_common_and_short_items(spark):
+    bench = spark.createDataFrame([(0, prose(1, 30)), (1, "quick answer"), (2, "Marmalade")], "item_id long, text string")
+    leaks = lambda rows: sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect())
+    # A third of short documents are copies, so every word of the item is common.
+    assert leaks([(i, prose(1 if i % 3 == 0 else 900 + i, 30)) for i in range(30)]) == [(i, 0) for i in range(0, 30, 3)]
+    # A table of few words.
+    assert leaks([(7, prose(1, 30)), (8, "nothing here")]) == [(7, 0)]
+    assert leaks([(1, prose(5, 40) + " a quick answer " + prose(6, 40)), (2, "some marmalade, please"), (3, prose(8, 40))]) == [(1, 1), (2, 2)]
