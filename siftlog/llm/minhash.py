@@ -3,18 +3,20 @@
 1. Shingles are runs of five words, hashed. A shingle weighs ``(1 + ln tf) * idf`` with
    ``idf = 1 + ln(1 + N / df) / ln(1 + N)``; df is counted over all documents in 2^18 hashed features, so the table
    that is broadcast has a fixed size.
-2. Every text gets 100 samples by improved consistent weighted sampling (Ioffe 2010), in 20 bands of 5. The random
-   numbers r, ln c and beta of a sample come from a seeded table that the shingle's hash picks a column of.
+2. Every text gets 100 samples by improved consistent weighted sampling (Ioffe 2010), in 20 bands of 5. A sample's
+   random numbers r, c and beta are drawn for each shingle from its hash (see ``Sampler``).
 3. Equal texts are one node. Texts that share a band are candidates. Each candidate pair is verified by its exact
    weighted Jaccard similarity; linked nodes form classes (connected components by the smallest label).
 
-Pairs are tried in three rounds, so that large groups need no pair for each two members: first each text with the
-leader of one band, then with the leaders of all its bands and its neighbours there, then with every text of a band
-that is still in another class. Where that leaves a band with more than 16 texts, as a passage does that many different
-texts have, its texts are paired by prefix filtering, which loses no pair: in one order of all shingles, the rarest
-first, two similar texts have their first common shingle so early that the weights from there on reach what they must
-share. Two texts of which one weighs less than 0.8 times the other can't be similar
-and aren't paired. A pair in one class already needs no test, as it changes nothing.
+Large groups need no pair for each two members. Each band has a leader, the text whose bands most others share, such
+as the original of edited copies. Texts are tried with the leader they share most bands with, then, where classes still
+differ, with their other leaders and with the next text by weight. What is left is decided by differences from a
+reference (the leader, with what most of its group has otherwise put right): with H the reference and c(X) the weight
+that X shares with it, X and Y share ``c(X) + c(Y) - w(H)`` and what their differences from H have in common. So texts
+whose differences have nothing in common need no test beyond that of the text nearest to the reference, and all others
+meet by prefix filtering over their differences, which loses no pair: first with one text of each such bucket, then all
+whose classes still differ. Two texts of which one weighs less than 0.8 times the other can't be similar and aren't
+paired. A pair in one class already needs no test, as it changes nothing.
 
 Edge cases: a null text is a class of its own row; texts without words are alike only if equal; texts of one to four
 words have one shingle, all their words; repeated rows are in one class. ``class_id`` is the smallest doc_id of the
@@ -31,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlog.llm.common import bounded_batches, staged, word_hashes
+from siftlog.llm.common import bounded_batches, fresh, staged, word_hashes
 
 FEATURES = 1 << 18
-COLUMNS = 4096  # of the table of random numbers
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-STEP = 8192  # shingles at once
-SMALL_BUCKET = 16  # texts of a band that are paired all with all in the last round
+STEP = 1024  # shingles at once
+CAP = 2.0  # the weight at which a sample's values are drawn; shingles that occur once weigh no more
+FIRST = 6.0  # values up to this share of the expected least one are looked at first
+SPLIT = 1000  # texts of a band that are joined in one part
+MANY = 8  # members of a group whose reference is put right by their majority
 
 
 @dataclass(frozen=True)
@@ -114,35 +118,78 @@ def weights(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Sampler:
-    """Improved consistent weighted sampling with random numbers from a seeded table."""
+    """Improved consistent weighted sampling.
+
+    A sample's value for a shingle of weight S is ``c / z``, where z is the first point above S of a grid of logarithms
+    with the random step r and offset beta. At the weight ``CAP`` it is exponentially distributed, say A, and with two
+    more exponential numbers E and u it gives the rest: ``c = A * CAP + E``, the grid's points around ln CAP lie u below
+    and ``ln(c / (A * CAP))`` above it, and r is their sum. That is the distribution of r, c and beta of the method; all
+    three numbers come from the hash of shingle and sample. As a value doesn't grow with the weight, a shingle that weighs
+    ``CAP`` at most can't have the least value if its A is larger than another's value. So only small A are looked at
+    first, and a sample without a small one is taken from all shingles.
+    """
 
     def __init__(self, params: MinHashParams):
-        k = params.bands * params.rows
+        self.k, self.bands, self.rows = params.bands * params.rows, params.bands, params.rows
         rng = np.random.Generator(np.random.PCG64(params.seed))
-        self.r = rng.gamma(2.0, 1.0, (k, COLUMNS)).astype(np.float32)
-        self.log_c = np.log(rng.gamma(2.0, 1.0, (k, COLUMNS))).astype(np.float32)
-        self.beta = rng.random((k, COLUMNS), dtype=np.float32)
-        self.over_r = 1 / self.r
-        self.k, self.bands, self.rows = k, params.bands, params.rows
+        self.salt = rng.integers(0, 1 << 32, self.k, dtype=np.uint32)
+        self.long_salt = rng.integers(0, 1 << 63, self.k).astype(np.uint64)
+
+    def _uniform(self, low: np.ndarray, samples: np.ndarray | slice) -> np.ndarray:
+        """32 random bits for each of ``samples`` and each shingle."""
+        v = low[None, :] ^ self.salt[samples][:, None]
+        v *= np.uint32(0x85EBCA6B)
+        v ^= v >> np.uint32(15)
+        v *= np.uint32(0xC2B2AE35)
+        return v
+
+    def _values(self, j: np.ndarray, shingle: np.ndarray, log_w: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithms of the values of samples ``j`` of shingles, and the levels of the grid's points below their weights."""
+        x = mix(shingle ^ self.long_salt[j])
+        u = -np.log(((x >> np.uint64(32)).astype(float) + 0.5) * 2.0**-32)
+        e = -np.log(((x & np.uint64(0xFFFFFFFF)).astype(float) + 0.5) * 2.0**-32)
+        a = -np.log1p(-(bits.astype(float) + 0.5) * 2.0**-32)
+        log_c = np.log(a + e)
+        r = u + log_c - np.log(a)
+        base = np.log(CAP) - u
+        level = np.floor((log_w - base) / r)
+        return log_c - base - (level + 1) * r, level
 
     def samples(self, distinct: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """For each of the k hash functions a 64-bit value of the sampled shingle and its level."""
-        best = np.full(self.k, np.inf, np.float32)
-        found = np.zeros(self.k, np.uint64)
-        log_w = np.log(weight).astype(np.float32)
-        column = ((distinct >> np.uint64(40)) & np.uint64(COLUMNS - 1)).astype(np.intp)
-        every = np.arange(self.k)
+        best, found = np.full(self.k, np.inf), np.zeros(self.k, np.uint64)
+        log_w = np.log(weight)
+        low = (mix(distinct) >> np.uint64(32)).astype(np.uint32)
+
+        def take(j: np.ndarray, i: np.ndarray, bits: np.ndarray) -> None:
+            """The least value of each sample; ``j`` is in order, and of equal ones the smallest hash comes first."""
+            if not len(j):
+                return
+            value, level = self._values(j, distinct[i], log_w[i], bits)
+            begin = np.flatnonzero(np.append(True, j[1:] != j[:-1]))
+            least = np.minimum.reduceat(value, begin)
+            at = np.flatnonzero(value == np.repeat(least, np.diff(np.append(begin, len(j)))))
+            at = at[np.append(True, j[at][1:] != j[at][:-1])]
+            at = at[value[at] < best[j[at]]]
+            best[j[at]] = value[at]
+            found[j[at]] = mix(distinct[i[at]] + GOLDEN * level[at].astype(np.int64).view(np.uint64))
+
+        limit = FIRST / weight.sum()
+        top = np.uint32(min(2.0**32 - 1, -np.expm1(-CAP * limit) * 2.0**32))
+        heavy = weight > CAP
         for at in range(0, len(distinct), STEP):
-            c = column[at : at + STEP]
-            r, beta = self.r.take(c, 1), self.beta.take(c, 1)
-            level = np.floor(self.over_r.take(c, 1) * log_w[at : at + STEP] + beta)
-            log_a = self.log_c.take(c, 1) - r * (level - beta + np.float32(1))
-            first = log_a.argmin(1)  # of equal ones the smallest hash, as they are in order
-            least = log_a[every, first]
-            better = least < best
-            best[better] = least[better]
-            value = mix(distinct[at + first] + GOLDEN * level[every, first].astype(np.int64).view(np.uint64))
-            found[better] = value[better]
+            bits = self._uniform(low[at : at + STEP], slice(None))
+            chosen = bits <= top
+            if (h := heavy[at : at + STEP]).any():
+                chosen[:, h] = True
+            flat = np.flatnonzero(chosen)
+            j, i = np.divmod(flat, bits.shape[1])
+            take(j, i + at, bits.ravel()[flat])
+        rest = np.flatnonzero(best > np.log(limit))
+        for at in range(0, len(distinct) if len(rest) else 0, STEP):
+            bits = self._uniform(low[at : at + STEP], rest)
+            n = bits.shape[1]
+            take(np.repeat(rest, n), np.tile(np.arange(at, at + n), len(rest)), bits.ravel())
         return found
 
     def band_keys(self, samples: np.ndarray) -> np.ndarray:
@@ -257,41 +304,38 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     some = signed.where(F.col("bands").isNotNull())
     nodes = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     banded = nodes.select("node", "doc_id", "weight", F.explode("bands").alias("key"))
-    shared_keys = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared_keys = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Only bands that two texts or more share: from here on the tables are small beside the input.
     bucket = staged(banded.join(shared_keys, "key"), "bands")
     sets = staged(_sets(docs, bucket.select("doc_id", "node").distinct(), params).dropDuplicates(["node"]), "sets")
-    fits = lambda x, y: F.least(x, y) >= F.lit(params.threshold - 1e-4) * F.greatest(x, y)
-
-    # Round 1: each text with the leader (the smallest node) that it shares most bands with.
-    lead = bucket.groupBy("key").agg(F.min(F.struct("node", "weight")).alias("l"))
-    led = staged(
-        bucket.join(lead, "key").where((F.col("node") != F.col("l.node")) & fits(F.col("weight"), F.col("l.weight"))).groupBy(F.col("l.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n")),
-        "led",
-    )
+
+    # A band's leader is the text whose bands most others share. Bands of many texts are joined in parts.
+    rank = bucket.groupBy("node").agg(F.sum("n").alias("rank"))
+    lead = bucket.join(rank, "node").groupBy("key").agg(F.max(F.struct("rank", "node", "weight")).alias("l"), F.max("n").alias("n"))
+    parts = F.ceil(F.col("n") / SPLIT).cast("int")
+    leaders = lead.select("key", F.col("l.node").alias("ref"), F.col("l.weight").alias("wr"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    member = staged(bucket.withColumn("part", F.pmod(F.hash("node"), parts)).join(leaders, ["key", "part"]).select("key", "part", "ref", "wr", "node", "weight"), "members")
+    led = member.where((F.col("node") != F.col("ref")) & _fits("weight", "wr", params)).groupBy(F.col("ref").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    led = staged(led, "led")
+
+    # Each text with the leader that it shares most bands with.
     most = led.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = staged(_verified(most, sets, idf, params), "links")
-    labels = components(links)
+    labels = components(staged(_verified(most, sets, idf, params), "links"))
 
-    # Round 2: with the leaders of all bands and with the next text there, where the classes still differ.
-    place = Window.partitionBy("key", F.pmod(F.hash("node"), F.lit(64))).orderBy("weight", "node")
-    beside = bucket.select(F.col("node").alias("b"), F.col("weight").alias("wb"), F.lag(F.struct("node", "weight")).over(place).alias("p")).where(F.col("p").isNotNull())
-    chain = beside.where(fits(F.col("wb"), F.col("p.weight"))).select(F.col("p.node").alias("a"), "b")
+    # With its other leaders and with the next text by weight, where the classes still differ.
+    place = Window.partitionBy("key", "part").orderBy("weight", "node")
+    beside = member.select(F.col("node").alias("b"), F.col("weight").alias("wb"), F.lag(F.struct("node", "weight")).over(place).alias("p")).where(F.col("p").isNotNull())
+    chain = beside.where(_fits("wb", "p.weight", params)).select(F.col("p.node").alias("a"), "b")
     tried = led.select("a", "b").union(chain).distinct()
-    more = staged(_verified(_apart(tried, labels), sets, idf, params), "links")
-    labels = components(more, labels)
-
-    # Round 3: pairs of a band whose texts are still in different classes and whose weights allow it.
-    named = bucket.join(labels, "node", "left").select("key", "node", "weight", F.coalesce("label", "node").alias("label"))
-    size = F.floor(F.log("weight") / F.lit(float(-np.log(params.threshold - 1e-4)))).cast("int")
-    open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
-    left = staged(named.join(open_keys, "key").withColumn("size", size), "open")
-    small = left.where(F.col("n") <= SMALL_BUCKET).select("key", "node", "weight", "label", "size")
-    # What many different texts have in common fills a band's bucket with them; there, rare shingles choose the pairs.
-    large = left.where(F.col("n") > SMALL_BUCKET).select("node", "weight", "label", "size").distinct()
-    rest = _pairs(small, fits).union(_prefix_pairs(staged(large, "large"), sets, idf, params)).distinct()
-    last = staged(_verified(rest.join(tried, ["a", "b"], "left_anti"), sets, idf, params), "links")
-    labels = components(last, labels)
+    labels = components(staged(_verified(_apart(tried, labels), sets, idf, params), "links"), labels)
+
+    # By differences from the leader, in bands whose texts are still in different classes.
+    groups = _open(member, ["key"], labels).select("ref", "node").distinct()
+    rows, near = _differences(staged(groups, "groups"), sets, idf, params)
+    labels = components(staged(_verified(_apart(near, labels), sets, idf, params), "links"), labels)
+    for pairs in (_with_one, _with_all):
+        found = pairs(_open(rows, ["ref", "atom"], labels), params)
+        labels = components(staged(_verified(_apart(found, labels), sets, idf, params), "links"), labels)
 
     # Every document gets its node's class; equal texts without words are a class, null texts are alone.
     firsts = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
@@ -300,50 +344,108 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     return signed.select("doc_id", "node").join(classes, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _pairs(rows: DataFrame, fits) -> DataFrame:
-    """Pairs (a, b) of ``rows`` (key, node, weight, label, size) with one key, different labels and fitting weights."""
-    near = F.array(F.col("size"), F.col("size") + 1, F.col("size") - 1)
-    right = rows.select("key", F.explode(near).alias("size"), F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("label").alias("lb"))
-    differ = (F.col("label") != F.col("lb")) & (F.col("node") < F.col("b")) & fits(F.col("weight"), F.col("wb"))
-    return rows.join(right, ["key", "size"]).where(differ).select(F.col("node").alias("a"), "b")
+def _fits(x: str, y: str, params: MinHashParams):
+    return F.least(x, y) >= F.lit(params.threshold - 1e-4) * F.greatest(x, y)
+
+
+def _open(rows: DataFrame, key: list[str], labels: DataFrame) -> DataFrame:
+    """``rows`` with the labels of their nodes, where a key has two or more."""
+    named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = named.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*key)
+    return named.join(several, key)
 
 
-def _prefix_pairs(rows: DataFrame, sets: DataFrame, idf: np.ndarray, params: MinHashParams) -> DataFrame:
-    """Pairs (a, b) of ``rows`` (node, weight, label, size) with different labels: all that can reach the threshold.
+def _differences(groups: DataFrame, sets: DataFrame, idf: np.ndarray, params: MinHashParams) -> tuple[DataFrame, DataFrame]:
+    """What texts of a group (ref, node) have otherwise than its reference, and the pairs (a, b) that need no such row.
 
-    If the overlap of two texts is o, their first common shingle leaves at least o of each one's weight from there on;
-    and o is at least threshold / (1 + threshold) of both weights together, and threshold times the larger one.
+    A row is one shingle of a text's difference: one that the reference lacks (an even ``atom``), or has (odd). Of a
+    difference only those rows are left after which a pair's differences can still have enough in common.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(idf)
     t = params.threshold - 1e-4
+    plain = staged(_compared(groups, None, sets, idf), "compared")
+    size = groups.groupBy("ref").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= MANY)
+    other = plain.join(size, "ref").select("ref", "members", F.explode(F.arrays_zip("atoms", "times")).alias("x"))
+    usual = other.groupBy("ref", F.shiftright("x.atoms", 1).cast("int").alias("s"), F.col("x.times").alias("times")).agg(F.count(F.lit(1)).alias("n"), F.max("members").alias("members"))
+    fixes = staged(usual.where("2 * n > members").groupBy("ref").agg(F.collect_list(F.struct("s", "times")).alias("fix")), "fixes")
+    if not fixes.isEmpty():
+        kept = plain.join(fixes.select("ref"), "ref", "left_anti")
+        plain = staged(kept.union(_compared(groups.join(fixes.select("ref"), "ref", "left_semi"), fixes, sets, idf)), "compared")
+    # f(X) + f(Y) reaches the reference's weight if what both share with it is enough.
+    known = plain.withColumn("f", F.col("common") - t / (1 + t) * F.col("weight"))
+    best = known.groupBy("ref").agg(F.max(F.struct("f", "node")).alias("best")).select("ref", F.col("best.f").alias("most"), F.col("best.node").alias("nearest"))
+    known = known.join(best, "ref")
+    inner = F.col("f") + F.col("most") >= F.col("whole") - 1e-6
+    near = known.where(inner & (F.col("nearest") != F.col("node"))).select(F.col("nearest").alias("a"), F.col("node").alias("b"))
+    need = F.when(inner, F.col("most") - F.col("f")).otherwise(F.col("whole") - F.col("f") - F.col("most")) - 1e-6
+    # Texts whose differences share nothing outside the reference share no more than either does with the reference.
+    within = F.col("common") >= t * F.col("weight") - 1e-6
+    kept = F.filter(F.arrays_zip("atoms", "rests"), lambda x: (x["rests"] >= F.col("need")) & (F.col("within") | (x["atoms"] % 2 == 0)))
+    size = F.floor(F.log("weight") / F.lit(float(-np.log(t)))).cast("int")
+    rows = known.withColumn("need", need).withColumn("within", within).select("ref", "node", "weight", "common", "whole", "f", size.alias("size"), F.explode(kept).alias("x"))
+    return staged(rows.select("ref", "node", "weight", "common", "whole", "f", "size", F.col("x.atoms").alias("atom"), F.col("x.rests").alias("rest")), "differences"), near
+
+
+def _compared(groups: DataFrame, fixes: DataFrame | None, sets: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Weights of node, of its reference and of what they share, and the difference's shingles: new ones first, the rarest first.
+
+    ``times``: how often the node has the shingle. ``rests``: the weight of the difference from there on.
+    """
+    shared = groups.sparkSession.sparkContext.broadcast(idf)
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sh = batch.column(3)
-            offsets, flat = sh.offsets.to_numpy(), sh.values.to_numpy(zero_copy_only=False).view(np.uint32)
-            which, keys, totals, rests = [], [], [], []
-            for i in range(batch.num_rows):
-                x, n = np.unique(flat[offsets[i] : offsets[i + 1]], return_counts=True)
-                rarity = shared.value[x & (FEATURES - 1)]
-                order = np.lexsort((x, -rarity))
-                w = ((1 + np.log(n)) * rarity)[order]
-                rest = np.cumsum(w[::-1])[::-1]
-                k = int((rest >= t * rest[0]).sum()) if len(x) else 0
-                which.append(np.full(k, i))
-                keys.append(x[order[:k]].view(np.int32))
-                totals.append(np.full(k, rest[0] if k else 0.0))
-                rests.append(rest[:k])
-            if which:
-                own = batch.select([0, 1, 2]).take(pa.array(np.concatenate(which)))
-                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(np.concatenate(c)) for c in (keys, totals, rests))], names=["node", "label", "size", "key", "total", "rest"])
-
-    given = rows.join(sets, "node").select("node", "label", "size", "sh")
-    cut = staged(given.mapInArrow(prefixes, "node binary, label binary, size int, key int, total double, rest double"), "prefixes")
+            rows = []
+            for ours, theirs, fix in zip(*[_slices(batch.column(i)) for i in (2, 3)], batch.column(4).to_pylist(), strict=True):
+                x, n = np.unique(ours.view(np.uint32), return_counts=True)
+                y, m = np.unique(theirs.view(np.uint32), return_counts=True)
+                right = np.array([f["s"] for f in fix or ()], np.int64).astype(np.uint32)
+                every = np.unique(np.concatenate([x, y, right]))
+                tx, ty = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+                tx[np.searchsorted(every, x)], ty[np.searchsorted(every, y)] = n, m
+                ty[np.searchsorted(every, right)] = [f["times"] for f in fix or ()]
+                rarity = shared.value[every & (FEATURES - 1)].astype(float)
+                wx, wy = (np.where(k > 0, 1 + np.log(np.maximum(k, 1)), 0) * rarity for k in (tx, ty))
+                own = np.flatnonzero(tx != ty)
+                gone = wx[own] < wy[own]
+                own = own[np.lexsort((every[own], -rarity[own], gone))]
+                atoms = every[own].view(np.int32).astype(np.int64) * 2 + (wx[own] < wy[own])
+                rows.append((wx.sum(), np.minimum(wx, wy).sum(), wy.sum(), atoms, np.cumsum(np.abs(wx - wy)[own][::-1])[::-1], tx[own]))
+            types = [pa.float64()] * 3 + [pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64())]
+            columns = [pa.array([r[i] for r in rows], ty) for i, ty in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["ref", "node", "weight", "common", "whole", "atoms", "rests", "times"])
+
+    given = groups.join(sets.select("node", F.col("sh").alias("ours")), "node").join(sets.select(F.col("node").alias("ref"), F.col("sh").alias("theirs")), "ref")
+    given = given.join(fixes, "ref") if fixes is not None else given.withColumn("fix", F.lit(None).cast("array<struct<s:int,times:bigint>>"))
+    columns = given.select("ref", "node", "ours", "theirs", "fix")
+    return columns.mapInArrow(compare, "ref binary, node binary, weight double, common double, whole double, atoms array<long>, rests array<double>, times array<long>")
+
+
+def _slices(column: pa.Array) -> list[np.ndarray]:
+    offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [flat[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _can(params: MinHashParams):
+    """Whether two rows of one shingle, of which the second's columns end in 2, may belong to similar texts."""
+    t = params.threshold - 1e-4
+    need = F.col("whole") - F.col("f") - F.col("f2") - 1e-6
+    both = F.least("common", "common2") >= t / (1 + t) * (F.col("weight") + F.col("weight2")) - 1e-6
+    return (F.col("label") != F.col("label2")) & (F.least("rest", "rest2") >= need) & _fits("weight", "weight2", params) & (both | (F.col("atom") % 2 == 0))
+
+
+def _with_one(rows: DataFrame, params: MinHashParams) -> DataFrame:
+    """Pairs (a, b) of texts with that of their bucket which is nearest to the reference."""
+    columns = ["f", "node", "label", "weight", "common", "rest"]
+    first = rows.groupBy("ref", "atom", "size").agg(F.max(F.struct(*columns)).alias("m")).select("ref", "atom", "size", *[F.col(f"m.{c}").alias(f"{c}2") for c in columns])
+    return rows.join(first, ["ref", "atom", "size"]).where(_can(params)).select(F.col("node2").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _with_all(rows: DataFrame, params: MinHashParams) -> DataFrame:
+    """Pairs (a, b) of all texts of a bucket and of those next to it by weight that may be similar."""
+    columns = ["f", "node", "label", "weight", "common", "rest"]
     near = F.array(F.col("size"), F.col("size") + 1, F.col("size") - 1)
-    right = cut.select("key", F.explode(near).alias("size"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("total").alias("tb"), F.col("rest").alias("rb"))
-    needed = F.greatest(F.lit(t / (1 + t)) * (F.col("total") + F.col("tb")), F.lit(t) * F.greatest("total", "tb"))
-    can = (F.col("label") != F.col("lb")) & (F.col("node") < F.col("b")) & (F.least("total", "tb") >= needed) & (F.least("rest", "rb") >= needed)
-    return cut.join(right, ["key", "size"]).where(can).select(F.col("node").alias("a"), "b").distinct()
+    other = rows.select("ref", "atom", F.explode(near).alias("size"), *[F.col(c).alias(f"{c}2") for c in columns])
+    return rows.join(other, ["ref", "atom", "size"]).where((F.col("node") < F.col("node2")) & _can(params)).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -358,11 +460,11 @@ def keep_one(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFr
 
     Of rows whose identifier is null, those with equal texts are one, if any of them is a class of its own.
     """
+    kept, text, number = fresh(docs, "kept", "text_digest", "number")
     classes = near_duplicates(docs, params)
-    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "_keep")
-    stays = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
-    # Rows with one identifier are few; of equal texts among them one stays.
-    named = stays.withColumn("_text", F.md5("text"))
-    order = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy(F.lit(1)))
-    one = named.withColumn("_n", order).where((F.col("_n") == 1) | F.col("_text").isNull())
-    return one.select(*[f"`{c}`" for c in docs.columns])
+    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(kept)).distinct()
+    stays = docs.join(keep, docs["doc_id"].eqNullSafe(keep[kept]), "left_semi")
+    # Rows with one identifier are few; of equal texts among them one stays. Rows without a text all stay, each by itself.
+    named = stays.withColumn(text, F.coalesce(F.md5("text"), F.monotonically_increasing_id().cast("string")))
+    order = F.row_number().over(Window.partitionBy("doc_id", text).orderBy(F.lit(1)))
+    return named.withColumn(number, order).where(F.col(number) == 1).drop(text, number)

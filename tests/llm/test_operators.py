@@ -118,7 +118,7 @@ def test_crowded_buckets_lose_no_pair(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     idf = minhash.inverse_frequencies(*minhash.document_frequencies(df, params))
     keys = {r["doc_id"]: r["bands"][0] for r in minhash.signatures(df, idf, params).collect()}
-    crowded = {k for k, n in Counter(keys.values()).items() if n > minhash.SMALL_BUCKET}
+    crowded = {k for k, n in Counter(keys.values()).items() if n > 16}
     together = [i for i in range(0, 120, 2) if keys[i] == keys[i + 1] and keys[i] in crowded]
     assert len(together) > 10
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df, params).collect()}
@@ -127,25 +127,100 @@ def test_crowded_buckets_lose_no_pair(spark):
     assert all(brute[i] == brute[c] for i, c in got.items())
 
 
-def test_prefix_pairs_hold_all_similar_ones(spark):
-    r, rows = random.Random(8), []
-    for i in range(80):
-        own = np.array([r.randrange(60) ** 2 for _ in range(r.randint(1, 30))], np.uint32) if i % 2 else np.where(rng_mask(r, 24), np.arange(24), 900 + i).astype(np.uint32)
-        rows.append((bytes([i]), np.sort(own).view(np.int32)))
+def test_differences_hold_all_similar_pairs(spark):
+    # Groups around a reference, which may be unlike most of them; weights of repeats and of rarity differ.
+    r, rows, params = random.Random(8), [], minhash.MinHashParams()
+    for i in range(90):
+        own = [k for k in range(40) if r.random() < (0.97, 0.9, 0.8)[i % 3]] + [900 + r.randrange(12) for _ in range(r.randrange(5))]
+        rows.append((bytes([i]), np.sort(np.array(own + [own[0]] * (i % 4), np.uint32)).view(np.int32)))
     idf = np.linspace(1, 2, minhash.FEATURES).astype(np.float32)
     idf[:4000] = 1 + np.arange(4000) % 7 / 7
-    weight = [float(minhash.weights(s.view(np.uint32).astype(np.uint64), idf)[1].sum()) for _, s in rows]
-    params = minhash.MinHashParams()
-    size = [int(np.floor(np.log(w) / -np.log(params.threshold - 1e-4))) for w in weight]
-    given = spark.createDataFrame([(n, w, n, z) for (n, _), w, z in zip(rows, weight, size)], "node binary, weight float, label binary, size int")
     sets = spark.createDataFrame([(n, s.tolist()) for n, s in rows], "node binary, sh array<int>")
-    got = {(bytes(x["a"]), bytes(x["b"])) for x in minhash._prefix_pairs(given, sets, idf, params).collect()}
     want = {(a, b) for a, s in rows for b, u in rows if a < b and minhash.jaccard(s, u, idf) >= params.threshold}
-    assert len(want) > 20 and want <= got and len(got) < 80 * 79 // 4
-
-
-def rng_mask(r: random.Random, n: int) -> list[bool]:
-    return [r.random() < 0.93 for _ in range(n)]
+    assert len(want) > 50
+    labels = spark.createDataFrame([(n, n) for n, _ in rows], "node binary, label binary")
+    for ref in (0, 2):
+        groups = spark.createDataFrame([(bytes([ref]), n) for n, _ in rows], "ref binary, node binary")
+        kept, near = minhash._differences(groups, sets, idf, params)
+        pairs = lambda df: {tuple(sorted((bytes(x["a"]), bytes(x["b"])))) for x in df.collect()}
+        sure = pairs(near)
+        met = pairs(minhash._with_all(minhash._open(kept, ["ref", "atom"], labels), params))
+        # Texts that are near the one nearest to the reference are linked through it; all other similar pairs meet.
+        hub = Counter(x for p in sure for x in p).most_common(1)
+        linked = {x for p in sure for x in p}
+        assert not hub or all(hub[0][0] in p for p in sure)
+        assert {p for p in sure if p not in want} == set()
+        assert {p for p in want if not set(p) <= linked} <= met
+        assert len(met) < 90 * 89 // 3
+
+
+def test_edited_copies_without_their_original(spark):
+    def copies(n):
+        base, out = prose(9, 100).split(), []
+        for i in range(n):
+            w, r = list(base), random.Random(i)
+            for k in r.sample(range(100), 3):
+                w[k] = f"edit{r.randrange(10**9)}"
+            out.append((i, " ".join(w)))
+        return out
+
+    made, params, tested = copies(400), minhash.MinHashParams(), []
+    verified = minhash._verified
+
+    def counted(pairs, *more):
+        tested.append(pairs.count())
+        return verified(pairs, *more)
+
+    minhash._verified = counted
+    try:
+        df = spark.createDataFrame(made, "doc_id long, text string")
+        got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
+    finally:
+        minhash._verified = verified
+    brute = brute_classes(dict(made), minhash.inverse_frequencies(*minhash.document_frequencies(df, params)))
+    assert got == brute and len(set(brute.values())) > 10
+    assert sum(tested) < 400 * 60, tested  # all pairs are 79800
+
+
+def test_samples_collide_in_long_texts():
+    p = minhash.MinHashParams()
+    s, rng = minhash.Sampler(p), np.random.default_rng(4)
+    hits = []
+    for n in (2_000, 20_000):
+        h = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        w = rng.uniform(1, 2, len(h)) * rng.choice([1, 1.7, 2.4], len(h), p=[0.9, 0.07, 0.03])
+        a, b = slice(0, n * 9 // 10), slice(n // 10, n)
+        for seed in range(8):
+            t = minhash.Sampler(minhash.MinHashParams(seed=seed))
+            hits.append(((t.samples(h[a], w[a]) == t.samples(h[b], w[b])).mean(), w[n // 10 : n * 9 // 10].sum() / w.sum()))
+    got, want = np.mean(hits, axis=0)
+    assert abs(got - want) < 0.03
+    assert len(np.unique(s.samples(h, w))) > 90
+
+
+def test_samples_are_those_of_all_shingles(monkeypatch):
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 40, 3000):
+        h = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        w = rng.uniform(1, 2, len(h)) * rng.choice([1, 2.5], len(h))
+        few = minhash.Sampler(minhash.MinHashParams()).samples(h, w)
+        monkeypatch.setattr(minhash, "FIRST", 1e9)
+        assert (minhash.Sampler(minhash.MinHashParams()).samples(h, w) == few).all()
+        monkeypatch.setattr(minhash, "FIRST", 1e-9)
+        assert (minhash.Sampler(minhash.MinHashParams()).samples(h, w) == few).all()
+        monkeypatch.undo()
+
+
+def test_samples_follow_changed_weights():
+    # The similarity of two weightings of the same shingles.
+    rng, hits = np.random.default_rng(6), []
+    for seed in range(40):
+        h = np.unique(rng.integers(0, 2**63, 60).astype(np.uint64))
+        a, b = rng.uniform(1, 2, (2, len(h)))
+        s = minhash.Sampler(minhash.MinHashParams(seed=seed))
+        hits.append(((s.samples(h, a) == s.samples(h, b)).mean(), np.minimum(a, b).sum() / np.maximum(a, b).sum()))
+    got, want = np.mean(hits, axis=0)
+    assert abs(got - want) < 0.03
 
 
 def test_minhash_empty(empty):
@@ -159,6 +234,17 @@ def test_keep_one_leaves_columns(docs):
     assert ids[0] == 1 and 1 not in ids and 2 not in ids and ids[3] == 1 and ids[4] == 1 and ids[13] == 1
 
 
+def test_stages_leave_columns_with_clashing_names(docs, spark):
+    names = ["_text", "text_digest", "kept", "number", "_n", "_keep", "_row", "bad", "_node", "_bad", "n_words", "k0", "spans", "node"]
+    wide = docs.selectExpr("doc_id", "text", "lang", "source", "n_chars", *[f"concat(doc_id, '{n}') as `{n}`" for n in names])
+    bench = spark.createDataFrame([(0, prose(900, 35))], "item_id long, text string")
+    for stage in (minhash.keep_one, quality.keep_good, lambda d: decontaminate.keep_clean(d, bench), pii.mask):
+        out = stage(wide)
+        assert out.columns == wide.columns
+        for r in out.where("doc_id is not null").collect():
+            assert [r[n] for n in names] == [f"{r['doc_id']}{n}" for n in names]
+
+
 # --- 2 ---
 
 
