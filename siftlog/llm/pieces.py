@@ -13,8 +13,12 @@ chunk adds the same to all entries; a matrix holds differences only, which leave
 
 Between two forced cuts a text is a word; words recur, so a worker remembers their ids.
 
+Scores are whole numbers, so several paths often have the largest sum. Each place of a text has a tie number, and of
+such paths that counts whose cuts have the largest sum of them. Scores and tie sums are the real and imaginary parts of
+complex numbers, which numpy compares in this order, so a text has the same ids however it is split.
+
 Edge cases: null and empty texts have no ids and decode to the empty text; a text of one endless word is scanned by
-the full recurrence; of equal sums the first found counts; repeated rows are encoded alike; other columns are ignored.
+the full recurrence; repeated rows are encoded alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from siftlog.llm.common import bounded_batches, staged
 
 CHUNK = 32_768
 BLOCK = 64  # matrices multiplied by one group
-LOW = -np.inf
+LOW = complex(-np.inf, 0)
 MEMO_WORDS = 1_000_000
 TYPE = np.dtype("<u2")
 
@@ -44,6 +48,13 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def tie(place: int) -> int:
+    """The tie number of a cut at ``place``: 20 bits of a hash."""
+    x = (place * 0x9E3779B1) & 0xFFFFFFFF
+    x = ((x ^ x >> 15) * 0x85EBCA77) & 0xFFFFFFFF
+    return ((x ^ x >> 13) * 0xC2B2AE3D & 0xFFFFFFFF) >> 12
+
+
 class Pieces:
     """The vocabulary with its scores, and the best segmentation of words."""
 
@@ -73,7 +84,7 @@ class Pieces:
                 self.bytes[i] = bytes([int(p.piece[3:-1], 16)])
         cut = "\n" if "\n" not in self.known else ""
         self.words = re.compile(rf" *[^ {cut}]+|{cut}| +" if cut else r" *[^ ]+| +").findall
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes | None] = {}  # None: equal paths, which the place decides
 
     @classmethod
     def get(cls, path: str) -> "Pieces":
@@ -81,45 +92,61 @@ class Pieces:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
-    def _ids(self, word: str) -> bytes:
-        """The ids on a best path through one word."""
+    def _ids(self, word: str, at: int | None = None) -> bytes | None:
+        """The ids on the best path through one word at place ``at`` of its text; without a place, None if paths are equal."""
         n, score, begins = len(word), self.score, self.begins
-        best: list[float | None] = [0.0, *[None] * n]
+        best: list[tuple[float, int] | None] = [(0.0, 0), *[None] * n]
         came = [0] * (n + 1)
+        equal = [False] * (n + 1)
         for i in range(n):
             here, single = best[i], False
             if here is None:
                 continue
             for j in range(i + 1, n + 1):
                 part = word[i:j]
-                if part not in begins:
+                if part in begins:
+                    s = score.get(part)
+                    single |= j == i + 1 and s is not None
+                elif j > i + 1:
                     break
-                if (s := score.get(part)) is not None:
-                    single |= j == i + 1
-                    if best[j] is None or here + s > best[j]:
-                        best[j], came[j] = here + s, i
-            if not single and (best[i + 1] is None or here + self.unknown > best[i + 1]):
-                best[i + 1], came[i + 1] = here + self.unknown, i
-        out, at = [], n
-        while at:
-            part = word[came[at] : at]
+                else:
+                    s = None
+                if s is None:
+                    if j > i + 1 or single:
+                        continue
+                    s = self.unknown
+                value = (here[0] + s, here[1] + (tie(at + j) if at is not None else 0))
+                if best[j] is None or value > best[j]:
+                    best[j], came[j], equal[j] = value, i, equal[i]
+                elif value == best[j]:
+                    equal[j] = True
+        if equal[n] and at is None:
+            return None
+        out, end = [], n
+        while end:
+            part = word[came[end] : end]
             i = self.ids.get(part)
             out += [i] if i is not None else [self.of_byte[b] for b in reversed(part.encode("utf-8", "replace"))]
-            at = came[at]
+            end = came[end]
         return np.array(out[::-1], TYPE).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text that begins and ends at cuts; a space stands for the word mark."""
+    def encode(self, text: str, at: int = 0) -> bytes:
+        """The ids of a text, or of its part at place ``at`` that begins and ends at cuts; a space stands for the word mark."""
         words = self.words(text)
         try:
             return b"".join(map(self.memo.__getitem__, words))
-        except KeyError:
+        except (KeyError, TypeError):
             if len(self.memo) > MEMO_WORDS:
                 self.memo = {}
             for w in set(words):
                 if w not in self.memo:
                     self.memo[w] = self._ids(w)
-            return b"".join(map(self.memo.__getitem__, words))
+            out = []
+            for w in words:
+                ids = self.memo[w]
+                out.append(self._ids(w, at) if ids is None else ids)
+                at += len(w)
+            return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         """The text of all ids of a document; the space that encoding put before it goes."""
@@ -130,10 +157,11 @@ class Pieces:
         a, b = text[at - 1], text[at]
         return (b == " " and a != " ") or a not in self.known or b not in self.known
 
-    def spread(self, text: str, start: np.ndarray, begin: int, end: int, stop: int) -> dict[int, np.ndarray]:
-        """Best scores at each position from ``begin`` to ``stop``, by pieces that begin before ``end``.
+    def spread(self, text: str, start: np.ndarray, begin: int, end: int, stop: int, at: int) -> dict[int, np.ndarray]:
+        """Best sums at each position from ``begin`` to ``stop``, by pieces that begin before ``end``.
 
-        ``start``: a row for each of the first positions, holding the scores there for each start state.
+        ``start``: a row for each of the first positions, holding the sums there for each start state; ``at``: the
+        place of the text's first character.
         """
         best: dict[int, np.ndarray] = {begin + i: row.copy() for i, row in enumerate(start)}
         for p in range(begin, end):
@@ -142,17 +170,17 @@ class Pieces:
                 continue
             single = False
             for n in range(1, min(self.longest, stop - p, len(text) - p) + 1):
-                if (s := self.score.get(text[p : p + n])) is not None:
-                    single |= n == 1
-                    q = best.get(p + n)
-                    best[p + n] = here + s if q is None else np.maximum(q, here + s)
-            if not single and p < stop:
-                q = best.get(p + 1)
-                best[p + 1] = here + self.unknown if q is None else np.maximum(q, here + self.unknown)
+                s = self.score.get(text[p : p + n])
+                single |= n == 1 and s is not None
+                if s is None and n == 1:
+                    s = self.unknown
+                if s is not None:
+                    value, q = here + complex(s, tie(at + p + n)), best.get(p + n)
+                    best[p + n] = value if q is None else np.maximum(q, value)
         return best
 
-    def matrix(self, text: str, length: int) -> np.ndarray:
-        """The transfer matrix of a chunk of ``length`` characters; ``text`` also has the characters after it."""
+    def matrix(self, text: str, length: int, at: int) -> np.ndarray:
+        """The transfer matrix of a chunk of ``length`` characters at place ``at``; ``text`` also has those after it."""
         n = self.longest
         out = np.full((n, n), LOW)
         for s in range(length, n):  # the first cut lies beyond this chunk
@@ -163,13 +191,13 @@ class Pieces:
         head = next((p for p in range(inside, length) if self.forced(text, p)), None)
         tail = next((p for p in range(length - 1, (head or length) - 1, -1) if self.forced(text, p)), None) if head is not None else None
         if tail is None:
-            best = self.spread(text, start, 0, length, length + n - 1)
+            best = self.spread(text, start, 0, length, length + n - 1, at)
             for e in range(n):
                 if (v := best.get(length + e)) is not None and length + e <= len(text):
                     out[:inside, e] = np.maximum(out[:inside, e], v[:inside])
             return out
-        first = self.spread(text, start, 0, head, head)[head]
-        last = self.spread(text, np.zeros((1, 1)), tail, length, length + n - 1)
+        first = self.spread(text, start, 0, head, head, at)[head]
+        last = self.spread(text, np.zeros((1, 1), complex), tail, length, length + n - 1, at)
         for e in range(n):
             if (v := last.get(length + e)) is not None:
                 out[:inside, e] = np.maximum(out[:inside, e], first[:inside] + v[0])
@@ -177,18 +205,20 @@ class Pieces:
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The max-plus product."""
-    return (a[:, :, None] + b[None, :, :]).max(1)
+    """The max-plus product, less its largest score: differences are all that counts."""
+    out = (a[:, :, None] + b[None, :, :]).max(1)
+    top = out.real.max()
+    return out - top if np.isfinite(top) else out
 
 
 def trace(matrices: list[np.ndarray], first: int, last: int) -> list[int]:
-    """The states before, between and after ``matrices`` on a best path from ``first`` to ``last``."""
-    n = len(matrices[0])
-    ahead = np.full(n, LOW)
+    """The states before, between and after ``matrices`` on the best path from ``first`` to ``last``."""
+    ahead = np.full(len(matrices[0]), LOW)
     ahead[first] = 0
     seen = [ahead]
     for m in matrices:
-        seen.append((seen[-1][:, None] + m).max(0))
+        now = (seen[-1][:, None] + m).max(0)
+        seen.append(now - now.real.max())
     states = [last]
     for m, v in zip(matrices[::-1], seen[-2::-1], strict=True):
         states.append(int((v + m[:, states[-1]]).argmax()))
@@ -197,27 +227,42 @@ def trace(matrices: list[np.ndarray], first: int, last: int) -> list[int]:
 
 def _giants(docs: DataFrame, model: str, chunk: int) -> DataFrame:
     """The long texts' chunks with the states at their borders, each encoded: row, doc_id, chunk, ids."""
-    long = docs.where(F.length("text") > chunk).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(F.lit(" "), "text").alias("t"))
     ahead = 15  # characters past the border that a piece may reach into
-    count = F.ceil(F.length("t") / chunk)
-    cut = long.select("row", "doc_id", F.length("t").alias("n"), "t", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))).alias("chunk"))
-    cut = cut.select("row", "doc_id", "chunk", F.least(F.lit(chunk), F.col("n") - F.col("chunk") * chunk).cast("int").alias("length"), F.substring(F.col("t"), F.col("chunk") * chunk + 1, F.lit(chunk + ahead)).alias("part"))
-    chunks = staged(cut.repartition("row", "chunk"), "chunks")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["row", "doc_id", "chunk", "length", "part"]
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+        for batch in batches:
+            for row, doc_id, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                t = " " + text
+                rows = [(row, doc_id, i, min(chunk, len(t) - a), t[a : a + chunk + ahead]) for i, a in enumerate(range(0, len(t), chunk))]
+                for i in range(0, len(rows), 256):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows[i : i + 256], strict=True), types, strict=True)], names=names)
+
+    # The number of partitions is stated, as small tables of matrices would else be folded into one task.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    long = docs.where(F.length("text") > chunk).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    chunks = staged(long.mapInArrow(cut, "row long, doc_id long, chunk int, length int, part string").repartition(parts, "row", "chunk"), "chunks")
 
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.get(model)
         for batch in batches:
-            found = [pieces.matrix(t, n).ravel().tolist() for t, n in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            rows = zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True)
+            found = [pieces.matrix(t, n, i * chunk).view(float).ravel().tolist() for i, n, t in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], names=["row", "chunk", "m"])
 
-    matrices = staged(chunks.select("row", "chunk", "length", "part").mapInArrow(transfer, "row long, chunk int, m array<double>").withColumn("block", F.floor(F.col("chunk") / BLOCK).cast("int")), "matrices")
-    square = lambda m: np.array(m, float).reshape(int(len(m) ** 0.5), -1)
+    moved = chunks.select("row", "chunk", "length", "part").mapInArrow(transfer, "row long, chunk int, m array<double>")
+    matrices = staged(moved.withColumn("block", F.floor(F.col("chunk") / BLOCK).cast("int")).repartition(parts, "row", "block"), "matrices")
+
+    def square(m: np.ndarray) -> np.ndarray:
+        values = np.array(m, float).view(complex)
+        return values.reshape(int(len(values) ** 0.5), -1)
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         out = None
         for m in map(square, pdf.sort_values("chunk")["m"]):
             out = m if out is None else times(out, m)
-        return pd.DataFrame({"row": pdf["row"][:1], "block": pdf["block"][:1], "m": [out.ravel().tolist()]})
+        return pd.DataFrame({"row": pdf["row"][:1], "block": pdf["block"][:1], "m": [out.view(float).ravel().tolist()]})
 
     def along(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
@@ -229,19 +274,21 @@ def _giants(docs: DataFrame, model: str, chunk: int) -> DataFrame:
         states = trace([square(m) for m in pdf["m"]], int(pdf["first"].iloc[0]), int(pdf["last"].iloc[0]))
         return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "from": states[:-1], "to": states[1:]})
 
-    blocks = matrices.groupBy("row", "block").applyInPandas(multiply, "row long, block int, m array<double>")
-    borders = blocks.groupBy("row").applyInPandas(along, "row long, block int, first int, last int")
-    states = matrices.join(borders, ["row", "block"]).groupBy("row", "block").applyInPandas(within, "row long, chunk int, from int, to int")
+    spread = matrices.repartition(parts, "row", "block")
+    blocks = spread.groupBy("row", "block").applyInPandas(multiply, "row long, block int, m array<double>")
+    borders = blocks.repartition(parts, "row").groupBy("row").applyInPandas(along, "row long, block int, first int, last int")
+    placed = matrices.join(borders, ["row", "block"]).repartition(parts, "row", "block")
+    states = placed.groupBy("row", "block").applyInPandas(within, "row long, chunk int, from int, to int")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.get(model)
         for batch in batches:
-            rows = zip(*[batch.column(i).to_pylist() for i in (3, 4, 5, 6)], strict=True)
-            ids = [pieces.encode(part[a : n + b]) for n, part, a, b in rows]
+            rows = zip(*[batch.column(i).to_pylist() for i in (2, 3, 4, 5, 6)], strict=True)
+            ids = [pieces.encode(part[a : n + b], i * chunk + a) for i, n, part, a, b in rows]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(ids, pa.binary())], names=["row", "doc_id", "chunk", "ids"])
 
-    placed = chunks.join(states, ["row", "chunk"]).select("row", "doc_id", "chunk", "length", "part", "from", "to")
-    return placed.mapInArrow(encode, "row long, doc_id long, chunk int, ids binary")
+    traced = chunks.join(states, ["row", "chunk"]).repartition(parts, "row", "chunk").select("row", "doc_id", "chunk", "length", "part", "from", "to")
+    return traced.mapInArrow(encode, "row long, doc_id long, chunk int, ids binary")
 
 
 def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> DataFrame:
