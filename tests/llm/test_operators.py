@@ -434,14 +434,43 @@ def test_matrices_of_words_without_end():
     p = pieces.Pieces(pieces.default_model())
     text = " " + "".join(random.Random(3).choice("theinrstonga") for _ in range(400))
     cuts = [0, 64, 128, 192, 256, 320, len(text)]
-    ms = [p.matrix(text[a : b + p.longest - 1], b - a) for a, b in zip(cuts, cuts[1:])]
+    ms = [p.matrix(text[a : b + p.longest - 1], b - a, a) for a, b in zip(cuts, cuts[1:])]
     whole = ms[0]
     for m in ms[1:]:
         whole = pieces.times(whole, m)
-    assert whole[0, 0] == pytest.approx(best_score(p, text))
     states = pieces.trace(ms, 0, 0)
-    ids = b"".join(p.encode(text[a + s : b + e]) for a, b, s, e in zip(cuts, cuts[1:], states, states[1:]))
+    ids = b"".join(p.encode(text[a + s : b + e], a + s) for a, b, s, e in zip(cuts, cuts[1:], states, states[1:]))
     assert score_of(p, ids) == pytest.approx(best_score(p, text))
+    assert ids == p.encode(text)
+
+
+def test_pieces_are_alike_at_every_chunk_size(docs, spark):
+    r = random.Random(12)
+    texts = ["".join(r.choice("theinrstonga") for _ in range(n)) for n in (40, 900, 5000)] + ["aba" * 700, "e" * 2000, " " * 90 + "tete" * 50, prose(70, 900)]
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    more = more.union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 1000", "text"))
+    ids = [sorted(((r["doc_id"] if r["doc_id"] is not None else -1, bytes(r["ids"])) for r in pieces.encode(more, chunk=c).collect())) for c in (17, 300, 32_768)]
+    assert ids[0] == ids[1] == ids[2]
+
+
+def test_words_with_equal_paths_follow_the_ties():
+    p = pieces.Pieces(pieces.default_model())
+
+    def paths(text):
+        found = {0: [(0.0, 0, ())]}
+        for i in range(len(text)):
+            for total, t, cuts in found.get(i, ()):
+                for n in range(1, p.longest + 1):
+                    s = p.score.get(text[i : i + n])
+                    if i + n <= len(text) and (s is not None or n == 1):
+                        found.setdefault(i + n, []).append((total + (p.unknown if s is None else s), t + pieces.tie(i + n), (*cuts, i + n)))
+        return max(found[len(text)])
+
+    for text in (" banana", " aaaaaaa", " tetete", " eeee", " anana", " zq"):
+        cuts = [0, *paths(text)[2]]
+        want = [p.ids[text[a:b]] if text[a:b] in p.ids else None for a, b in zip(cuts, cuts[1:])]
+        if None not in want:
+            assert np.frombuffer(p.encode(text), pieces.TYPE).tolist() == want
 
 
 def test_words_score_as_in_the_library():
@@ -643,7 +672,7 @@ def test_leaks(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = spark.createDataFrame(made, "doc_id long, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()) == [(100, 3), (101, 7)]
-    small = decontaminate.DecontaminationParams(block_items=7)
+    small = decontaminate.DecontaminationParams(block_words=200)
     assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench, small).collect()) == [(100, 3), (101, 7)]
     assert decontaminate.keep_clean(docs, bench).count() == 62
     assert decontaminate.leaks(docs, bench.where("false")).count() == 0
@@ -658,3 +687,42 @@ def test_leaks_of_common_and_short_items(spark):
     # A table of few words.
     assert leaks([(7, prose(1, 30)), (8, "nothing here")]) == [(7, 0)]
     assert leaks([(1, prose(5, 40) + " a quick answer " + prose(6, 40)), (2, "some marmalade, please"), (3, prose(8, 40))]) == [(1, 1), (2, 2)]
+
+
+def test_leaks_match_all_pairs(spark):
+    r = random.Random(21)
+    items = {i: prose(700 + i, r.randint(4, 60)) for i in range(25)}
+    texts = {}
+    for i in range(60):
+        w = prose(2000 + i, 150).split()
+        if i % 2:
+            copy = items[r.randrange(25)].split()
+            for k in r.sample(range(len(copy)), len(copy) // (4, 7, 100)[i % 3]):
+                copy[k] = f"other{k}"
+            w[60:60] = copy
+        texts[i] = " ".join(w)
+    rows = spark.createDataFrame([("d", i, t) for i, t in texts.items()] + [("b", i, t) for i, t in items.items()], "kind string, id long, text string")
+    words = {(x["kind"], x["id"]): np.array(x["w"], np.int64).view(np.uint64) for x in rows.select("kind", "id", decontaminate.plain_words(rows["text"]).alias("w")).collect()}
+    want = {(d, b) for d in texts for b in items if decontaminate.align(words["b", b], words["d", d]) >= 0.5}
+    docs, bench = (spark.createDataFrame(list(x.items()), f"{k} long, text string") for x, k in ((texts, "doc_id"), (items, "item_id")))
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in decontaminate.leaks(docs, bench).collect()}
+    assert set(got) == want and len(want) >= 25
+    assert all(v == pytest.approx(decontaminate.align(words["b", b], words["d", d]), abs=1e-6) for (d, b), v in got.items())
+
+
+def test_templates_meet_only_where_they_are_filled_in_alike(spark):
+    # Thousands of items of one template, documents with its line: work is that of what is filled in.
+    line = "please tell me in one short sentence what the capital city of {} is called and how many people live there now"
+    bench = [(i, line.format(f"land{i}")) for i in range(2000)]
+    made = [(i, prose(3000 + i, 60) + " " + line.format(f"land{i}" if i < 5 else f"elsewhere{i}") + " " + prose(4000 + i, 60)) for i in range(60)]
+    seeds = decontaminate.make_seeds([{"item_id": i, "w": [hash(x) for x in t.split()]} for i, t in bench], 3)
+    rare = decontaminate.rare_seeds(seeds, np.full(len(seeds.hashes), 60), decontaminate.DecontaminationParams())
+    assert len(rare.item) == 3 * 2000 and max(np.diff(rare.begin)) == 1
+    got = decontaminate.leaks(spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["item_id"]) for x in got) == [(i, i) for i in range(5)]
+
+
+def test_equal_items_each_have_their_rows(spark):
+    bench = spark.createDataFrame([(i, prose(1, 30) if i < 40 else prose(i, 30)) for i in range(50)], "item_id long, text string")
+    got = decontaminate.leaks(spark.createDataFrame([(1, prose(1, 30)), (2, prose(77, 30))], "doc_id long, text string"), bench).collect()
+    assert sorted((x["doc_id"], x["item_id"]) for x in got) == [(1, i) for i in range(40)]
