@@ -54,10 +54,15 @@ MANIFEST = "part long, path string, documents long, tokens long, first_id long,
 # --- encoding ---------------------------------------------------------------------------------------------------
 
 
+#: Texts on which a tokenizer shows whether it lowercases, joins words or adds anything.
+PROBES = ("The Quick brown-fox, it's 12.5% & ÀÉÜ straße.\tNew\nline  two  spaces", " leading and trailing ", "UPPER CASE, of the of the in a 日本 語 Ünïcödé don't!", "a b c the the the 1 2 3 , . ; x\r\ny")
+
+
 class WordEncoder:
     """Encodes texts word by word with a tokenizer that never joins what white space separates.
 
-    Words recur, so their ids are remembered. The ids of a whole text are those of its words, one after another.
+    Words recur, so their ids are remembered. The ids of a whole text are those of its words, one after another. A
+    tokenizer that isn't so on the ``PROBES`` encodes whole texts.
     """
 
     _shared: dict[str, "WordEncoder"] = {}
@@ -71,7 +76,13 @@ class WordEncoder:
         self.memo: dict[str, bytes] = {"": b""}
         # Letters whose normal form and lower case are one letter each, and perhaps a mark: such words need the merges only.
         self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)").fullmatch
+        self.whole = False
         self.pack = {n: struct.Struct(f"<{n}{'I' if self.wide else 'H'}").pack for n in range(1, 65)}
+        plain = [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch(list(PROBES), add_special_tokens=False)]
+        try:
+            self.whole = self.encode(list(PROBES)) != plain
+        except (AttributeError, ValueError):
+            self.whole = True
 
     @classmethod
     def get(cls, path: str) -> "WordEncoder":
@@ -99,6 +110,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
+        if self.whole:
+            return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         if len(self.memo) > MEMO_WORDS:
             self.memo = {"": b""}
         out = []
@@ -290,7 +303,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
 def read_digests(manifest: DataFrame) -> DataFrame:
     """Every document of the shards: doc_id, start (ids before it in all shards), n_tokens, ids_crc32."""
     before = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each shard, no more
-    shards = manifest.select("path", F.coalesce(before, F.lit(0)).alias("start")).repartition("path")
+    # A stated number of partitions, which isn't folded: each shard is read by a task of its own.
+    shards = manifest.select("part", "path", F.coalesce(before, F.lit(0)).alias("start")).repartitionByRange(max(1, manifest.count()), "part").select("path", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
