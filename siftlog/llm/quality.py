@@ -59,9 +59,13 @@ def class_counts(text: Column) -> Column:
 def learn_references(docs: DataFrame, params: QualityParams = QualityParams()) -> list[Reference]:
     """One reference for each language of ``docs``, from all its texts. The result is as small as the list of languages."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sums = known.select("lang", class_counts(F.col("text")).alias("c")).groupBy("lang").agg(*[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)])
-    spoken = known.select("lang", F.explode(words(F.col("text"))).alias("w"))
-    counts = spoken.groupBy("lang", F.when(F.length("w") <= params.longest_common, F.col("w")).alias("w")).count()
+    # One pass: a row for each word, without it if it is long, and one with the text's class counts.
+    each = F.transform(words(F.col("text")), lambda w: F.struct(F.when(F.length(w) <= params.longest_common, w).alias("w"), F.lit(1).alias("n"), F.lit(None).cast("array<bigint>").alias("c")))
+    own = F.array(F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("n"), class_counts(F.col("text")).alias("c")))
+    spoken = known.select("lang", F.explode(F.concat(each, own)).alias("x"))
+    summed = spoken.groupBy("lang", F.col("x.w").alias("w")).agg(F.sum("x.n").alias("count"), *[F.sum(F.get("x.c", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)])
+    counts = staged(summed, "word-counts")
+    sums = counts.where("w is null").select("lang", *[f"c{i}" for i in range(len(CLASSES) + 1)])
     # Some code points are in one language alone, so the rank runs over the summed rows, few for each language.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "w"))
     top = counts.where((F.col("count") > 1) & F.col("w").rlike(r"^\p{L}+$")).select("lang", "w", "count", rank.alias("r")).where(F.col("r") <= params.common_words)
@@ -71,7 +75,7 @@ def learn_references(docs: DataFrame, params: QualityParams = QualityParams()) -
         chosen.setdefault(r["lang"], []).append((r["w"], r["count"]))
     found = []
     for r in sorted(sums.collect(), key=lambda r: r["lang"]):
-        c = [max(0, r[f"c{i}"]) for i in range(len(CLASSES) + 1)]
+        c = [max(0, r[f"c{i}"] or 0) for i in range(len(CLASSES) + 1)]
         if sum(c) and total.get(r["lang"]):
             found.append(Reference(r["lang"], tuple(x / sum(c) for x in c), tuple((w, n / total[r["lang"]]) for w, n in chosen.get(r["lang"], []))))
     return found
