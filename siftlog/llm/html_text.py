@@ -6,8 +6,9 @@ and of the text directly in it. The node with the largest sum is the article's c
 is kept whole. The least density on the path from the core to the body is the threshold, or half the core's mean part
 where that is less, as size alone raises the density of pages with few links. On the way up to the body, siblings that reach
 the threshold belong to the article, with what lies between them and the headings and paragraphs next to them. The
-blocks of all this, without elements that never belong to an article (by tag or by their class and id words), are the
-text.
+blocks of all this, without elements that never belong to an article, are the text: those of some tags, and those with
+a class, id or role that is made up of words such as ``ad``, ``comments`` or ``sidebar`` and of plain ones such as ``list``
+(so ``share-buttons`` is one, ``market-share`` isn't). Pages are read in time that grows with their length, whatever their tags.
 
 Edge cases: null and empty pages give an empty text, as do pages without text; unclosed and wrongly nested tags are
 closed where the next tag implies it; text outside any element counts as the body's; of equal sums the first node in
@@ -19,6 +20,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from siftlog.llm.common import bounded_batches
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(.*?)(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg)\b(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>(.*?)(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^<>]*+>|[^<]+|<",
     re.DOTALL | re.IGNORECASE,
 )
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -42,11 +44,15 @@ BLOCKS = frozenset(
 #: What holds text without tags; outside, too.
 TEXT_ONLY = frozenset(("title", "textarea"))
 OUTSIDE = frozenset("nav aside footer form menu button select dialog head object canvas".split())
-#: Words of a class, id or role that mark what isn't article.
+#: Words of a class, id or role that mark what isn't article, if nothing but such words and those after them make up the name.
 MARKS = frozenset(
     "ad ads adv advert advertisement advertisements banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer discussion disqus footer masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promoted promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
-WORD = re.compile(r"[A-Za-z]+")
+PLAIN = frozenset(
+    "above area article articles bar before below block body bottom box btn button buttons center col column container content count default end entry expanded extra feed fixed form full global grid group hidden holder icons id inline inner item items js large layout left level line link links list main menu middle mobile module open outer page panel parent post posts primary region right row secondary section semantic side single site slot small static sticky story tag tags text thread title top under unit view visible wide wrap wrapper zone".split()
+)
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 #: What an opening tag closes, up to the border named after it.
@@ -61,24 +67,81 @@ CLOSES = {
 }
 
 
+def marked(names: str, within: bool) -> bool:
+    """Whether one of the names of a class, id or role says that an element isn't article."""
+    for name in names.split():
+        words = [w.lower() for w in WORD.findall(name)]
+        if "header" in words and not within and all(w in MARKS or w in PLAIN or w == "header" for w in words):
+            return True
+        if not MARKS.isdisjoint(words) and all(w in MARKS or w in PLAIN for w in words):
+            return True
+    return False
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "outside", "within", "link", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "parent", "children", "outside", "within", "link", "href", "chars", "tags", "link_chars", "link_tags", "density")
 
     def __init__(self, tag: str, parent: "Node | None", outside: bool):
         self.tag, self.parent, self.outside = tag, parent, outside
         self.within = tag in ("article", "main") or (parent is not None and parent.within)
         self.link = tag == "a" or (parent is not None and parent.link)
         self.children: list = []
+        self.href: str | None = None
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
 
 
+class Open:
+    """The open elements, and for each tag how deep they are, so that no end tag has to look through them all."""
+
+    def __init__(self, root: Node):
+        self.stack, self.depths, self.blocks = [root], {}, []
+
+    def last(self, tag: str) -> int:
+        """How deep the innermost open element of this tag is; 0 if none is open."""
+        depths = self.depths.get(tag)
+        return depths[-1] if depths else 0
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, depth: int) -> None:
+        """Close the element at ``depth`` and all within."""
+        while len(self.stack) > depth:
+            tag = self.stack.pop().tag
+            self.depths[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+    def end(self, tag: str) -> bool:
+        depth = self.last(tag)
+        if depth and (tag in BLOCKS or not self.blocks or self.blocks[-1] < depth):  # an inline end tag doesn't close blocks
+            self.close(depth)
+            return True
+        return False
+
+    def begin(self, tag: str) -> None:
+        """Close what a new element of this tag closes."""
+        if tag in ENDS_P and self.blocks and self.stack[self.blocks[-1]].tag == "p":
+            self.close(self.blocks[-1])
+        if tag in CLOSES:
+            closed, border = CLOSES[tag]
+            limit = max(map(self.last, border))
+            inside = [d[bisect_right(d, limit)] for d in map(self.depths.get, closed) if d and d[-1] > limit]
+            if inside:
+                self.close(min(inside))
+
+
 def parse(page: str) -> Node:
     """The page's tree: children are nodes and strings. Comments, scripts, styles and the like are left out."""
     root = Node("body", None, False)
-    now, hidden = root, 0
+    open_ = Open(root)
     for m in TOKEN.finditer(page):
         raw, closing, tag, attributes = m.group(1), m.group(3), m.group(4), m.group(5)
+        now = open_.stack[-1]
         if tag is None:
             piece = m.group()
             if raw is not None and raw.lower() in TEXT_ONLY:
@@ -92,40 +155,21 @@ def parse(page: str) -> Node:
         if tag in ("html", "body"):
             continue
         if closing:
-            at = now
-            while at is not root and at.tag != tag:
-                if tag not in BLOCKS and at.tag in BLOCKS:  # an inline end tag doesn't close blocks
-                    at = root
-                    break
-                at = at.parent
-            if at is not root:
-                now = at.parent
-            elif tag in ("p", "br"):
+            if not open_.end(tag) and tag in ("p", "br"):
                 now.children.append(Node("br", now, now.outside))
             continue
-        if tag in ENDS_P:
-            at = now
-            while at is not root and at.tag != "p" and at.tag not in BLOCKS:
-                at = at.parent
-            if at.tag == "p":
-                now = at.parent
-        if tag in CLOSES:
-            closed, border = CLOSES[tag]
-            at, last = now, None
-            while at is not root and at.tag not in border:
-                last = at if at.tag in closed else last
-                at = at.parent
-            if last is not None:
-                now = last.parent
+        open_.begin(tag)
+        now = open_.stack[-1]
         # A header belongs to what it stands in: to an article with its heading, or else to the page.
         outside = now.outside or tag in OUTSIDE or (tag == "header" and not now.within)
         if not outside and attributes:
-            words = [w.lower() for g in NAMES.findall(attributes) for w in WORD.findall(" ".join(g))]
-            outside = not MARKS.isdisjoint(words) or ("header" in words and not now.within)
+            outside = any(marked(name, now.within) for g in NAMES.findall(attributes) for name in g if name)
         node = Node(tag, now, outside)
+        if tag == "a" and (h := HREF.search(attributes)):
+            node.href = html.unescape(h.group(1) or h.group(2) or h.group(3) or "")
         now.children.append(node)
         if tag not in VOID and not attributes.endswith("/"):
-            now = node
+            open_.push(node)
     return root
 
 
@@ -251,9 +295,9 @@ def all_text(page: str | None) -> tuple[str, list[str], str]:
     """The text of a whole page, where its links lead, and its title; for archives."""
     if not page:
         return "", [], ""
-    links = [html.unescape(a or b or c) for a, b, c in re.findall(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", page, re.IGNORECASE)]
     root = parse(page)
     nodes = _order(root)
+    links = [n.href for n in nodes if n.href is not None]
     for node in nodes:
         node.outside = False
     title = next((n for n in nodes if n.tag == "title"), None)
