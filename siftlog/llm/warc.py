@@ -4,7 +4,10 @@
 record (JSON: source headers, title and its length, links) and a conversion record (the text of the whole page, with its
 title, menus and footers, but without scripts, styles, templates, noscript, iframe and svg elements). Both name the response in
 ``WARC-Refers-To``, and carry its target URI, date and payload digest; each has its own block digest.
-Record identifiers are name-based, so that a task that runs again makes the same records.
+Record identifiers are name-based, of page, url and payload digest, so that a task that runs again makes the same
+records. Source headers are a list, so repeated ones stay. The payload's text is decoded by the charset of its
+Content-Type header, else by the one that its first 1024 bytes name, else as UTF-8. Without a payload digest in the
+response the payload's own is carried.
 
 Edge cases: a null page has an empty payload, a null url an empty target; records that can't be read raise; repeated
 pages give repeated records; long payloads stay whole; other columns are ignored.
@@ -15,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -44,15 +48,43 @@ def make_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def header_list(lines: list[bytes], charset: str) -> list[tuple[str, str]]:
+    """Names and values of header lines in order; a line that begins with white space continues the one before it."""
+    out: list[tuple[str, str]] = []
+    for line in lines:
+        text = line.decode(charset, "replace")
+        if text[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {text.strip()}")
+        elif text:
+            name, _, value = text.partition(":")
+            out.append((name.strip(), value.strip()))
+    return out
+
+
 def read_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """The record's fields, of repeated ones the first, and its block."""
     head, _, rest = data.partition(b"\r\n\r\n")
     first, *lines = head.split(b"\r\n")
     if not first.startswith(b"WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.decode(): v.strip().decode() for k, _, v in (x.partition(b":") for x in lines)}
+    fields = dict(reversed(header_list(lines, "utf-8")))
     return fields, rest[: int(fields["Content-Length"])]
 
 
+META_CHARSET = re.compile(rb"<meta\b[^<>]*?\bcharset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.IGNORECASE)
+
+
+def decoded(payload: bytes, headers: list[tuple[str, str]]) -> str:
+    """The payload's text by its charset; an unknown one counts as UTF-8."""
+    kind = next((v for k, v in headers if k.lower() == "content-type"), "")
+    named = re.search(r"charset\s*=\s*[\"']?([^\s\"';]+)", kind, re.IGNORECASE)
+    found = named.group(1) if named else (m.group(1).decode() if (m := META_CHARSET.search(payload[:1024])) else "utf-8")
+    try:
+        return payload.decode(found, "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
+
+
 def _clean(url: str | None) -> str:
     return "".join((url or "").split())
 
@@ -62,7 +94,7 @@ def response(page_id: int | None, url: str | None, page: str | None) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     fields = [
         ("WARC-Type", "response"),
-        ("WARC-Record-ID", record_id("response", page_id, url)),
+        ("WARC-Record-ID", record_id("response", page_id, url, digest(payload))),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", _clean(url)),
         ("WARC-Payload-Digest", digest(payload)),
@@ -76,17 +108,18 @@ def derivatives(record: bytes) -> tuple[bytes, bytes]:
     """The metadata and the conversion record of a response record."""
     fields, block = read_record(record)
     head, _, payload = block.partition(b"\r\n\r\n")
-    status, *lines = head.decode("latin-1").split("\r\n")
-    headers = {k: v.strip() for k, _, v in (x.partition(":") for x in lines)}
-    text, links, title = all_text(payload.decode("utf-8", "replace"))
-    source = fields["WARC-Record-ID"]
-    kept = [("WARC-Date", fields["WARC-Date"]), ("WARC-Target-URI", fields["WARC-Target-URI"]), ("WARC-Refers-To", source), ("WARC-Payload-Digest", fields["WARC-Payload-Digest"])]
+    status, *lines = head.split(b"\r\n")
+    headers = header_list(lines, "latin-1")
+    text, links, title = all_text(decoded(payload, headers))
+    source, own = fields["WARC-Record-ID"], digest(payload)
+    named = fields.get("WARC-Payload-Digest")
+    kept = [("WARC-Date", fields["WARC-Date"]), ("WARC-Target-URI", fields.get("WARC-Target-URI", "")), ("WARC-Refers-To", source), ("WARC-Payload-Digest", named or own)]
     meta = json.dumps(
-        {"envelope": {k: v for k, v in fields.items() if k != "Content-Length"}, "status": status, "headers": headers, "payload_length": len(payload), "payload_digest_ok": digest(payload) == fields["WARC-Payload-Digest"], "links": links, "title": title, "title_length": len(title)},
+        {"envelope": {k: v for k, v in fields.items() if k != "Content-Length"}, "status": status.decode("latin-1"), "headers": headers, "payload_length": len(payload), "payload_digest_ok": named is None or own == named, "links": links, "title": title, "title_length": len(title)},
         ensure_ascii=False,
         sort_keys=True,
-    ).encode()
-    plain = text.encode()
+    ).encode("utf-8", "replace")
+    plain = text.encode("utf-8", "replace")
     return (
         make_record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", source)), *kept, ("WARC-Block-Digest", digest(meta)), ("Content-Type", "application/json")], meta),
         make_record([("WARC-Type", "conversion"), ("WARC-Record-ID", record_id("conversion", source)), *kept, ("WARC-Block-Digest", digest(plain)), ("Content-Type", "text/plain; charset=utf-8")], plain),
