@@ -2,16 +2,17 @@
 
 Training counts the n-grams (1 to 3 characters, lower case) of every labelled text in 2^16 hashed features for each
 language; the matrix of log probabilities, of fixed width and as many rows as there are languages, is broadcast and
-batches are scored in numpy from the features they have.
+batches are scored in numpy from the features they have: the matrix rows of a whole batch's features are gathered and
+summed text by text, a bounded number of features at a time. More than ``MOST_LANGS`` languages raise an error, since the
+broadcast matrix grows with them.
 
-Edge cases: a text that is null or has no letter is ``und`` with score 0; without any labelled text all are; texts are
+Edge cases: a text that is null or has no letter (Unicode category L) is ``und`` with score 0; without any labelled text all are; texts are
 counted and scored whole; languages that tie go to the first by name; rows without a language teach nothing; repeated
 rows count each time; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,8 @@ from siftlog.llm.common import bounded_batches
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
-LETTER = re.compile(r"[^\W\d_]")
+MOST_LANGS = 1000  # the matrix has 256 KiB for each
+AT_ONCE = 1 << 18  # features whose rows of the matrix are gathered at once
 
 
 @dataclass(frozen=True)
@@ -74,6 +76,8 @@ def train(labelled: DataFrame) -> LanguageModel:
     rows = known.mapInArrow(count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
     names, feature, n = rows["lang"].to_pylist(), rows["feature"].to_numpy(), rows["n"].to_numpy()
     langs = tuple(sorted(set(names)))
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"{len(langs)} languages; the model holds {MOST_LANGS} at most")
     at = np.array([langs.index(x) for x in names], np.int64)
     counts, prior = np.zeros((FEATURES, len(langs))), np.zeros(len(langs))
     gram = feature >= 0
@@ -83,6 +87,17 @@ def train(labelled: DataFrame) -> LanguageModel:
     return LanguageModel(langs, log_prob.astype(np.float32), np.log(prior / max(prior.sum(), 1)) if len(langs) else prior)
 
 
+def summed_rows(matrix: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """For each array of row numbers the sum of these rows of ``matrix``."""
+    out = np.zeros((len(rows), matrix.shape[1]))
+    flat, which = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    for at in range(0, len(flat), AT_ONCE):
+        w = which[at : at + AT_ONCE]
+        begin = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        out[w[begin]] += np.add.reduceat(matrix[flat[at : at + AT_ONCE]], begin, axis=0, dtype=np.float64)
+    return out
+
+
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred and score (the posterior probability) of every document."""
     spark = docs.sparkSession
@@ -92,18 +107,14 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            langs, scores = [], []
-            for text in batch.column(1).to_pylist():
-                if text is None or not m.langs or not LETTER.search(text):
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                f = features(text)
-                total = m.prior + sum(m.log_prob[f[i : i + 65536]].sum(0, dtype=np.float64) for i in range(0, len(f), 65536))
-                p = np.exp(total - total.max())
-                best = int(p.argmax())
-                langs.append(m.langs[best])
-                scores.append(float(p[best] / p.sum()))
+            texts = batch.column(1).to_pylist()
+            known = [i for i, t in enumerate(texts) if t and m.langs and any(map(str.isalpha, t))]
+            langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+            if known:
+                total = m.prior + summed_rows(m.log_prob, [features(texts[i]) for i in known])
+                p = np.exp(total - total.max(1, keepdims=True))
+                for i, best, share in zip(known, p.argmax(1).tolist(), (p.max(1) / p.sum(1)).tolist(), strict=True):
+                    langs[i], scores[i] = m.langs[best], share
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, lang_pred string, score double")

@@ -726,3 +726,114 @@ def test_equal_items_each_have_their_rows(spark):
     bench = spark.createDataFrame([(i, prose(1, 30) if i < 40 else prose(i, 30)) for i in range(50)], "item_id long, text string")
     got = decontaminate.leaks(spark.createDataFrame([(1, prose(1, 30)), (2, prose(77, 30))], "doc_id long, text string"), bench).collect()
     assert sorted((x["doc_id"], x["item_id"]) for x in got) == [(1, i) for i in range(40)]
+
+
+# --- awkward pages, records, tokenizers and letters ---
+
+
+@pytest.mark.parametrize("name", ["market-share", "related-work", "shareholders", "comment-policy-review", "notice-of-meeting", "addition", "social-history"])
+def test_names_that_only_hold_a_marking_word_stay(name):
+    page = f"<article><p>{sentences(1, 30)}</p><section class='{name}'><p>{sentences(2, 30)}</p></section></article>"
+    assert html_text.main_text(page) == f"{sentences(1, 30)}\n{sentences(2, 30)}"
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-banner", "share-buttons", "relatedPosts", "comments", "comment-list", "sidebar left", "cookie_notice", "site-footer", "main-nav", "newsletter-signup", "adBox"])
+def test_names_of_what_is_no_article_go(name):
+    page = f"<article><p>{sentences(1, 30)}</p><div class='{name}'><p>{sentences(2, 30)}</p></div></article>"
+    assert html_text.main_text(page) == sentences(1, 30)
+
+
+def test_bad_pages_take_linear_time():
+    import time
+
+    def seconds(page):
+        begin = time.perf_counter()
+        html_text.main_text(page)
+        html_text.all_text(page)
+        return time.perf_counter() - begin
+
+    kinds = {
+        "nested with stray ends": lambda n: "<b>" * n + "x</i>" * n,
+        "stray ends below a block": lambda n: "<i><div>" + "<b>" * n + "x</i>" * n,
+        "blocks in inline": lambda n: "<b>" * n + "<div>x</div>" * n,
+        "items in inline": lambda n: "<ul>" + "<b>" * n + "<li>x" * n,
+        "unclosed tags": lambda n: "<a " * n,
+        "unclosed declarations": lambda n: "<!x " * n,
+        "quotes": lambda n: "<a '\"" * n,
+        "deep": lambda n: "<div>" * n + "text",
+    }
+    for kind, make in kinds.items():
+        few, many = min(seconds(make(4000)) for _ in range(2)), min(seconds(make(32_000)) for _ in range(2))
+        assert many < 24 * few + 0.5, (kind, few, many)
+
+
+def warc_response(payload: bytes, http: list[str], fields: list[tuple[str, str]]) -> bytes:
+    return warc.make_record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Date", warc.DATE), *fields], "\r\n".join(["HTTP/1.1 200 OK", *http]).encode("latin-1") + b"\r\n\r\n" + payload)
+
+
+def test_source_headers_and_charsets_are_kept():
+    meta, plain = (warc.read_record(x) for x in warc.derivatives(warc_response(b"<p>caf\xe9</p>", ["Set-Cookie: a=1", "Set-Cookie: b=2", "Content-Type: text/html; charset=ISO-8859-1", "X-Long: one", "  two"], [])))
+    seen = json.loads(meta[1])
+    assert seen["headers"] == [["Set-Cookie", "a=1"], ["Set-Cookie", "b=2"], ["Content-Type", "text/html; charset=ISO-8859-1"], ["X-Long", "one two"]]
+    assert plain[1].decode() == "café" and plain[0]["WARC-Payload-Digest"] == warc.digest(b"<p>caf\xe9</p>") and seen["payload_digest_ok"]
+    named = warc_response("<meta charset='windows-1251'><p>ж</p>".encode("windows-1251"), ["Content-Type: text/html"], [("WARC-Payload-Digest", "sha1:WRONG")])
+    meta, plain = (warc.read_record(x) for x in warc.derivatives(named))
+    assert plain[1].decode() == "ж" and not json.loads(meta[1])["payload_digest_ok"] and plain[0]["WARC-Payload-Digest"] == "sha1:WRONG"
+    odd = warc.derivatives(warc_response(b"<p>x</p>", ["Content-Type: text/html; charset=no-such"], []))
+    assert warc.read_record(odd[1])[1] == b"x"
+
+
+def test_captures_of_one_page_have_their_own_identifiers(spark):
+    rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>b</p>"), (1, "u", "<p>a</p>")]
+    got = warc.digests(warc.derive(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string")))).collect()
+    assert len(got) == 3 and len({r["response_id"] for r in got}) == 2 and len({r["conversion_id"] for r in got}) == 2
+    nothing = spark.createDataFrame([], "page_id long, url string, html string, record string")
+    assert warc.digests(warc.derive(warc.responses(nothing))).count() == 0
+
+
+def test_numerals_are_no_letters(spark):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["² ½ ①", "Ⅷ", "x", "ª", "12 34", "名"])], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
+    assert got == {0: "und", 1: "und", 2: "en", 3: "en", 4: "und", 5: "en"}
+
+
+def test_language_matches_brute_force(spark):
+    made = [(i, prose(i, 40).replace("a", "ä") if i % 2 else prose(i, 40), ("en", "xx")[i % 2]) for i in range(60)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identified(docs).collect()}
+    taught = [(t, lang) for i, t, lang in made if zlib.crc32(str(i).encode()) % 4 != 2]
+    counts = {lang: Counter(f for t, x in taught if x == lang for f in langid.features(t).tolist()) for lang in ("en", "xx")}
+    for i, t, _ in made:
+        score = {}
+        for lang, c in counts.items():
+            n = sum(c.values()) + langid.SMOOTHING * langid.FEATURES
+            score[lang] = np.log(sum(x == lang for _, x in taught) / len(taught)) + sum(np.log((c[f] + langid.SMOOTHING) / n) for f in langid.features(t).tolist())
+        best = max(sorted(score), key=score.get)
+        assert got[i]["lang_pred"] == best and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert got[i]["score"] == pytest.approx(1 / sum(np.exp(v - score[best]) for v in score.values()), abs=1e-3)
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    cased = Tokenizer(models.BPE(vocab={c: i for i, c in enumerate(sorted({*"ABCabc ĠtheTHE", *pre_tokenizers.ByteLevel.alphabet()}))}, merges=[]))
+    cased.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    cased.save(str(tmp_path / "t.json"))
+    encoder = sstable.WordEncoder(str(tmp_path / "t.json"))
+    text = "The abc  ABC"
+    assert np.frombuffer(encoder.encode([text])[0], encoder.type).tolist() == cased.encode(text).ids
+    assert encoder.whole and not sstable.WordEncoder.get(sstable.default_tokenizer()).whole
+
+
+def test_each_shard_has_a_task(spark):
+    docs = spark.createDataFrame([(i, prose(i, 300)) for i in range(400)], "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = sstable.write_shards(docs, sstable.default_tokenizer(), 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = [r["p"] for r in sstable.read_digests(manifest).select(F.spark_partition_id().alias("p")).distinct().collect()]
+    assert len(parts) == manifest.count() > 1
