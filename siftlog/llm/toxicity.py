@@ -2,8 +2,10 @@
 
 Two character models of order 5, one of toxic and one of ordinary texts, have their own counts of the highest order
 and share the backoff counts below it (in how many contexts a shorter run occurs), so that a rare expression that
-neither class knows well says nothing. A document's value is the difference of both log-likelihoods for each
-character, where it exceeds a margin; a logistic function of it, fitted on labelled rows that the models haven't seen, is the score.
+neither class knows well says nothing. Log-likelihoods are normalised by length: a stretch of text has the difference of
+both for each symbol. A document's value is the largest one of all its stretches of ``STRETCH`` symbols (the whole text,
+if that is shorter), so a few toxic words count alike in short and long texts. A logistic function of the value, fitted on
+labelled rows that the models haven't seen, is the score.
 
 Characters are folded to 28 symbols (letters without accents, other letters hashed to them, all else one boundary),
 so all tables have a fixed size, 28^5 at most. Counts are of all labelled training texts.
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlog.llm.common import bounded_batches, staged
@@ -30,9 +32,8 @@ from siftlog.llm.langid import remainder
 SYMBOLS = 28
 ORDER = 5
 GRAMS = SYMBOLS**ORDER
-DISCOUNT = 0.75
-#: A symbol counts by how far its log ratio exceeds this; smaller differences are noise that a long text sums up.
-MARGIN = 0.5
+DISCOUNT = 0.9  # of a run seen once a tenth counts, so that rare expressions rest on the shared counts
+STRETCH = 12  # symbols, about two words
 FULL = 4_000_000  # grams that a task holds before it sums them up
 
 _table = None
@@ -93,9 +94,14 @@ def count_grams(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     part = a[i : i + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(part), pa.int32()), pa.array(part), pa.array(b[i : i + (1 << 16)])], names=["toxic", "gram", "n"])
 
-    rows = labelled.mapInArrow(count, "toxic int, gram long, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n")).toArrow()
+    def most(column: Column) -> Column:
+        return F.least(F.sum(column), F.lit(2**31 - 1)).cast("int")
+
+    counted = labelled.mapInArrow(count, "toxic int, gram long, n long").groupBy(F.col("gram").cast("int").alias("gram"))
+    rows = counted.agg(most(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("o"), most(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t")).toArrow()
     out = np.zeros((2, GRAMS), np.int32)
-    out[rows["toxic"].to_numpy(), rows["gram"].to_numpy()] = np.minimum(rows["n"].to_numpy(), 2**31 - 1)
+    for i, name in enumerate(("o", "t")):
+        out[i, rows["gram"].to_numpy()] = rows[name].to_numpy()
     return out[0], out[1]
 
 
@@ -126,22 +132,24 @@ def _smoothed(counts: np.ndarray, backoff: np.ndarray) -> np.ndarray:
 
 
 def log_ratio(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """For each 5-gram how much likelier, in logarithms, its last symbol is in toxic texts, beyond ``MARGIN``.
-
-    The ordinary model backs off to the shared continuation counts, the toxic one, which has seen far less, to the
-    shared counts of both classes, which themselves back off to the continuation counts.
-    """
+    """For each 5-gram how much likelier, in logarithms, its last symbol is in toxic texts. Both models share the backoff."""
     backoff = shared_backoff(ordinary, toxic).reshape(-1, SYMBOLS)
     out = np.zeros(GRAMS, np.float16)
     step = GRAMS // SYMBOLS
     for i in range(SYMBOLS):
         part = slice(i * step, (i + 1) * step)
-        both = _smoothed(ordinary[part] + toxic[part], backoff)
-        ratio = np.log(np.maximum(_smoothed(toxic[part], both), 1e-12)) - np.log(np.maximum(_smoothed(ordinary[part], backoff), 1e-12))
-        out[part] = np.maximum(ratio.ravel() - MARGIN, 0)
+        out[part] = np.log(_smoothed(toxic[part], backoff) / _smoothed(ordinary[part], backoff)).ravel()
     return out
 
 
+def largest_mean(ratio: np.ndarray) -> float:
+    """The largest mean of ``STRETCH`` neighbours, or of all if there are fewer."""
+    if len(ratio) <= STRETCH:
+        return float(ratio.mean()) if len(ratio) else 0.0
+    total = np.append(0.0, np.cumsum(ratio))
+    return float((total[STRETCH:] - total[:-STRETCH]).max() / STRETCH)
+
+
 @dataclass(frozen=True)
 class Calibration:
     slope: float
@@ -149,17 +157,14 @@ class Calibration:
 
 
 def values(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """doc_id and the difference of both log-likelihoods, beyond the margin, for each character."""
+    """doc_id and the largest difference of both log-likelihoods for each symbol in a stretch of the text."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ratio)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                g = grams(text)
-                out.append(float(table[g].sum(dtype=np.float64) / len(g)) if len(g) else 0.0)
+            out = [largest_mean(table[grams(text)].astype(float)) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "value"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, value double")

@@ -837,3 +837,39 @@ def test_each_shard_has_a_task(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     parts = [r["p"] for r in sstable.read_digests(manifest).select(F.spark_partition_id().alias("p")).distinct().collect()]
     assert len(parts) == manifest.count() > 1
+
+
+def test_toxicity_matches_brute_force():
+    texts = [(prose(i, 12) + (" zurkwit blegoph" if i % 2 else ""), i % 2) for i in range(6)]
+    counts = [Counter(), Counter()]
+    ordinary, toxic = np.zeros(toxicity.GRAMS, np.int32), np.zeros(toxicity.GRAMS, np.int32)
+    for text, label in texts:
+        g = toxicity.grams(text)
+        np.add.at(toxic if label else ordinary, g, 1)
+        counts[label].update(g.tolist())
+    symbols = lambda g: tuple(g // toxicity.SYMBOLS**k % toxicity.SYMBOLS for k in range(4, -1, -1))
+    grams = [{symbols(g): n for g, n in c.items()} for c in counts]
+    seen = {5: set(grams[0]) | set(grams[1])}
+    before = {}
+    for k in (4, 3, 2, 1):  # in how many contexts a run of k symbols occurs
+        before[k] = Counter(run[1:] for run in seen[k + 1])
+        seen[k] = set(before[k])
+    d, size = toxicity.DISCOUNT, toxicity.SYMBOLS
+
+    def smoothed(table, run, lower):
+        rest = {r[-1]: n for r, n in table.items() if r[:-1] == run[:-1]}
+        total = sum(rest.values())
+        return lower if not total else (max(rest.get(run[-1], 0) - d, 0) + d * len(rest) * lower) / total
+
+    def backoff(run):
+        return smoothed(before[len(run)], run, backoff(run[1:]) if len(run) > 1 else 1 / size)
+
+    ratio = toxicity.log_ratio(ordinary, toxic)
+    for g in [*list(counts[0])[:60], *list(counts[1])[-60:], 5, 123_456, 7_000_000]:
+        run = symbols(g)
+        shared = backoff(run[1:])
+        assert float(ratio[g]) == pytest.approx(np.log(smoothed(grams[1], run, shared) / smoothed(grams[0], run, shared)), abs=5e-3, rel=2e-3)
+    for n in (0, 1, 7, 12, 13, 200):
+        v = np.random.default_rng(n).normal(size=n)
+        want = max((np.mean(v[i : i + 12]) for i in range(max(1, n - 11))), default=0.0) if n else 0.0
+        assert toxicity.largest_mean(v) == pytest.approx(want)
