@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siftlog.functions.text import stripped
+from siftlog.functions.text import bound, stripped
 
 OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"^{OCTET}(\.{OCTET}){{3}}$"
@@ -25,37 +25,40 @@ PRIVATE_V6 = r"^(::1?$|::ffff:|64:ff9b:1:|100::|2001:(0{0,3}[0-9a-f]{1,2}|0?1[0-
 
 def port_bucket(value: Column) -> Column:
     """missing, invalid, out_of_range, well_known, registered or ephemeral; decimals are cut."""
-    text = stripped(value)
-    number = text.try_cast("double")
-    port = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number))
-    return (
-        F.when(text == "", "missing")
-        .when(number.isNull() | F.isnan(number) | (F.abs(number) > 1e18), "invalid")
-        .when((port < 0) | (port > 65535), "out_of_range")
-        .when(port <= 1023, "well_known")
-        .when(port <= 49151, "registered")
-        .otherwise("ephemeral")
-    )
+
+    def bucket(n: Column) -> Column:
+        number, port = n["number"], F.when(n["number"] < 0, F.ceil(n["number"])).otherwise(F.floor(n["number"]))
+        return (
+            F.when(n["text"] == "", "missing")
+            .when(number.isNull() | F.isnan(number) | (F.abs(number) > 1e18), "invalid")
+            .when((port < 0) | (port > 65535), "out_of_range")
+            .when(port <= 1023, "well_known")
+            .when(port <= 49151, "registered")
+            .otherwise("ephemeral")
+        )
+
+    return bound(stripped(value), lambda text: bound(F.struct(text.alias("text"), text.try_cast("double").alias("number")), bucket))
 
 
 def port_class(value: Column) -> Column:
     """none, wellknown, registered or ephemeral; only whole numbers count."""
-    text = stripped(value)
-    port = F.when(text.rlike("^[0-9]+$"), F.regexp_replace(text, "^0+(?=[0-9])", ""))
-    long = F.length(port) > 5
-    number = F.when(~long, port).try_cast("int")
-    return F.when(port.isNull(), "none").when(long, "ephemeral").when(number < 1024, "wellknown").when(number < 49152, "registered").otherwise("ephemeral")
+
+    def named(port: Column) -> Column:
+        long = F.length(port) > 5
+        number = F.when(~long, port).try_cast("int")
+        return F.when(port.isNull(), "none").when(long, "ephemeral").when(number < 1024, "wellknown").when(number < 49152, "registered").otherwise("ephemeral")
+
+    digits = lambda text: F.when(text.rlike("^[0-9]+$"), F.regexp_replace(text, "^0+(?=[0-9])", ""))
+    return bound(stripped(value), lambda text: bound(digits(text), named))
 
 
 def ip_prefix(value: Column) -> Column:
     """The first three octets, missing or non_ipv4."""
-    text = stripped(value)
-    return F.when(text == "", "missing").when(text.rlike(IPV4), F.substring_index(text, ".", 3)).otherwise("non_ipv4")
+    return bound(stripped(value), lambda text: F.when(text == "", "missing").when(text.rlike(IPV4), F.substring_index(text, ".", 3)).otherwise("non_ipv4"))
 
 
 def value_kind(value: Column) -> Column:
-    text = stripped(value)
-    return F.when(text == "", "missing").when(text.rlike(IPV4), "ipv4").when(text.rlike(IPV6), "ipv6").otherwise("other")
+    return bound(stripped(value), lambda text: F.when(text == "", "missing").when(text.rlike(IPV4), "ipv4").when(text.rlike(IPV6), "ipv6").otherwise("other"))
 
 
 def ipv4_number(text: Column) -> Column:
@@ -72,13 +75,17 @@ def _within(number: Column, network: str) -> Column:
 
 def ip_kind(value: Column) -> Column:
     """none, other, cgnat, private or public."""
-    text = stripped(value)
-    number = ipv4_number(text)
-    special = F.lit(False)
-    for network in PRIVATE_V4:
-        special = special | _within(number, network)
-    for network in GLOBAL_V4:
-        special = special & ~_within(number, network)
-    v4 = F.when(_within(number, "100.64.0.0/10"), "cgnat").when(special, "private").otherwise("public")
-    v6 = F.when(F.lower(text).rlike(PRIVATE_V6), "private").otherwise("public")
-    return F.when(text == "", "none").when(text.rlike(IPV4), v4).when(text.rlike(IPV6), v6).otherwise("other")
+
+    def v4(number: Column) -> Column:
+        special = F.lit(False)
+        for network in PRIVATE_V4:
+            special = special | _within(number, network)
+        for network in GLOBAL_V4:
+            special = special & ~_within(number, network)
+        return F.when(_within(number, "100.64.0.0/10"), "cgnat").when(special, "private").otherwise("public")
+
+    def kind(text: Column) -> Column:
+        v6 = F.when(F.lower(text).rlike(PRIVATE_V6), "private").otherwise("public")
+        return F.when(text == "", "none").when(text.rlike(IPV4), bound(ipv4_number(text), v4)).when(text.rlike(IPV6), v6).otherwise("other")
+
+    return bound(stripped(value), kind)

@@ -65,6 +65,7 @@ VERDICT_WORD = r"(?i)\b(?:deny|denied|drop|dropped|reject|rejected|block|blocked
 BLOCK_WORD = r"(?i)^(?:deny|denied|drop|dropped|reject|rejected|block|blocked)$"
 KEY_BEFORE = r"""([A-Za-z_][A-Za-z0-9_-]*)[\\"']*\s*[=:]\s*[\\"']*$"""
 SANITIZED_KEY = rf"^(?:{SANITIZER})(?:-[0-9]+)+$"
+BLANK = r"\A\z"  # a default can take an empty text's place without a second use of the text
 VERDICT_KEYS = ("action", "act", "decision", "disposition", "verdict")
 
 
@@ -73,6 +74,11 @@ def stripped(value: Column) -> Column:
     return F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"^\s+|\s+$", "")
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` evaluated once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _apply(text: Column, steps) -> Column:
     for pattern, to in steps:
         text = F.regexp_replace(text, pattern, to)
@@ -88,16 +94,14 @@ def _kinds(text: Column, prefix: str, suffix: str, lower: bool, marked: str) ->
 
 def clean_token(value: Column) -> Column:
     """One token: white space and other characters as underscores, none at the ends; blank is ``missing``."""
-    text = stripped(value)
-    text = F.when(text == "", "missing").otherwise(text)
+    text = F.regexp_replace(stripped(value), BLANK, "missing")
     text = F.regexp_replace(F.regexp_replace(text, r"\s+", "_"), r"[^0-9A-Za-z_.:/=@+-]+", "_")
-    text = F.regexp_replace(text, "^_+|_+$", "")
-    return F.when(text == "", "missing").otherwise(text)
+    return F.regexp_replace(F.regexp_replace(text, "^_+|_+$", ""), BLANK, "missing")
 
 
 def slug(value: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(F.lower(stripped(value)), "[^0-9A-Za-z]+", "_"), "^_+|_+$", "")
-    return F.when(text == "", "none").otherwise(text)
+    return F.regexp_replace(text, BLANK, "none")
 
 
 def normalized(message: Column) -> Column:

@@ -33,17 +33,19 @@ def _shape(df: DataFrame) -> list[Column]:
 
 
 def content_document(df: DataFrame) -> Column:
-    message = text.normalized(text_or_empty(df, "message_sanitized"))
-    return squeezed([*_shape(df), _named("message_empty", F.when(message == "", "yes").otherwise("no")), message])
+    return squeezed([*_shape(df), _message(text.normalized(text_or_empty(df, "message_sanitized")))])
+
+
+def _message(view: Column) -> Column:
+    return text.bound(view, lambda m: F.concat_ws(" ", _named("message_empty", F.when(m == "", "yes").otherwise("no")), m))
 
 
 def timefree_document(df: DataFrame) -> Column:
     """No digit but 0 and no calendar word comes from the message, so no time can leak; with the firewall's verdict."""
     raw = text_or_empty(df, "message_sanitized")
-    verdict, message = text.firewall_verdict(raw), text.timefree(raw)
     state = F.when(text.stripped(text_or_empty(df, "vendor_name")) == "", "missing").otherwise("present")
-    parts = [_named("fw_action", verdict), _named("fw_action_vendor", F.concat_ws("_", verdict, state))]
-    return squeezed([*_shape(df), *parts, _named("message_empty", F.when(message == "", "yes").otherwise("no")), message])
+    action = text.bound(text.firewall_verdict(raw), lambda v: F.concat_ws(" ", _named("fw_action", v), _named("fw_action_vendor", F.concat_ws("_", v, state))))
+    return squeezed([*_shape(df), action, _message(text.timefree(raw))])
 
 
 def classifier_document(df: DataFrame) -> Column:

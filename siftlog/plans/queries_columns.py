@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from siftlog.functions import net, text, time
 from siftlog.operators import documents
+from siftlog.plans import views_sql
 from siftlog.plans.registry import SOURCE, VERDICT_SQL, query
-from siftlog.schema import EVENTS_SQL, security_events
+from siftlog.schema import CATEGORICALS, EVENTS_SQL, security_events
 from siftlog.sources import io
 
 EV = f"WITH {EVENTS_SQL} "
@@ -55,11 +56,7 @@ def _(spark, sf):
 
 def _scratch(spark) -> str:
     """A new folder that driver and executors share."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siftlog-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return io.scratch(spark)
 
 
 @query("s6_prediction_csv_round_trip", EV + "SELECT event_id, label_binary AS pred_label FROM ev")
@@ -74,11 +71,11 @@ def _(spark, sf):
     return io.derived(spark, _scratch(spark), lambda: _events(spark, sf).select("event_id", text.firewall_verdict(F.col("message_sanitized")).alias("verdict")))
 
 
-@query("s9_reply_cache", "SELECT cast(conv_id AS string) AS key, max_by(text, turn) AS text FROM conversations WHERE turn < 3 GROUP BY conv_id")
+@query("s9_reply_cache", "SELECT cast(conv_id AS string) AS key, max_by(text, turn) AS text FROM conversations GROUP BY conv_id")
 def _(spark, sf):
     from siftlog.operators import requests
 
-    rows = io.read_parquet(spark, f"{sf}/conversations.parquet").where("turn < 3").select(F.col("conv_id").cast("string").alias("key"), "turn", "text")
+    rows = io.read_parquet(spark, f"{sf}/conversations.parquet").select(F.col("conv_id").cast("string").alias("key"), "turn", "text")
     path = _scratch(spark)
     rows.write.mode("append").json(path)
     return requests.newest(spark.read.schema("key string, turn long, text string").json(path), "turn").select("key", "text")
@@ -120,9 +117,13 @@ def _(spark, sf):
     return _events(spark, sf).select("event_id", net.value_kind(F.col("dst_ip")).alias("kind"))
 
 
-@query("p5_ip_kind", EV + f"SELECT event_id, CASE WHEN dst_ip = '' THEN 'none' WHEN starts_with(dst_ip, '100.64.') THEN 'cgnat' WHEN dst_ip = 'fe80::1' THEN 'private' WHEN {_V4} THEN 'public' ELSE 'other' END AS kind, 'private' AS src_kind FROM ev")
+#: Addresses of all classes.
+_MIXED = "concat(1 + eid % 254, '.', (eid * 7) % 256, '.', eid % 3, '.', (eid * 11) % 256)"
+
+
+@query("p5_ip_kind", EV + f"SELECT event_id, {views_sql.ip_kind('dst_ip')} AS kind, {views_sql.ip_kind('src_ip')} AS src_kind, {views_sql.ip_kind(_MIXED)} AS mixed_kind FROM ev")
 def _(spark, sf):
-    return _events(spark, sf).select("event_id", net.ip_kind(F.col("dst_ip")).alias("kind"), net.ip_kind(F.col("src_ip")).alias("src_kind"))
+    return _events(spark, sf).select("event_id", net.ip_kind(F.col("dst_ip")).alias("kind"), net.ip_kind(F.col("src_ip")).alias("src_kind"), net.ip_kind(F.expr(_MIXED)).alias("mixed_kind"))
 
 
 _CLEAN = "regexp_replace(regexp_replace(regexp_replace(CASE WHEN trim(coalesce(product_name,'')) = '' THEN 'missing' ELSE trim(product_name) END, '\\s+', '_', 'g'), '[^0-9A-Za-z_.:/=@+-]+', '_', 'g'), '^_+|_+$', '', 'g')"
@@ -146,12 +147,12 @@ def _(spark, sf):
     return _events(spark, sf).select("event_id", *[v.alias(k) for k, v in time.time_parts(F.col("timestamp")).items()])
 
 
-@query("p9_normalized_message")
+@query("p9_normalized_message", EV + f"SELECT event_id, {views_sql.normalized()} AS message FROM ev")
 def _(spark, sf):
     return _events(spark, sf).select("event_id", text.normalized(F.col("message_sanitized")).alias("message"))
 
 
-@query("p10_timefree_message")
+@query("p10_timefree_message", EV + f"SELECT event_id, {views_sql.timefree()} AS message FROM ev")
 def _(spark, sf):
     return _events(spark, sf).select("event_id", text.timefree(F.col("message_sanitized")).alias("message"))
 
@@ -161,22 +162,22 @@ def _(spark, sf):
     return _events(spark, sf).select("event_id", text.firewall_verdict(F.col("message_sanitized")).alias("verdict"))
 
 
-@query("p12_classifier_view")
+@query("p12_classifier_view", EV + f"SELECT event_id, {views_sql.classifier_view()} AS message FROM ev")
 def _(spark, sf):
     return _events(spark, sf).select("event_id", text.classifier_view(F.col("message_sanitized")).alias("message"))
 
 
-@query("p13_reader_view")
+@query("p13_reader_view", EV + f"SELECT event_id, {views_sql.reader_view()} AS message FROM ev")
 def _(spark, sf):
     return _events(spark, sf).select("event_id", text.reader_view(F.col("message_sanitized")).alias("message"))
 
 
-@query("p14_probe_view")
+@query("p14_probe_view", EV + f"SELECT event_id, {views_sql.probe_view()} AS message FROM ev")
 def _(spark, sf):
     return _events(spark, sf).select("event_id", text.probe_view(F.col("message_sanitized")).alias("message"))
 
 
-@query("p15_version_free")
+@query("p15_version_free", EV + f"SELECT event_id, {views_sql.version_free('doc')} AS doc FROM ({views_sql.full_document(CATEGORICALS)})")
 def _(spark, sf):
     ev = _events(spark, sf)
     return ev.select("event_id", text.version_free(documents.full_document(ev)).alias("doc"))
@@ -195,19 +196,19 @@ def _(spark, sf):
     return ev.select("event_id", documents.full_document(ev).alias("doc"))
 
 
-@query("p17_content_document")
+@query("p17_content_document", EV + views_sql.content_document())
 def _(spark, sf):
     ev = _events(spark, sf)
     return ev.select("event_id", documents.content_document(ev).alias("doc"))
 
 
-@query("p18_timefree_document")
+@query("p18_timefree_document", VD + views_sql.timefree_document())
 def _(spark, sf):
     ev = _events(spark, sf)
     return ev.select("event_id", documents.timefree_document(ev).alias("doc"))
 
 
-@query("p19_classifier_document")
+@query("p19_classifier_document", EV + views_sql.classifier_document())
 def _(spark, sf):
     ev = _events(spark, sf)
     return ev.select("event_id", documents.classifier_document(ev).alias("doc"))
@@ -225,7 +226,7 @@ def _(spark, sf):
     return ev.select("event_id", documents.raw_document(ev).alias("doc"))
 
 
-@query("p21_reduced_document")
+@query("p21_reduced_document", EV + views_sql.full_document(("pipeline",)))
 def _(spark, sf):
     ev = _events(spark, sf)
     return ev.select("event_id", documents.full_document(ev, ("pipeline",)).alias("doc"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +53,28 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("event_id string, pred_label string").option("header", True).csv(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or a temporary one on a single machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="siftlog-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written and read back: it is computed once, however often it is used, and survives lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def derived(spark: SparkSession, path: str, make) -> DataFrame:
-    """A derived table: made and written once, then read. The committer keeps a half-written one from being seen."""
-    make().write.mode("ignore").parquet(path)
+    """A derived table: made and written once, then read. Only a folder with the committer's mark counts as finished."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
