@@ -158,23 +158,21 @@ def version_free(doc: Column) -> Column:
 def firewall_verdict(message: Column) -> Column:
     """block, allow or none. A word that is the value of some other key than a verdict's doesn't count; block wins."""
     text = F.coalesce(message.cast("string"), F.lit(""))
-    found = F.regexp_extract_all(text, F.lit(VERDICT_WORD), F.lit(0))
-    before = F.split(text, VERDICT_WORD)
+    parts = F.struct(F.regexp_extract_all(text, F.lit(VERDICT_WORD), F.lit(0)).alias("words"), F.split(text, VERDICT_WORD).alias("before"))
 
-    def judged(words: Column) -> Column:
-        def left(i: Column) -> Column:
+    def judged(p: Column) -> Column:
+        def key(i: Column) -> Column:
             # What precedes the i-th word: all gaps and words up to it, of which the last 40 characters matter.
-            joined = F.aggregate(F.sequence(F.lit(0), i), F.lit(""), lambda acc, k: F.substring(F.concat(acc, F.get(before, k), F.when(k < i, F.get(words, k)).otherwise("")), -40, 40))
-            return joined
+            left = F.aggregate(F.sequence(F.lit(0), i), F.lit(""), lambda acc, k: F.substring(F.concat(acc, F.get(p["before"], k), F.when(k < i, F.get(p["words"], k)).otherwise("")), -40, 40))
+            return F.regexp_extract(left, KEY_BEFORE, 1)
 
-        def counts(i: Column) -> Column:
-            key = F.regexp_extract(left(i), KEY_BEFORE, 1)
-            return (key == "") | F.lower(key).isin(*VERDICT_KEYS) | key.rlike(SANITIZED_KEY)
+        def counts(k: Column) -> Column:
+            return (k == "") | F.lower(k).isin(*VERDICT_KEYS) | k.rlike(SANITIZED_KEY)
 
-        kept = F.filter(F.transform(words, lambda w, i: F.when(counts(i), w)), lambda w: w.isNotNull())
-        return F.when(F.exists(kept, lambda w: w.rlike(BLOCK_WORD)), "block").when(F.size(kept) > 0, "allow").otherwise("none")
+        kept = F.filter(F.transform(p["words"], lambda w, i: F.when(bound(key(i), counts), w)), lambda w: w.isNotNull())
+        return bound(kept, lambda k: F.when(F.exists(k, lambda w: w.rlike(BLOCK_WORD)), "block").when(F.size(k) > 0, "allow").otherwise("none"))
 
-    return F.when(F.size(found) == 0, "none").otherwise(judged(found))
+    return F.when(~text.rlike(VERDICT_WORD), "none").otherwise(bound(parts, judged))
 
 
 def namespaces(message: Column) -> Column:

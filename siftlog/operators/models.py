@@ -147,39 +147,35 @@ def lsa_vectors(df: DataFrame, v: np.ndarray, key: str, features: str = "feature
     return sparse.mapInPandas(project, f"`{key}` {df.schema[key].dataType.simpleString()}, vec array<float>")
 
 
-REFERENCE_BLOCK = 50_000
+SIMILARITY_BLOCK = 20_000
 
 
 def max_similarity(queries: DataFrame, reference: DataFrame, key: str, vec: str = "vec") -> DataFrame:
     """key and maxsim, the largest cosine of each query with any reference row; exact.
 
-    The reference is broadcast in blocks of a checked size, one after another; each block meets the queries where
-    they lie, as one matrix product for each batch.
+    Both sides are dealt into blocks by hash, equal reference rows once, and each pair of blocks is one matrix product
+    in one task; nothing passes through the driver.
     """
-    spark = queries.sparkSession
-    n = reference.count()
-    blocks = max(1, -(-n // REFERENCE_BLOCK))
     kind = queries.schema[key].dataType.simpleString()
-    parts = []
-    for b in range(blocks):
-        rows = reference.where(F.pmod(F.xxhash64(vec), F.lit(blocks)) == b).select(vec).toPandas()[vec]
-        block = np.array([np.asarray(x, np.float32) for x in rows], np.float32) if len(rows) else np.zeros((0, 0), np.float32)
-        if not len(block):
-            continue
-        block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-12)
-        shared = spark.sparkContext.broadcast(block)
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for part in batches:
-                q = np.array([np.asarray(x, np.float32) for x in part[vec]], np.float32).reshape(len(part), -1)
-                q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-                top = [(q[i : i + 1024] @ shared.value.T).max(1) for i in range(0, len(q), 1024)]
-                yield pd.DataFrame({key: part[key], "maxsim": np.concatenate(top).astype(float) if top else []})
-
-        parts.append(queries.select(key, vec).mapInPandas(best, f"`{key}` {kind}, maxsim double"))
-    if not parts:
-        return queries.select(key, F.lit(None).cast("double").alias("maxsim"))
-    return parts[0] if len(parts) == 1 else reduce(DataFrame.union, parts).groupBy(key).agg(F.max("maxsim").alias("maxsim"))
+    known = reference.select(F.col(vec).alias("_r")).distinct()
+    n_r, n_q = (max(1, -(-t.count() // SIMILARITY_BLOCK)) for t in (known, queries))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    asked = queries.select(key, vec, F.pmod(F.xxhash64(key), F.lit(n_q)).cast("int").alias("_q"), every(n_r, "_b"))
+    held = known.select("_r", F.pmod(F.xxhash64("_r"), F.lit(n_r)).cast("int").alias("_b"), every(n_q, "_q"))
+
+    def unit(rows: pd.Series) -> np.ndarray:
+        m = np.array([np.asarray(x, np.float32) for x in rows], np.float32).reshape(len(rows), -1)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({key: a[key], "maxsim": np.full(len(a), np.nan)})
+        q, r = unit(a[vec]), unit(b["_r"])
+        top = [(q[i : i + 1024] @ r.T).max(1) for i in range(0, len(q), 1024)]
+        return pd.DataFrame({key: a[key], "maxsim": np.concatenate(top).astype(float)})
+
+    pairs = asked.groupBy("_q", "_b").cogroup(held.groupBy("_q", "_b")).applyInPandas(best, f"`{key}` {kind}, maxsim double")
+    return pairs.groupBy(key).agg(F.max("maxsim").alias("maxsim"))
 
 
 def clusters(vectors: DataFrame, k: int, seed: int, vec: str = "features") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlog.functions.text import bound
 from siftlog.operators import decide, metrics
 from siftlog.schema import LABELS
 
@@ -50,37 +51,39 @@ def decision_cells(docs: DataFrame, misses: tuple[float, ...], rules: list[tuple
     p, q = decide.probabilities(), decide.probabilities("q_")
     per_miss = []
     for m in misses:
-        clf = decide.min_cost(p, m)
-        conf = decide.cost_confidence(p, m)
-        fused = [decide.fuse_by_cost(rule, param, clf, p, q, m).alias(f"f{i}") for i, (rule, param) in enumerate(rules)]
-        per_miss.append(
-            F.struct(
+        decided = F.struct(decide.min_cost(p, m).alias("clf"), decide.cost_confidence(p, m).alias("conf"))
+
+        def cell(d: Column, m: float = m) -> Column:
+            clf, conf = d["clf"], d["conf"]
+            return F.struct(
                 F.lit(float(m)).alias("m"),
                 clf.alias("clf"),
                 band(conf).alias("band"),
                 sum(((conf >= t).cast("int") for t in doubts), F.lit(0)).alias("doubt"),
                 sum(((F.col("maxsim") >= s).cast("int") for s in novelties), F.lit(0)).alias("novelty"),
                 F.element_at(F.col("known_pairs"), clf).alias("known_pair"),
-                *fused,
+                *[decide.fuse_by_cost(rule, param, clf, p, q, m).alias(f"f{i}") for i, (rule, param) in enumerate(rules)],
             )
-        )
+
+        per_miss.append(bound(decided, cell))
     keys = ["kind", "holdout", "truth", "answered", "m", "clf", "band", "doubt", "novelty", "known_pair", *[f"f{i}" for i in range(len(rules))]]
     long = docs.select("kind", "holdout", F.col("label").alias("truth"), "answered", F.inline(F.array(*per_miss)))
     return long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def routing_grid(cells: DataFrame, grid: DataFrame, n_rules: int) -> DataFrame:
+def routing_grid(cells: DataFrame, grid: DataFrame, n_rules: int, stage=lambda df: df) -> DataFrame:
     """For each configuration, kind and holdout the nine (estimated) counts and the share routed.
 
     ``grid``: config, m, t (how many doubts from the list a routed document must miss; its place), s, pair, unseen, rule.
     A routed document without a reply is estimated: outside cl5 the answered ones of its holdout are scaled up; else
     by how replies changed cl5 documents of its truth, decision and band, else of all bands, else of its truth.
+    ``stage`` writes and rereads the summed rows, which several of the steps use.
     """
     fused = F.element_at(F.array(F.col("clf"), *[F.col(f"f{i}") for i in range(n_rules)]), F.col("rule") + 2)
     routed = (F.col("doubt") <= F.col("t")) & (F.col("t") >= 0) | (F.col("novelty") <= F.col("s")) & (F.col("s") >= 0) | F.col("unseen") & (F.col("kind") == "loso") | F.col("pair") & ~F.col("known_pair")
     keys = ["config", "kind", "holdout", "truth", "clf", "band"]
     crossed = cells.join(F.broadcast(grid), "m").select(*keys, "n", "answered", routed.alias("routed"), fused.alias("fused"))
-    rows = crossed.groupBy(*keys, "answered", "routed", "fused").agg(F.sum("n").cast("double").alias("n"))
+    rows = stage(crossed.groupBy(*keys, "answered", "routed", "fused").agg(F.sum("n").cast("double").alias("n")))
 
     known = F.col("routed") & F.col("answered")
     sums = rows.groupBy("config", "kind", "holdout").agg(F.sum(F.when(F.col("routed"), F.col("n")).otherwise(0.0)).alias("n_routed"), F.sum(F.when(known, F.col("n")).otherwise(0.0)).alias("n_known"), F.sum("n").alias("docs"))

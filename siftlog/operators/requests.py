@@ -105,7 +105,10 @@ def override(base: DataFrame, replies: DataFrame, key: str = "event_id") -> Data
 
 
 def reply_statistics(replies: DataFrame, group: str) -> DataFrame:
-    rows = replies.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label").isNotNull()).alias("parsed"), F.percentile("output_tokens", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias("q"))
+    from siftlog.operators.sampling import percentiles
+
+    counts = replies.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label").isNotNull()).alias("parsed"))
+    rows = counts.join(percentiles(replies, group, "output_tokens", (0.5, 0.9, 0.99)), group, "left")
     return rows.select(group, "n", "parsed", F.round(F.col("parsed") / F.col("n"), 6).alias("parse_rate"), *[F.round(F.get("q", F.lit(i)), 6).alias(f"tokens_p{p}") for i, p in enumerate((50, 90, 99))])
 
 

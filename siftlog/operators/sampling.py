@@ -46,16 +46,39 @@ def ranked(df: DataFrame, groups: list[str], key: str, seed: int, keep: Column |
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*groups).orderBy("_order", key)))
 
 
+def ranked_in_parts(df: DataFrame, group: str, key: str, seed: int, rows_in_part: int = 1_000_000) -> DataFrame:
+    """As ``ranked``, with ``n`` as well, the group's rows.
+
+    Ranges of the hash are ranked apart and shifted by the counts of those before them, so no task sorts a whole group.
+    """
+    parts = max(16, -(-df.count() // rows_in_part))
+    rows = df.withColumn("_order", hash_order(key, seed)).withColumn("_part", F.floor(hash_share(F.col("_order")) * parts).cast("int"))
+    sizes = rows.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_size"))  # a row for each label and range
+    label = Window.partitionBy("_g")
+    before = F.coalesce(F.sum("_size").over(label.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = sizes.select("_g", "_p", before.alias("_before"), F.sum("_size").over(label).alias("n"))
+    inside = rows.withColumn("_in", F.row_number().over(Window.partitionBy(group, "_part").orderBy("_order", key)))
+    joined = inside.join(places, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return joined.withColumn("rn", F.col("_in") + F.col("_before")).drop("_order", "_part", "_g", "_p", "_in", "_before")
+
+
 def stratified_sample(df: DataFrame, label: str, key: str, most: int, seed: int) -> DataFrame:
     """Exactly min(most, rows) rows; only hashes that can be among the quota reach the sort."""
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # one row for each label
     quota = quotas(counts, most)
-    bound, place = F.lit(0.0), F.lit(0)
-    for k, n in quota.items():
-        # Six standard deviations over the quota's share: fewer rows than the quota are below it once in a billion times.
-        share = min(1.0, (n + 6 * n**0.5 + 20) / counts[k])
-        same = F.col(label).eqNullSafe(F.lit(k))
-        bound, place = F.when(same, F.lit(share)).otherwise(bound), F.when(same, F.lit(n)).otherwise(place)
+    # Six standard deviations over the quota's share; where rows below that are fewer all the same, as with repeated keys, it is doubled.
+    share = {k: min(1.0, (n + 6 * n**0.5 + 20) / counts[k]) for k, n in quota.items()}
+    hashed = hash_share(hash_order(key, seed))
+    while True:
+        bound, place = F.lit(0.0), F.lit(0)
+        for k, n in quota.items():
+            same = F.col(label).eqNullSafe(F.lit(k))
+            bound, place = F.when(same, F.lit(share[k])).otherwise(bound), F.when(same, F.lit(n)).otherwise(place)
+        got = {r[label]: r["count"] for r in df.where(hashed <= bound).groupBy(label).count().collect()}
+        short = [k for k, n in quota.items() if got.get(k, 0) < n and share[k] < 1]
+        if not short:
+            break
+        share |= {k: min(1.0, 2 * share[k]) for k in short}
     rows = ranked(df, [label], key, seed, hash_share(F.col("_order")) <= bound)
     return rows.where(F.col("rn") <= place).drop("rn", "_order")
 
@@ -74,14 +97,13 @@ def uniform_sample(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
 
 def holdout_split(df: DataFrame, label: str, key: str, share: float, seed: int) -> DataFrame:
     """``df`` with ``part``: the first ceil(share * n) rows of each label by hash are the holdout, one at least stays."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    rows = ranked(df, [label], key, seed).withColumn("_n", n)
-    quota = F.least(F.ceil(F.col("_n") * share), F.col("_n") - 1)
-    return rows.withColumn("part", F.when(F.col("rn") <= quota, "holdout").otherwise("train")).drop("rn", "_order", "_n")
+    rows = ranked_in_parts(df, label, key, seed)
+    quota = F.least(F.ceil(F.col("n") * share), F.col("n") - 1)
+    return rows.withColumn("part", F.when(F.col("rn") <= quota, "holdout").otherwise("train")).drop("rn", "n")
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int) -> DataFrame:
-    return ranked(df, [label], key, seed).withColumn("fold", ((F.col("rn") - 1) % k).cast("int")).drop("rn", "_order")
+    return ranked_in_parts(df, label, key, seed).withColumn("fold", ((F.col("rn") - 1) % k).cast("int")).drop("rn", "n")
 
 
 def group_folds(df: DataFrame, group: str, k: int, label: str | None = None) -> DataFrame:
@@ -112,11 +134,67 @@ def group_folds(df: DataFrame, group: str, k: int, label: str | None = None) ->
     return df.join(F.broadcast(table), group, "left").withColumn("fold", F.coalesce("_fold", tail)).drop("_fold")
 
 
+def order_statistics(df: DataFrame, value: str, wanted, group: Column | None = None, bins: int = 1024) -> dict:
+    """The values at some places (from 0) of each group's order, exactly; nulls don't count.
+
+    ``wanted``: from a group's number of values to the places asked for. Each pass counts the values of the ranges that
+    still hold a wanted place in bins and narrows these, so neither a task nor the driver holds all values. Returns
+    (group, place) to value. Groups must be few.
+    """
+    rows = df.select((group if group is not None else F.lit(0)).alias("g"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    ends = rows.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
+    open_ = {(r["g"], k): (r["lo"], r["hi"], 0) for r in ends for k in wanted(r["n"])}
+    found = {}
+    kind = rows.schema["g"].dataType.simpleString()
+    while open_:
+        found |= {t: lo for t, (lo, hi, _) in open_.items() if lo == hi}
+        open_ = {t: r for t, r in open_.items() if r[0] < r[1]}
+        if not open_:
+            break
+        ranges = df.sparkSession.createDataFrame(sorted({(g, lo, hi) for (g, _), (lo, hi, _) in open_.items()}, key=str), f"rg {kind}, lo double, hi double")
+        inside = rows.join(F.broadcast(ranges), F.col("g").eqNullSafe(F.col("rg")) & F.col("v").between(F.col("lo"), F.col("hi")))
+        place = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+        counted: dict = {}
+        for r in inside.groupBy("g", "lo", "hi", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).collect():
+            counted.setdefault((r["g"], r["lo"], r["hi"]), []).append((r["bin"], r["n"], r["least"], r["most"]))
+        for (g, k), (lo, hi, below) in open_.items():
+            for _, n, least, most in sorted(counted[g, lo, hi]):
+                if k < below + n:
+                    open_[g, k] = (least, most, below)
+                    break
+                below += n
+    return found
+
+
+def percentiles(df: DataFrame, group: str, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """``group`` (few values) and q, the interpolated percentiles of its values."""
+    sizes: dict = {}
+
+    def wanted(n: int) -> list[int]:
+        return sorted({k for p in shares for k in (int(p * (n - 1)), min(int(p * (n - 1)) + 1, n - 1))})
+
+    kind = df.schema[group].dataType.simpleString()
+    for r in df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r[group]] = r["n"]
+    at = order_statistics(df, value, wanted, F.col(group))
+    rows = []
+    for g, n in sizes.items():
+        q = []
+        for p in shares:
+            place = p * (n - 1)
+            low = at[g, int(place)]
+            q.append(low + (place - int(place)) * (at[g, min(int(place) + 1, n - 1)] - low))
+        rows.append((g, q))
+    return df.sparkSession.createDataFrame(rows, f"`{group}` {kind}, q array<double>")
+
+
 def time_split(df: DataFrame, time: str, key: str, share: float = 0.8) -> DataFrame:
     """``df`` with ``part``: the earliest rows, exactly floor(share * n), are train; ties in time go by identifier."""
-    n = df.count()
-    quota = int(share * n)
-    cut = df.agg(F.expr(f"percentile_disc({max(min(share, 1.0), 0.0)}) WITHIN GROUP (ORDER BY `{time}`)").alias("t")).first()["t"]
+    quota = int(share * df.count())
+    last = order_statistics(df, time, lambda n: [min(quota, n) - 1] if quota > 0 else [])
+    if not last:
+        return df.withColumn("part", F.lit("test"))
+    cut = next(iter(last.values()))
     below = df.where(F.col(time) < cut).count()
     tied = df.where(F.col(time) == cut).select(key).orderBy(key).limit(max(quota - below, 0)).withColumn("_in", F.lit(True))
     joined = df.join(tied, key, "left")

@@ -9,6 +9,7 @@ from siftlog.operators import aggregates, decide, documents, metrics, models, po
 from siftlog.plans.queries_tables import EV, LD, PR, ev, train_valid
 from siftlog.plans.registry import SOURCE, VERDICT_SQL, query
 from siftlog.schema import LABELS, labelled_documents, read, with_probabilities
+from siftlog.sources import io
 
 P = decide.probabilities()
 ARGMAX = "CASE WHEN {0} >= {1} AND {0} >= {2} THEN 'benign' WHEN {1} >= {2} THEN 'suspicious' ELSE 'malicious' END"
@@ -262,6 +263,23 @@ def _(spark, sf):
 _COST = "{m}::DOUBLE * (t1p0 + t2p0) + t0p1 + t0p2 + 0.5::DOUBLE * (t1p2 + t2p1)"
 
 
+AGGREGATIONS = {"pooled": "sum(c) FILTER (kind = '{0}') / sum(d) FILTER (kind = '{0}')", "macro": "avg(c / d) FILTER (kind = '{0}')", "macro_large": "avg(c / d) FILTER (kind = '{0}' AND d >= 30)", "root": "sum(c / d * sqrt(d)) FILTER (kind = '{0}') / sum(sqrt(d)) FILTER (kind = '{0}')"}
+
+
+def objective_table_sql(prior: float = 0.01) -> str:
+    """ob: each weight's and miss cost's objective by all four aggregations."""
+    long = " UNION ALL ".join(f"SELECT w, kind, count(*) AS d, {m}::DOUBLE AS miss, {m}::DOUBLE * count_if(truth <> 'benign' AND pred = 'benign') + count_if(truth = 'benign' AND pred <> 'benign') + 0.5::DOUBLE * count_if(truth <> 'benign' AND pred <> 'benign' AND truth <> pred) AS c FROM tp GROUP BY w, kind, holdout" for m in (2, 5, 10))
+    parts = [f"{e.format(k)} AS {k}_{a}" for k in policy.KINDS for a, e in AGGREGATIONS.items()]
+    ob = [f"{1 - prior}::DOUBLE * cl5_pooled + {prior}::DOUBLE * (loso_{a} + loco_{a}) / 2 AS o_{a}" for a in AGGREGATIONS]
+    tp = " UNION ALL ".join(f"SELECT {w}::DOUBLE AS w, {_HOLD} AS kind, pipeline AS holdout, label_binary AS truth, {argmax(w)} AS pred FROM pr" for w in (1, 2, 5, 10))
+    return f", tp AS ({tp}), lg AS ({long}), ag AS (SELECT w, miss, {', '.join(parts)} FROM lg GROUP BY w, miss), ob AS (SELECT w, miss, {', '.join(ob)} FROM ag)"
+
+
+def regret_sql(names: tuple[str, ...]) -> str:
+    ratios = ", ".join(f"o_{a} / min(o_{a}) OVER (PARTITION BY miss)" for a in names)
+    return f"(SELECT w, max(r) AS r FROM (SELECT w, greatest({ratios}) AS r FROM ob) GROUP BY w)"
+
+
 def objectives_sql(with_regret: bool) -> str:
     cells = ", ".join(f"cast(count_if(truth = '{t}' AND pred = '{p}') AS double) AS t{i}p{j}" for i, t in enumerate(LABELS) for j, p in enumerate(LABELS))
     long = " UNION ALL ".join(f"SELECT w, kind, count(*) AS d, {m}::DOUBLE AS miss, {m}::DOUBLE * count_if(truth <> 'benign' AND pred = 'benign') + count_if(truth = 'benign' AND pred <> 'benign') + 0.5::DOUBLE * count_if(truth <> 'benign' AND pred <> 'benign' AND truth <> pred) AS c FROM tp GROUP BY w, kind, holdout" for m in (2, 5, 10))
@@ -308,8 +326,8 @@ def _grid(spark):
 
 
 def _routing(spark, sf):
-    cells = policy.decision_cells(_held(spark, sf), policy.MISSES, RULES, NOVELTIES, DOUBTS)
-    return policy.routing_grid(cells, _grid(spark), len(RULES))
+    cells = io.staged(policy.decision_cells(_held(spark, sf), policy.MISSES, RULES, NOVELTIES, DOUBTS))
+    return policy.routing_grid(cells, _grid(spark), len(RULES), io.staged)
 
 
 @query("g4_estimated_confusions")
@@ -319,13 +337,13 @@ def _(spark, sf):
 
 @query("g7_routing_grid")
 def _(spark, sf):
-    counts = _routing(spark, sf)
+    counts = io.staged(_routing(spark, sf))
     share = counts.groupBy("config").agg((F.sum("n_routed") / F.sum("docs")).alias("routed_share"))
     regret = policy.regrets(policy.objectives(counts, "config"), "config")
     return regret.join(share, "config").where("routed_share <= 0.9").orderBy("regret", "config").limit(20).select("config", F.round("regret", 6).alias("regret"), F.round("routed_share", 6).alias("routed_share"))
 
 
-@query("g8_other_aggregations")
+@query("g8_other_aggregations", PR + objective_table_sql() + " " + " UNION ALL ".join(f"SELECT '{a}' AS aggregation, w, round(r, 6) AS regret FROM {regret_sql((a,))}" for a in ("macro", "pooled", "macro_large", "root")))
 def _(spark, sf):
     table = policy.objectives(policy.weighted_costs(_held(spark, sf), [1, 2, 5, 10]), "w")
     names = ("macro", "pooled", "macro_large", "root")
@@ -336,7 +354,7 @@ def _(spark, sf):
     return out
 
 
-@query("g9_prior_sensitivity")
+@query("g9_prior_sensitivity", " UNION ALL ".join(f"({PR}{objective_table_sql(p)} SELECT {p}::DOUBLE AS prior, w, round(r, 6) AS regret FROM {regret_sql(('macro', 'pooled'))})" for p in (0.001, 0.05)))
 def _(spark, sf):
     counts = policy.weighted_costs(_held(spark, sf), [1, 2, 5, 10])
     parts = [policy.regrets(policy.objectives(counts, "w", prior_ood=p), "w").select(F.lit(p).alias("prior"), "w", F.round("regret", 6).alias("regret")) for p in (0.001, 0.05)]
@@ -431,7 +449,7 @@ def _(spark, sf):
     return weights.join(F.broadcast(n)).select("doc_id", "term", "tf", "df", F.round((1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1), 4).alias("raw"))
 
 
-@query("m3_char_terms")
+@query("m3_char_terms", EV + ", w AS (SELECT ' ' || unnest(list_filter(regexp_split_to_array(lower(message_sanitized), '\\s+'), lambda x: x <> '')) || ' ' AS w FROM ev), t AS (" + " UNION ALL ".join(f"SELECT unnest(list_transform(range(1, length(w) - {n - 2}), lambda i: substr(w, i, {n}))) AS term FROM w" for n in (3, 4, 5)) + ") SELECT term, count(*) AS n FROM t GROUP BY term")
 def _(spark, sf):
     return ev(spark, sf).select(F.explode(models.char_terms(F.col("message_sanitized"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlog.functions import time
@@ -9,8 +12,11 @@ from siftlog.operators import aggregates, decide, documents, metrics, models, re
 from siftlog.plans import jobs
 from siftlog.plans.queries_columns import _scratch
 from siftlog.plans.queries_tables import ev
-from siftlog.plans.registry import VERDICT_SQL, query
-from siftlog.schema import LABELS, labelled_documents, read, with_probabilities
+from siftlog.plans import views_sql
+from siftlog.plans.queries_decisions import _STUB, argmax, least
+from siftlog.plans.queries_tables import EV, H, INFORMATION, LD, PR, PURITY, long_sql
+from siftlog.plans.registry import SOURCE, VERDICT_SQL, query
+from siftlog.schema import LABELS, P_MALICIOUS, P_SUSPICIOUS, labelled_documents, read, with_probabilities
 from siftlog.sources import io
 from siftlog.streaming import events as stream
 
@@ -33,7 +39,7 @@ def _rounded(df, key):
     return df.select(key, *[F.round(f"p_{x}", 4).alias(f"p_{x}") for x in LABELS], "pred")
 
 
-@query("s7_prediction_csv_scan")
+@query("s7_prediction_csv_scan", EV + "SELECT label_binary AS pred_label, count(*) AS n FROM ev GROUP BY ALL")
 def _(spark, sf):
     path = _scratch(spark)
     io.write_predictions(ev(spark, sf).select("event_id", F.col("label").alias("pred_label")), path)
@@ -50,10 +56,14 @@ def _(spark, sf):
     return _rounded(models.predict(PipelineModel.load(path), rows), "doc_id")
 
 
-@query("m2_hybrid_tfidf")
+_TOKENS = LD + f", t AS (SELECT doc_id, regexp_extract_all(substr(lower(doc), 1, 6000), '{models.HYBRID_TOKEN}') AS w FROM ld), x AS (SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM t), tf AS (SELECT doc_id, term, count(*) AS tf FROM x GROUP BY ALL)"
+
+
+@query("m2_hybrid_tfidf", _TOKENS + ", n AS (SELECT count(*) AS n FROM ld), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 200000), r AS (SELECT doc_id, term, tf, df, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n) SELECT doc_id, term, tf, df, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 5) AS weight FROM r")
 def _(spark, sf):
-    rows = _rows(spark, sf)
-    return models.tfidf(rows, "doc_id", "terms", min_df=2, most=200_000).select("doc_id", "term", "tf", "df", F.round("weight", 6).alias("weight"))
+    docs = labelled_documents(spark, sf)
+    rows = docs.select("doc_id", models.terms(F.col("doc"), models.HYBRID_TOKEN, 6000).alias("terms"))
+    return models.tfidf(rows, "doc_id", "terms", min_df=2, most=200_000).select("doc_id", "term", "tf", "df", F.round("weight", 5).alias("weight"))
 
 
 @query("m4_balanced_classifier")
@@ -99,8 +109,8 @@ def _(spark, sf):
     named = rows.withColumn("half", F.when(F.col("month") % 2 == 0, "benign").otherwise("suspicious"))
 
     def fit_predict(folded):
-        model = models.fit_classifier(folded.where("fold <> 0"), label="half", **SMALL)
-        return models.predict(model, folded.where("fold = 0")).withColumn("truth", F.col("half"))
+        scored = models.out_of_fold(folded, 5, lambda d: models.fit_classifier(d, label="half", **SMALL), "event_id")
+        return scored.join(folded.select("event_id", F.col("half").alias("truth")), "event_id")
 
     return models.probe(named, "half", "event_id", fit_predict)
 
@@ -122,9 +132,9 @@ def _(spark, sf):
 
 @query("m16_holdout_novelty")
 def _(spark, sf):
-    """For the two largest sources: novelty of their documents against a capped sample of all others."""
-    rows = _rows(spark, sf)
-    names = [r["source"] for r in rows.groupBy("source").count().orderBy(F.desc("count"), "source").limit(2).collect()]
+    """For each source: novelty of its documents against a capped sample of all others."""
+    rows = io.staged(_rows(spark, sf))
+    names = sorted(r["source"] for r in rows.select("source").distinct().collect())  # one row for each source
     parts = []
     for name in names:
         rest = sampling.cap_cells(rows.where(F.col("source") != name), ["source", "label"], 50, "doc_id", 1)
@@ -132,7 +142,7 @@ def _(spark, sf):
         v = models.fit_lsa(vectors.transform(rest), 8)
         vec = lambda t, vectors=vectors, v=v: models.lsa_vectors(vectors.transform(t), v, "doc_id")
         parts.append(models.max_similarity(vec(rows.where(F.col("source") == name)), vec(rest), "doc_id").select(F.lit("loso").alias("kind"), F.lit(name).alias("holdout"), "doc_id", F.round("maxsim", 4).alias("maxsim")))
-    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("o4_top_terms")
@@ -165,7 +175,7 @@ def _(spark, sf):
     return metrics.evaluate(scored.withColumn("pred", decide.min_cost(decide.probabilities(), 5))).select("items", F.round("accuracy", 4).alias("accuracy"), F.round("cost_m5", 1).alias("cost_m5"))
 
 
-@query("l7_held_out_replies")
+@query("l7_held_out_replies", EV + f", r AS (SELECT *, {SOURCE} AS holdout, row_number() OVER (PARTITION BY {SOURCE} ORDER BY " + H.format(7) + f", event_id) AS rn FROM ev) SELECT holdout, count(*) AS n, round(avg(CASE WHEN {_STUB} = label_binary THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM r WHERE rn <= 20 GROUP BY holdout")
 def _(spark, sf):
     """A sample of each source, held out: the prompt loses the lines read off its cells; accuracy of the replies."""
     df = ev(spark, sf)
@@ -189,7 +199,8 @@ def _(spark, sf):
 def _(spark, sf):
     df = ev(spark, sf)
     _, model, mask = jobs.train(df, CONFIG)
-    return jobs.predict(model, df, CONFIG.document, mask, {"label": "malicious"})
+    rule = aggregates.verdict_rule(df, *documents.verdict_cell(df), "label", 10, 0.5)
+    return jobs.predict(model, df, CONFIG.document, mask, rule)
 
 
 @query("k3_hybrid")
@@ -198,25 +209,28 @@ def _(spark, sf):
     return jobs.hybrid(df.where("eid % 2 = 0"), df.where("eid % 2 = 1").drop("source"), requests.keyword_model, budget=50, vocabulary=2000, iterations=10).select("event_id", "clf", "routed", "final")
 
 
-@query("k4_leakage_audit")
+@query("k4_leakage_audit", "WITH " + EV.removeprefix("WITH ").strip() + ", tr AS (SELECT * FROM ev WHERE eid % 2 = 0), " + long_sql(("pipeline", "src_port", "vendor_name", "product_name"), source="tr") + ", pu AS (WITH " + PURITY + "), dy AS (SELECT label_binary AS label, strftime(ts, '%Y-%m-%d') AS d, count(*) AS n FROM tr JOIN events e ON e.event_id = tr.eid GROUP BY ALL), kw AS (SELECT unnest(['deny', 'block', 'accept']) AS k) SELECT 'purity' AS topic, \"column\" AS name, cast(purity AS double) AS value FROM pu UNION ALL SELECT 'top_day_share', label, cast(round(max(n) / sum(n), 6) AS double) FROM dy GROUP BY label UNION ALL SELECT 'keyword', k || '|' || label_binary, cast(count(*) AS double) FROM tr, kw WHERE contains(lower(message_sanitized), k) GROUP BY ALL UNION ALL SELECT 'overlap', 'messages', cast(round(avg(CASE WHEN message_sanitized IN (SELECT message_sanitized FROM tr) THEN 1.0 ELSE 0.0 END), 6) AS double) FROM ev WHERE eid % 2 = 1")
 def _(spark, sf):
     df = ev(spark, sf)
     return jobs.leakage_audit(df.where("eid % 2 = 0"), df.where("eid % 2 = 1"))
 
 
-@query("k5_prior_calibration")
+_EM = "em(i, b, s, m) AS (SELECT 0, 0.6::DOUBLE, 0.3::DOUBLE, 0.1::DOUBLE UNION ALL SELECT i + 1, n.b, n.s, n.m FROM em, LATERAL (SELECT avg(x / (x + y + z)) AS b, avg(y / (x + y + z)) AS s, avg(z / (x + y + z)) AS m FROM (SELECT p_benign * em.b / 0.6::DOUBLE AS x, p_suspicious * em.s / 0.3::DOUBLE AS y, p_malicious * em.m / 0.1::DOUBLE AS z FROM pr)) n WHERE i < 20)"
+
+
+@query("k5_prior_calibration", "WITH RECURSIVE " + PR.removeprefix("WITH ") + ", " + _EM + f", c AS (SELECT {argmax(1)} AS raw, p_benign * (b / 0.6::DOUBLE) AS x, p_suspicious * (s / 0.3::DOUBLE) AS y, p_malicious * (m / 0.1::DOUBLE) AS z FROM pr, (SELECT * FROM em WHERE i = 20)) SELECT raw, CASE WHEN x >= y AND x >= z THEN 'benign' WHEN y >= z THEN 'suspicious' ELSE 'malicious' END AS calibrated, count(*) AS n FROM c GROUP BY ALL")
 def _(spark, sf):
     return jobs.prior_calibration(with_probabilities(ev(spark, sf)), [0.6, 0.3, 0.1], 20)
 
 
-@query("k6_rare_source_routing")
+@query("k6_rare_source_routing", EV + f", s AS (SELECT *, {SOURCE} AS source FROM ev), e AS (SELECT source FROM s WHERE eid % 2 = 0 GROUP BY source HAVING count(*) >= 500) SELECT event_id, CASE WHEN source IN (SELECT source FROM e) THEN 'benign' ELSE {_STUB} END AS pred_label FROM s")
 def _(spark, sf):
     df = ev(spark, sf)
     base = df.select("event_id", F.lit("benign").alias("pred_label"))
     return jobs.rare_source_routing(df.where("eid % 2 = 0"), df, base, requests.keyword_model, 500)
 
 
-@query("k7_recoverability")
+@query("k7_recoverability", EV + ", " + long_sql(("pipeline", "src_port", "vendor_name", "product_name"), "CASE WHEN label_binary = 'suspicious' THEN 'true' ELSE 'false' END") + ", " + INFORMATION)
 def _(spark, sf):
     return jobs.recoverability(ev(spark, sf), "label", ["pipeline", "src_port", "vendor_name", "product_name"])
 
@@ -228,7 +242,7 @@ def _(spark, sf):
     return jobs.time_independence(df, _fit(rows), "timefree")
 
 
-@query("k9_zero_shot_probe")
+@query("k9_zero_shot_probe", EV + f", s AS (SELECT *, {SOURCE} AS source, label_binary AS label, message_sanitized AS m, {views_sql.timefree()} AS t, " + H.format(0) + f" AS h FROM ev), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, label, m ORDER BY h, event_id) AS rn FROM s) WHERE rn = 1), f AS (SELECT *, row_number() OVER (PARTITION BY source, label, t ORDER BY h, event_id) AS tn FROM o), c AS (SELECT *, {_STUB} AS pred, row_number() OVER (PARTITION BY source, label ORDER BY CASE WHEN tn = 1 THEN 0 ELSE 1 END, h, event_id) AS place FROM f) SELECT source, count(*) AS n, round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(CASE WHEN (pred <> 'benign') = (label <> 'benign') THEN 1.0 ELSE 0.0 END), 6) AS alert_accuracy FROM c WHERE place <= 5 GROUP BY source")
 def _(spark, sf):
     return jobs.zero_shot_probe(ev(spark, sf), requests.keyword_model)
 
@@ -240,7 +254,7 @@ def _(spark, sf):
     return jobs.run_report(run, df)
 
 
-@query("x1_streamed_scoring")
+@query("x1_streamed_scoring", f"WITH {VERDICT_SQL}, pr AS (SELECT *, 1 - p_suspicious - p_malicious AS p_benign FROM (SELECT *, {P_SUSPICIOUS} AS p_suspicious, {P_MALICIOUS} AS p_malicious FROM vd)) SELECT event_id, {SOURCE} AS source, verdict, {least(10)} AS pred_label FROM pr")
 def _(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     from siftlog.schema import _SPARK_EPOCH, ADAPTER

@@ -57,10 +57,10 @@ def _(spark, sf):
     return valid.join(known, "message_sanitized", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("known")).alias("seen"))
 
 
-@query("f5_unseen_sources", EV + f", s AS (SELECT DISTINCT {SOURCE} || '/' || pipeline || '/' || src_port AS s, eid FROM ev WHERE src_port IS NOT NULL) SELECT DISTINCT s AS source FROM s WHERE eid % 2 = 1 AND s NOT IN (SELECT s FROM s WHERE eid % 2 = 0 AND eid < 500)")
+@query("f5_unseen_sources", EV + f", s AS (SELECT {SOURCE} || '/' || pipeline || '/' || src_host AS s, eid FROM ev) SELECT DISTINCT s AS source FROM s WHERE eid % 2 = 1 AND s NOT IN (SELECT s FROM s WHERE eid % 2 = 0)")
 def _(spark, sf):
-    s = ev(spark, sf).where("src_port is not null").select("eid", F.concat_ws("/", "source", "pipeline", "src_port").alias("source"))
-    return s.where("eid % 2 = 1").select("source").distinct().join(s.where("eid % 2 = 0 and eid < 500").select("source").distinct(), "source", "left_anti")
+    train, valid = (t.select(F.concat_ws("/", "source", "pipeline", "src_host").alias("source")).distinct() for t in train_valid(spark, sf))
+    return valid.join(train, "source", "left_anti")
 
 
 @query("f6_rare_sources", EV + f", s AS (SELECT {SOURCE} AS source, event_id FROM ev) SELECT event_id, source FROM s WHERE source IN (SELECT source FROM s GROUP BY source HAVING count(*) < (SELECT count(*) / 8 FROM s))")
@@ -197,10 +197,16 @@ def _(spark, sf):
     return spark.createDataFrame([(aggregates.date_rule(df, "t", "label"),)], "cutoff double")
 
 
-_LONG = ", l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", coalesce(cast({c} AS string), '') AS value, label_binary AS y FROM ev" for c in ("pipeline", "src_port", "vendor_name", "src_host")) + ")"
+def long_sql(columns: tuple[str, ...], y: str = "label_binary", source: str = "ev") -> str:
+    return "l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", coalesce(cast({c} AS string), '') AS value, {y} AS y FROM {source}" for c in columns) + ")"
 
 
-@query("a7_column_purity", EV + _LONG + ', n AS (SELECT "column", value, y, count(*) AS n FROM l GROUP BY ALL), b AS (SELECT "column", value, max(n) AS top, sum(n) AS n FROM n GROUP BY ALL) SELECT "column", count(*) AS n_values, round(sum(top) / sum(n), 6) AS purity FROM b GROUP BY ALL')
+_LONG = ", " + long_sql(("pipeline", "src_port", "vendor_name", "src_host"))
+PURITY = 'n AS (SELECT "column", value, y, count(*) AS n FROM l GROUP BY ALL), b AS (SELECT "column", value, max(n) AS top, sum(n) AS n FROM n GROUP BY ALL) SELECT "column", count(*) AS n_values, round(sum(top) / sum(n), 6) AS purity FROM b GROUP BY ALL'
+INFORMATION = 'j AS (SELECT "column", value, y, count(*) AS n FROM l GROUP BY ALL), x AS (SELECT "column", sum(nx * ln(nx)) AS xx, sum(jj) AS jj, sum(nx) AS n FROM (SELECT "column", value, sum(n) AS nx, sum(n * ln(n)) AS jj FROM j GROUP BY ALL) GROUP BY ALL), y AS (SELECT "column", sum(ny * ln(ny)) AS yy FROM (SELECT "column", y, sum(n) AS ny FROM j GROUP BY ALL) GROUP BY ALL) SELECT x."column", round(greatest(((jj - xx - yy) / n + ln(n)) / (ln(n) - yy / n), 0), 6) AS norm_mi FROM x JOIN y USING ("column")'
+
+
+@query("a7_column_purity", EV + _LONG + ", " + PURITY)
 def _(spark, sf):
     return aggregates.column_purity(ev(spark, sf), ["pipeline", "src_port", "vendor_name", "src_host"], "label")
 
@@ -210,7 +216,7 @@ def _(spark, sf):
     return aggregates.keyword_labels(ev(spark, sf), "message_sanitized", "label", ["deny", "accept", "block", "user"])
 
 
-@query("a9_mutual_information", EV + _LONG + ', j AS (SELECT "column", value, y, count(*) AS n FROM l GROUP BY ALL), x AS (SELECT "column", sum(nx * ln(nx)) AS xx, sum(jj) AS jj, sum(nx) AS n FROM (SELECT "column", value, sum(n) AS nx, sum(n * ln(n)) AS jj FROM j GROUP BY ALL) GROUP BY ALL), y AS (SELECT "column", sum(ny * ln(ny)) AS yy FROM (SELECT "column", y, sum(n) AS ny FROM j GROUP BY ALL) GROUP BY ALL) SELECT x."column", round(greatest(((jj - xx - yy) / n + ln(n)) / (ln(n) - yy / n), 0), 6) AS norm_mi FROM x JOIN y USING ("column")')
+@query("a9_mutual_information", EV + _LONG + ", " + INFORMATION)
 def _(spark, sf):
     return aggregates.mutual_information(ev(spark, sf), ["pipeline", "src_port", "vendor_name", "src_host"], "label")
 
@@ -299,7 +305,7 @@ def _(spark, sf):
 @query("a23_novelty_percentiles", EV + "SELECT pipeline AS kind, " + ", ".join(f"round(quantile_cont(cast(eid % 1000 AS double) / 1000, {p}), 6) AS p{i}" for i, p in enumerate((0.01, 0.05, 0.5))) + " FROM ev GROUP BY ALL")
 def _(spark, sf):
     rows = ev(spark, sf).select(F.col("pipeline").alias("kind"), ((F.col("eid") % 1000).cast("double") / 1000).alias("maxsim"))
-    q = rows.groupBy("kind").agg(F.percentile("maxsim", F.array(F.lit(0.01), F.lit(0.05), F.lit(0.5))).alias("q"))
+    q = sampling.percentiles(rows, "kind", "maxsim", (0.01, 0.05, 0.5))
     return q.select("kind", *[F.round(F.get("q", F.lit(i)), 6).alias(f"p{i}") for i in range(3)])
 
 
@@ -410,10 +416,10 @@ def _(spark, sf):
     return c.groupBy("pipeline").agg(F.min_by("src_port", F.struct("regret", "src_port")).alias("src_port"), F.min("regret").alias("regret"))
 
 
-@query("u1_union_of_parts", EV + "SELECT 'head' AS part, event_id FROM ev WHERE eid < 100 UNION ALL SELECT 'odd', event_id FROM ev WHERE eid % 2 = 1")
+@query("u1_union_of_parts", EV + "SELECT 'third' AS part, event_id FROM ev WHERE eid % 3 = 0 UNION ALL SELECT 'odd', event_id FROM ev WHERE eid % 2 = 1")
 def _(spark, sf):
     df = ev(spark, sf)
-    return df.where("eid < 100").select(F.lit("head").alias("part"), "event_id").unionByName(df.where("eid % 2 = 1").select("event_id", F.lit("odd").alias("part")))
+    return df.where("eid % 3 = 0").select(F.lit("third").alias("part"), "event_id").unionByName(df.where("eid % 2 = 1").select("event_id", F.lit("odd").alias("part")))
 
 
 @query("u2_id_differences", EV + "SELECT 'missing' AS kind, event_id FROM ev WHERE eid % 3 = 0 AND eid % 2 <> 0 UNION ALL SELECT 'extra', event_id FROM ev WHERE eid % 2 = 0 AND eid % 3 <> 0")
