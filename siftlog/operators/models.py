@@ -82,10 +82,15 @@ def fit_vectors(df: DataFrame, words: str, most: int, min_df: float, max_df: flo
 
 def fit_classifier(df: DataFrame, words: str = "terms", label: str = "label", weight: str | None = None, c: float = 10.0, most: int = 120_000, min_df: float = 3, max_df: float = 0.98, iterations: int = 50) -> PipelineModel:
     """Multinomial logistic regression on TF-IDF; ``c`` is the inverse of the penalty for each unit of weight."""
-    vectors = fit_vectors(df, words, most, min_df, max_df)
-    rows = vectors.transform(df).withColumn("_y", code(F.col(label)).cast("double")).withColumn("_w", F.col(weight) if weight else F.lit(1.0))
-    total = rows.agg(F.sum("_w")).first()[0] or 1.0
-    model = LogisticRegression(featuresCol="features", labelCol="_y", weightCol="_w", family="multinomial", regParam=1.0 / (c * total), standardization=False, maxIter=iterations, probabilityCol="_p", predictionCol="_pred", rawPredictionCol="_raw").fit(rows)
+    # Terms are cut once: the vocabulary, the frequencies, the weights' sum and the fit each read them.
+    kept = df.select(words, label, *([weight] if weight else [])).persist()
+    try:
+        vectors = fit_vectors(kept, words, most, min_df, max_df)
+        rows = vectors.transform(kept).withColumn("_y", code(F.col(label)).cast("double")).withColumn("_w", F.col(weight) if weight else F.lit(1.0))
+        total = rows.agg(F.sum("_w")).first()[0] or 1.0
+        model = LogisticRegression(featuresCol="features", labelCol="_y", weightCol="_w", family="multinomial", regParam=1.0 / (c * total), standardization=False, maxIter=iterations, probabilityCol="_p", predictionCol="_pred", rawPredictionCol="_raw").fit(rows)
+    finally:
+        kept.unpersist()
     return PipelineModel([*vectors.stages, model])
 
 
@@ -120,6 +125,15 @@ def out_of_fold(df: DataFrame, folds: int, fit, key: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def novelty(reference: DataFrame, queries: DataFrame, key: str, words: str = "terms", dims: int = 200, most: int = 20_000, min_df: float = 2) -> DataFrame:
+    """key and maxsim: how near each query comes to any reference row, by latent dimensions of the reference's terms."""
+    vectors = fit_vectors(reference, words, most, min_df)
+    size = len(vectors.stages[0].vocabulary)
+    v = fit_lsa(vectors.transform(reference), max(1, min(dims, size - 1)))
+    vec = lambda t, k: lsa_vectors(vectors.transform(t), v, k)
+    return max_similarity(vec(queries, key), vec(reference, reference.columns[0]), key)
+
+
 def fit_lsa(df: DataFrame, k: int, features: str = "features") -> np.ndarray:
     """The first k right singular vectors of the rows, uncentred. The matrix has a row for each term, so cap the vocabulary."""
     from pyspark.mllib.linalg import Vectors as Old

@@ -49,11 +49,11 @@ def decision_cells(docs: DataFrame, misses: tuple[float, ...], rules: list[tuple
     For each miss cost m a row has the decision, its band and place among the doubts and novelties, and each rule's label.
     """
     p, q = decide.probabilities(), decide.probabilities("q_")
-    per_miss = []
-    for m in misses:
+
+    def of_miss(m: float) -> Column:
         decided = F.struct(decide.min_cost(p, m).alias("clf"), decide.cost_confidence(p, m).alias("conf"))
 
-        def cell(d: Column, m: float = m) -> Column:
+        def cell(d: Column) -> Column:
             clf, conf = d["clf"], d["conf"]
             return F.struct(
                 F.lit(float(m)).alias("m"),
@@ -65,9 +65,10 @@ def decision_cells(docs: DataFrame, misses: tuple[float, ...], rules: list[tuple
                 *[decide.fuse_by_cost(rule, param, clf, p, q, m).alias(f"f{i}") for i, (rule, param) in enumerate(rules)],
             )
 
-        per_miss.append(bound(decided, cell))
+        return bound(decided, cell)
+
     keys = ["kind", "holdout", "truth", "answered", "m", "clf", "band", "doubt", "novelty", "known_pair", *[f"f{i}" for i in range(len(rules))]]
-    long = docs.select("kind", "holdout", F.col("label").alias("truth"), "answered", F.inline(F.array(*per_miss)))
+    long = docs.select("kind", "holdout", F.col("label").alias("truth"), "answered", F.inline(F.array(*map(of_miss, misses))))
     return long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 

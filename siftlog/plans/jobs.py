@@ -86,19 +86,27 @@ def predict(model: PipelineModel, df: DataFrame, kind: str, mask: DataFrame | No
     return out.select("event_id", F.col("pred").alias("pred_label"))
 
 
-def hybrid(train_df: DataFrame, df: DataFrame, ask, miss: float = 10.0, doubt: float = 0.9, novelty: float | None = None, budget: int = 2000, rule: str = "gate_km", **settings) -> DataFrame:
-    """Classify distinct documents, route the doubtful ones to a model within the budget, fuse, and join back to events."""
+def hybrid(train_df: DataFrame, df: DataFrame, ask, miss: float = 10.0, doubt: float = 0.9, novelty: float | None = None, budget: int = 2000, rule: str = "gate_km", dims: int = 200, **settings) -> DataFrame:
+    """Classify distinct documents, route the novel and doubtful ones to a model within the budget, fuse, and join back to events.
+
+    The classifier is the mean of one on words and word pairs and one on character runs. A document's novelty is its
+    largest cosine with any training document (``novelty``: the bound below which it is routed; None routes by none).
+    """
     keys = ["pipeline", "vendor_name", "product_name", "doc"]
     view = lambda d: d.withColumn("doc", documents.classifier_document(d)).withColumns({c: F.coalesce(c, F.lit("")) for c in keys[:3]})
     known = view(train_df).withColumn("source", documents.source_key(train_df))
     unique = aggregates.unique_documents(known, ("doc", "label"))
-    weighted = aggregates.training_weights(unique, "log").withColumn("terms", models.terms(F.col("doc"), models.HYBRID_TOKEN, 6000))
-    model = models.fit_classifier(weighted, weight="weight", most=settings.get("vocabulary", 200_000), min_df=settings.get("min_df", 2), iterations=settings.get("iterations", 50))
+    cut = lambda d: d.withColumns({"terms": models.terms(F.col("doc"), models.HYBRID_TOKEN, 6000), "chars": models.char_terms(F.substring("doc", 1, 6000))})
+    weighted = cut(aggregates.training_weights(unique, "log"))
+    size = {"weight": "weight", "most": settings.get("vocabulary", 200_000), "min_df": settings.get("min_df", 2), "iterations": settings.get("iterations", 50)}
+    by_words, by_chars = (models.fit_classifier(weighted, words=w, **size) for w in ("terms", "chars"))
     events = view(df)
     docs = aggregates.unique_documents(events, tuple(keys), first=("message_sanitized",)).withColumnRenamed("event_id", "doc_id")
     docs = docs.withColumn("source", documents.source_key(docs))
-    scored = models.predict(model, docs.withColumn("terms", models.terms(F.col("doc"), models.HYBRID_TOKEN, 6000))).drop("terms")
-    scored = scored.withColumns({"clf": decide.min_cost(P, miss), "conf": decide.cost_confidence(P, miss), "maxsim": F.lit(1.0)})
+    asked_of = io.staged(cut(docs))
+    scored = models.blend(models.predict(by_words, asked_of), models.predict(by_chars, asked_of), "doc_id")
+    near = models.novelty(weighted.select("event_id", "terms"), asked_of, "doc_id", dims=dims, min_df=settings.get("min_df", 2))
+    scored = scored.drop("terms", "chars").join(near, "doc_id", "left").withColumns({"clf": decide.min_cost(P, miss), "conf": decide.cost_confidence(P, miss)})
     marked = route.with_cells(scored, unique.select("source", "label"))
     t = route.triggers(doubt, novelty)
     fired = t["unseen_source"] | t["new_pair"] | t["novel"] | t["doubtful"]
@@ -110,7 +118,7 @@ def hybrid(train_df: DataFrame, df: DataFrame, ask, miss: float = 10.0, doubt: f
     fused = routed.join(answers, "doc_id", "left")
     hot = [F.when(F.col("reply").isNotNull(), x) for x in decide.one_hot(F.col("reply"))]
     final = fused.withColumn("final", decide.fuse_by_cost(rule, miss, F.col("clf"), P, tuple(hot), miss))
-    return events.join(final.select(*keys, "doc_id", "clf", "conf", "routed", "reply", "final"), keys, "left").select("event_id", "source" if "source" in df.columns else documents.source_key(df).alias("source"), "doc_id", "clf", "routed", "reply", "final")
+    return events.join(final.select(*keys, "doc_id", "clf", "conf", "maxsim", "routed", "reply", "final"), keys, "left").select("event_id", "source" if "source" in df.columns else documents.source_key(df).alias("source"), "doc_id", "clf", "maxsim", "routed", "reply", "final")
 
 
 def leakage_audit(train_df: DataFrame, valid_df: DataFrame, label: str = "label") -> DataFrame:

@@ -85,6 +85,16 @@ def _(spark, sf):
     return models.out_of_fold(folded, 3, _fit, "doc_id").select("doc_id", "fold", *[F.round(f"p_{x}", 4).alias(f"p_{x}") for x in LABELS], "pred")
 
 
+@query("m7_every_source_held_out")
+def _(spark, sf):
+    """Metrics of models that each leave one source out."""
+    rows = io.staged(_rows(spark, sf))
+    plan = sampling.holdouts(rows.select("doc_id", "source", "label"))
+    names = sorted(r["holdout"] for r in plan.where("kind = 'loso'").select("holdout").distinct().collect())
+    result = jobs.holdout_evaluation(rows, plan, [("loso", n) for n in names], _fit)
+    return result.select("kind", "holdout", "items", F.round("accuracy", 4).alias("accuracy"), F.round("macro_f1", 4).alias("macro_f1"))
+
+
 @query("m8_m9_novelty")
 def _(spark, sf):
     rows = _rows(spark, sf)
@@ -191,8 +201,11 @@ def _(spark, sf):
 
 @query("k1_train_and_evaluate")
 def _(spark, sf):
-    result, _, _ = jobs.train(ev(spark, sf), CONFIG)
-    return result.select("items", F.round("accuracy", 3).alias("accuracy"), F.round("macro_f1", 3).alias("macro_f1"))
+    """Metrics of the holdout, then the final model's predictions of all events, checked for completeness."""
+    df = ev(spark, sf)
+    result, model, mask = jobs.train(df, CONFIG)
+    checked = metrics.validation(jobs.predict(model, df, CONFIG.document, mask), df)
+    return result.select("items", F.round("accuracy", 3).alias("accuracy"), F.round("macro_f1", 3).alias("macro_f1")).join(F.broadcast(checked.select("missing", "extra", "duplicate", "invalid", "valid")))
 
 
 @query("k2_predict_with_mask_and_rule")
@@ -206,7 +219,7 @@ def _(spark, sf):
 @query("k3_hybrid")
 def _(spark, sf):
     df = ev(spark, sf)
-    return jobs.hybrid(df.where("eid % 2 = 0"), df.where("eid % 2 = 1").drop("source"), requests.keyword_model, budget=50, vocabulary=2000, iterations=10).select("event_id", "clf", "routed", "final")
+    return jobs.hybrid(df.where("eid % 2 = 0"), df.where("eid % 2 = 1").drop("source"), requests.keyword_model, novelty=0.3, budget=50, dims=10, vocabulary=2000, iterations=10).select("event_id", "clf", "routed", "final")
 
 
 @query("k4_leakage_audit", "WITH " + EV.removeprefix("WITH ").strip() + ", tr AS (SELECT * FROM ev WHERE eid % 2 = 0), " + long_sql(("pipeline", "src_port", "vendor_name", "product_name"), source="tr") + ", pu AS (WITH " + PURITY + "), dy AS (SELECT label_binary AS label, strftime(ts, '%Y-%m-%d') AS d, count(*) AS n FROM tr JOIN events e ON e.event_id = tr.eid GROUP BY ALL), kw AS (SELECT unnest(['deny', 'block', 'accept']) AS k) SELECT 'purity' AS topic, \"column\" AS name, cast(purity AS double) AS value FROM pu UNION ALL SELECT 'top_day_share', label, cast(round(max(n) / sum(n), 6) AS double) FROM dy GROUP BY label UNION ALL SELECT 'keyword', k || '|' || label_binary, cast(count(*) AS double) FROM tr, kw WHERE contains(lower(message_sanitized), k) GROUP BY ALL UNION ALL SELECT 'overlap', 'messages', cast(round(avg(CASE WHEN message_sanitized IN (SELECT message_sanitized FROM tr) THEN 1.0 ELSE 0.0 END), 6) AS double) FROM ev WHERE eid % 2 = 1")
@@ -250,7 +263,7 @@ def _(spark, sf):
 @query("k10_run_report")
 def _(spark, sf):
     df = ev(spark, sf)
-    run = jobs.hybrid(df.where("eid % 2 = 0"), df.where("eid % 2 = 1").drop("source"), requests.keyword_model, budget=50, vocabulary=2000, iterations=10)
+    run = jobs.hybrid(df.where("eid % 2 = 0"), df.where("eid % 2 = 1").drop("source"), requests.keyword_model, novelty=0.3, budget=50, dims=10, vocabulary=2000, iterations=10)
     return jobs.run_report(run, df)
 
 
