@@ -125,12 +125,15 @@ def out_of_fold(df: DataFrame, folds: int, fit, key: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def novelty(reference: DataFrame, queries: DataFrame, key: str, words: str = "terms", dims: int = 200, most: int = 20_000, min_df: float = 2) -> DataFrame:
-    """key and maxsim: how near each query comes to any reference row, by latent dimensions of the reference's terms."""
+def novelty(reference: DataFrame, queries: DataFrame, key: str, words: str = "terms", dims: int = 200, most: int = 20_000, min_df: float = 2, stage=lambda df: df) -> DataFrame:
+    """key and maxsim: how near each query comes to any reference row, by latent dimensions of the reference's terms.
+
+    ``stage`` writes and rereads the vectors, which are counted before they are compared.
+    """
     vectors = fit_vectors(reference, words, most, min_df)
     size = len(vectors.stages[0].vocabulary)
     v = fit_lsa(vectors.transform(reference), max(1, min(dims, size - 1)))
-    vec = lambda t, k: lsa_vectors(vectors.transform(t), v, k)
+    vec = lambda t, k: stage(lsa_vectors(vectors.transform(t), v, k))
     return max_similarity(vec(queries, key), vec(reference, reference.columns[0]), key)
 
 

@@ -97,7 +97,7 @@ def hybrid(train_df: DataFrame, df: DataFrame, ask, miss: float = 10.0, doubt: f
     known = view(train_df).withColumn("source", documents.source_key(train_df))
     unique = aggregates.unique_documents(known, ("doc", "label"))
     cut = lambda d: d.withColumns({"terms": models.terms(F.col("doc"), models.HYBRID_TOKEN, 6000), "chars": models.char_terms(F.substring("doc", 1, 6000))})
-    weighted = cut(aggregates.training_weights(unique, "log"))
+    weighted = io.staged(cut(aggregates.training_weights(unique, "log")))
     size = {"weight": "weight", "most": settings.get("vocabulary", 200_000), "min_df": settings.get("min_df", 2), "iterations": settings.get("iterations", 50)}
     by_words, by_chars = (models.fit_classifier(weighted, words=w, **size) for w in ("terms", "chars"))
     events = view(df)
@@ -105,7 +105,7 @@ def hybrid(train_df: DataFrame, df: DataFrame, ask, miss: float = 10.0, doubt: f
     docs = docs.withColumn("source", documents.source_key(docs))
     asked_of = io.staged(cut(docs))
     scored = models.blend(models.predict(by_words, asked_of), models.predict(by_chars, asked_of), "doc_id")
-    near = models.novelty(weighted.select("event_id", "terms"), asked_of, "doc_id", dims=dims, min_df=settings.get("min_df", 2))
+    near = models.novelty(io.staged(weighted.select("event_id", "terms")), asked_of, "doc_id", dims=dims, min_df=settings.get("min_df", 2), stage=io.staged)
     scored = scored.drop("terms", "chars").join(near, "doc_id", "left").withColumns({"clf": decide.min_cost(P, miss), "conf": decide.cost_confidence(P, miss)})
     marked = route.with_cells(scored, unique.select("source", "label"))
     t = route.triggers(doubt, novelty)

@@ -147,11 +147,9 @@ def _(spark, sf):
     names = sorted(r["source"] for r in rows.select("source").distinct().collect())  # one row for each source
     parts = []
     for name in names:
-        rest = sampling.cap_cells(rows.where(F.col("source") != name), ["source", "label"], 50, "doc_id", 1)
-        vectors = models.fit_vectors(rest, "terms", 500, 2)
-        v = models.fit_lsa(vectors.transform(rest), 8)
-        vec = lambda t, vectors=vectors, v=v: models.lsa_vectors(vectors.transform(t), v, "doc_id")
-        parts.append(models.max_similarity(vec(rows.where(F.col("source") == name)), vec(rest), "doc_id").select(F.lit("loso").alias("kind"), F.lit(name).alias("holdout"), "doc_id", F.round("maxsim", 4).alias("maxsim")))
+        rest = io.staged(sampling.cap_cells(rows.where(F.col("source") != name), ["source", "label"], 50, "doc_id", 1))
+        near = models.novelty(rest, rows.where(F.col("source") == name), "doc_id", dims=8, most=500, stage=io.staged)
+        parts.append(near.select(F.lit("loso").alias("kind"), F.lit(name).alias("holdout"), "doc_id", F.round("maxsim", 4).alias("maxsim")))
     return reduce(DataFrame.unionByName, parts)
 
 
