@@ -51,7 +51,11 @@ def let(value: Column, body) -> Column:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows, since one row may hold a very long text."""
+    """Arrow batches of few rows, since one row may hold a very long text.
+
+    Bytes are bounded by ``spark.sql.execution.arrow.maxBytesPerBatch`` beside it. The setting stays for the session, as
+    plans read it when they run.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

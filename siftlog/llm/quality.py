@@ -28,6 +28,14 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class QualityParams:
+    """Sizes, guards and limits.
+
+    The limits were set by hand. Measured on 10,000 documents afterwards: class distances gather from 0.09 to 0.20 and
+    from 0.32 to 0.38, with one document in each hundredth about 0.27; word distances thin out until 0.23, rise slowly
+    from 0.24 and peak at 0.29 to 0.30, where a text has no common word at all. The limit of the sum takes texts that
+    come near to both.
+    """
+
     common_words: int = 12  # of each language
     longest_common: int = 4  # characters; common words are short function words
     min_chars: int = 200  # shorter texts aren't judged by the character classes

@@ -326,6 +326,65 @@ def test_distance_is_jensen_shannon(spark):
     assert abs(got - want) < 1e-12
 
 
+def brute_references(rows: list[tuple[str | None, str | None]], params: quality.QualityParams) -> dict[str, tuple]:
+    """For each language the shares of the character classes and of its common words, of (text, lang) rows."""
+    out = {}
+    for lang in sorted({x for t, x in rows if x is not None and t is not None}):
+        texts = [t for t, x in rows if x == lang and t is not None]
+        classes = np.sum([brute_classes_of(t) for t in texts], 0)
+        counts = Counter(w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t))
+        short = sorted((-n, w) for w, n in counts.items() if n > 1 and w.isalpha() and len(w) <= params.longest_common)
+        if classes.sum() and counts:
+            out[lang] = (classes / classes.sum(), {w: -n / counts.total() for n, w in short[: params.common_words]})
+    return out
+
+
+def brute_classes_of(t: str) -> np.ndarray:
+    kinds = [str.islower, lambda c: c in " \t\n\v\f\r", str.isupper]
+    place = [next((i for i, f in enumerate(kinds) if f(c)), 6) if c.isascii() else 6 for c in t]
+    place = [3 if "\u00c0" <= c <= "\u024f" else 4 if c in "0123456789" else 5 if c in ".,;:!?'\"()-" else i for c, i in zip(t, place)]
+    return np.bincount(place, minlength=7).astype(float)
+
+
+def brute_distance(p: np.ndarray, q: np.ndarray) -> float:
+    m = (p + q) / 2
+    return float(np.sqrt(max(0.0, sum(x * np.log2(x / y) for a in (p, q) for x, y in zip(a, m) if x > 0) / 2)))
+
+
+def test_verdicts_match_brute_force(spark):
+    r = random.Random(3)
+    french = ["le", "la", "et", "des", "un", "pour", "pluie", "tombe", "été", "où"]
+    made = []
+    for i in range(120):
+        lang, n = ("en", "fr", None)[i % 3], r.choice((5, 30, 55, 150))
+        w = prose(i, n).split() if lang != "fr" else [r.choice(french) if r.random() < 0.6 else prose(i * 100 + j, 1) for j in range(n)]
+        share = r.choice((0, 0, 0.3, 1))
+        t = r.choice((" ", " | ", "\n")).join(f"{x}{r.choice(['&%$', '12', 'É', '東', '.'])}" if r.random() < share else x for x in w)
+        made.append((i, None if i == 7 else "" if i == 8 else t * (2 if i % 17 == 0 else 1), lang))
+    params = quality.QualityParams()
+    found = brute_references([(t, x) for _, t, x in made], params)
+    got = {x["doc_id"]: x for x in quality.quality_report(spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert len(got) == len(made)
+    for i, text, _ in made:
+        t = text or ""
+        n_words, failed = brute_quality(t)[0], brute_quality(t)[5]
+        near = []
+        counts = Counter(re.findall(r"[^\x20\x09-\x0D]+", t))
+        for lang, (classes, common) in found.items():
+            picked = [counts[w] for w in common]
+            c = brute_distance(brute_classes_of(t) / max(len(t), 1), classes)
+            w = brute_distance(np.array([*picked, n_words - sum(picked)]) / max(n_words, 1), np.array([*common.values(), 1 - sum(common.values())]))
+            near.append((c + w, c, w, lang))
+        total, c, w, lang = min(near)
+        bad = len(t) >= params.min_chars and c > params.max_class_distance
+        bad |= n_words >= params.min_words and (w > params.max_word_distance or total > params.max_sum)
+        row = got[i]
+        assert abs(row["class_distance"] - c) < 1e-9 and abs(row["word_distance"] - w) < 1e-9, (i, row, c, w)
+        assert row["kept"] == (not failed and not bad), (i, row)
+    verdicts = {(x["kept"], x["base_failed"]) for x in got.values()}
+    assert verdicts == {(True, False), (False, True), (False, False)}
+
+
 def test_quality_empty_and_columns(empty, docs):
     assert quality.quality_report(empty).count() == 0
     assert quality.keep_good(docs).columns == docs.columns
