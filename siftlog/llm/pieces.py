@@ -11,7 +11,8 @@ states are traced back first over blocks, then within them; each chunk is then e
 best path must cut before a space that follows other characters and around characters without a piece, so most of a
 chunk adds the same to all entries; a matrix holds differences only, which leaves every choice as it is.
 
-Between two forced cuts a text is a word; words recur, so a worker remembers their ids.
+Between two forced cuts a text is a word; words recur, so a worker remembers their ids, and all best paths of a word
+that has a few.
 
 Scores are whole numbers, so several paths often have the largest sum. Each place of a text has a tie number, and of
 such paths that counts whose cuts have the largest sum of them. Scores and tie sums are the real and imaginary parts of
@@ -26,6 +27,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -39,6 +41,8 @@ CHUNK = 32_768
 BLOCK = 64  # matrices multiplied by one group
 LOW = complex(-np.inf, 0)
 MEMO_WORDS = 1_000_000
+MEMO_CHARS = 64  # longer words aren't remembered
+MEMO_PATHS = 8  # equal paths of a word that are remembered; with more the recurrence runs again, at the word's place
 TYPE = np.dtype("<u2")
 
 
@@ -73,7 +77,9 @@ class Pieces:
         self.longest = max(map(len, self.score))
         self.unknown = min(self.score.values()) - 10
         self.ids = {p.replace("▁", " "): i for i, p, _ in normal}
+        self.packed = {p: np.array([i], TYPE).tobytes() for p, i in self.ids.items()}
         self.begins = frozenset(p[:n] for p in self.score for n in range(1, len(p) + 1))
+        self.steps = {p: self.score.get(p, -np.inf) for p in self.begins}
         self.bytes = [b""] * len(model.pieces)
         self.of_byte = [0] * 256
         for i, p, _ in normal:
@@ -84,7 +90,7 @@ class Pieces:
                 self.bytes[i] = bytes([int(p.piece[3:-1], 16)])
         cut = "\n" if "\n" not in self.known else ""
         self.words = re.compile(rf" *[^ {cut}]+|{cut}| +" if cut else r" *[^ ]+| +").findall
-        self.memo: dict[str, bytes | None] = {}  # None: equal paths, which the place decides
+        self.memo: dict[str, bytes | list[tuple[list[int], bytes]] | None] = {}  # list: equal paths, which the place decides; None: many
 
     @classmethod
     def get(cls, path: str) -> "Pieces":
@@ -92,61 +98,91 @@ class Pieces:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
-    def _ids(self, word: str, at: int | None = None) -> bytes | None:
-        """The ids on the best path through one word at place ``at`` of its text; without a place, None if paths are equal."""
+    def _pieces(self, word: str, cuts: list[int]) -> bytes:
+        parts = [word[a:b] for a, b in zip([0, *cuts], cuts)]
+        return b"".join([self.packed[x] if x in self.packed else np.array([self.of_byte[b] for b in x.encode("utf-8", "replace")], TYPE).tobytes() for x in parts])
+
+    def _paths(self, word: str) -> bytes | list[tuple[list[int], bytes]] | None:
+        """The ids on the best path through a word; of a few equal paths each with its cuts; None of many."""
+        n, step, single, unknown = len(word), self.steps.get, self.score.get, self.unknown
+        best, came, ways = [0.0, *[-np.inf] * n], [0] * (n + 1), [1] * (n + 1)
+        for i in range(n):
+            here = best[i]
+            s = single(word[i], unknown)
+            for j in range(i + 1, n + 1):
+                if j > i + 1 and (s := step(word[i:j])) is None:
+                    break
+                value, old = here + s, best[j]
+                if value > old:
+                    best[j] = value
+                    came[j] = i
+                    ways[j] = ways[i]
+                elif value == old:
+                    ways[j] += ways[i]
+        if ways[n] == 1:
+            cuts, end = [], n
+            while end:
+                cuts.append(end)
+                end = came[end]
+            return self._pieces(word, cuts[::-1])
+        if ways[n] > MEMO_PATHS:
+            return None
+        done, open_ = [], [[n]]
+        while open_:
+            cuts = open_.pop()
+            j = cuts[0]
+            if not j:
+                done.append((cuts[1:], self._pieces(word, cuts[1:])))
+                continue
+            for i in range(max(0, j - self.longest), j):
+                s = self.score.get(word[i:j], self.unknown if i == j - 1 else None)
+                if s is not None and best[i] + s == best[j]:
+                    open_.append([i, *cuts])
+        return done
+
+    def _placed(self, word: str, at: int) -> bytes:
+        """The ids on the best path through a word at place ``at`` of its text."""
         n, score, begins = len(word), self.score, self.begins
         best: list[tuple[float, int] | None] = [(0.0, 0), *[None] * n]
         came = [0] * (n + 1)
-        equal = [False] * (n + 1)
         for i in range(n):
-            here, single = best[i], False
-            if here is None:
-                continue
+            here = best[i]
             for j in range(i + 1, n + 1):
                 part = word[i:j]
-                if part in begins:
-                    s = score.get(part)
-                    single |= j == i + 1 and s is not None
-                elif j > i + 1:
+                if j > i + 1 and part not in begins:
                     break
-                else:
-                    s = None
-                if s is None:
-                    if j > i + 1 or single:
-                        continue
-                    s = self.unknown
-                value = (here[0] + s, here[1] + (tie(at + j) if at is not None else 0))
-                if best[j] is None or value > best[j]:
-                    best[j], came[j], equal[j] = value, i, equal[i]
-                elif value == best[j]:
-                    equal[j] = True
-        if equal[n] and at is None:
-            return None
-        out, end = [], n
+                s = score.get(part, self.unknown if j == i + 1 else None)
+                if s is not None:
+                    value = (here[0] + s, here[1] + tie(at + j))
+                    if best[j] is None or value > best[j]:
+                        best[j], came[j] = value, i
+        cuts, end = [], n
         while end:
-            part = word[came[end] : end]
-            i = self.ids.get(part)
-            out += [i] if i is not None else [self.of_byte[b] for b in reversed(part.encode("utf-8", "replace"))]
+            cuts.append(end)
             end = came[end]
-        return np.array(out[::-1], TYPE).tobytes()
+        return self._pieces(word, cuts[::-1])
+
+    def _word(self, word: str, at: int) -> bytes:
+        if len(word) > MEMO_CHARS:
+            return self._placed(word, at)
+        if word not in self.memo:
+            self.memo[word] = self._paths(word)
+        found = self.memo[word]
+        if found is None:
+            return self._placed(word, at)
+        return found if isinstance(found, bytes) else max(found, key=lambda path: sum(tie(at + c) for c in path[0]))[1]
 
     def encode(self, text: str, at: int = 0) -> bytes:
         """The ids of a text, or of its part at place ``at`` that begins and ends at cuts; a space stands for the word mark."""
         words = self.words(text)
-        try:
-            return b"".join(map(self.memo.__getitem__, words))
-        except (KeyError, TypeError):
-            if len(self.memo) > MEMO_WORDS:
-                self.memo = {}
-            for w in set(words):
-                if w not in self.memo:
-                    self.memo[w] = self._ids(w)
-            out = []
-            for w in words:
-                ids = self.memo[w]
-                out.append(self._ids(w, at) if ids is None else ids)
-                at += len(w)
-            return b"".join(out)
+        if len(self.memo) > MEMO_WORDS:
+            self.memo = {}
+        found = list(map(self.memo.get, words))
+        if open_ := [i for i, ids in enumerate(found) if type(ids) is not bytes]:
+            places = list(accumulate(map(len, words), initial=at))
+            for i in open_:
+                found[i] = self._word(words[i], places[i])
+        return b"".join(found)
 
     def decode(self, ids: bytes) -> str:
         """The text of all ids of a document; the space that encoding put before it goes."""
