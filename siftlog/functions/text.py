@@ -189,5 +189,13 @@ def perturbed(message: Column, seed: int) -> Column:
     text = F.coalesce(message, F.lit(""))
     digit = lambda ch, i: F.when(ch.rlike("[0-9]"), F.pmod(F.xxhash64(text, i, F.lit(seed)), F.lit(10)).cast("string")).otherwise(ch)
     other = F.array_join(F.transform(F.split(text, ""), digit), "")
-    months, days = ("Jan", "Mar", "Apr", "Jun", "Aug", "Oct", "Dec"), ("Mon", "Tue", "Wed", "Fri", "Sun")
-    return F.regexp_replace(F.regexp_replace(other, r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\b", months[seed % len(months)]), r"\b(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)\b", days[seed % len(days)])
+
+    def renamed(value: Column, names: tuple[str, ...]) -> Column:
+        """Each occurrence of a name becomes one of the names, by its place."""
+        found = rf"\b(?:{'|'.join(names)})\b"
+        drawn = lambda i: F.get(F.array(*[F.lit(n) for n in names]), F.pmod(F.xxhash64(text, i, F.lit(f"{names[0]}{seed}")), F.lit(len(names))).cast("int"))
+        parts = lambda v: F.array_join(F.transform(F.split(v, found), lambda p, i: F.when(i == 0, p).otherwise(F.concat(drawn(i), p))), "")
+        return F.when(value.rlike(found), parts(value)).otherwise(value)
+
+    months, days = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"), ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
+    return bound(other, lambda o: bound(renamed(o, months), lambda m: renamed(m, days)))

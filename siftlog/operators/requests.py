@@ -38,6 +38,11 @@ def system_prompts(codebook: DataFrame, excluded: DataFrame, intro: str, definit
     return sections.select("holdout", F.concat(F.lit(intro + "\n\n"), F.array_join(F.transform("s", lambda x: x["t"]), "\n"), F.lit("\n\n" + notes)).alias("prompt"))
 
 
+def plain_prompt(intro: str, definitions: dict[str, str], notes: str) -> str:
+    """The system prompt without a codebook, for models that get no examples."""
+    return "\n".join([intro, "", *[f"{x}: {d}." for x, d in definitions.items()], "", notes])
+
+
 def request_key(system: Column, user: Column) -> Column:
     return F.sha1(F.concat(F.lit(VERSION), F.lit("\0"), system, F.lit("\0"), user))
 

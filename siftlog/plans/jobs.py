@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -86,7 +87,7 @@ def predict(model: PipelineModel, df: DataFrame, kind: str, mask: DataFrame | No
     return out.select("event_id", F.col("pred").alias("pred_label"))
 
 
-def hybrid(train_df: DataFrame, df: DataFrame, ask, miss: float = 10.0, doubt: float = 0.9, novelty: float | None = None, budget: int = 2000, rule: str = "gate_km", dims: int = 200, **settings) -> DataFrame:
+def hybrid(train_df: DataFrame, df: DataFrame, ask, miss: float = 10.0, doubt: float = 0.9, novelty: float | None = None, budget: int = 2000, rule: str = "gate_km", dims: int = 200, system: str = "Label one security log event.", **settings) -> DataFrame:
     """Classify distinct documents, route the novel and doubtful ones to a model within the budget, fuse, and join back to events.
 
     The classifier is the mean of one on words and word pairs and one on character runs. A document's novelty is its
@@ -112,7 +113,7 @@ def hybrid(train_df: DataFrame, df: DataFrame, ask, miss: float = 10.0, doubt: f
     fired = t["unseen_source"] | t["new_pair"] | t["novel"] | t["doubtful"]
     routed = route.route(marked, fired, budget, "doc_id", "confidence")
     user = requests.user_prompt(F.col("pipeline"), F.col("vendor_name"), F.col("product_name"), text.reader_view(F.col("message_sanitized")))
-    asked = routed.where("routed").select("doc_id", F.lit("Label one security log event.").alias("system"), user.alias("user")).withColumn("key", requests.request_key(F.col("system"), F.col("user")))
+    asked = routed.where("routed").select("doc_id", F.lit(system).alias("system"), user.alias("user")).withColumn("key", requests.request_key(F.col("system"), F.col("user")))
     replies = requests.ask(asked.dropDuplicates(["key"]), ask)
     answers = asked.select("doc_id", "key").join(replies.select("key", F.col("label").alias("reply")), "key").select("doc_id", "reply")
     fused = routed.join(answers, "doc_id", "left")
@@ -122,7 +123,8 @@ def hybrid(train_df: DataFrame, df: DataFrame, ask, miss: float = 10.0, doubt: f
 
 
 def leakage_audit(train_df: DataFrame, valid_df: DataFrame, label: str = "label") -> DataFrame:
-    """topic, name and value: purity of single columns, keywords, time and identifiers by label, overlap of documents."""
+    """topic, name and value: purity of single columns, keywords, days, identifiers and pseudonyms by label, messages with
+    two labels, overlap of messages, shares of sources in both tables and sources that training lacks."""
     long = lambda df, topic, name, value: df.select(F.lit(topic).alias("topic"), name.cast("string").alias("name"), value.cast("double").alias("value"))
     purity = aggregates.column_purity(train_df, ["pipeline", "src_port", "vendor_name", "product_name"], label)
     times = aggregates.time_audit(train_df, label, time.day(F.col("timestamp")), F.hour(time.instant(F.col("timestamp"))))
@@ -135,27 +137,34 @@ def leakage_audit(train_df: DataFrame, valid_df: DataFrame, label: str = "label"
         long(words, "keyword", F.concat_ws("|", "keyword", label), F.col("n")),
         long(overlap, "overlap", F.lit("messages"), F.col("v")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def prior_calibration(scored: DataFrame, model_prior: list[float], steps: int = 200) -> DataFrame:
-    """Estimate the priors of ``scored``, reweight, and count what flips."""
+    number = text.id_number(F.col("event_id"))
+    ids = train_df.groupBy(F.col(label).alias("label")).agg(F.min(number).alias("low"), F.max(number).alias("high"), F.sum(F.size(F.regexp_extract_all(F.coalesce("message_sanitized", F.lit("")), F.lit(rf"(?:{text.SANITIZER})-[0-9]{{4}}"), F.lit(0)))).alias("pseudonyms"))
+    parts += [long(ids, t, F.col("label"), F.col(c)) for t, c in (("lowest_id", "low"), ("highest_id", "high"), ("pseudonyms", "pseudonyms"))]
+    labels = train_df.groupBy("message_sanitized").agg((F.min(label) != F.max(label)).alias("two"))
+    parts.append(long(labels.agg(F.count_if("two").alias("v")), "two_labels", F.lit("messages"), F.col("v")))
+    sources = aggregates.share_change(*[d.select(documents.source_key(d).alias("source")) for d in (train_df, valid_df)], "source")
+    parts += [long(sources, f"source_share_{t}", F.col("source"), F.col(c)) for t, c in (("train", "share_a"), ("valid", "share_b"))]
+    parts.append(long(sources.where("n_a = 0"), "unseen_source", F.col("source"), F.col("n_b")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def prior_calibration(scored: DataFrame, model_prior: list[float], baseline: DataFrame, steps: int = 200) -> DataFrame:
+    """Estimate the priors of ``scored``, reweight, and count what flips and what agrees with another submission
+    (``baseline``: event_id, pred_label; events that it lacks don't count as agreed)."""
     prior = models.estimate_priors(scored, model_prior, steps)
     calibrated = decide.first_best(models.reweighted(prior, model_prior))
-    rows = scored.select(decide.weighted_argmax(P).alias("raw"), calibrated.alias("calibrated"))
-    return rows.groupBy("raw", "calibrated").agg(F.count(F.lit(1)).alias("n"))
+    rows = scored.select("event_id", decide.weighted_argmax(P).alias("raw"), calibrated.alias("calibrated"))
+    both = rows.join(baseline.select("event_id", "pred_label"), "event_id", "left")
+    return both.groupBy("raw", "calibrated").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("calibrated") == F.col("pred_label")).alias("agreed"))
 
 
-def rare_source_routing(train_df: DataFrame, df: DataFrame, base: DataFrame, ask, min_rows: int) -> DataFrame:
+def rare_source_routing(train_df: DataFrame, df: DataFrame, base: DataFrame, ask, min_rows: int, system: str) -> DataFrame:
     """Ask the model about events of sources with too little support; its answers override the base labels."""
     named = df.withColumn("source", documents.source_key(df))
     enough = aggregates.source_mask(train_df.withColumn("source", documents.source_key(train_df)), "source", "label", min_rows)
     rare = named.join(enough.select("source"), "source", "left_anti")
     user = requests.user_prompt(F.col("pipeline"), F.col("vendor_name"), F.col("product_name"), text.probe_view(F.col("message_sanitized")))
-    asked = rare.select("event_id", F.lit("sys").alias("system"), user.alias("user")).withColumn("key", requests.request_key(F.col("system"), F.col("user")))
+    asked = rare.select("event_id", F.lit(system).alias("system"), user.alias("user")).withColumn("key", requests.request_key(F.col("system"), F.col("user")))
     replies = requests.ask(asked.dropDuplicates(["key"]), ask)
     return requests.override(base, asked.select("event_id", "key").join(replies.select("key", "label"), "key").select("event_id", "label"))
 
@@ -165,20 +174,63 @@ def recoverability(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
     return aggregates.mutual_information(df.withColumn("_y", (F.col(label) == LABELS[1]).cast("string")), columns, "_y")
 
 
-def time_independence(df: DataFrame, model: PipelineModel, kind: str, seed: int = 1) -> DataFrame:
-    """How many predictions change when all digits and calendar words of the messages do."""
-    other = df.withColumn("message_sanitized", text.perturbed(F.col("message_sanitized"), seed))
-    a = models.predict(model, _terms(df, kind)).select("event_id", F.col("pred").alias("a"))
-    b = models.predict(model, _terms(other, kind)).select("event_id", F.col("pred").alias("b"))
-    return a.join(b, "event_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("changed"))
+def recoverability_report(df: DataFrame, other: DataFrame, label: str, columns: list[str], host: str = "src_host", folds: int = 5, min_count: int = 30, **settings) -> DataFrame:
+    """topic, name and value for each label but the first: what fields tell of it, recall and precision of a classifier
+    of messages alone on hosts it hasn't seen, and each field's values with the highest rates (with rows, hosts, whether
+    ``other`` has them)."""
+    parts = []
+    for x in LABELS[1:]:
+        rows = df.withColumn("_y", F.when(F.col(label) == x, x).otherwise("other"))
+        told = aggregates.mutual_information(rows, columns, "_y")
+        parts.append(told.select(F.lit(f"information_{x}").alias("topic"), F.col("column").alias("name"), F.col("norm_mi").alias("value")))
+        terms = io.staged(rows.select("event_id", host, "_y", F.when(F.col("_y") == x, x).otherwise(LABELS[0]).alias("label"), models.terms(F.col("message_sanitized")).alias("terms")))
+        weighted = terms.join(F.broadcast(aggregates.class_weights(terms).select("label", F.col("weight").alias("_cw"))), "label")
+        scored = models.out_of_fold(sampling.group_folds(weighted, host, folds, "label"), folds, lambda d: models.fit_classifier(d, weight="_cw", **settings), "event_id")
+        hit, true, said = ((F.col("label") == x) & (F.col("pred") == x)), F.col("label") == x, F.col("pred") == x
+        sums = scored.select("event_id", "pred").join(terms.select("event_id", "label"), "event_id").agg(F.round(F.count_if(hit) / F.nullif(F.count_if(true), F.lit(0)), 4).alias("recall"), F.round(F.count_if(hit) / F.nullif(F.count_if(said), F.lit(0)), 4).alias("precision"))
+        parts.append(sums.select(F.lit(f"message_only_{x}").alias("topic"), F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in ("recall", "precision")]))))
+        for c in columns:
+            best = aggregates.value_rates(rows, c, F.col("_y") == x, host, other, min_count, 6)
+            name = F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(" rows="), F.col("n"), F.lit(" hosts="), F.col("hosts"), F.lit(" seen="), F.col("seen"))
+            parts.append(best.select(F.lit(f"value_{x}").alias("topic"), name.alias("name"), F.col("rate").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def time_independence(df: DataFrame, model: PipelineModel, kind: str, at: float, mask: DataFrame | None = None, rule: dict | None = None, seed: int = 1) -> DataFrame:
+    """What the whole scored system (model, mask, rule) predicts before and after: label, n, shifted (rows that get the
+    label once all events are moved to the time ``at`` and all digits and calendar words of messages are others) and
+    changed (rows of the label that get another one then)."""
+    other = df.withColumns({"timestamp": F.lit(at).cast(df.schema["timestamp"].dataType), "message_sanitized": text.perturbed(F.col("message_sanitized"), seed)})
+    a, b = (predict(model, d, kind, mask, rule).select("event_id", F.col("pred_label").alias(n)) for d, n in ((df, "a"), (other, "b")))
+    both = a.join(b, "event_id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))  # at most nine rows
+    sides = both.select(F.inline(F.array(
+        F.struct(F.col("a").alias("label"), F.col("n"), F.lit(0).alias("shifted"), F.when(F.col("a") != F.col("b"), F.col("n")).otherwise(0).alias("changed")),
+        F.struct(F.col("b").alias("label"), F.lit(0).alias("n"), F.col("n").alias("shifted"), F.lit(0).alias("changed")))))
+    return sides.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("n", "shifted", "changed")])
+
+
+def time_probe(df: DataFrame, period, kinds: list[str], folds: int = 5, **settings) -> DataFrame:
+    """Can documents tell the ``period`` (one of two, as a Column of booleans)? A row for each kind of document: its
+    accuracy out of fold, the majority's share and the distinct documents. Of time-free ones it should not exceed the share."""
+    parts = []
+    for kind in kinds:
+        rows = io.staged(df.select("event_id", F.when(period, LABELS[0]).otherwise(LABELS[1]).alias("half"), document(df, kind).alias("doc"), models.terms(document(df, kind)).alias("terms")))
+
+        def fit_predict(folded: DataFrame) -> DataFrame:
+            scored = models.out_of_fold(folded, folds, lambda d: models.fit_classifier(d, label="half", **settings), "event_id")
+            return scored.join(folded.select("event_id", F.col("half").alias("truth")), "event_id")
+
+        told = models.probe(rows.drop("doc"), "half", "event_id", fit_predict, folds)
+        parts.append(told.join(F.broadcast(rows.agg(F.count_distinct("doc").alias("documents")))).select(F.lit(kind).alias("kind"), "accuracy", "majority", "documents"))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def zero_shot_probe(df: DataFrame, ask, n: int = 5, seed: int = 0) -> DataFrame:
+def zero_shot_probe(df: DataFrame, ask, system: str, n: int = 5, seed: int = 0) -> DataFrame:
     """Sample each (source, label) cell with distinct templates first, ask the model, score by source."""
     rows = df.withColumns({"source": documents.source_key(df), "m": F.coalesce("message_sanitized", F.lit("")), "t": text.timefree(F.col("message_sanitized"))})
     some = sampling.first_of_templates(rows, ["source", "label"], "t", "m", "event_id", n, seed)
     user = requests.user_prompt(F.col("pipeline"), F.col("vendor_name"), F.col("product_name"), text.probe_view(F.col("message_sanitized")))
-    asked = some.select("event_id", "source", "label", F.lit("sys").alias("system"), user.alias("user")).withColumn("key", requests.request_key(F.col("system"), F.col("user")))
+    asked = some.select("event_id", "source", "label", F.lit(system).alias("system"), user.alias("user")).withColumn("key", requests.request_key(F.col("system"), F.col("user")))
     replies = requests.ask(asked.dropDuplicates(["key"]), ask)
     scored = asked.select("source", "key", F.col("label").alias("truth")).join(replies.select("key", F.col("label").alias("pred")), "key")
     return scored.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("truth") == F.col("pred")).cast("double")), 6).alias("accuracy"), F.round(F.avg(((F.col("truth") != "benign") == (F.col("pred") != "benign")).cast("double")), 6).alias("alert_accuracy"))

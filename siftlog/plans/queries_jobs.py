@@ -7,19 +7,20 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlog.functions import time
+from siftlog.functions import text, time
 from siftlog.operators import aggregates, decide, documents, metrics, models, requests, sampling
 from siftlog.plans import jobs
 from siftlog.plans.queries_columns import _scratch
 from siftlog.plans.queries_tables import ev
 from siftlog.plans import views_sql
-from siftlog.plans.queries_decisions import _STUB, argmax, least
+from siftlog.plans.queries_decisions import _STUB, DEFINITIONS, INTRO, NOTES, argmax, least
 from siftlog.plans.queries_tables import EV, H, INFORMATION, LD, PR, PURITY, long_sql
 from siftlog.plans.registry import SOURCE, VERDICT_SQL, query
-from siftlog.schema import LABELS, P_MALICIOUS, P_SUSPICIOUS, labelled_documents, read, with_probabilities
+from siftlog.schema import _SPARK_EPOCH, ADAPTER, LABELS, P_MALICIOUS, P_SUSPICIOUS, labelled_documents, read, with_probabilities
 from siftlog.sources import io
 from siftlog.streaming import events as stream
 
+SYSTEM = requests.plain_prompt(INTRO, DEFINITIONS, NOTES)
 SMALL = {"most": 2000, "min_df": 3, "iterations": 10}
 CONFIG = jobs.TrainConfig(max_rows=3000, vocabulary=2000, iterations=10, mask_min_rows=20)
 
@@ -27,7 +28,7 @@ CONFIG = jobs.TrainConfig(max_rows=3000, vocabulary=2000, iterations=10, mask_mi
 def _rows(spark, sf):
     """Labelled documents with terms, for the classifiers."""
     docs = labelled_documents(spark, sf)
-    return docs.select("doc_id", "source", "label", models.terms(F.col("doc"), models.HYBRID_TOKEN, 6000, pairs=False).alias("terms"))
+    return docs.select("doc_id", "source", "label", models.terms(F.col("doc"), models.HYBRID_TOKEN, 6000).alias("terms"))
 
 
 def _fit(rows):
@@ -75,7 +76,7 @@ def _(spark, sf):
 @query("m5_weighted_classifier")
 def _(spark, sf):
     docs = labelled_documents(spark, sf).withColumn("event_id", F.col("doc_id"))
-    unique = aggregates.training_weights(aggregates.unique_documents(docs), "log").withColumn("terms", models.terms(F.col("doc"), models.HYBRID_TOKEN, 6000, pairs=False))
+    unique = aggregates.training_weights(aggregates.unique_documents(docs), "log").withColumn("terms", models.terms(F.col("doc"), models.HYBRID_TOKEN, 6000))
     return _rounded(models.predict(models.fit_classifier(unique, weight="weight", **SMALL), unique.withColumn("doc_id", F.col("event_id"))), "doc_id")
 
 
@@ -115,8 +116,8 @@ def _(spark, sf):
 
 @query("m13_time_probe")
 def _(spark, sf):
-    rows = ev(spark, sf).select("event_id", F.month(time.instant(F.col("timestamp"))).alias("month"), "label", models.terms(F.col("message_sanitized"), pairs=False).alias("terms"))
-    named = rows.withColumn("half", F.when(F.col("month") % 2 == 0, "benign").otherwise("suspicious"))
+    rows = ev(spark, sf).select("event_id", F.dayofmonth(time.instant(F.col("timestamp"))).alias("day"), "label", models.terms(F.col("message_sanitized")).alias("terms"))
+    named = rows.withColumn("half", F.when(F.col("day") <= 15, "benign").otherwise("suspicious"))
 
     def fit_predict(folded):
         scored = models.out_of_fold(folded, 5, lambda d: models.fit_classifier(d, label="half", **SMALL), "event_id")
@@ -162,8 +163,6 @@ def _(spark, sf):
 def _(spark, sf):
     """Time split and raw or version-free documents: metrics of each."""
     df = sampling.time_split(ev(spark, sf), "timestamp", "event_id")
-    from siftlog.functions import text
-
     kinds = {"raw": documents.full_document(df), "normalized": text.version_free(documents.full_document(df))}
     parts = []
     for name, doc in kinds.items():
@@ -175,12 +174,16 @@ def _(spark, sf):
 
 @query("e11_leakage_ablation")
 def _(spark, sf):
-    df = ev(spark, sf)
+    """Raw documents: folds of the distinct training documents, and events of the other half as truth from outside."""
+    df = ev(spark, sf).where("eid % 2 = 0")
     unique = aggregates.unique_documents(df.withColumn("doc", documents.raw_document(df)))
-    rows = unique.select(F.col("event_id").alias("doc_id"), "label", models.terms(F.col("doc"), pairs=False).alias("terms"))
+    rows = io.staged(unique.select(F.col("event_id").alias("doc_id"), "label", models.terms(F.col("doc")).alias("terms")))
     folded = sampling.stratified_folds(rows, "label", "doc_id", 2, 1)
-    scored = models.out_of_fold(folded, 2, _fit, "doc_id").join(rows.select("doc_id", F.col("label").alias("truth")), "doc_id")
-    return metrics.evaluate(scored.withColumn("pred", decide.min_cost(decide.probabilities(), 5))).select("items", F.round("accuracy", 4).alias("accuracy"), F.round("cost_m5", 1).alias("cost_m5"))
+    inside = models.out_of_fold(folded, 2, _fit, "doc_id").join(rows.select("doc_id", F.col("label").alias("truth")), "doc_id")
+    other = ev(spark, sf).where("eid % 2 = 1")
+    outside = models.predict(_fit(rows), other.select(F.col("event_id").alias("doc_id"), F.col("label").alias("truth"), models.terms(documents.raw_document(other)).alias("terms")))
+    scored = [d.select(F.lit(n).alias("truth_from"), "truth", *[f"p_{x}" for x in LABELS]) for d, n in ((inside, "folds"), (outside, "outside"))]
+    return metrics.evaluate(scored[0].unionByName(scored[1]).withColumn("pred", decide.min_cost(decide.probabilities(), 5)), ("truth_from",)).select("truth_from", "items", F.round("accuracy", 4).alias("accuracy"), F.round("cost_m5", 1).alias("cost_m5"))
 
 
 @query("l7_held_out_replies", EV + f", r AS (SELECT *, {SOURCE} AS holdout, row_number() OVER (PARTITION BY {SOURCE} ORDER BY " + H.format(7) + f", event_id) AS rn FROM ev) SELECT holdout, count(*) AS n, round(avg(CASE WHEN {_STUB} = label_binary THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM r WHERE rn <= 20 GROUP BY holdout")
@@ -220,7 +223,12 @@ def _(spark, sf):
     return jobs.hybrid(df.where("eid % 2 = 0"), df.where("eid % 2 = 1").drop("source"), requests.keyword_model, novelty=0.3, budget=50, dims=10, vocabulary=2000, iterations=10).select("event_id", "clf", "routed", "final")
 
 
-@query("k4_leakage_audit", "WITH " + EV.removeprefix("WITH ").strip() + ", tr AS (SELECT * FROM ev WHERE eid % 2 = 0), " + long_sql(("pipeline", "src_port", "vendor_name", "product_name"), source="tr") + ", pu AS (WITH " + PURITY + "), dy AS (SELECT label_binary AS label, strftime(ts, '%Y-%m-%d') AS d, count(*) AS n FROM tr JOIN events e ON e.event_id = tr.eid GROUP BY ALL), kw AS (SELECT unnest(['deny', 'block', 'accept']) AS k) SELECT 'purity' AS topic, \"column\" AS name, cast(purity AS double) AS value FROM pu UNION ALL SELECT 'top_day_share', label, cast(round(max(n) / sum(n), 6) AS double) FROM dy GROUP BY label UNION ALL SELECT 'keyword', k || '|' || label_binary, cast(count(*) AS double) FROM tr, kw WHERE contains(lower(message_sanitized), k) GROUP BY ALL UNION ALL SELECT 'overlap', 'messages', cast(round(avg(CASE WHEN message_sanitized IN (SELECT message_sanitized FROM tr) THEN 1.0 ELSE 0.0 END), 6) AS double) FROM ev WHERE eid % 2 = 1")
+@query("k4_leakage_audit", "WITH " + EV.removeprefix("WITH ").strip() + ", tr AS (SELECT * FROM ev WHERE eid % 2 = 0), " + long_sql(("pipeline", "src_port", "vendor_name", "product_name"), source="tr") + ", pu AS (WITH " + PURITY + "), dy AS (SELECT label_binary AS label, strftime(ts, '%Y-%m-%d') AS d, count(*) AS n FROM tr JOIN events e ON e.event_id = tr.eid GROUP BY ALL), kw AS (SELECT unnest(['deny', 'block', 'accept']) AS k) SELECT 'purity' AS topic, \"column\" AS name, cast(purity AS double) AS value FROM pu UNION ALL SELECT 'top_day_share', label, cast(round(max(n) / sum(n), 6) AS double) FROM dy GROUP BY label UNION ALL SELECT 'keyword', k || '|' || label_binary, cast(count(*) AS double) FROM tr, kw WHERE contains(lower(message_sanitized), k) GROUP BY ALL UNION ALL SELECT 'overlap', 'messages', cast(round(avg(CASE WHEN message_sanitized IN (SELECT message_sanitized FROM tr) THEN 1.0 ELSE 0.0 END), 6) AS double) FROM ev WHERE eid % 2 = 1"
+    + " UNION ALL SELECT 'lowest_id', label_binary, cast(min(eid) AS double) FROM tr GROUP BY 2 UNION ALL SELECT 'highest_id', label_binary, cast(max(eid) AS double) FROM tr GROUP BY 2"
+    + f" UNION ALL SELECT 'pseudonyms', label_binary, cast(sum(len(regexp_extract_all(coalesce(message_sanitized, ''), '(?:{text.SANITIZER})-[0-9]{{4}}'))) AS double) FROM tr GROUP BY 2"
+    + " UNION ALL SELECT 'two_labels', 'messages', cast(count(*) AS double) FROM (SELECT message_sanitized FROM tr GROUP BY 1 HAVING min(label_binary) <> max(label_binary))"
+    + f" UNION ALL SELECT 'source_share_' || side, source, round(n / cast(t AS double), 6) FROM (SELECT source, side, count(so.source) AS n, max(t) AS t FROM (SELECT DISTINCT {SOURCE} AS source FROM ev) CROSS JOIN (SELECT CASE WHEN eid % 2 = 0 THEN 'train' ELSE 'valid' END AS side, count(*) AS t FROM ev GROUP BY 1) LEFT JOIN (SELECT {SOURCE} AS source, CASE WHEN eid % 2 = 0 THEN 'train' ELSE 'valid' END AS side FROM ev) so USING (source, side) GROUP BY 1, 2)"
+    + f" UNION ALL SELECT 'unseen_source', {SOURCE}, cast(count(*) AS double) FROM ev WHERE eid % 2 = 1 AND {SOURCE} NOT IN (SELECT {SOURCE} FROM tr) GROUP BY 2")
 def _(spark, sf):
     df = ev(spark, sf)
     return jobs.leakage_audit(df.where("eid % 2 = 0"), df.where("eid % 2 = 1"))
@@ -229,16 +237,18 @@ def _(spark, sf):
 _EM = "em(i, b, s, m) AS (SELECT 0, 0.6::DOUBLE, 0.3::DOUBLE, 0.1::DOUBLE UNION ALL SELECT i + 1, n.b, n.s, n.m FROM em, LATERAL (SELECT avg(x / (x + y + z)) AS b, avg(y / (x + y + z)) AS s, avg(z / (x + y + z)) AS m FROM (SELECT p_benign * em.b / 0.6::DOUBLE AS x, p_suspicious * em.s / 0.3::DOUBLE AS y, p_malicious * em.m / 0.1::DOUBLE AS z FROM pr)) n WHERE i < 20)"
 
 
-@query("k5_prior_calibration", "WITH RECURSIVE " + PR.removeprefix("WITH ") + ", " + _EM + f", c AS (SELECT {argmax(1)} AS raw, p_benign * (b / 0.6::DOUBLE) AS x, p_suspicious * (s / 0.3::DOUBLE) AS y, p_malicious * (m / 0.1::DOUBLE) AS z FROM pr, (SELECT * FROM em WHERE i = 20)) SELECT raw, CASE WHEN x >= y AND x >= z THEN 'benign' WHEN y >= z THEN 'suspicious' ELSE 'malicious' END AS calibrated, count(*) AS n FROM c GROUP BY ALL")
+@query("k5_prior_calibration", "WITH RECURSIVE " + PR.removeprefix("WITH ") + ", " + _EM + f", c AS (SELECT {argmax(1)} AS raw, {argmax(10)} AS deployed, p_benign * (b / 0.6::DOUBLE) AS x, p_suspicious * (s / 0.3::DOUBLE) AS y, p_malicious * (m / 0.1::DOUBLE) AS z FROM pr, (SELECT * FROM em WHERE i = 20)) SELECT raw, CASE WHEN x >= y AND x >= z THEN 'benign' WHEN y >= z THEN 'suspicious' ELSE 'malicious' END AS calibrated, count(*) AS n, count_if(CASE WHEN x >= y AND x >= z THEN 'benign' WHEN y >= z THEN 'suspicious' ELSE 'malicious' END = deployed) AS agreed FROM c GROUP BY ALL")
 def _(spark, sf):
-    return jobs.prior_calibration(with_probabilities(ev(spark, sf)), [0.6, 0.3, 0.1], 20)
+    df = with_probabilities(ev(spark, sf))
+    deployed = df.select("event_id", decide.weighted_argmax(decide.probabilities(), None, {"benign": 10}).alias("pred_label"))
+    return jobs.prior_calibration(df, [0.6, 0.3, 0.1], deployed, 20)
 
 
 @query("k6_rare_source_routing", EV + f", s AS (SELECT *, {SOURCE} AS source FROM ev), e AS (SELECT source FROM s WHERE eid % 2 = 0 GROUP BY source HAVING count(*) >= 500) SELECT event_id, CASE WHEN source IN (SELECT source FROM e) THEN 'benign' ELSE {_STUB} END AS pred_label FROM s")
 def _(spark, sf):
     df = ev(spark, sf)
     base = df.select("event_id", F.lit("benign").alias("pred_label"))
-    return jobs.rare_source_routing(df.where("eid % 2 = 0"), df, base, requests.keyword_model, 500)
+    return jobs.rare_source_routing(df.where("eid % 2 = 0"), df, base, requests.keyword_model, 500, SYSTEM)
 
 
 @query("k7_recoverability", EV + ", " + long_sql(("pipeline", "src_port", "vendor_name", "product_name"), "CASE WHEN label_binary = 'suspicious' THEN 'true' ELSE 'false' END") + ", " + INFORMATION)
@@ -246,16 +256,30 @@ def _(spark, sf):
     return jobs.recoverability(ev(spark, sf), "label", ["pipeline", "src_port", "vendor_name", "product_name"])
 
 
+@query("k7_recoverability_report")
+def _(spark, sf):
+    df = ev(spark, sf)
+    return jobs.recoverability_report(df.where("eid % 2 = 0"), df.where("eid % 2 = 1"), "label", ["pipeline", "vendor_name", "product_name"], **SMALL)
+
+
 @query("k8_time_independence")
 def _(spark, sf):
     df = ev(spark, sf)
-    rows = jobs._terms(df, "timefree", "label")
-    return jobs.time_independence(df, _fit(rows), "timefree")
+    _, model, mask = jobs.train(df, CONFIG)
+    rule = aggregates.verdict_rule(df, *documents.verdict_cell(df), "label", 10, 0.5)
+    return jobs.time_independence(df, model, CONFIG.document, 1.7e9, mask, rule)
+
+
+@query("k8_time_probe")
+def _(spark, sf):
+    """How well content and time-free documents tell the first half of a month from the second."""
+    df = ev(spark, sf)
+    return jobs.time_probe(df, F.dayofmonth(time.instant(F.col("timestamp"))) <= 15, ["content", "timefree"], **SMALL)
 
 
 @query("k9_zero_shot_probe", EV + f", s AS (SELECT *, {SOURCE} AS source, label_binary AS label, message_sanitized AS m, {views_sql.timefree()} AS t, " + H.format(0) + f" AS h FROM ev), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, label, m ORDER BY h, event_id) AS rn FROM s) WHERE rn = 1), f AS (SELECT *, row_number() OVER (PARTITION BY source, label, t ORDER BY h, event_id) AS tn FROM o), c AS (SELECT *, {_STUB} AS pred, row_number() OVER (PARTITION BY source, label ORDER BY CASE WHEN tn = 1 THEN 0 ELSE 1 END, h, event_id) AS place FROM f) SELECT source, count(*) AS n, round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(CASE WHEN (pred <> 'benign') = (label <> 'benign') THEN 1.0 ELSE 0.0 END), 6) AS alert_accuracy FROM c WHERE place <= 5 GROUP BY source")
 def _(spark, sf):
-    return jobs.zero_shot_probe(ev(spark, sf), requests.keyword_model)
+    return jobs.zero_shot_probe(ev(spark, sf), requests.keyword_model, SYSTEM)
 
 
 @query("k10_run_report")
@@ -265,20 +289,36 @@ def _(spark, sf):
     return jobs.run_report(run, df)
 
 
-@query("x1_streamed_scoring", f"WITH {VERDICT_SQL}, pr AS (SELECT *, 1 - p_suspicious - p_malicious AS p_benign FROM (SELECT *, {P_SUSPICIOUS} AS p_suspicious, {P_MALICIOUS} AS p_malicious FROM vd)) SELECT event_id, {SOURCE} AS source, verdict, {least(10)} AS pred_label FROM pr")
-def _(spark, sf):
+def _stream(spark, sf):
+    """The events table as a stream of its files."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    from siftlog.schema import _SPARK_EPOCH, ADAPTER
-
     raw = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
-    named = raw.selectExpr(*[f"{e.format(EPOCH=_SPARK_EPOCH)} AS {n}" for n, e in ADAPTER.items()])
+    return raw.selectExpr(*[f"{e.format(EPOCH=_SPARK_EPOCH)} AS {n}" for n, e in ADAPTER.items()])
+
+
+@query("x1_streamed_scoring", f"WITH {VERDICT_SQL}, pr AS (SELECT *, 1 - p_suspicious - p_malicious AS p_benign FROM (SELECT *, {P_SUSPICIOUS} AS p_suspicious, {P_MALICIOUS} AS p_malicious FROM vd)) SELECT event_id, {SOURCE} AS source, verdict, {least(10)} AS pred_label FROM pr")
+def _(spark, sf):
     out = _scratch(spark)
-    stream.write_stream(stream.scored(named), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    stream.write_stream(stream.scored(_stream(spark, sf)), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return spark.read.schema("event_id string, source string, verdict string, pred_label string").parquet(f"{out}/rows")
 
 
-@query("x2_windowed_verdicts", f"WITH {VERDICT_SQL} SELECT strftime(date_trunc('hour', e.ts), '%Y-%m-%d %H') AS start, trim(coalesce(vendor_name, '')) || '/' || trim(coalesce(product_name, '')) AS source, verdict, count(*) AS n FROM vd JOIN events e ON e.event_id = vd.eid GROUP BY ALL")
+_WINDOWS = f"WITH {VERDICT_SQL} SELECT strftime(date_trunc('hour', e.ts), '%Y-%m-%d %H') AS start, trim(coalesce(vendor_name, '')) || '/' || trim(coalesce(product_name, '')) AS source, verdict, count(*) AS n FROM vd JOIN events e ON e.event_id = vd.eid GROUP BY ALL"
+
+
+@query("x2_windowed_verdicts", _WINDOWS)
 def _(spark, sf):
     df = ev(spark, sf).drop("source")
     counts = stream.verdict_counts(df.withColumn("at", time.instant(F.col("timestamp"))))
     return counts.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "source", "verdict", "n")
+
+
+@query("x2_streamed_windows", _WINDOWS)
+def _(spark, sf):
+    """The same counts from a stream that has run to its end."""
+    counts = stream.verdict_counts(_stream(spark, sf).withColumn("at", time.instant(F.col("timestamp"))))
+    out = _scratch(spark)
+    stream.write_counts(counts, f"{out}/counts", f"{out}/checkpoint").awaitTermination()
+    rows = spark.read.parquet(f"{out}/counts")
+    newest = rows.agg(F.max("batch").alias("batch"))
+    return rows.join(F.broadcast(newest), "batch", "left_semi").select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "source", "verdict", "n")

@@ -28,5 +28,14 @@ def verdict_counts(events: DataFrame, time: str = "at", window: str = "1 hour",
     return rows.groupBy(F.window(time, window).alias("w"), documents.source_key(rows).alias("source"), verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "source", "verdict", "n")
 
 
+def write_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Each batch writes the counts of all windows so far to a folder of its own, so a repeated batch replaces itself."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return counts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
+
+
 def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()

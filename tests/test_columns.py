@@ -96,3 +96,19 @@ def test_documents_tolerate_missing_columns(spark):
     assert df.select(documents.verdict_cell(df)[0]).first()[0] == "missing"
     same = documents.per_distinct(df.union(df), "message_sanitized", text.firewall_verdict, "v").collect()
     assert [r["v"] for r in same] == ["block", "block"]
+
+
+def test_counterfactual_messages_keep_their_shape(spark):
+    values = [None, "", "Jul 26 Jul 27 Jul 28 Fri 2024-07-26 Mayor", "no time at all", "Mon Tue Mon Tue Mon Tue Mon Tue", "Jan Jan Jan Jan Jan Jan Jan Jan"]
+    got = apply(spark, lambda c: text.perturbed(c, 3), values)
+    again = apply(spark, lambda c: text.perturbed(c, 3), values[::-1])[::-1]
+    other = apply(spark, lambda c: text.perturbed(c, 4), values)
+    assert got == again and got[2] != other[2]
+    assert got[0] == got[1] == "" and got[3] == values[3]
+    months = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
+    days = "Mon Tue Wed Thu Fri Sat Sun".split()
+    w = got[2].split()
+    assert {w[0], w[2], w[4]} <= set(months) and w[6] in days and w[8] == "Mayor" and len(w[7]) == 10 and w[7][4] == w[7][7] == "-"
+    # Each occurrence is drawn for itself.
+    assert len(set(got[4].split())) > 2 and set(got[4].split()) <= set(days)
+    assert len(set(got[5].split())) > 2 and set(got[5].split()) <= set(months)

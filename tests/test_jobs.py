@@ -144,3 +144,29 @@ def test_each_holdout_is_scored_by_a_model_without_it(spark):
     got = jobs.holdout_evaluation(docs, plan, [("loso", x) for x in "abc"], fit).collect()
     assert seen == [{"b", "c"}, {"a", "c"}, {"a", "b"}]
     assert {(r["holdout"], r["items"]) for r in got} == {("a", 40), ("b", 40), ("c", 40)} and all(r["accuracy"] == 1.0 for r in got)
+
+
+def test_recoverability_of_planted_words(spark):
+    df = spark.createDataFrame(planted(240), COLUMNS).withColumns({"label": F.col("label_binary"), "src_host": F.concat(F.lit("H"), F.expr("cast(right(event_id, 5) as int) div 4 % 6"))})
+    rows = jobs.recoverability_report(df, df.where("vendor_name = 'Cisco'"), "label", ["vendor_name"], folds=3, most=100, min_df=1, iterations=10).collect()
+    got = {(r["topic"], r["name"]): r["value"] for r in rows}
+    # Labels go by the number modulo 4 and vendors by it modulo 2: suspicious ones are all Cisco's, malicious ones Amazon's.
+    for x, mine, other in (("suspicious", "Cisco", "Amazon"), ("malicious", "Amazon", "Cisco")):
+        assert got[f"message_only_{x}", "recall"] == got[f"message_only_{x}", "precision"] == 1.0
+        seen = lambda v: "true" if v == "Cisco" else "false"
+        assert got[f"value_{x}", f"vendor_name={mine} rows=120 hosts=6 seen={seen(mine)}"] == 0.5
+        assert got[f"value_{x}", f"vendor_name={other} rows=120 hosts=6 seen={seen(other)}"] == 0.0
+        assert 0.3 < got[f"information_{x}", "vendor_name"] < 0.4
+
+
+def test_a_system_that_reads_the_clock_is_found_out(spark):
+    rows = [(*r[:11], f"at {2020 + (i % 3)} done", r[12]) for i, r in enumerate(planted(120))]
+    rows = [(*r[:12], ("benign", "suspicious", "malicious")[i % 3]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, COLUMNS).withColumn("label", F.col("label_binary"))
+    config = jobs.TrainConfig(document="full", max_rows=None, vocabulary=100, min_df=1, iterations=15, mask_min_rows=None)
+    _, model, mask = jobs.train(df, config)
+    by_label = jobs.time_independence(df, model, "full", 1.7e9, mask).collect()
+    assert sum(r["n"] for r in by_label) == sum(r["shifted"] for r in by_label) == 120
+    assert sum(r["changed"] for r in by_label) > 40
+    free = {r["kind"]: r for r in jobs.time_probe(df, F.col("message_sanitized").contains("2020"), ["full", "timefree"], 3, most=100, min_df=1, iterations=10).collect()}
+    assert free["full"]["accuracy"] == 1.0 and free["timefree"]["accuracy"] < 0.8 and round(free["full"]["majority"], 4) == 0.6667
