@@ -25,10 +25,10 @@ SMALL = {"most": 2000, "min_df": 3, "iterations": 10}
 CONFIG = jobs.TrainConfig(max_rows=3000, vocabulary=2000, iterations=10, mask_min_rows=20)
 
 
-def _rows(spark, sf):
-    """Labelled documents with terms, for the classifiers."""
+def _rows(spark, sf, pairs=True):
+    """Labelled documents with terms, for the classifiers; ``pairs``: of words too."""
     docs = labelled_documents(spark, sf)
-    return docs.select("doc_id", "source", "label", models.terms(F.col("doc"), models.HYBRID_TOKEN, 6000).alias("terms"))
+    return docs.select("doc_id", "source", "label", models.terms(F.col("doc"), models.HYBRID_TOKEN, 6000, pairs=pairs).alias("terms"))
 
 
 def _fit(rows):
@@ -89,7 +89,7 @@ def _(spark, sf):
 @query("m7_every_source_held_out")
 def _(spark, sf):
     """Metrics of models that each leave one source out."""
-    rows = io.staged(_rows(spark, sf))
+    rows = io.staged(_rows(spark, sf, pairs=False))  # a fit for each source
     plan = sampling.holdouts(rows.select("doc_id", "source", "label"))
     names = sorted(r["holdout"] for r in plan.where("kind = 'loso'").select("holdout").distinct().collect())
     result = jobs.holdout_evaluation(rows, plan, [("loso", n) for n in names], _fit)
@@ -144,7 +144,7 @@ def _(spark, sf):
 @query("m16_holdout_novelty")
 def _(spark, sf):
     """For each source: novelty of its documents against a capped sample of all others."""
-    rows = io.staged(_rows(spark, sf))
+    rows = io.staged(_rows(spark, sf, pairs=False))  # a fit for each source
     names = sorted(r["source"] for r in rows.select("source").distinct().collect())  # one row for each source
     parts = []
     for name in names:
