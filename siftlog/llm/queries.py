@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlog.llm import conversations, decontaminate, html_text, langid, minhash, pieces, pii, quality, queries_sql, sstable, tokencount, toxicity, warc
+from siftlog.llm import conversations, decontaminate, html_text, langid, minhash, pieces, pii, quality, queries_sql, ranked, sstable, tokencount, toxicity, warc
 from siftlog.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(conversations.damage(table(spark, sf_dir, "conversations")))
 
@@ -56,6 +60,6 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_sstable, op3_quality_rules, op4_pii, op5_pieces, op6_language, op7_toxicity, op8_html_text, op9_warc, op10_decontamination, op12_conversation_repair, op13_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_sstable, op3_quality_rules, op4_pii, op5_pieces, op6_language, op7_toxicity, op8_html_text, op9_warc, op10_decontamination, op11_ranked_search, op12_conversation_repair, op13_token_counts)}
 #: The others can't be written in SQL: they need a tokenizer, a model, hashing of windows or a parser.
-ORACLES: dict[str, str] = {"op12_conversation_repair": queries_sql.CONVERSATIONS}
+ORACLES: dict[str, str] = {"op11_ranked_search": queries_sql.RANKED, "op12_conversation_repair": queries_sql.CONVERSATIONS}
