@@ -4,8 +4,8 @@ Words are lower case without punctuation. Every run of three words of a test ite
 documents counts how often each occurs there. Of these the rare ones are kept, measured by the item's own: those that
 few items have (16, or four times as many as the item's rarest), and of them those that the documents don't have far
 more often than the item's median seed, so that half of an item's seeds stay, however common its text is. A second
-pass looks up the documents' runs among the rare seeds and, where two different seeds of an item (or its only one) lie
-within one and a half times its length, cuts out the passage. So a template that thousands of items fill in meets a
+pass looks up the documents' runs among the rare seeds and, where two different seeds of an item (or one, of an item that
+keeps less than four of more) lie within one and a half times its length, cuts out the passage. So a template that thousands of items fill in meets a
 document only where the filled-in words do. Passages are aligned with the item by Smith-Waterman over words (match 2,
 mismatch -1, gap -1); the score is the best alignment's share of a perfect one.
 
@@ -31,6 +31,10 @@ from siftlog.llm.common import bounded_batches, fresh, staged
 from siftlog.llm.minhash import node_of, rolling
 
 
+#: An item that keeps fewer seeds than it has, and fewer than so many, is met by one of them.
+ENOUGH = 4
+
+
 @dataclass(frozen=True)
 class DecontaminationParams:
     seed_words: int = 3
@@ -55,13 +59,18 @@ class Seeds:
     begin: np.ndarray  # where each one's owners begin, and where the last one's end
     item: np.ndarray  # of each owner, with the seed's place in it
     place: np.ndarray
+    need: np.ndarray  # of each item: how many different seeds a passage must have
 
 
-def _ordered(items: list[np.ndarray], ids: np.ndarray, h: np.ndarray, item: np.ndarray, place: np.ndarray) -> Seeds:
+def _ordered(items: list[np.ndarray], ids: np.ndarray, h: np.ndarray, item: np.ndarray, place: np.ndarray, all_of: np.ndarray | None = None) -> Seeds:
+    """``all_of``: how many seeds each item has in all. Two of them are needed, or one where so few are left that a copy
+    may have no more."""
+    kept = np.bincount(item, minlength=len(items))
+    need = np.where((kept < 2) | (kept < ENOUGH) & (kept < (kept if all_of is None else all_of)), 1, 2)
     order = np.lexsort((place, item, h))
     h, item, place = h[order], item[order], place[order]
     begin = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-    return Seeds(items, ids, h[begin], np.append(begin, len(h)), item, place)
+    return Seeds(items, ids, h[begin], np.append(begin, len(h)), item, place, need)
 
 
 def make_seeds(rows: list, n: int) -> Seeds:
@@ -90,7 +99,7 @@ def rare_seeds(seeds: Seeds, often: np.ndarray, params: DecontaminationParams) -
     median = n[order][begin + size // 2]  # every item has its rarest seed, so none is empty
     seldom = n <= params.more_often * (1 + median[item])
     chosen = np.flatnonzero(few)[seldom]
-    return _ordered(seeds.items, seeds.ids, seeds.hashes[seed[chosen]], seeds.item[chosen], seeds.place[chosen])
+    return _ordered(seeds.items, seeds.ids, seeds.hashes[seed[chosen]], seeds.item[chosen], seeds.place[chosen], np.bincount(seeds.item, minlength=len(seeds.items)))
 
 
 def _member(values: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +137,7 @@ def passages(words: np.ndarray, seeds: Seeds, n: int, sizes: list[int]) -> Itera
     begin = np.flatnonzero(new)
     run = np.cumsum(new) - 1
     different = np.bincount(np.unique(np.stack([run, place]), axis=1)[0], minlength=len(begin))
-    need = np.minimum(2, np.maximum(1, length[begin] - n + 1))
+    need = seeds.need[item[begin]]
     end = np.append(begin[1:], len(at)) - 1
     for r in np.flatnonzero(different >= need).tolist():
         k = int(length[begin[r]])
