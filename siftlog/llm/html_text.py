@@ -8,7 +8,9 @@ where that is less, as size alone raises the density of pages with few links. On
 the threshold belong to the article, with what lies between them and the headings and paragraphs next to them. The
 blocks of all this, without elements that never belong to an article, are the text: those of some tags, and those with
 a class, id or role that is made up of words such as ``ad``, ``comments`` or ``sidebar`` and of plain ones such as ``list``
-(so ``share-buttons`` is one, ``market-share`` isn't). Pages are read in time that grows with their length, whatever their tags.
+(so ``share-buttons`` is one, ``market-share`` isn't). Such names don't overrule the text: ``article`` and ``main`` never go
+by them, nor does what holds a page's only one, nor an element with over three times the text that isn't marked; marks of
+readers' comments stay, but for what holds the only ``main`` or ``h1``. Pages are read in time that grows with their length, whatever their tags.
 
 Edge cases: null and empty pages give an empty text, as do pages without text; unclosed and wrongly nested tags are
 closed where the next tag implies it; text outside any element counts as the body's; of equal sums the first node in
@@ -48,11 +50,18 @@ OUTSIDE = frozenset("nav aside footer form menu button select dialog head object
 MARKS = frozenset(
     "ad ads adv advert advertisement advertisements banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer discussion disqus footer masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promoted promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Those of them that mark readers' comments.
+SAID = frozenset("comment comments discussion disqus replies reply respond".split())
 PLAIN = frozenset(
     "above area article articles bar before below block body bottom box btn button buttons center col column container content count default end entry expanded extra feed fixed form full global grid group hidden holder icons id inline inner item items js large layout left level line link links list main menu middle mobile module open outer page panel parent post posts primary region right row secondary section semantic side single site slot small static sticky story tag tags text thread title top under unit view visible wide wrap wrapper zone".split()
 )
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+#: Elements that never go by their names.
+NEVER = frozenset(("article", "main", "body"))
+#: A marked element with so many times the text that no mark is on is the article all the same.
+MOST = 3
+LEAST = 250  # characters; notices may be longer than a very short article
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 #: What an opening tag closes, up to the border named after it.
@@ -67,19 +76,20 @@ CLOSES = {
 }
 
 
-def marked(names: str, within: bool) -> bool:
-    """Whether one of the names of a class, id or role says that an element isn't article."""
+def marked(names: str, within: bool) -> int:
+    """Whether one of the names of a class, id or role says that an element isn't article: 2 for readers' comments, 1 for other marks."""
+    most = 0
     for name in names.split():
         words = [w.lower() for w in WORD.findall(name)]
         if "header" in words and not within and all(w in MARKS or w in PLAIN or w == "header" for w in words):
-            return True
+            most = max(most, 1)
         if not MARKS.isdisjoint(words) and all(w in MARKS or w in PLAIN for w in words):
-            return True
-    return False
+            most = max(most, 1 if SAID.isdisjoint(words) else 2)
+    return most
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "outside", "within", "link", "href", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "parent", "children", "outside", "within", "link", "href", "chars", "tags", "link_chars", "link_tags", "density", "mark")
 
     def __init__(self, tag: str, parent: "Node | None", outside: bool):
         self.tag, self.parent, self.outside = tag, parent, outside
@@ -89,6 +99,7 @@ class Node:
         self.href: str | None = None
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
+        self.mark = 0  # what its names say
 
 
 class Open:
@@ -162,17 +173,39 @@ def parse(page: str) -> Node:
         now = open_.stack[-1]
         # A header belongs to what it stands in: to an article with its heading, or else to the page.
         outside = now.outside or tag in OUTSIDE or (tag == "header" and not now.within)
-        if not outside and attributes:
-            outside = any(marked(name, now.within) for g in NAMES.findall(attributes) for name in g if name)
         node = Node(tag, now, outside)
+        if not outside and attributes and tag not in NEVER:
+            node.mark = max((marked(name, now.within) for g in NAMES.findall(attributes) for name in g if name), default=0)
         if tag == "a" and (h := HREF.search(attributes)):
             node.href = html.unescape(h.group(1) or h.group(2) or h.group(3) or "")
         now.children.append(node)
         if tag not in VOID and not attributes.endswith("/"):
             open_.push(node)
+    _settle(root)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Which marked elements are outside: those that neither hold the page's only article nor, but for comments, most of
+    its text. An article is what ``article`` or ``main`` holds, within marks of comments what ``main`` or an ``h1`` does."""
+    nodes = _order(root)
+    sure = (frozenset(), frozenset(("article", "main")), frozenset(("main", "h1")))  # for each kind of mark
+    text: dict[Node, list[int]] = {}  # characters that aren't in links, in all and not in marked elements
+    holds: dict[Node, list[set[int]]] = {}  # the kinds of mark that the tags in it overrule, likewise
+    for node in nodes[::-1]:
+        own = 0 if node.outside or node.link else sum(len(SPACES.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
+        kinds = {k for k in (1, 2) if node.tag in sure[k] and not node.outside}
+        inner = [c for c in node.children if isinstance(c, Node)]
+        text[node] = [own + sum(text[c][i] for c in inner) for i in (0, 1)]
+        holds[node] = [kinds.union(*(holds[c][i] for c in inner)) for i in (0, 1)]
+        if node.mark:
+            text[node][1], holds[node][1] = 0, set()
+    rest, free = text[root][1], holds[root][1]
+    for node in nodes:
+        overruled = node.mark in holds[node][0] - free or (node.mark == 1 and text[node][0] > max(MOST * rest, LEAST))
+        node.outside = node.outside or (node.mark > 0 and not overruled) or (node.parent is not None and node.parent.outside)
+
+
 def _order(root: Node) -> list[Node]:
     out, todo = [], [root]
     while todo:
