@@ -295,6 +295,11 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
     """doc_id and class_id of every document."""
+    return _classes(docs, params).select("doc_id", "class_id")
+
+
+def _classes(docs: DataFrame, params: MinHashParams) -> DataFrame:
+    """doc_id, node and class_id of every document, and whether its text is the one that stands for its class."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select("doc_id", "text")
@@ -339,9 +344,9 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
 
     # Every document gets its node's class; equal texts without words are a class, null texts are alone.
     firsts = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
-    least = firsts.groupBy("label").agg(F.min("first").alias("class_id"))
-    classes = firsts.join(least, "label").select("node", "class_id")
-    return signed.select("doc_id", "node").join(classes, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    least = firsts.groupBy("label").agg(F.min(F.struct(F.col("first").isNull(), "first", "node")).alias("m"))
+    classes = firsts.join(least, "label").select("node", F.col("m.first").alias("class_id"), (F.col("node") == F.col("m.node")).alias("stands"))
+    return signed.select("doc_id", "node").join(classes, "node", "left").select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("stands", F.lit(True)).alias("stands"))
 
 
 def _fits(x: str, y: str, params: MinHashParams):
@@ -456,14 +461,14 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
-    """One document of each class stays: that whose doc_id is the class's; of its repeated rows one, too.
+    """One document of each class stays: that whose doc_id is the class's, or of several such texts the one of least
+    digest; of its repeated rows one, too.
 
     Of rows whose identifier is null, those with equal texts are one, if any of them is a class of its own.
     """
-    kept, text, number = fresh(docs, "kept", "text_digest", "number")
-    classes = near_duplicates(docs, params)
-    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(kept)).distinct()
-    stays = docs.join(keep, docs["doc_id"].eqNullSafe(keep[kept]), "left_semi")
+    kept, digest, text, number = fresh(docs, "kept", "kept_digest", "text_digest", "number")
+    keep = _classes(docs, params).where(F.col("stands") & F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(kept), F.col("node").alias(digest)).distinct()
+    stays = docs.join(keep, docs["doc_id"].eqNullSafe(keep[kept]) & F.unhex(F.md5(docs["text"])).eqNullSafe(keep[digest]), "left_semi")
     # Rows with one identifier are few; of equal texts among them one stays. Rows without a text all stay, each by itself.
     named = stays.withColumn(text, F.coalesce(F.md5("text"), F.monotonically_increasing_id().cast("string")))
     order = F.row_number().over(Window.partitionBy("doc_id", text).orderBy(F.lit(1)))
