@@ -9,20 +9,27 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
+import pyarrow as pa
+from pyspark import keyword_only
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDF, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.stat import Summarizer
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from siftlog.operators import aggregates, metrics, sampling
 from siftlog.schema import LABELS, code
 
-#: Token patterns of the two word analyzers.
-BASELINE_TOKEN = r"\b[\w.\-/:=@+]+\b"
+#: Token patterns of the two word analyzers. The first is runs of word characters of any script and some marks, which
+#: begin and end with a word character; it says so itself, as engines differ in what a word boundary is.
+BASELINE_TOKEN = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_.\-/:=@+]*[\p{L}\p{N}_])?"
 HYBRID_TOKEN = r"[A-Za-z_][A-Za-z0-9_]+|0"
 
 
@@ -51,20 +58,27 @@ def char_terms(doc: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     return F.flatten(F.transform(padded, runs))
 
 
+#: A vocabulary of up to so many terms is sent to all tasks.
+SENT_TERMS = 500_000
+
+
 def tfidf(docs: DataFrame, key: str, words: str, min_df: int = 1, max_df: float = 1.0, most: int | None = None) -> DataFrame:
     """key, term, tf, df and weight: (1 + ln tf) * (ln((1+n)/(1+df)) + 1), each document's weights of length 1.
 
-    The vocabulary is cut by document frequency, then to the ``most`` terms that occur most often.
+    The vocabulary is cut by document frequency, then to the ``most`` terms that occur most often. Documents are dealt
+    out by key before they are cut into terms, so counts and lengths of a document need no shuffle of its terms; a
+    vocabulary with a stated bound is broadcast.
     """
-    tf = docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    spread = docs.select(key, words).repartition(key)
+    tf = spread.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).join(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
     if most is not None:
         df = df.orderBy(F.desc("total"), "term").limit(most)
     idf = df.select("term", "df", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(idf, "term").withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", "tf", "df", (F.col("w") / F.col("norm")).alias("weight"))
+    raw = tf.join(F.broadcast(idf) if most is not None and most <= SENT_TERMS else idf, "term").withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", "tf", "df", (F.col("w") / length).alias("weight"))
 
 
 def model_key(**settings) -> str:
@@ -72,12 +86,37 @@ def model_key(**settings) -> str:
     return hashlib.md5(json.dumps(settings, sort_keys=True, default=str).encode()).hexdigest()[:12]
 
 
+def sparse_parts(vector: Column | str) -> Column:
+    """A struct of a vector's indices i (null in a dense one) and values x, without making it dense."""
+    shape = "v struct<type:int, size:int, indices:array<int>, values:array<double>>"
+    v = F.from_json(F.to_json(F.struct((F.col(vector) if isinstance(vector, str) else vector).alias("v"))), shape)["v"]
+    return F.struct(v["indices"].alias("i"), v["values"].alias("x"), v["type"].alias("type"), v["size"].alias("size"))
+
+
+class Damped(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Term counts c of a vector become 1 + ln c; a stage that is saved and loaded with its pipeline.
+
+    Vectors are read and made by built-in functions, so no Python runs for each row.
+    """
+
+    @keyword_only
+    def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None):  # noqa: N803
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        parts, out = sparse_parts(self.getInputCol()), self.getOutputCol()
+        damped = F.transform(parts["x"], lambda c: F.when(c > 0, 1 + F.ln(c)).otherwise(0.0))
+        made = F.to_json(F.struct(F.struct(parts["type"].alias("type"), parts["size"].alias("size"), parts["i"].alias("indices"), damped.alias("values")).alias("v")))
+        return dataset.withColumn(out, F.from_json(made, StructType([StructField("v", VectorUDT())]))["v"])
+
+
 def fit_vectors(df: DataFrame, words: str, most: int, min_df: float, max_df: float = 0.98) -> PipelineModel:
-    """Counts, smoothed inverse document frequencies and unit length, as stages that can be saved."""
-    counts = CountVectorizer(inputCol=words, outputCol="_tf", vocabSize=most, minDF=min_df, maxDF=max_df).fit(df)
+    """Damped counts, smoothed inverse document frequencies and unit length, as stages that can be saved: ``tfidf`` as vectors."""
+    counts = CountVectorizer(inputCol=words, outputCol="_tf", vocabSize=most, minDF=min_df, maxDF=max_df if max_df < 1 else 2.0**62).fit(df)
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(counts.transform(df)).idf
-    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1), inputCol="_tf", outputCol="_scaled")
-    return PipelineModel([counts, scale, Normalizer(p=2.0, inputCol="_scaled", outputCol="features")])
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1), inputCol="_damped", outputCol="_scaled")
+    return PipelineModel([counts, Damped(inputCol="_tf", outputCol="_damped"), scale, Normalizer(p=2.0, inputCol="_scaled", outputCol="features")])
 
 
 def fit_classifier(df: DataFrame, words: str = "terms", label: str = "label", weight: str | None = None, c: float = 10.0, most: int = 120_000, min_df: float = 3, max_df: float = 0.98, iterations: int = 50) -> PipelineModel:
@@ -99,7 +138,7 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     out = model.transform(df).withColumn("_v", vector_to_array("_p"))
     for i, label in enumerate(LABELS):
         out = out.withColumn(f"p_{label}", F.coalesce(F.get("_v", F.lit(i)), F.lit(0.0)))
-    return out.withColumn("pred", F.get(F.array(*map(F.lit, LABELS)), F.col("_pred").cast("int"))).drop("_tf", "_scaled", "features", "_raw", "_p", "_pred", "_v")
+    return out.withColumn("pred", F.get(F.array(*map(F.lit, LABELS)), F.col("_pred").cast("int"))).drop("_tf", "_damped", "_scaled", "features", "_raw", "_p", "_pred", "_v")
 
 
 def blend(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -125,53 +164,139 @@ def out_of_fold(df: DataFrame, folds: int, fit, key: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def novelty(reference: DataFrame, queries: DataFrame, key: str, words: str = "terms", dims: int = 200, most: int = 20_000, min_df: float = 2, stage=lambda df: df) -> DataFrame:
+def novelty(reference: DataFrame, queries: DataFrame, key: str, words: str = "terms", dims: int = 200, most: int = 20_000, min_df: float = 2, stage=lambda df: df, compare=None) -> DataFrame:
     """key and maxsim: how near each query comes to any reference row, by latent dimensions of the reference's terms.
 
-    ``stage`` writes and rereads the vectors, which are counted before they are compared.
+    ``stage`` writes and rereads the vectors, which are counted before they are compared: by ``max_similarity``, or
+    ``compare`` (such as ``near_similarity``).
     """
+    of = reference.columns[0]
+    asked, known = (stage(d) for d in document_vectors(reference, (queries, reference), (key, of), words, dims, most, min_df, stage))
+    return (compare or max_similarity)(asked, known, key)
+
+
+def document_vectors(reference: DataFrame, docs, key, words: str = "terms", dims: int = 200, most: int = 20_000, min_df: float = 2, stage=lambda df: df):
+    """key and vec of ``docs``, by latent dimensions of the reference's terms; of several tables with a key each, a list."""
     vectors = fit_vectors(reference, words, most, min_df)
-    size = len(vectors.stages[0].vocabulary)
-    v = fit_lsa(vectors.transform(reference), max(1, min(dims, size - 1)))
-    vec = lambda t, k: stage(lsa_vectors(vectors.transform(t), v, k))
-    return max_similarity(vec(queries, key), vec(reference, reference.columns[0]), key)
+    v = fit_lsa(vectors.transform(reference), max(1, min(dims, len(vectors.stages[0].vocabulary) - 1)), stage=stage)
+    of = lambda d, k: lsa_vectors(vectors.transform(d), v, k)
+    return of(docs, key) if isinstance(docs, DataFrame) else [of(d, k) for d, k in zip(docs, key, strict=True)]
 
 
-def fit_lsa(df: DataFrame, k: int, features: str = "features") -> np.ndarray:
-    """The first k right singular vectors of the rows, uncentred. The matrix has a row for each term, so cap the vocabulary."""
-    from pyspark.mllib.linalg import Vectors as Old
-    from pyspark.mllib.linalg.distributed import RowMatrix
+def _sparse(df: DataFrame, features: str, *keep: str) -> DataFrame:
+    parts = sparse_parts(features)
+    index = F.coalesce(parts["i"], F.transform(parts["x"], lambda _, k: k))
+    return df.select(*keep, index.alias("i"), parts["x"].alias("x"))
 
-    rows = RowMatrix(df.select(features).rdd.map(lambda r: Old.fromML(r[0])))
-    return rows.computeSVD(k).V.toArray()
+
+def _rows_times(batch: pa.RecordBatch, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For sparse rows (i, x): which row each entry is of, the entries, and the rows times ``matrix``."""
+    i, x = batch.column("i"), batch.column("x")
+    offsets = i.offsets.to_numpy()
+    index = i.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    offsets_x = x.offsets.to_numpy()
+    value = x.values.to_numpy(zero_copy_only=False)[offsets_x[0] : offsets_x[-1]]
+    row = np.repeat(np.arange(len(i)), np.diff(offsets))
+    out = np.zeros((len(i), matrix.shape[1]))
+    np.add.at(out, row, value[:, None] * matrix[index])
+    return row, index, value, out
+
+
+def _summed(parts: DataFrame, size: int, width: int) -> np.ndarray:
+    """The sum of rows (r, v) by r, as a matrix; r is below ``size``."""
+    total = parts.groupBy("r").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).collect()
+    out = np.zeros((size, width))
+    for r, v in total:
+        out[r] = v
+    return out
+
+
+def fit_lsa(df: DataFrame, k: int, features: str = "features", seed: int = 0, more: int = 20, passes: int = 4, stage=lambda d: d) -> np.ndarray:
+    """The first k right singular vectors of the rows, uncentred, by a randomised range finder (Halko 2011).
+
+    With A the rows, each pass sends the range Q (a row for each term) to all tasks and sums A'(AQ) over their sparse
+    rows, by term; a last pass sums the small (AQ)'(AQ), whose eigenvectors turn Q into the singular vectors. What tasks
+    and driver hold is as large as the vocabulary times ``k + more``, so cap the vocabulary. ``stage`` writes and rereads the rows.
+    """
+    spark = df.sparkSession
+    rows = stage(_sparse(df, features))
+    size = df.select(sparse_parts(features)["size"].alias("n"), F.size(sparse_parts(features)["x"]).alias("m")).first()
+    terms = (size["n"] or size["m"]) if size else 0
+    width = min(k + more, terms)
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, width)))[0] if terms else np.zeros((0, 0))
+
+    def back(shared):
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            y = np.zeros((terms, width))
+            for batch in batches:
+                row, index, value, z = _rows_times(batch, shared.value)
+                np.add.at(y, index, value[:, None] * z[row])
+            used = np.flatnonzero(y.any(axis=1))
+            for at in range(0, len(used), 1000):
+                some = used[at : at + 1000]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(list(y[some]), pa.list_(pa.float64()))], names=["r", "v"])
+
+        return add
+
+    def inner(shared):
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            g = np.zeros((width, width))
+            for batch in batches:
+                z = _rows_times(batch, shared.value)[3]
+                g += z.T @ z
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width), pa.int32()), pa.array(list(g), pa.list_(pa.float64()))], names=["r", "v"])
+
+        return add
+
+    for _ in range(passes if terms else 0):
+        shared = spark.sparkContext.broadcast(q)
+        q = np.linalg.qr(_summed(rows.mapInArrow(back(shared), "r int, v array<double>"), terms, width))[0]
+    if not terms:
+        return q
+    gram = _summed(rows.mapInArrow(inner(spark.sparkContext.broadcast(q)), "r int, v array<double>"), width, width)
+    values, vectors = np.linalg.eigh(gram)
+    return (q @ vectors[:, np.argsort(-values)])[:, :k]
 
 
 def lsa_vectors(df: DataFrame, v: np.ndarray, key: str, features: str = "features") -> DataFrame:
-    """key and vec (unit length): rows times the singular vectors, in batches."""
-    shared = df.sparkSession.sparkContext.broadcast(v.astype(np.float32))
+    """key and vec (unit length): rows times the singular vectors, in batches of sparse rows."""
+    shared = df.sparkSession.sparkContext.broadcast(v)
 
-    def project(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for index, value in zip(part["i"], part["x"], strict=True):
-                y = np.asarray(value, np.float32) @ shared.value[np.asarray(index, int)] if len(index) else np.zeros(shared.value.shape[1], np.float32)
-                norm = float(np.linalg.norm(y))
-                out.append((y / norm if norm > 0 else y).tolist())
-            yield pd.DataFrame({key: part[key], "vec": out})
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = _rows_times(batch, shared.value)[3]
+            z = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1) * z.shape[1], pa.int32()), pa.array(z.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vec], names=[key, "vec"])
 
-    dense = df.select(key, vector_to_array(features, "float32").alias("a"))
-    sparse = dense.select(key, F.filter(F.transform("a", lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull()).alias("i"), F.filter("a", lambda x: x != 0).alias("x"))
-    return sparse.mapInPandas(project, f"`{key}` {df.schema[key].dataType.simpleString()}, vec array<float>")
+    return _sparse(df, features, key).mapInArrow(project, f"`{key}` {df.schema[key].dataType.simpleString()}, vec array<float>")
 
 
 SIMILARITY_BLOCK = 20_000
 
 
+def _unit(rows: pd.Series) -> np.ndarray:
+    m = np.array([np.asarray(x, np.float32) for x in rows], np.float32).reshape(len(rows), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def _best(key: str, vec: str):
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({key: a[key], "maxsim": np.full(len(a), np.nan)})
+        q, r = _unit(a[vec]), _unit(b["_r"])
+        top = [(q[i : i + 1024] @ r.T).max(1) for i in range(0, len(q), 1024)]
+        return pd.DataFrame({key: a[key], "maxsim": np.concatenate(top).astype(float)})
+
+    return best
+
+
 def max_similarity(queries: DataFrame, reference: DataFrame, key: str, vec: str = "vec") -> DataFrame:
     """key and maxsim, the largest cosine of each query with any reference row; exact.
 
     Both sides are dealt into blocks by hash, equal reference rows once, and each pair of blocks is one matrix product
-    in one task; nothing passes through the driver.
+    in one task; nothing passes through the driver. Every query meets every reference row: for large tables on both
+    sides use ``near_similarity``.
     """
     kind = queries.schema[key].dataType.simpleString()
     known = reference.select(F.col(vec).alias("_r")).distinct()
@@ -179,20 +304,82 @@ def max_similarity(queries: DataFrame, reference: DataFrame, key: str, vec: str
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     asked = queries.select(key, vec, F.pmod(F.xxhash64(key), F.lit(n_q)).cast("int").alias("_q"), every(n_r, "_b"))
     held = known.select("_r", F.pmod(F.xxhash64("_r"), F.lit(n_r)).cast("int").alias("_b"), every(n_q, "_q"))
+    pairs = asked.groupBy("_q", "_b").cogroup(held.groupBy("_q", "_b")).applyInPandas(_best(key, vec), f"`{key}` {kind}, maxsim double")
+    return pairs.groupBy(key).agg(F.max("maxsim").alias("maxsim"))
 
-    def unit(rows: pd.Series) -> np.ndarray:
-        m = np.array([np.asarray(x, np.float32) for x in rows], np.float32).reshape(len(rows), -1)
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({key: a[key], "maxsim": np.full(len(a), np.nan)})
-        q, r = unit(a[vec]), unit(b["_r"])
-        top = [(q[i : i + 1024] @ r.T).max(1) for i in range(0, len(q), 1024)]
-        return pd.DataFrame({key: a[key], "maxsim": np.concatenate(top).astype(float)})
+def near_similarity(queries: DataFrame, reference: DataFrame, key: str, vec: str = "vec", tables: int = 16, bits: int = 8, seed: int = 0, block: int = SIMILARITY_BLOCK) -> DataFrame:
+    """key and maxsim, the largest cosine of each query with the reference rows that share a bucket of random hyperplanes.
 
-    pairs = asked.groupBy("_q", "_b").cogroup(held.groupBy("_q", "_b")).applyInPandas(best, f"`{key}` {kind}, maxsim double")
-    return pairs.groupBy(key).agg(F.max("maxsim").alias("maxsim"))
+    Each of ``tables`` tables cuts the vectors by the signs of ``bits`` random directions; a query meets the rows of its
+    buckets, each bucket in one matrix product or, where it is large, in several of ``block`` rows a side, so no task
+    holds a hot bucket. Cosines are exact, but a nearest row is missed if it shares none of the query's buckets: the
+    likelier the farther it is. Queries whose buckets have no row at all are compared with all of them.
+    """
+    kind = queries.schema[key].dataType.simpleString()
+    first = reference.select(F.size(vec).alias("n")).first()
+    if first is None:
+        return max_similarity(queries, reference, key, vec)
+    planes = queries.sparkSession.sparkContext.broadcast(np.random.default_rng(seed).standard_normal((first["n"], tables * bits)))
+    place = 1 << np.arange(bits)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            signs = (m @ planes.value > 0).reshape(len(m), tables, bits)
+            bucket = (signs @ place + (np.arange(tables) << bits)).astype(np.int32)
+            many = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * tables, pa.int32()), pa.array(bucket.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, many], names=[*batch.schema.names, "_many"])
+
+    def bucketed(df: DataFrame, id_: str, id_kind: str) -> DataFrame:
+        return df.mapInArrow(cut, f"`{id_}` {id_kind}, `{vec}` array<float>, _many array<int>").withColumn("_b", F.explode("_many")).drop("_many")
+
+    floats = F.col(vec).cast("array<float>").alias(vec)
+    asked = bucketed(queries.select(key, floats), key, kind)
+    held = bucketed(reference.select(floats).distinct().select(F.xxhash64(vec).alias("_id"), vec), "_id", "bigint")
+    # A row for each bucket, of which there are tables * 2^bits at most.
+    sizes = asked.groupBy("_b").count().withColumnRenamed("count", "_nq").join(held.groupBy("_b").count().withColumnRenamed("count", "_nr"), "_b")
+    parts = F.broadcast(sizes.select("_b", F.ceil(F.col("_nq") / block).cast("int").alias("_pq"), F.ceil(F.col("_nr") / block).cast("int").alias("_pr")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = asked.join(parts, "_b").select(key, vec, "_b", F.pmod(F.xxhash64(key), F.col("_pq")).cast("int").alias("_q"), every("_pr").alias("_p"))
+    b = held.join(parts, "_b").select(F.col(vec).alias("_r"), "_b", F.pmod("_id", F.col("_pr")).cast("int").alias("_p"), every("_pq").alias("_q"))
+    by = ["_b", "_q", "_p"]
+    near = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(_best(key, vec), f"`{key}` {kind}, maxsim double").groupBy(key).agg(F.max("maxsim").alias("maxsim"))
+    alone = queries.select(key, vec).join(asked.join(sizes, "_b", "left_semi").select(key).distinct(), key, "left_anti")
+    return near.unionByName(max_similarity(alone, reference, key, vec))
+
+
+def fit_clusters(sample: DataFrame, k: int, seed: int, vec: str = "vec", steps: int = 30) -> np.ndarray:
+    """Centres of a bounded sample's vectors, a row each; they are as many as asked for, or as there are distinct vectors."""
+    rows = sample.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
+    model = KMeans(k=k, seed=seed, maxIter=steps, initMode="k-means||").fit(rows)
+    return np.array(model.clusterCenters())
+
+
+def assign_clusters(vectors: DataFrame, centres: np.ndarray, key: str, vec: str = "vec") -> DataFrame:
+    """key and cluster, the nearest centre of every row (of equally near ones the first)."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        half = (c * c).sum(1) / 2
+        for batch in batches:
+            m = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1).astype(float)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((m @ c.T - half).argmax(1), pa.int32())], names=[key, "cluster"])
+
+    return vectors.select(key, vec).mapInArrow(nearest, f"`{key}` {vectors.schema[key].dataType.simpleString()}, cluster int")
+
+
+def document_clusters(docs: DataFrame, key: str, words: str = "terms", k: int = 300, seed: int = 0, cap: int = 20_000, cell: tuple[str, ...] = ("source", "label"), dims: int = 200, most: int = 20_000, min_df: float = 2, stage=lambda df: df) -> DataFrame:
+    """key and cluster of every document, by k-means over latent dimensions of its terms.
+
+    Terms, dimensions and centres are fitted on at most ``cap`` documents of each cell; every document is assigned.
+    """
+    some = stage(sampling.cap_cells(docs.select(key, words, *cell), list(cell), cap, key, seed))
+    vectors = fit_vectors(some, words, most, min_df)
+    v = fit_lsa(vectors.transform(some), max(1, min(dims, len(vectors.stages[0].vocabulary) - 1)), stage=stage)
+    centres = fit_clusters(stage(lsa_vectors(vectors.transform(some), v, key)), k, seed)
+    return assign_clusters(lsa_vectors(vectors.transform(docs), v, key), centres, key)
 
 
 def clusters(vectors: DataFrame, k: int, seed: int, vec: str = "features") -> DataFrame:
@@ -235,14 +422,56 @@ def tempered_loss(df: DataFrame, temperatures: list[float], label: str = "label"
     return each.groupBy(*by, "temperature").agg(F.round(F.avg("loss"), 6).alias("loss"))
 
 
-def best_temperature(df: DataFrame, label: str = "label", low: float = 0.1, high: float = 10.0, rounds: int = 4, points: int = 9) -> float:
-    """A grid between two bounds, narrowed around its best point each round; a round is one pass for all points."""
-    for _ in range(rounds):
-        grid = [low * (high / low) ** (i / (points - 1)) for i in range(points)]
-        losses = {r["temperature"]: r["loss"] for r in tempered_loss(df, grid, label).collect()}
-        i = min(range(points), key=lambda j: (losses.get(float(grid[j]), float("inf")), j))
-        low, high = grid[max(i - 1, 0)], grid[min(i + 1, points - 1)]
-    return grid[i]
+def _own_loss(label: str, temperature: Column) -> Column:
+    """A row's log-loss at a temperature, without overflow at small ones."""
+    logs = [F.ln(F.greatest(F.least(F.col(f"p_{x}"), F.lit(1.0)), F.lit(1e-12))) / temperature for x in LABELS]
+    own = F.lit(None).cast("double")
+    for x, v in zip(LABELS, logs, strict=True):
+        own = F.when(F.col(label) == x, v).otherwise(own)
+    most = F.greatest(*logs)
+    return F.least(most + F.ln(sum((F.exp(v - most) for v in logs), F.lit(0.0))) - own, F.lit(-float(np.log(1e-12))))
+
+
+def cross_fitted_temperatures(df: DataFrame, fold: str, label: str = "label", low: float = 0.05, high: float = 20.0, points: int = 17, stop: float = 1e-4) -> dict:
+    """For each fold the temperature of least class-balanced log-loss on the other folds.
+
+    A class weighs the inverse of its share of all rows. Each step is one pass: the losses of all folds' points are
+    summed by fold and label, so what a fold's others have is the total less its own, and each fold's bracket closes
+    around its best point. Folds must be few; rows without one of the labels or without a fold don't count.
+    """
+    rows = df.where(F.col(label).isin(*LABELS) & F.col(fold).isNotNull()).select(F.col(fold).alias("_f"), label, *[f"p_{x}" for x in LABELS]).persist()
+    try:
+        sizes = {(r["_f"], r[label]): r["n"] for r in rows.groupBy("_f", label).agg(F.count(F.lit(1)).alias("n")).collect()}
+        folds = sorted({f for f, _ in sizes})
+        whole = {x: sum(n for (_, y), n in sizes.items() if y == x) for x in LABELS}
+        weight = {x: sum(whole.values()) / (len(LABELS) * max(whole[x], 1)) for x in LABELS}
+        bracket = dict.fromkeys(folds, (low, high))
+        while any(b / a > 1 + stop for a, b in bracket.values()):
+            grids = {f: [a * (b / a) ** (i / (points - 1)) for i in range(points)] for f, (a, b) in bracket.items()}
+            asked = sorted({t for g in grids.values() for t in g})
+            place = {t: i for i, t in enumerate(asked)}
+            losses = F.posexplode(F.transform(F.array(*map(F.lit, asked)), lambda t: _own_loss(label, t))).alias("at", "loss")
+            sums: dict = {}
+            for r in rows.select("_f", label, losses).groupBy("_f", label, "at").agg(F.sum("loss").alias("s")).collect():
+                sums[r["_f"], r[label], r["at"]] = r["s"]
+            for f, grid in grids.items():
+                # Of one fold only, there are no others to fit on: its own rows count.
+                others = [g for g in folds if g != f] or [f]
+                loss = [sum(weight[x] * sums.get((g, x, place[t]), 0.0) for g in others for x in LABELS) for t in grid]
+                i = min(range(points), key=loss.__getitem__)
+                bracket[f] = (grid[max(i - 1, 0)], grid[min(i + 1, points - 1)])
+    finally:
+        rows.unpersist()
+    return {f: (a * b) ** 0.5 for f, (a, b) in bracket.items()}
+
+
+def calibrated_loss(df: DataFrame, fold: str, temperatures: dict, label: str = "label") -> DataFrame:
+    """One row, ``loss``: the class-balanced log-loss when each fold's rows are tempered by its temperature."""
+    kind = df.schema[fold].dataType.simpleString()
+    table = df.sparkSession.createDataFrame(list(temperatures.items()), f"_f {kind}, _t double")  # a row for each fold
+    rows = df.where(F.col(label).isin(*LABELS)).join(F.broadcast(table), F.col(fold) == F.col("_f"))
+    each = rows.groupBy(label).agg(F.avg(_own_loss(label, F.col("_t"))).alias("loss"))
+    return each.agg(F.avg("loss").alias("loss"))
 
 
 def probe(df: DataFrame, target: str, key: str, fit_predict, k: int = 5, seed: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ meet the grid, so its size never multiplies that of the documents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlog.functions.text import bound
@@ -82,10 +82,47 @@ def routing_grid(cells: DataFrame, grid: DataFrame, n_rules: int, stage=lambda d
     """
     fused = F.element_at(F.array(F.col("clf"), *[F.col(f"f{i}") for i in range(n_rules)]), F.col("rule") + 2)
     routed = (F.col("doubt") <= F.col("t")) & (F.col("t") >= 0) | (F.col("novelty") <= F.col("s")) & (F.col("s") >= 0) | F.col("unseen") & (F.col("kind") == "loso") | F.col("pair") & ~F.col("known_pair")
-    keys = ["config", "kind", "holdout", "truth", "clf", "band"]
-    crossed = cells.join(F.broadcast(grid), "m").select(*keys, "n", "answered", routed.alias("routed"), fused.alias("fused"))
-    rows = stage(crossed.groupBy(*keys, "answered", "routed", "fused").agg(F.sum("n").cast("double").alias("n")))
+    crossed = cells.join(F.broadcast(grid), "m").select(*ROUTED, "n", "answered", routed.alias("routed"), fused.alias("fused"))
+    return estimated(stage(crossed.groupBy(*ROUTED, "answered", "routed", "fused").agg(F.sum("n").cast("double").alias("n"))))
 
+
+ROUTED = ["config", "kind", "holdout", "truth", "clf", "band"]
+
+
+def cumulative_grid(cells: DataFrame, n_rules: int, doubts: int, novelties: int, stage=lambda df: df) -> DataFrame:
+    """As ``routing_grid`` for every combination of miss cost, doubt, novelty, pair, unseen and rule, without a join with
+    the configurations: what a threshold leaves unrouted is a sum over all cells beyond it.
+
+    Cells are laid out by doubt and novelty and summed from the far end by two windows, once for each rule; what is
+    routed is the rest of the group's total. Where nothing can be routed only the classifier's own decision (rule -1)
+    is a configuration, and it is one only there. config is m|t|s|pair|unseen|rule.
+    """
+    spark = cells.sparkSession
+    group = ["m", "kind", "holdout", "truth", "clf", "band", "answered", "known_pair", "rule", "fused"]
+    fused = F.array(*[F.struct(F.lit(i).alias("rule"), (F.col(f"f{i}") if i >= 0 else F.col("clf")).alias("fused")) for i in range(-1, n_rules)])
+    each = cells.withColumn("known_pair", F.coalesce("known_pair", F.lit(False))).select(*group[:-2], "doubt", "novelty", "n", F.inline(fused)).groupBy(*group, "doubt", "novelty").agg(F.sum("n").cast("double").alias("n"))
+    # Numbers of doubts and novelties, of which there is one more than of the thresholds.
+    places = spark.range(doubts + 1).select(F.col("id").cast("int").alias("doubt")).join(F.broadcast(spark.range(novelties + 1).select(F.col("id").cast("int").alias("novelty"))))
+    dense = each.select(*group).distinct().join(F.broadcast(places)).join(each, [*group, "doubt", "novelty"], "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
+    beyond = lambda c, *by: F.sum(c).over(Window.partitionBy(*group, by[0]).orderBy(F.desc(by[1])).rowsBetween(Window.unboundedPreceding, 0))
+    summed = dense.withColumn("n", beyond("n", "doubt", "novelty")).withColumn("n", beyond("n", "novelty", "doubt"))
+    # The sum from a place on is what the threshold before it leaves; all of it, before the first.
+    left = summed.withColumn("total", F.max("n").over(Window.partitionBy(*group))).withColumns({"t": F.col("doubt") - 1, "s": F.col("novelty") - 1})
+    flags = F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(u).alias("unseen")) for p in (False, True) for u in (False, True)])
+    combined = left.select(*group, "t", "s", "n", "total", F.inline(flags))
+    forced = F.col("unseen") & (F.col("kind") == "loso") | F.col("pair") & ~F.col("known_pair")
+    kept = F.when(forced, 0.0).otherwise(F.col("n"))
+    nothing = (F.col("t") < 0) & (F.col("s") < 0) & ~F.col("pair") & ~F.col("unseen")
+    config = F.concat_ws("|", "m", "t", "s", "pair", "unseen", "rule").alias("config")
+    sides = F.array(F.struct(F.lit(False).alias("routed"), kept.alias("n")), F.struct(F.lit(True).alias("routed"), (F.col("total") - kept).alias("n")))
+    rows = combined.where(nothing == (F.col("rule") == -1)).select(config, *ROUTED[1:], "answered", "fused", F.inline(sides)).where("n > 0")
+    return estimated(stage(rows.groupBy(*ROUTED, "answered", "routed", "fused").agg(F.sum("n").alias("n"))))
+
+
+def estimated(rows: DataFrame) -> DataFrame:
+    """The nine (estimated) counts and the share routed of each configuration, kind and holdout, from its counts ``rows``
+    (config, kind, holdout, truth, clf, band, answered, routed, fused, n)."""
+    keys = ROUTED
     known = F.col("routed") & F.col("answered")
     sums = rows.groupBy("config", "kind", "holdout").agg(F.sum(F.when(F.col("routed"), F.col("n")).otherwise(0.0)).alias("n_routed"), F.sum(F.when(known, F.col("n")).otherwise(0.0)).alias("n_known"), F.sum("n").alias("docs"))
     told = rows.join(sums, ["config", "kind", "holdout"])

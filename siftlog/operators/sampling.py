@@ -209,17 +209,59 @@ def holdouts(df: DataFrame, source: str = "source", label: str = "label") -> Dat
     return rows.select(*df.columns, F.inline(F.filter(names, lambda x: x.isNotNull())))
 
 
-def round_robin(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
-    rows = df.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(key)))
-    return rows.orderBy("rn", group).limit(n).drop("rn")
+def rounds(sizes: DataFrame, size: str, n: int, points: int = 32) -> int:
+    """The least number of rounds in which groups of these sizes give ``n`` rows (all rounds, if they have fewer)."""
+    most, total = sizes.agg(F.max(size), F.sum(size)).first()
+    if not total or total <= n:
+        return most or 0
+    low, high = 0, most  # low rounds give fewer than n, high ones enough
+    while high - low > 1:
+        asked = sorted({low + max(1, (high - low) * i // points) for i in range(1, points)} | {low + 1})
+        given = sizes.agg(*[F.sum(F.least(F.col(size), F.lit(d))).alias(f"d{d}") for d in asked]).first()
+        low, high = max([low, *(d for d in asked if given[f"d{d}"] < n)]), min([high, *(d for d in asked if given[f"d{d}"] >= n)])
+    return high
+
+
+def round_robin(df: DataFrame, group: str, key: str, n: int, parts: int = 64) -> DataFrame:
+    """``n`` rows: the first of each group by key, then the second ones, and so on; the last round goes by group.
+
+    How many rounds it takes comes from the groups' sizes. Groups are cut to so many rows in parts, then whole, so no
+    task sorts a large group; rows of the last round compete by group only.
+    """
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    last = rounds(sizes, "_size", n)
+    if n <= 0 or last == 0:
+        return df.limit(0)
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(key))
+    cut = df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts))).withColumn("_rn", first(group, "_part")).where(F.col("_rn") <= last)
+    rows = cut.withColumn("_rn", first(group)).where(F.col("_rn") <= last)
+    before = sizes.agg(F.sum(F.least("_size", F.lit(last - 1)))).first()[0]
+    tail = rows.where(F.col("_rn") == last).orderBy(group).limit(n - before)
+    return rows.where(F.col("_rn") < last).unionByName(tail).drop("_part", "_rn")
 
 
 def first_of_templates(df: DataFrame, cell: list[str], template: str, message: str, key: str, n: int, seed: int) -> DataFrame:
-    """n rows of each cell with distinct messages: one of each template first, then others by hash."""
-    once = ranked(df, [*cell, message], key, seed).where("rn = 1").drop("rn", "_order")
-    named = ranked(once, [*cell, template], key, seed).withColumnRenamed("rn", "_t").drop("_order")
-    order = Window.partitionBy(*cell).orderBy(F.when(F.col("_t") == 1, 0).otherwise(1), hash_order(key, seed), key)
-    return named.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_t", "_n")
+    """n rows of each cell with distinct messages: one of each template first, then others by hash.
+
+    Of each message and of each template only the first rows stay before cells are ranked: a template's first row, and
+    of the others no more than n a cell, each in parts of the hash first.
+    """
+    order = [hash_order(key, seed), F.col(key)]
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    part = F.floor(hash_share(hash_order(key, seed)) * 64)
+
+    def first(rows: DataFrame, most: int, *by: str) -> DataFrame:
+        cut = rows.withColumn("_part", part).withColumn("_rn", place(*by, "_part")).where(F.col("_rn") <= most)
+        return cut.withColumn("_rn", place(*by)).where(F.col("_rn") <= most).drop("_part", "_rn")
+
+    once = first(df, 1, *cell, message)
+    leads = first(once, 1, *cell, template).withColumn("_t", F.lit(0))
+    named = [*cell, template, message]
+    same = [once[c].eqNullSafe(leads[c]) for c in named]
+    others = first(once.join(leads.select(*named), same, "left_anti"), n, *cell).withColumn("_t", F.lit(1))
+    both = first(leads, n, *cell).unionByName(others)
+    ranked_ = both.withColumn("_n", F.row_number().over(Window.partitionBy(*cell).orderBy("_t", *order)))
+    return ranked_.where(F.col("_n") <= n).drop("_t", "_n")
 
 
 def band_samples(df: DataFrame, value: str, edges: list[float], n: int, key: str, seed: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -254,3 +256,60 @@ def holdout_evaluation(docs: DataFrame, plan: DataFrame, holdouts: list[tuple[st
     for p in parts[1:]:
         out = out.unionByName(p)
     return metrics.evaluate(out, ("kind", "holdout"))
+
+
+def held_out(kind: str, name: str):
+    """Which documents a holdout leaves out: a source's (loso), a source's of one label (loco), or those of a fold, whose
+    column is named as its kind."""
+    if kind == "loso":
+        return F.col("source") == name
+    if kind == "loco":
+        return F.concat_ws("|", "source", "label") == name
+    return F.col(kind).cast("string") == name
+
+
+def every_holdout(docs: DataFrame, folds: tuple[str, ...] = ()) -> list[tuple[str, str]]:
+    """(kind, name) of every source, of every cell whose source has others, and of every fold; as many as cells and folds."""
+    cells = docs.groupBy("source", "label").count().collect()
+    labels: dict[str, set[str]] = {}
+    for c in cells:
+        labels.setdefault(c["source"], set()).add(c["label"])
+    out = [("loso", s) for s in sorted(labels)] + [("loco", f"{s}|{x}") for s in sorted(labels) for x in sorted(labels[s]) if len(labels[s]) > 1]
+    for kind in folds:
+        out += sorted((kind, str(r[0])) for r in docs.select(kind).where(F.col(kind).isNotNull()).distinct().collect())
+    return out
+
+
+def side_by_side(docs: DataFrame, path: str, holdouts: list[tuple[str, str]], job: Callable[[DataFrame, DataFrame], DataFrame], threads: int = 4) -> DataFrame:
+    """``job(rest, held)`` of every holdout, with kind and holdout; ``threads`` of them at once, as each is a chain of small jobs.
+
+    Each result is a table of its own below ``path``; a run that starts again makes only those that aren't finished.
+    """
+    spark = docs.sparkSession
+    folder = lambda h: f"{path}/{models.model_key(kind=h[0], holdout=h[1])}"
+
+    def run(h: tuple[str, str]):
+        away = F.coalesce(held_out(*h), F.lit(False))
+        named = lambda: job(docs.where(~away), docs.where(away)).select(F.lit(h[0]).alias("kind"), F.lit(h[1]).alias("holdout"), "*")
+        return io.derived(spark, folder(h), named).schema
+
+    with ThreadPoolExecutor(threads) as pool:
+        schemas = list(pool.map(run, holdouts))
+    return spark.read.schema(schemas[0]).parquet(*map(folder, holdouts))
+
+
+def holdout_probabilities(docs: DataFrame, path: str, holdouts: list[tuple[str, str]], fit: Callable[[DataFrame], PipelineModel], key: str = "doc_id", threads: int = 4) -> DataFrame:
+    """kind, holdout, key, source, label, probabilities and pred of every held-out document, by a model of the others."""
+    scored = lambda rest, held: models.predict(fit(rest), held).select(key, "source", "label", *[f"p_{x}" for x in LABELS], "pred")
+    return side_by_side(docs, path, holdouts, scored, threads)
+
+
+def holdout_novelty(docs: DataFrame, path: str, holdouts: list[tuple[str, str]], key: str = "doc_id", cap: int = 20_000, seed: int = 0, threads: int = 4, **settings) -> DataFrame:
+    """kind, holdout, key and maxsim: how near each held-out document comes to at most ``cap`` documents of each cell of
+    the others, by latent dimensions fitted on these."""
+
+    def near(rest: DataFrame, held: DataFrame) -> DataFrame:
+        some = io.staged(sampling.cap_cells(rest.select(key, "source", "label", "terms"), ["source", "label"], cap, key, seed).select(key, "terms"))
+        return models.novelty(some, held, key, stage=io.staged, **settings)
+
+    return side_by_side(docs, path, holdouts, near, threads)

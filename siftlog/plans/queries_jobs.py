@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,14 +94,41 @@ def _(spark, sf):
     return result.select("kind", "holdout", "items", F.round("accuracy", 4).alias("accuracy"), F.round("macro_f1", 4).alias("macro_f1"))
 
 
+@query("m7_every_holdout")
+def _(spark, sf):
+    """Metrics of every source, every cell of a source and every fold of document clusters, each scored by a model of the rest."""
+    rows = io.staged(_rows(spark, sf))
+    grouped = rows.join(models.document_clusters(rows, "doc_id", k=50, dims=50, most=5000, stage=io.staged), "doc_id")
+    docs = io.staged(sampling.group_folds(grouped, "cluster", 5, "label").withColumnRenamed("fold", "cl5").drop("cluster"))
+    scored = jobs.holdout_probabilities(docs, _scratch(spark), jobs.every_holdout(docs, ("cl5",)), _fit, threads=8)
+    result = metrics.evaluate(scored.withColumn("truth", F.col("label")), ("kind", "holdout"))
+    return result.select("kind", "holdout", "items", F.round("accuracy", 4).alias("accuracy"), F.round("macro_f1", 4).alias("macro_f1"))
+
+
 @query("m8_m9_novelty")
 def _(spark, sf):
+    rows = io.staged(_rows(spark, sf))
+    near = models.novelty(rows.where("doc_id % 4 <> 0"), rows.where("doc_id % 4 = 0"), "doc_id", stage=io.staged)
+    return near.select("doc_id", F.round("maxsim", 4).alias("maxsim"))
+
+
+@query("m9_candidates")
+def _(spark, sf):
+    """Novelty by buckets of random hyperplanes beside the exact one: the queries, the share whose nearest row is found, the mean loss."""
     rows = _rows(spark, sf)
-    known, new = rows.where("doc_id % 4 <> 0"), rows.where("doc_id % 4 = 0")
-    vectors = models.fit_vectors(known, "terms", 1000, 2)
-    v = models.fit_lsa(vectors.transform(known), 10)
-    vec = lambda t: models.lsa_vectors(vectors.transform(t), v, "doc_id")
-    return models.max_similarity(vec(new), vec(known), "doc_id").select("doc_id", F.round("maxsim", 4).alias("maxsim"))
+    vectors = io.staged(models.document_vectors(rows.where("doc_id % 4 <> 0"), rows, "doc_id", dims=50, most=5000, stage=io.staged))
+    known, new = vectors.where("doc_id % 4 <> 0"), vectors.where("doc_id % 4 = 0")
+    exact = models.max_similarity(new, known, "doc_id").withColumnRenamed("maxsim", "exact")
+    both = exact.join(models.near_similarity(new, known, "doc_id"), "doc_id")
+    return both.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg((F.col("maxsim") >= F.col("exact") - 1e-5).cast("double")), 2).alias("recall"), F.round(F.avg(F.col("exact") - F.col("maxsim")), 2).alias("loss"))
+
+
+@query("m10_document_clusters")
+def _(spark, sf):
+    """Clusters of documents by latent dimensions, and the folds that keep each whole."""
+    rows = io.staged(_rows(spark, sf))
+    grouped = rows.select("doc_id", "label").join(models.document_clusters(rows, "doc_id", stage=io.staged), "doc_id")
+    return sampling.group_folds(grouped, "cluster", 5, "label").select("doc_id", "cluster", "fold")
 
 
 @query("m10_clusters")
@@ -143,15 +168,10 @@ def _(spark, sf):
 
 @query("m16_holdout_novelty")
 def _(spark, sf):
-    """For each source: novelty of its documents against a capped sample of all others."""
-    rows = io.staged(_rows(spark, sf, pairs=False))  # a fit for each source
-    names = sorted(r["source"] for r in rows.select("source").distinct().collect())  # one row for each source
-    parts = []
-    for name in names:
-        rest = io.staged(sampling.cap_cells(rows.where(F.col("source") != name), ["source", "label"], 50, "doc_id", 1))
-        near = models.novelty(rest, rows.where(F.col("source") == name), "doc_id", dims=8, most=500, stage=io.staged)
-        parts.append(near.select(F.lit("loso").alias("kind"), F.lit(name).alias("holdout"), "doc_id", F.round("maxsim", 4).alias("maxsim")))
-    return reduce(DataFrame.unionByName, parts)
+    """For each source and each cell: novelty of its documents against all others, capped by cell."""
+    rows = io.staged(_rows(spark, sf, pairs=False))  # a fit for each holdout
+    found = jobs.holdout_novelty(rows, _scratch(spark), jobs.every_holdout(rows), dims=50, most=5000, threads=8)
+    return found.select("kind", "holdout", "doc_id", F.round("maxsim", 4).alias("maxsim"))
 
 
 @query("o4_top_terms")
@@ -303,22 +323,23 @@ def _(spark, sf):
     return spark.read.schema("event_id string, source string, verdict string, pred_label string").parquet(f"{out}/rows")
 
 
-_WINDOWS = f"WITH {VERDICT_SQL} SELECT strftime(date_trunc('hour', e.ts), '%Y-%m-%d %H') AS start, trim(coalesce(vendor_name, '')) || '/' || trim(coalesce(product_name, '')) AS source, verdict, count(*) AS n FROM vd JOIN events e ON e.event_id = vd.eid GROUP BY ALL"
+_WINDOWS = f"WITH {VERDICT_SQL} SELECT strftime(date_trunc('hour', e.ts), '%Y-%m-%d %H') AS start, trim(coalesce(vendor_name, '')) || '/' || trim(coalesce(product_name, '')) AS source, verdict, count(*) AS n FROM vd JOIN events e ON e.event_id = vd.eid"
 
 
-@query("x2_windowed_verdicts", _WINDOWS)
+@query("x2_windowed_verdicts", _WINDOWS + " GROUP BY ALL")
 def _(spark, sf):
     df = ev(spark, sf).drop("source")
     counts = stream.verdict_counts(df.withColumn("at", time.instant(F.col("timestamp"))))
     return counts.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "source", "verdict", "n")
 
 
-@query("x2_streamed_windows", _WINDOWS)
+_CLOSED = "date_trunc('hour', e.ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
+
+
+@query("x2_streamed_windows", _WINDOWS + f" WHERE {_CLOSED} GROUP BY ALL")
 def _(spark, sf):
-    """The same counts from a stream that has run to its end."""
+    """The windows that have closed when a stream of the events has run to its end."""
     counts = stream.verdict_counts(_stream(spark, sf).withColumn("at", time.instant(F.col("timestamp"))))
     out = _scratch(spark)
     stream.write_counts(counts, f"{out}/counts", f"{out}/checkpoint").awaitTermination()
-    rows = spark.read.parquet(f"{out}/counts")
-    newest = rows.agg(F.max("batch").alias("batch"))
-    return rows.join(F.broadcast(newest), "batch", "left_semi").select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "source", "verdict", "n")
+    return stream.read_counts(spark, f"{out}/counts").select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "source", "verdict", "n")
