@@ -32,15 +32,9 @@ class TrainConfig:
     iterations: int = 50
 
 
-def document(df: DataFrame, kind: str):
-    builders = {"full": documents.full_document, "content": documents.content_document, "timefree": documents.timefree_document, "classifier": documents.classifier_document}
-    if kind not in builders:
-        raise ValueError(f"unknown kind of document {kind!r}; one of {', '.join(builders)}")
-    return builders[kind](df)
-
-
 def _terms(df: DataFrame, kind: str, *keep: str) -> DataFrame:
-    return df.select("event_id", documents.source_key(df).alias("source"), models.terms(document(df, kind)).alias("terms"), *keep)
+    rows = documents.with_document(df, kind, "_doc")
+    return rows.select("event_id", documents.source_key(rows).alias("source"), models.terms(F.col("_doc")).alias("terms"), *keep)
 
 
 def _fit(rows: DataFrame, config: TrainConfig) -> PipelineModel:
@@ -96,7 +90,7 @@ def hybrid(train_df: DataFrame, df: DataFrame, ask, miss: float = 10.0, doubt: f
     largest cosine with any training document (``novelty``: the bound below which it is routed; None routes by none).
     """
     keys = ["pipeline", "vendor_name", "product_name", "doc"]
-    view = lambda d: d.withColumn("doc", documents.classifier_document(d)).withColumns({c: F.coalesce(c, F.lit("")) for c in keys[:3]})
+    view = lambda d: documents.with_document(d, "classifier").withColumns({c: F.coalesce(c, F.lit("")) for c in keys[:3]})
     known = view(train_df).withColumn("source", documents.source_key(train_df))
     unique = aggregates.unique_documents(known, ("doc", "label"))
     cut = lambda d: d.withColumns({"terms": models.terms(F.col("doc"), models.HYBRID_TOKEN, 6000), "chars": models.char_terms(F.substring("doc", 1, 6000))})
@@ -216,7 +210,8 @@ def time_probe(df: DataFrame, period, kinds: list[str], folds: int = 5, **settin
     accuracy out of fold, the majority's share and the distinct documents. Of time-free ones it should not exceed the share."""
     parts = []
     for kind in kinds:
-        rows = io.staged(df.select("event_id", F.when(period, LABELS[0]).otherwise(LABELS[1]).alias("half"), document(df, kind).alias("doc"), models.terms(document(df, kind)).alias("terms")))
+        made = documents.with_document(df, kind, "_doc")
+        rows = io.staged(made.select("event_id", F.when(period, LABELS[0]).otherwise(LABELS[1]).alias("half"), F.col("_doc").alias("doc"), models.terms(F.col("_doc")).alias("terms")))
 
         def fit_predict(folded: DataFrame) -> DataFrame:
             scored = models.out_of_fold(folded, folds, lambda d: models.fit_classifier(d, label="half", **settings), "event_id")

@@ -198,20 +198,17 @@ def _(spark, sf):
 
 @query("p17_content_document", EV + views_sql.content_document())
 def _(spark, sf):
-    ev = _events(spark, sf)
-    return ev.select("event_id", documents.content_document(ev).alias("doc"))
+    return documents.with_document(_events(spark, sf), "content").select("event_id", "doc")
 
 
 @query("p18_timefree_document", VD + views_sql.timefree_document())
 def _(spark, sf):
-    ev = _events(spark, sf)
-    return ev.select("event_id", documents.timefree_document(ev).alias("doc"))
+    return documents.with_document(_events(spark, sf), "timefree").select("event_id", "doc")
 
 
 @query("p19_classifier_document", EV + views_sql.classifier_document())
 def _(spark, sf):
-    ev = _events(spark, sf)
-    return ev.select("event_id", documents.classifier_document(ev).alias("doc"))
+    return documents.with_document(_events(spark, sf), "classifier").select("event_id", "doc")
 
 
 @query(
