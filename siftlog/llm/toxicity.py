@@ -40,7 +40,7 @@ _table = None
 
 
 def symbol_table() -> np.ndarray:
-    """The symbol of each code point of the basic plane; others are letters by hash or the boundary."""
+    """The symbol of each code point of the basic plane."""
     global _table
     if _table is None:
         t = np.zeros(0x10000, np.uint8)
@@ -53,10 +53,22 @@ def symbol_table() -> np.ndarray:
     return _table
 
 
+def letter(ch: str) -> int:
+    """The symbol of a character: a to z for letters that are these without accents or in another style, or by hash; else 0."""
+    if not ch.isalpha():
+        return 0
+    base = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", ch).lower())[0]
+    return ord(base) - 96 if "a" <= base <= "z" else 1 + (ord(ch) * 2654435761 >> 8) % (SYMBOLS - 1)
+
+
 def grams(text: str | None) -> np.ndarray:
     """The number of the 5-gram that ends at each symbol; runs of boundaries count as one."""
     c = np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)
     s = symbol_table()[np.minimum(c, 0xFFFF)]
+    if len(c) and c.max() > 0xFFFF:
+        beyond = np.flatnonzero(c > 0xFFFF)
+        codes, at = np.unique(c[beyond], return_inverse=True)
+        s[beyond] = np.array([letter(chr(x)) for x in codes.tolist()], np.uint8)[at]
     if len(s) == 0 or not s.any():
         return np.zeros(0, np.int64)
     s = np.concatenate([s, np.zeros(1, np.uint8)])
@@ -94,12 +106,12 @@ def count_grams(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     part = a[i : i + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(part), pa.int32()), pa.array(part), pa.array(b[i : i + (1 << 16)])], names=["toxic", "gram", "n"])
 
-    def most(column: Column) -> Column:
-        return F.least(F.sum(column), F.lit(2**31 - 1)).cast("int")
+    def total(column: Column) -> Column:
+        return F.sum(column).cast("float")  # exact up to 2^24, beyond it to seven digits; no count is too large for it
 
     counted = labelled.mapInArrow(count, "toxic int, gram long, n long").groupBy(F.col("gram").cast("int").alias("gram"))
-    rows = counted.agg(most(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("o"), most(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t")).toArrow()
-    out = np.zeros((2, GRAMS), np.int32)
+    rows = counted.agg(total(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("o"), total(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t")).toArrow()
+    out = np.zeros((2, GRAMS), np.float32)
     for i, name in enumerate(("o", "t")):
         out[i, rows["gram"].to_numpy()] = rows[name].to_numpy()
     return out[0], out[1]

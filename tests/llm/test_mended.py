@@ -119,3 +119,23 @@ def test_keep_one_goes_by_identifier_and_text(spark):
     kept = [tuple(r) for r in minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(x for x in kept if x[0] in (3, 5)) == [(3, a), (5, b)]
     assert len([x for x in kept if x[0] in (8, 9)]) == 1 and [x[0] for x in kept].count(11) == 2 and len(kept) == 5
+
+
+def test_letters_of_all_planes_are_symbols():
+    from siftlog.llm import toxicity
+
+    plain = toxicity.grams("bad word")
+    assert list(toxicity.grams("𝐛𝐚𝐝 𝐰𝐨𝐫𝐝")) == list(toxicity.grams("𝖇𝖆𝖉 word")) == list(plain) == list(toxicity.grams("BÁD wörd"))
+    assert len(toxicity.grams("𐐀𐐁𐐂")) == 4 and len(toxicity.grams("😀😀")) == 0
+    assert list(toxicity.grams("a😀b")) == list(toxicity.grams("a b"))
+
+
+def test_counts_do_not_saturate():
+    import numpy as np
+
+    from siftlog.llm import toxicity
+
+    ordinary, toxic = (np.zeros(toxicity.GRAMS, np.float32) for _ in range(2))
+    ordinary[5], ordinary[6], toxic[5] = 6e9, 3e9, 4e9
+    ratio = toxicity.log_ratio(ordinary, toxic)
+    assert ratio[5] == pytest.approx(math.log(1 / (2 / 3)), abs=1e-2)
