@@ -144,6 +144,104 @@ def leakage_audit(train_df: DataFrame, valid_df: DataFrame, label: str = "label"
     return reduce(DataFrame.unionByName, parts)
 
 
+def invariance(df: DataFrame, seed: int = 1) -> DataFrame:
+    """Of the distinct messages: how many there are, how many have another classifier's or time-free view once digits and
+    calendar words are others, and how many of the reader's views still show a time of day."""
+    m = F.col("m")
+    views = df.select(F.coalesce("message_sanitized", F.lit("")).alias("m")).distinct().select(
+        *[(f(m) != f(text.perturbed(m, seed))).alias(n) for n, f in (("classifier", text.classifier_view), ("timefree", text.timefree))],
+        text.reader_view(m).rlike(r"\b[0-9]{1,2}:[0-9]{2}:[0-9]{2}\b").alias("times_left"),
+    )
+    return views.agg(F.count(F.lit(1)).alias("messages"), *[F.count_if(c).alias(c) for c in ("classifier", "timefree", "times_left")])
+
+
+def leakage_report(train_df: DataFrame, valid_df: DataFrame, kind: str = "classifier", label: str = "label") -> DataFrame:
+    """``leakage_audit`` with the invariance of the views over both tables, and how the documents of a kind overlap:
+    rows and distinct documents of each table, documents with two labels, documents and rows that training has, too."""
+    told = invariance(train_df.select("message_sanitized").unionByName(valid_df.select("message_sanitized")))
+    names = F.array(*[F.struct(F.lit("invariance").alias("topic"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in told.columns])
+    known = documents.with_document(train_df, kind, "doc").groupBy("doc").agg(F.count(F.lit(1)).alias("rows"), (F.min(label) != F.max(label)).alias("two"))
+    other = documents.with_document(valid_df, kind, "doc").groupBy("doc").agg(F.count(F.lit(1)).alias("rows"))
+    both = known.select("doc", F.col("rows").alias("a"), "two").join(other.select("doc", F.col("rows").alias("b")), "doc", "full")
+    seen = F.col("a").isNotNull()
+    sums = both.agg(
+        F.sum("a").alias("train_rows"), F.count("a").alias("train_documents"), F.count_if("two").alias("two_labels"),
+        F.sum("b").alias("valid_rows"), F.count("b").alias("valid_documents"),
+        F.round(F.count_if(seen & F.col("b").isNotNull()) / F.count("b"), 6).alias("documents_seen"), F.round(F.sum(F.when(seen, F.col("b"))) / F.sum("b"), 6).alias("rows_seen"),
+    )
+    overlap = F.array(*[F.struct(F.lit("documents").alias("topic"), F.lit(c).alias("name"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("value")) for c in sums.columns])
+    return leakage_audit(train_df, valid_df, label).unionByName(told.select(F.inline(names))).unionByName(sums.select(F.inline(overlap)))
+
+
+def generalization(df: DataFrame, other: DataFrame, fit: Callable[[DataFrame], PipelineModel], sample: int | None = 300_000, seed: int = 42, share: float = 0.8) -> DataFrame:
+    """Metrics of four experiments: fitted on the earliest events and tried on the latest ones (E1, E2), fitted on all and
+    tried on ``other``, the events as another version of the data has them (E3, E4); on documents with everything in
+    them (E1, E3) and without what differs between versions (E2, E4). Fits see a stratified sample of ``sample`` rows."""
+    label = io.label_column(df)
+    named = df.withColumn("label", F.col(label))
+    split = io.staged(sampling.time_split(named, "timestamp", "event_id", share))
+    pairs = {"time_split": (split.where("part = 'train'"), split.where("part = 'test'")), "cross_version": (named, other.withColumn("label", F.col(io.label_column(other))))}
+    views = {"raw": lambda d: d, "normalized": text.version_free}
+    parts, at = [], 0
+    for split_name, (known, new) in pairs.items():
+        some = io.staged(known if sample is None else sampling.stratified_sample(known, "label", "event_id", sample, seed))
+        for view_name, view in views.items():
+            at += 1
+            cut = lambda d, view=view: d.select("event_id", "label", models.terms(view(documents.full_document(d))).alias("terms"))
+            scored = models.predict(fit(cut(some)), cut(new))
+            parts.append(scored.select(F.lit(f"E{at}_{split_name}_{view_name}").alias("experiment"), F.col("label").alias("truth"), "pred"))
+    return metrics.evaluate(reduce(DataFrame.unionByName, parts), ("experiment",), present_only=False)
+
+
+def reply_plan(docs: DataFrame, probabilities: DataFrame, near: DataFrame | None, holdouts: list[tuple[str, str]], per_holdout: int = 40, picks: int = 100, kind: str = "cl5", weights: tuple[float, ...] = (1, 10), key: str = "doc_id", seed: int = 0) -> DataFrame:
+    """kind, holdout and key of the documents that a model is asked about to judge routing, each once.
+
+    Of every source and cell a sample of ``per_holdout``; and in distribution, of the folds ``kind``, ``picks`` of each
+    that a trigger can choose: the least sure ones for each benign weight (``probabilities``: kind, holdout, key, source,
+    p_*), those whose predicted pair of source and label their training lacks, and the least similar ones (``near``: kind,
+    holdout, key, maxsim). ``docs``: key, source, label and the folds' column.
+    """
+    plan = ["kind", "holdout", key]
+    parts = []
+    for k, name in holdouts:
+        if k in ("loso", "loco"):
+            parts.append(docs.where(held_out(k, name)).select(F.lit(k).alias("kind"), F.lit(name).alias("holdout"), key))
+    if parts:
+        parts = [sampling.cap_cells(reduce(DataFrame.unionByName, parts), ["kind", "holdout"], per_holdout, key, seed).select(*plan)]
+    inside = probabilities.where(F.col("kind") == kind)
+    cells = docs.groupBy(F.col(kind).cast("string").alias("holdout"), "source", "label").agg(F.count(F.lit(1)).alias("held"))
+    whole = cells.groupBy("source", "label").agg(F.sum("held").alias("n"))
+    there = cells.select("holdout").distinct().join(F.broadcast(whole)).join(cells, ["holdout", "source", "label"], "left")
+    # Pairs that training has in each fold: those of which not all documents are held out; as many as cells times folds.
+    known = there.where(F.coalesce("held", F.lit(0)) < F.col("n")).select("holdout", "source", F.col("label").alias("clf"), F.lit(True).alias("known"))
+    for w in weights:
+        judged = inside.withColumns({"clf": decide.benign_first(P, w), "conf": decide.decision_confidence(P, w)})
+        parts.append(judged.orderBy("conf", key, "holdout").limit(picks).select(*plan))
+        parts.append(judged.join(F.broadcast(known), ["holdout", "source", "clf"], "left").where("known is null").orderBy(key, "holdout").limit(picks).select(*plan))
+    if near is not None:
+        parts.append(near.where(F.col("kind") == kind).orderBy("maxsim", key, "holdout").limit(picks).select(*plan))
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def held_out_replies(docs: DataFrame, plan: DataFrame, ask, codebook: DataFrame, intro: str, definitions: dict[str, str], notes: str, key: str = "doc_id") -> DataFrame:
+    """kind, holdout, key, label, variant and reply of every planned document, by two prompts: ``codebook``, without the
+    lines that were read off a holdout's own cells (a source's all, a cell's one, a fold's none), and ``generic``.
+
+    ``docs`` has key, source, label and the prompt's fields; equal requests are asked once.
+    """
+    cells = docs.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n")).select("source", "label", F.concat_ws("|", "source", "label").alias("cell"))
+    named = plan.select("kind", "holdout").distinct().withColumn("name", F.concat_ws("|", "kind", "holdout"))  # a row for each holdout
+    own = F.when(F.col("kind") == "loso", F.col("source") == F.col("holdout")).when(F.col("kind") == "loco", F.col("cell") == F.col("holdout")).otherwise(False)
+    lost = named.join(F.broadcast(cells), own, "left").groupBy("name").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
+    prompts = requests.system_prompts(codebook, lost.withColumnRenamed("name", "holdout"), intro, definitions, notes).select(F.col("holdout").alias("name"), F.lit("codebook").alias("variant"), F.col("prompt").alias("system"))
+    plain = named.select("name", F.lit("generic").alias("variant"), F.lit(requests.plain_prompt(intro, definitions, notes)).alias("system"))
+    user = requests.user_prompt(*[F.col(c) for c in ("pipeline", "vendor_name", "product_name", "message_sanitized")])
+    rows = plan.withColumn("name", F.concat_ws("|", "kind", "holdout")).join(docs.select(key, "label", user.alias("user")), key).join(F.broadcast(prompts.unionByName(plain)), "name")
+    asked = io.staged(rows.withColumn("key", requests.request_key(F.col("system"), F.col("user"))))
+    replies = requests.ask(asked.select("key", "system", "user").dropDuplicates(["key"]), ask)
+    return asked.join(replies.select("key", F.col("label").alias("reply")), "key").select("kind", "holdout", key, "label", "variant", "reply")
+
+
 def prior_calibration(scored: DataFrame, model_prior: list[float], baseline: DataFrame, steps: int = 200) -> DataFrame:
     """Estimate the priors of ``scored``, reweight, and count what flips and what agrees with another submission
     (``baseline``: event_id, pred_label; events that it lacks don't count as agreed)."""
@@ -239,6 +337,16 @@ def run_report(run: DataFrame, truth: DataFrame) -> DataFrame:
     return metrics.diagnostics(named)
 
 
+def run_metrics(run: DataFrame, truth: DataFrame) -> DataFrame:
+    """Metrics of a hybrid run in three parts: its final labels, the classifier's alone, and final ones of routed events;
+    each over all sources and for each source (``source`` is null for all)."""
+    named = run.join(truth.select("event_id", F.col("label").alias("truth")), "event_id")
+    part = lambda name, pred: F.struct(F.lit(name).alias("part"), F.col(pred).alias("pred"))
+    parts = F.filter(F.array(part("final", "final"), part("classifier", "clf"), F.when(F.col("routed"), part("routed", "final"))), lambda x: x.isNotNull())
+    rows = named.select("truth", F.explode(F.array(F.lit(None).cast("string"), F.col("source"))).alias("source"), F.lit(0).alias("_"), parts.alias("parts")).select("truth", "source", F.inline("parts"))
+    return metrics.evaluate(rows, ("part", "source"))
+
+
 def holdout_evaluation(docs: DataFrame, plan: DataFrame, holdouts: list[tuple[str, str]], fit) -> DataFrame:
     """Metrics of models that each leave one holdout out; the loop is over holdouts, fits and scoring are distributed."""
     parts = []

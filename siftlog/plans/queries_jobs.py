@@ -192,6 +192,15 @@ def _(spark, sf):
     return metrics.evaluate(parts[0].unionByName(parts[1]), ("documents",), present_only=False).select("documents", "items", F.round("accuracy", 4).alias("accuracy"), F.round("macro_f1", 4).alias("macro_f1"))
 
 
+@query("e10_cross_version")
+def _(spark, sf):
+    """Both halves of the matrix; the other version has the same events sanitised anew (other numbers and calendar words)."""
+    df = ev(spark, sf)
+    other = df.withColumn("message_sanitized", text.perturbed(F.col("message_sanitized"), 7))
+    result = jobs.generalization(df, other, _fit, 5000)
+    return result.select("experiment", "items", *[F.round(c, 3).alias(c) for c in ("macro_f1", "f1_suspicious", "f1_malicious")])
+
+
 @query("e11_leakage_ablation")
 def _(spark, sf):
     """Raw documents: folds of the distinct training documents, and events of the other half as truth from outside."""
@@ -220,6 +229,21 @@ def _(spark, sf):
     return scored.groupBy("holdout").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("truth") == F.col("pred")).cast("double")), 6).alias("accuracy"))
 
 
+@query("l7_every_holdout")
+def _(spark, sf):
+    """Replies about samples of every source and cell and about what triggers pick in distribution, by both prompts."""
+    from siftlog.plans import queries_decisions as q
+
+    df = io.staged(with_probabilities(ev(spark, sf)).withColumn("cl5", F.pmod(F.xxhash64("source", F.floor(F.col("eid") / 50)), F.lit(5)).cast("int")))
+    inside = df.select(F.lit("cl5").alias("kind"), F.col("cl5").cast("string").alias("holdout"), "event_id", "source", *[f"p_{x}" for x in LABELS], (F.col("eid") % 97 / 97).alias("maxsim"))
+    plan = io.staged(jobs.reply_plan(df, inside, inside, jobs.every_holdout(df), key="event_id"))
+    book = spark.createDataFrame(q.CODEBOOK, "label string, place int, line string, cells array<string>")
+    replies = jobs.held_out_replies(df, plan, requests.keyword_model, book, q.INTRO, q.DEFINITIONS, q.NOTES, "event_id")
+    hit = lambda c: F.round(F.avg(c.cast("double")), 6)
+    right, alert = F.col("reply").eqNullSafe(F.col("label")), (F.col("reply") != "benign").eqNullSafe(F.col("label") != "benign")
+    return replies.groupBy("kind", "holdout", "variant").agg(F.count(F.lit(1)).alias("n"), hit(right).alias("accuracy"), hit(alert).alias("alert_accuracy"), F.count_if(F.col("reply").isNull()).alias("unparsed"))
+
+
 @query("k1_train_and_evaluate")
 def _(spark, sf):
     """Metrics of the holdout, then the final model's predictions of all events, checked for completeness."""
@@ -254,6 +278,13 @@ def _(spark, sf):
     return jobs.leakage_audit(df.where("eid % 2 = 0"), df.where("eid % 2 = 1"))
 
 
+@query("k4_leakage_report")
+def _(spark, sf):
+    """The audit with the views' invariance and the documents' overlap."""
+    df = ev(spark, sf)
+    return jobs.leakage_report(df.where("eid % 2 = 0"), df.where("eid % 2 = 1"))
+
+
 _EM = "em(i, b, s, m) AS (SELECT 0, 0.6::DOUBLE, 0.3::DOUBLE, 0.1::DOUBLE UNION ALL SELECT i + 1, n.b, n.s, n.m FROM em, LATERAL (SELECT avg(x / (x + y + z)) AS b, avg(y / (x + y + z)) AS s, avg(z / (x + y + z)) AS m FROM (SELECT p_benign * em.b / 0.6::DOUBLE AS x, p_suspicious * em.s / 0.3::DOUBLE AS y, p_malicious * em.m / 0.1::DOUBLE AS z FROM pr)) n WHERE i < 20)"
 
 
@@ -309,6 +340,13 @@ def _(spark, sf):
     return jobs.run_report(run, df)
 
 
+@query("k10_run_metrics")
+def _(spark, sf):
+    df = ev(spark, sf)
+    run = io.staged(jobs.hybrid(df.where("eid % 2 = 0"), df.where("eid % 2 = 1").drop("source"), requests.keyword_model, novelty=0.3, budget=50, dims=10, vocabulary=2000, iterations=10))
+    return jobs.run_metrics(run, df).select("part", "source", "items", *[F.round(c, 2).alias(c) for c in ("accuracy", "macro_f1", "cost_m5")])
+
+
 def _stream(spark, sf):
     """The events table as a stream of its files."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
