@@ -195,11 +195,29 @@ def _(spark, sf):
     return metrics.macro_auc(truth_pred(spark, sf))
 
 
-@query("e4_submission_validation", EV + "SELECT cast(0 AS bigint) AS duplicate, cast(count_if(eid % 50 = 0) AS bigint) AS missing, cast(0 AS bigint) AS extra, cast(count_if(eid % 50 <> 0 AND eid % 70 = 1) AS bigint) AS invalid, '' AS duplicate_ids, (SELECT string_agg(event_id, ',' ORDER BY event_id) FROM (SELECT event_id FROM ev WHERE eid % 50 = 0 ORDER BY event_id LIMIT 5)) AS missing_ids, '' AS extra_ids, (SELECT string_agg(event_id, ',' ORDER BY event_id) FROM (SELECT event_id FROM ev WHERE eid % 50 <> 0 AND eid % 70 = 1 ORDER BY event_id LIMIT 5)) AS invalid_ids, false AS valid FROM ev")
-def _(spark, sf):
+_SUBMITTED = "sub AS (SELECT event_id, CASE WHEN eid % 70 = 1 THEN 'unknown' ELSE label_binary END AS p FROM ev WHERE eid % 50 <> 0 UNION ALL SELECT event_id, label_binary FROM ev WHERE eid % 50 <> 0 AND eid % 90 = 7 UNION ALL SELECT 'x' || event_id, 'benign' FROM ev WHERE eid % 1000 = 3)"
+_WRONG = {
+    "duplicate": "SELECT event_id FROM sub GROUP BY event_id HAVING count(*) > 1",
+    "missing": "SELECT event_id FROM ev EXCEPT SELECT event_id FROM sub",
+    "extra": "SELECT event_id FROM sub EXCEPT SELECT event_id FROM ev",
+    "invalid": "SELECT event_id FROM sub WHERE p IS NULL OR p NOT IN ('benign', 'suspicious', 'malicious')",
+}
+
+
+@query(
+    "e4_submission_validation",
+    EV + ", " + _SUBMITTED + ", " + ", ".join(f"w_{n} AS ({q})" for n, q in _WRONG.items()) + " SELECT "
+    + ", ".join(f"(SELECT count(*) FROM w_{n}) AS {n}, coalesce((SELECT string_agg(event_id, ',' ORDER BY event_id) FROM (SELECT event_id FROM w_{n} ORDER BY event_id LIMIT 5)), '') AS {n}_ids" for n in _WRONG)
+    + ", " + " + ".join(f"(SELECT count(*) FROM w_{n})" for n in _WRONG) + " = 0 AS valid",
+)
+def _(spark, sf):
+    """A submission with repeated, missing, extra and unlabelled events."""
     df = ev(spark, sf)
-    sub = df.where("eid % 50 <> 0").select("event_id", F.when(F.col("eid") % 70 == 1, "unknown").otherwise(F.col("label")).alias("pred_label"))
-    return metrics.validation(sub, df)
+    there = df.where("eid % 50 <> 0")
+    sub = there.select("event_id", F.when(F.col("eid") % 70 == 1, "unknown").otherwise(F.col("label")).alias("pred_label"))
+    again = there.where("eid % 90 = 7").select("event_id", F.col("label").alias("pred_label"))
+    extra = df.where("eid % 1000 = 3").select(F.concat(F.lit("x"), "event_id").alias("event_id"), F.lit("benign").alias("pred_label"))
+    return metrics.validation(sub.unionByName(again).unionByName(extra), df)
 
 
 @query("e5_run_scores", PR + f", tp AS (SELECT label_binary AS truth, unnest([{{'part': 'final', 'pred': {least(5)}}}, {{'part': 'classifier', 'pred': {argmax(1)}}}, {{'part': CASE WHEN p_benign < 0.3 THEN 'routed' END, 'pred': {least(5)}}}], recursive := true) FROM pr), t2 AS (SELECT * FROM tp WHERE part IS NOT NULL), " + metrics_sql("part", "t2"))
@@ -255,7 +273,19 @@ def _(spark, sf):
     return policy.training_cells(docs.select(F.lit("loso").alias("kind"), F.col("source").alias("holdout"), "doc_id"), docs)
 
 
-@query("g2_policy_costs")
+_HELD = ", h AS (SELECT *, " + _HOLD + " AS kind, pipeline AS holdout, label_binary AS truth, eid % 3 = 0 AS answered, cast(eid % 97 AS double) / 97 AS maxsim FROM {0})"
+_G2 = PR + _HELD.format("pr") + f""", c AS (SELECT *, {argmax(2)} AS clf, greatest(p_benign * 2::DOUBLE, p_suspicious, p_malicious) / (p_benign * 2::DOUBLE + p_suspicious + p_malicious) AS conf FROM h
+), r AS (SELECT *, conf < 0.6::DOUBLE OR maxsim < 0.2::DOUBLE OR kind = 'loso' OR clf = 'malicious' AS routed, CASE WHEN NOT answered THEN clf WHEN truth = 'benign' THEN 'benign' ELSE {_TYPE} END AS fused FROM c
+), s AS (SELECT kind, holdout, count(*) AS docs, count_if(routed)::DOUBLE AS routed, count_if(routed AND answered)::DOUBLE AS known,
+  count_if(NOT routed AND truth <> clf)::DOUBLE AS kept_err, count_if(NOT routed AND truth = 'benign' AND clf <> 'benign')::DOUBLE AS kept_bm,
+  count_if(routed AND answered AND truth <> fused)::DOUBLE AS known_err, count_if(routed AND answered AND truth = 'benign' AND fused <> 'benign')::DOUBLE AS known_bm,
+  count_if(truth <> clf)::DOUBLE AS clf_err, count_if(truth = 'benign' AND clf <> 'benign')::DOUBLE AS clf_bm FROM r GROUP BY kind, holdout
+), p AS (SELECT sum(known_err) / greatest(sum(known), 1) AS rate_err, sum(known_bm) / greatest(sum(known), 1) AS rate_bm FROM s
+), e AS (SELECT s.*, kept_err + CASE WHEN known > 0 THEN known_err * routed / known ELSE routed * rate_err END AS errors, kept_bm + CASE WHEN known > 0 THEN known_bm * routed / known ELSE routed * rate_bm END AS misses FROM s, p)
+SELECT kind, holdout, docs, routed, round(errors, 6) AS errors, round(misses, 6) AS benign_misses, round(9 * misses + errors, 6) AS cost, 9 * clf_bm + clf_err AS clf_cost FROM e"""
+
+
+@query("g2_policy_costs", _G2)
 def _(spark, sf):
     df = _held(spark, sf).withColumn("reply", F.when(F.col("answered"), F.col("label")))
     return policy.routing_costs(df, 2.0, 0.6, 0.2, "llm_gate")
@@ -331,7 +361,26 @@ def _routing(spark, sf):
     return policy.routing_grid(cells, _grid(spark), len(RULES), io.staged)
 
 
-@query("g4_estimated_confusions")
+_SHARES = {"a": ("truth, clf, band", "AND kind = 'cl5'"), "b": ("truth, clf", "AND kind = 'cl5'"), "c": ("truth", "")}
+_G4 = (
+    PR + ", " + REPLIED + _MIX + _HELD.format("mx")
+    + f""", r AS (SELECT kind, holdout, truth, clf, answered, list_sum(list_transform([0.7, 0.9, 0.95, 0.99], lambda e: CASE WHEN conf >= e::DOUBLE THEN 1 ELSE 0 END)) AS band,
+  conf < 0.8::DOUBLE OR maxsim < 0.1::DOUBLE OR clf = 'malicious' AS routed,
+  CASE WHEN q_benign IS NULL THEN clf WHEN clf = 'malicious' THEN clf WHEN {least(10, 'q_')} <> 'benign' THEN {_TYPE} ELSE 'benign' END AS fused
+  FROM (SELECT *, CASE WHEN k[1] + k[2] > 0 THEN k[2] / (k[1] + k[2]) ELSE 1 END AS conf FROM (SELECT *, {risks_sql(5)} AS k FROM h))
+), g AS (SELECT kind, holdout, truth, clf, band, answered, routed, fused, count(*)::DOUBLE AS n FROM r GROUP BY ALL
+), s AS (SELECT kind, holdout, coalesce(sum(n) FILTER (routed), 0) AS n_routed, coalesce(sum(n) FILTER (routed AND answered), 0) AS n_known FROM g GROUP BY kind, holdout
+), direct AS (SELECT kind, holdout, truth, CASE WHEN routed THEN fused ELSE clf END AS pred, CASE WHEN routed AND answered AND kind <> 'cl5' THEN n * n_routed / n_known ELSE n END AS n FROM g JOIN s USING (kind, holdout) WHERE NOT routed OR answered
+), asked AS (SELECT kind, holdout, truth, clf, band, sum(n) AS n FROM g JOIN s USING (kind, holdout) WHERE routed AND NOT answered AND (kind = 'cl5' OR n_known = 0) GROUP BY ALL
+), """
+    + ", ".join(f"s{k} AS (SELECT {by}, " + ", ".join(f"coalesce(sum(n) FILTER (fused = '{x}'), 0) AS {k}{i}" for i, x in enumerate(LABELS)) + f" FROM g WHERE routed AND answered {where} GROUP BY {by})" for k, (by, where) in _SHARES.items())
+    + ", guessed AS (" + " UNION ALL ".join(f"SELECT kind, holdout, truth, '{x}' AS pred, n * CASE " + " ".join(f"WHEN {k}0 + {k}1 + {k}2 > 0 THEN {k}{i} / ({k}0 + {k}1 + {k}2)" for k in _SHARES) + f" WHEN clf = '{x}' THEN 1 ELSE 0 END AS n FROM asked LEFT JOIN sa USING (truth, clf, band) LEFT JOIN sb USING (truth, clf) LEFT JOIN sc USING (truth)" for i, x in enumerate(LABELS))
+    + "), every AS (SELECT * FROM direct UNION ALL SELECT * FROM guessed) SELECT '5.0|1|0|true|false|0' AS config, kind, holdout, "
+    + ", ".join(f"round(coalesce(sum(n) FILTER (truth = '{t}' AND pred = '{p}'), 0), 4) AS t{i}p{j}" for i, t in enumerate(LABELS) for j, p in enumerate(LABELS)) + " FROM every GROUP BY kind, holdout"
+)
+
+
+@query("g4_estimated_confusions", _G4)
 def _(spark, sf):
     return _routing(spark, sf).where("config like '5.0|1|0|true|false|0%'").select("config", "kind", "holdout", *[F.round(f"t{i}p{j}", 4).alias(f"t{i}p{j}") for i in range(3) for j in range(3)])
 
@@ -412,7 +461,17 @@ def _(spark, sf):
     return ev(spark, sf).select("event_id", requests.user_prompt(*[F.col(c) for c in ("pipeline", "vendor_name", "product_name", "message_sanitized")]).alias("prompt"))
 
 
-@query("l1_system_prompts")
+_text = lambda x: "'" + x.replace("'", "''") + "'"
+_L1 = (
+    EV + ", book(label, place, line, cells) AS (VALUES " + ", ".join(f"({_text(x)}, {i}, {_text(line)}, [{', '.join(map(_text, cells))}])" for x, i, line, cells in CODEBOOK) + "), defs(label, definition, rank) AS (VALUES "
+    + ", ".join(f"({_text(x)}, {_text(d)}, {i})" for i, (x, d) in enumerate(DEFINITIONS.items()))
+    + f"), held AS (SELECT {SOURCE} AS holdout, list(DISTINCT {SOURCE} || '|' || label_binary) AS own FROM ev GROUP BY 1), kept AS (SELECT holdout, label, string_agg('  - ' || line, chr(10) ORDER BY place, line) AS lines FROM held, book WHERE len(list_filter(cells, lambda x: NOT list_contains(own, x))) > 0 GROUP BY ALL), "
+    + "sections AS (SELECT holdout, rank, label || ': ' || definition || '.' || coalesce(chr(10) || lines, '') AS t FROM (SELECT * FROM held, defs) LEFT JOIN kept USING (holdout, label)) "
+    + f"SELECT holdout, {_text(INTRO)} || chr(10) || chr(10) || string_agg(t, chr(10) ORDER BY rank) || chr(10) || chr(10) || {_text(NOTES)} AS prompt FROM sections GROUP BY holdout"
+)
+
+
+@query("l1_system_prompts", _L1)
 def _(spark, sf):
     return _prompts(spark, sf)
 
