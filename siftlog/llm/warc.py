@@ -67,17 +67,22 @@ def header_list(lines: list[bytes], charset: str) -> list[tuple[str, str]]:
 
 
 class Fields(dict):
-    """Fields by name in any case; of repeated ones the first."""
+    """Fields by name in any case; of repeated ones the first. Names as the standard writes them are looked up at once."""
 
     def __init__(self, pairs: list[tuple[str, str]]):
         super().__init__(reversed(pairs))
-        self.lower = {k.lower(): v for k, v in reversed(pairs)}
+        self.pairs, self.lower = pairs, None
 
     def __missing__(self, name: str) -> str:
+        if self.lower is None:
+            self.lower = {k.lower(): v for k, v in reversed(self.pairs)}
         return self.lower[name.lower()]
 
     def get(self, name: str, other=None):
-        return self.lower.get(name.lower(), other)
+        try:
+            return self[name]
+        except KeyError:
+            return other
 
 
 def read_record(data: bytes) -> tuple[Fields, bytes]:
