@@ -61,6 +61,8 @@ HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNOR
 NEVER = frozenset(("article", "main", "body"))
 #: A marked element with so many times the text that no mark is on is the article all the same.
 MOST = 3
+#: Elements that hold an article for sure, within each kind of mark.
+SURE = {1: frozenset(("article", "main")), 2: frozenset(("main", "h1"))}
 LEAST = 250  # characters; notices may be longer than a very short article
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
@@ -146,8 +148,11 @@ class Open:
                 self.close(min(inside))
 
 
-def parse(page: str) -> Node:
-    """The page's tree: children are nodes and strings. Comments, scripts, styles and the like are left out."""
+def parse(page: str, whole: bool = False) -> Node:
+    """The page's tree: children are nodes and strings. Comments, scripts, styles and the like are left out.
+
+    ``whole``: nothing is asked about what is outside the article, so names aren't read.
+    """
     root = Node("body", None, False)
     open_ = Open(root)
     for m in TOKEN.finditer(page):
@@ -174,14 +179,15 @@ def parse(page: str) -> Node:
         # A header belongs to what it stands in: to an article with its heading, or else to the page.
         outside = now.outside or tag in OUTSIDE or (tag == "header" and not now.within)
         node = Node(tag, now, outside)
-        if not outside and attributes and tag not in NEVER:
+        if attributes and not (outside or whole or tag in NEVER):
             node.mark = max((marked(name, now.within) for g in NAMES.findall(attributes) for name in g if name), default=0)
         if tag == "a" and (h := HREF.search(attributes)):
             node.href = html.unescape(h.group(1) or h.group(2) or h.group(3) or "")
         now.children.append(node)
         if tag not in VOID and not attributes.endswith("/"):
             open_.push(node)
-    _settle(root)
+    if not whole:
+        _settle(root)
     return root
 
 
@@ -189,20 +195,26 @@ def _settle(root: Node) -> None:
     """Which marked elements are outside: those that neither hold the page's only article nor, but for comments, most of
     its text. An article is what ``article`` or ``main`` holds, within marks of comments what ``main`` or an ``h1`` does."""
     nodes = _order(root)
-    sure = (frozenset(), frozenset(("article", "main")), frozenset(("main", "h1")))  # for each kind of mark
-    text: dict[Node, list[int]] = {}  # characters that aren't in links, in all and not in marked elements
-    holds: dict[Node, list[set[int]]] = {}  # the kinds of mark that the tags in it overrule, likewise
+    if not any(node.mark for node in nodes):
+        return
+    told: dict[Node, tuple[int, int, int, int]] = {}
     for node in nodes[::-1]:
-        own = 0 if node.outside or node.link else sum(len(SPACES.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
-        kinds = {k for k in (1, 2) if node.tag in sure[k] and not node.outside}
-        inner = [c for c in node.children if isinstance(c, Node)]
-        text[node] = [own + sum(text[c][i] for c in inner) for i in (0, 1)]
-        holds[node] = [kinds.union(*(holds[c][i] for c in inner)) for i in (0, 1)]
-        if node.mark:
-            text[node][1], holds[node][1] = 0, set()
-    rest, free = text[root][1], holds[root][1]
+        # Characters that aren't in links, in all and outside marked elements; the kinds of mark (bits 1 and 2) that tags
+        # in it overrule, likewise.
+        plain = free = 0
+        holds = clear = 0 if node.outside else (1 if node.tag in SURE[1] else 0) | (2 if node.tag in SURE[2] else 0)
+        for c in node.children:
+            if isinstance(c, str):
+                n = 0 if node.outside or node.link else len(c.strip())
+                plain, free = plain + n, free + n
+            else:
+                p, f, h, k = told[c]
+                plain, free, holds, clear = plain + p, free + f, holds | h, clear | k
+        told[node] = (plain, 0, holds, 0) if node.mark else (plain, free, holds, clear)
+    _, rest, _, clear = told[root]
     for node in nodes:
-        overruled = node.mark in holds[node][0] - free or (node.mark == 1 and text[node][0] > max(MOST * rest, LEAST))
+        plain, _, holds, _ = told[node]
+        overruled = node.mark & holds & ~clear or (node.mark == 1 and plain > max(MOST * rest, LEAST))
         node.outside = node.outside or (node.mark > 0 and not overruled) or (node.parent is not None and node.parent.outside)
 
 
@@ -328,7 +340,7 @@ def all_text(page: str | None) -> tuple[str, list[str], str]:
     """The text of a whole page, where its links lead, and its title; for archives."""
     if not page:
         return "", [], ""
-    root = parse(page)
+    root = parse(page, whole=True)
     nodes = _order(root)
     links = [n.href for n in nodes if n.href is not None]
     for node in nodes:
