@@ -56,8 +56,7 @@ def make_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
 def header_list(lines: list[bytes], charset: str) -> list[tuple[str, str]]:
     """Names and values of header lines in order; a line that begins with white space continues the one before it."""
     out: list[tuple[str, str]] = []
-    for line in lines:
-        text = line.decode(charset, "replace")
+    for text in b"\r\n".join(lines).decode(charset, "replace").split("\r\n"):
         if text[:1] in (" ", "\t") and out:
             out[-1] = (out[-1][0], f"{out[-1][1]} {text.strip()}")
         elif text:
