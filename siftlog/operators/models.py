@@ -164,21 +164,22 @@ def out_of_fold(df: DataFrame, folds: int, fit, key: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def novelty(reference: DataFrame, queries: DataFrame, key: str, words: str = "terms", dims: int = 200, most: int = 20_000, min_df: float = 2, stage=lambda df: df, compare=None) -> DataFrame:
+def novelty(reference: DataFrame, queries: DataFrame, key: str, words: str = "terms", dims: int = 200, most: int = 20_000, min_df: float = 2, stage=lambda df: df, compare=None, passes: int = 4) -> DataFrame:
     """key and maxsim: how near each query comes to any reference row, by latent dimensions of the reference's terms.
 
     ``stage`` writes and rereads the vectors, which are counted before they are compared: by ``max_similarity``, or
     ``compare`` (such as ``near_similarity``).
     """
     of = reference.columns[0]
-    asked, known = (stage(d) for d in document_vectors(reference, (queries, reference), (key, of), words, dims, most, min_df, stage))
+    asked, known = (stage(d) for d in document_vectors(reference, (queries, reference), (key, of), words, dims, most, min_df, stage, passes))
     return (compare or max_similarity)(asked, known, key)
 
 
-def document_vectors(reference: DataFrame, docs, key, words: str = "terms", dims: int = 200, most: int = 20_000, min_df: float = 2, stage=lambda df: df):
+def document_vectors(reference: DataFrame, docs, key, words: str = "terms", dims: int = 200, most: int = 20_000, min_df: float = 2, stage=lambda df: df, passes: int = 4):
     """key and vec of ``docs``, by latent dimensions of the reference's terms; of several tables with a key each, a list."""
     vectors = fit_vectors(reference, words, most, min_df)
-    v = fit_lsa(vectors.transform(reference), max(1, min(dims, len(vectors.stages[0].vocabulary) - 1)), stage=stage)
+    size = len(vectors.stages[0].vocabulary)
+    v = fit_lsa(vectors.transform(reference), max(1, min(dims, size - 1)), passes=passes, stage=stage, size=size)
     of = lambda d, k: lsa_vectors(vectors.transform(d), v, k)
     return of(docs, key) if isinstance(docs, DataFrame) else [of(d, k) for d, k in zip(docs, key, strict=True)]
 
@@ -211,17 +212,20 @@ def _summed(parts: DataFrame, size: int, width: int) -> np.ndarray:
     return out
 
 
-def fit_lsa(df: DataFrame, k: int, features: str = "features", seed: int = 0, more: int = 20, passes: int = 4, stage=lambda d: d) -> np.ndarray:
+def fit_lsa(df: DataFrame, k: int, features: str = "features", seed: int = 0, more: int = 20, passes: int = 4, stage=lambda d: d, size: int | None = None) -> np.ndarray:
     """The first k right singular vectors of the rows, uncentred, by a randomised range finder (Halko 2011).
 
     With A the rows, each pass sends the range Q (a row for each term) to all tasks and sums A'(AQ) over their sparse
     rows, by term; a last pass sums the small (AQ)'(AQ), whose eigenvectors turn Q into the singular vectors. What tasks
-    and driver hold is as large as the vocabulary times ``k + more``, so cap the vocabulary. ``stage`` writes and rereads the rows.
+    and driver hold is as large as the vocabulary times ``k + more``, so cap the vocabulary. ``stage`` writes and rereads the rows; ``size`` is the
+    length of a row, if it is known.
     """
     spark = df.sparkSession
     rows = stage(_sparse(df, features))
-    size = df.select(sparse_parts(features)["size"].alias("n"), F.size(sparse_parts(features)["x"]).alias("m")).first()
-    terms = (size["n"] or size["m"]) if size else 0
+    if size is None:
+        one = df.select(sparse_parts(features)["size"].alias("n"), F.size(sparse_parts(features)["x"]).alias("m")).first()
+        size = (one["n"] or one["m"]) if one else 0
+    terms = size
     width = min(k + more, terms)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, width)))[0] if terms else np.zeros((0, 0))
 

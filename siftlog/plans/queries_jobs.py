@@ -97,10 +97,11 @@ def _(spark, sf):
 @query("m7_every_holdout")
 def _(spark, sf):
     """Metrics of every source, every cell of a source and every fold of document clusters, each scored by a model of the rest."""
-    rows = io.staged(_rows(spark, sf))
-    grouped = rows.join(models.document_clusters(rows, "doc_id", k=50, dims=50, most=5000, stage=io.staged), "doc_id")
+    rows = io.staged(_rows(spark, sf, pairs=False))
+    grouped = rows.join(models.document_clusters(rows, "doc_id", k=50, dims=20, most=2000, stage=io.staged), "doc_id")
     docs = io.staged(sampling.group_folds(grouped, "cluster", 5, "label").withColumnRenamed("fold", "cl5").drop("cluster"))
-    scored = jobs.holdout_probabilities(docs, _scratch(spark), jobs.every_holdout(docs, ("cl5",)), _fit, threads=8)
+    fit = lambda d: models.fit_classifier(d, **{**SMALL, "iterations": 5})
+    scored = jobs.holdout_probabilities(docs, _scratch(spark), jobs.every_holdout(docs, ("cl5",)), fit, threads=8)
     result = metrics.evaluate(scored.withColumn("truth", F.col("label")), ("kind", "holdout"))
     return result.select("kind", "holdout", "items", F.round("accuracy", 4).alias("accuracy"), F.round("macro_f1", 4).alias("macro_f1"))
 
@@ -168,9 +169,10 @@ def _(spark, sf):
 
 @query("m16_holdout_novelty")
 def _(spark, sf):
-    """For each source and each cell: novelty of its documents against all others, capped by cell."""
+    """For each source: novelty of its documents against all others, capped by cell."""
     rows = io.staged(_rows(spark, sf, pairs=False))  # a fit for each holdout
-    found = jobs.holdout_novelty(rows, _scratch(spark), jobs.every_holdout(rows), dims=50, most=5000, threads=8)
+    sources = [h for h in jobs.every_holdout(rows) if h[0] == "loso"]
+    found = jobs.holdout_novelty(rows, _scratch(spark), sources, dims=20, most=2000, passes=2, threads=8)
     return found.select("kind", "holdout", "doc_id", F.round("maxsim", 4).alias("maxsim"))
 
 
