@@ -1,10 +1,42 @@
 """What a job holds, reads and writes stays in proportion to its input."""
 
 import datetime
+import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from siftlog.operators import models
+from siftlog.schema import LABELS
 from siftlog.streaming import events as stream
 
 
+def docs(spark, n, seed=0):
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(80)]
+    rows = [(i, [r.choice(words[: r.choice((8, 80))]) for _ in range(r.randint(1, 40))], r.choice(LABELS), f"s{i % 4}") for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, terms array<string>, label string, source string")
+
+
+def test_products_with_sparse_rows_hold_blocks_of_bounded_size():
+    rows, each, size, width = 4000, 500, 20_000, 60
+    r = np.random.default_rng(0)
+    index = np.concatenate([np.sort(r.choice(size, each, replace=False)) for _ in range(rows)]).astype(np.int32)
+    value, matrix = r.random(rows * each), r.random((size, width))
+    offsets = pa.array(np.arange(rows + 1) * each, pa.int32())
+    batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(index)), pa.ListArray.from_arrays(offsets, pa.array(value))], names=["i", "x"])
+    tracemalloc.start()
+    got = np.concatenate([x @ matrix for x in models._dense(batch, size)])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200e6  # every entry times a row of the matrix at once was 960 MB
+    for k in (0, 209, 210, rows - 1):
+        at = slice(k * each, (k + 1) * each)
+        assert np.allclose(got[k], value[at] @ matrix[index[at]])
+
+
 def test_windows_that_are_open_at_the_end_are_counted(spark, tmp_path):
     source, out, mark = (f"file://{tmp_path}/{x}" for x in ("in", "out", "mark"))
 
@@ -21,3 +53,21 @@ def test_windows_that_are_open_at_the_end_are_counted(spark, tmp_path):
     assert run() == {(8, "block"): 1, (10, "allow"): 1}
     put((3, (10, 40), "accept"))
     assert run() == {(8, "block"): 1, (10, "allow"): 2}
+
+
+def test_fits_on_counted_terms_are_those_on_terms(spark):
+    rows = docs(spark, 300)
+    told = models.counted(rows)
+    settings = {"most": 1000, "min_df": 3, "iterations": 5}
+    by_terms, by_counts = (models.predict(models.fit_classifier(d.where("doc_id % 3 <> 0"), **settings), d.where("doc_id % 3 = 0")) for d in (rows, told))
+    a, b = ({r["doc_id"]: [r[f"p_{x}"] for x in LABELS] for r in d.collect()} for d in (by_terms, by_counts))
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-6) for k in a)
+
+
+def test_weights_of_terms_shuffle_no_terms(spark):
+    rows = docs(spark, 60).select("doc_id", "terms")
+    plan = models.tfidf(rows, "doc_id", "terms")._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    twice = models.tfidf(rows.unionByName(rows), "doc_id", "terms")  # repeated keys are one document
+    assert {r["tf"] % 2 for r in twice.collect()} == {0}
+    assert twice.select("doc_id", "term").distinct().count() == twice.count()
