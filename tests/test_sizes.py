@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siftlog.operators import models
+from siftlog.plans import jobs
 from siftlog.schema import LABELS
 from siftlog.streaming import events as stream
 
@@ -64,6 +65,16 @@ def test_fits_on_counted_terms_are_those_on_terms(spark):
     assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-6) for k in a)
 
 
+def test_holdouts_of_counted_terms_make_no_vocabulary_again(spark, tmp_path, monkeypatch):
+    told = models.counted(docs(spark, 200), min_df=2).persist()
+    monkeypatch.setattr(models, "_vocabulary", None)
+    holdouts = [("loso", "s1"), ("loco", f"s2|{LABELS[0]}")]
+    found = jobs.holdout_novelty(told, f"file://{tmp_path}/n", holdouts, dims=5, most=60, threads=1)
+    held = {h: told.where(jobs.held_out(*h)).count() for h in holdouts}
+    assert {(r["kind"], r["holdout"]): r["count"] for r in found.groupBy("kind", "holdout").count().collect()} == held
+    told.unpersist()
+
+
 def test_weights_of_terms_shuffle_no_terms(spark):
     rows = docs(spark, 60).select("doc_id", "terms")
     plan = models.tfidf(rows, "doc_id", "terms")._jdf.queryExecution().toString()
