@@ -82,3 +82,46 @@ def test_weights_of_terms_shuffle_no_terms(spark):
     twice = models.tfidf(rows.unionByName(rows), "doc_id", "terms")  # repeated keys are one document
     assert {r["tf"] % 2 for r in twice.collect()} == {0}
     assert twice.select("doc_id", "term").distinct().count() == twice.count()
+
+
+def test_vocabularies_are_cut_by_name_where_counts_are_equal(spark):
+    rows = spark.createDataFrame([(["b", "a", "a"],), (["b", "c", "d"],), (["d", "c"],), (None,)], "terms array<string>")
+    names, frequency, n = models._vocabulary(rows, "terms", 3, 1, 1.0)
+    assert (names, frequency.tolist(), n) == (["a", "b", "c"], [1, 2, 2], 4)  # d is as frequent as b and c
+    assert models._vocabulary(rows, "terms", 9, 2, 0.98)[0] == ["b", "c", "d"]
+
+
+def test_a_fit_computes_its_rows_once_for_all_passes_of_the_solver(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+
+    kept = []
+    fit = LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, d: kept.append(d.storageLevel.useMemory) or fit(self, d))
+    models.fit_classifier(docs(spark, 100), most=50, iterations=2)
+    assert kept == [True]
+
+
+def test_counts_of_one_are_damped_without_json(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = spark.createDataFrame([(Vectors.sparse(4, [1, 3], [1.0, 1.0]),), (Vectors.sparse(4, [0], [2.0]),), (Vectors.dense([0.0, 3.0]),)], ["v"])
+    got = [r["o"].toArray().tolist() for r in models.Damped(inputCol="v", outputCol="o").transform(rows).collect()]
+    assert got[0] == [0, 1, 0, 1] and np.allclose(got[1], [1 + np.log(2), 0, 0, 0]) and np.allclose(got[2], [0, 1 + np.log(3)])
+
+
+def test_white_space_and_tokens_as_by_their_patterns(spark):
+    import re
+
+    from siftlog.functions import net, text
+    from siftlog.operators import documents
+
+    values = ["", " ", "a", "_a_", "a_b", "a__b", " AWS  VPC\tSecurity ", "a \x0b\x0c b", "\r\nx\n", "é_x", "-a", "a-", "__", "a b", None, "1.2.3.4", "::1", "HOST-1", "1:2", "a b"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    v = F.col("v")
+    got = df.select(text.clean_token(v), text.stripped(v), documents.squeezed([v]), net.value_kind(F.coalesce(v, F.lit("")))).collect()
+    flat = lambda x: re.sub(r"^\s+|\s+\Z", "", x, flags=re.A)
+    token = lambda x: re.sub("^_+|_+$", "", re.sub(r"[^0-9A-Za-z_.:/=@+-]+", "_", re.sub(r"\s+", "_", flat(x), flags=re.A))) or "missing"
+    kinds = {"": "missing", " ": "missing", "1.2.3.4": "ipv4", "::1": "ipv6"}
+    for x, r in zip(values, got, strict=True):
+        x = x or ""
+        assert tuple(r) == (token(x), flat(x), flat(re.sub(r"\s+", " ", x, flags=re.A)), kinds.get(x, "other"))
