@@ -75,9 +75,11 @@ class WordEncoder:
         self.type = np.dtype("<u4" if self.wide else "<u2")
         self.memo: dict[str, bytes] = {"": b""}
         # Letters whose normal form and lower case are one letter each, and perhaps a mark: such words need the merges only.
-        self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)").fullmatch
+        self.plain = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+        self.tokenize = self.tokenizer.model.tokenize  # asking the tokenizer for its model makes an object each time
         self.whole = False
         self.pack = {n: struct.Struct(f"<{n}{'I' if self.wide else 'H'}").pack for n in range(1, 65)}
+        self.marks = {m: self._merged(m) for m in ".,;:!?"}
         plain = [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch(list(PROBES), add_special_tokens=False)]
         try:
             self.whole = self.encode(list(PROBES)) != plain
@@ -92,21 +94,28 @@ class WordEncoder:
 
     def _merged(self, part: str) -> bytes:
         """The ids of one run of letters or one mark."""
-        ids = [t.id for t in self.tokenizer.model.tokenize(part.lower().encode().decode("latin-1").translate(BYTE_CHARACTERS))]
+        part = part.lower()
+        if not part.isascii():  # an ASCII letter or mark is written as itself
+            part = part.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        ids = [t.id for t in self.tokenize(part)]
         return self.pack[len(ids)](*ids) if len(ids) in self.pack else np.array(ids, self.type).tobytes()
 
     def _learn(self, missing: list[str]) -> None:
-        memo, other = self.memo, []
+        memo, marks, merged, other = self.memo, self.marks, self._merged, []
         for w in missing:
-            if m := self.plain(w):
-                letters, mark = m.groups()
-                if mark and letters not in memo:
-                    memo[letters] = self._merged(letters)
-                memo[w] = memo[letters] + self._merged(mark) if mark else self._merged(letters)
-            else:
+            mark = marks.get(w[-1])
+            letters = w if mark is None else w[:-1]
+            if not (letters.isalpha() if letters.isascii() else self.plain(letters)):
                 other.append(w)
-        for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, self.type).tobytes()
+            elif mark is None:
+                memo[w] = merged(w)
+            else:
+                known = memo.get(letters)
+                if known is None:
+                    known = memo[letters] = merged(letters)
+                memo[w] = known + mark
+        for w in other:  # a batch of so few words would cost more for the tokenizer's threads than for the words
+            memo[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.type).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""

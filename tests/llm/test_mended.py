@@ -6,6 +6,7 @@ import html as entities
 import math
 import random
 
+import numpy as np
 import pytest
 from test_operators import prose
 
@@ -139,3 +140,42 @@ def test_counts_do_not_saturate():
     ordinary[5], ordinary[6], toxic[5] = 6e9, 3e9, 4e9
     ratio = toxicity.log_ratio(ordinary, toxic)
     assert ratio[5] == pytest.approx(math.log(1 / (2 / 3)), abs=1e-2)
+
+
+def test_new_words_start_no_threads_of_the_tokenizer(monkeypatch):
+    from siftlog.llm import sstable
+
+    encoder = sstable.WordEncoder(sstable.default_tokenizer())
+    texts = ["Straße, it's 12.5% of b$$ b$$? É! a, a. ,", "x", ""]
+    want = [np.array(e.ids, encoder.type).tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    class Single:
+        encode = staticmethod(encoder.tokenizer.encode)
+
+    monkeypatch.setattr(encoder, "tokenizer", Single)  # it has no batches
+    assert not encoder.whole and encoder.encode(texts) == want
+
+
+def test_paths_of_words_are_counted_along_the_tree_of_pieces():
+    import itertools
+
+    from siftlog.llm import pieces
+
+    p = pieces.Pieces.get(pieces.default_model())
+    assert not hasattr(p, "steps")  # no slice of a word is looked up for each of its characters
+    for word in (" the", " undoing", "aaaa", " x\u0416\U0001f600z", " zqzq"):
+        best: list = []
+        for cuts in itertools.product((False, True), repeat=len(word) - 1):
+            ends = [i + 1 for i, c in enumerate(cuts) if c] + [len(word)]
+            parts = [word[a:b] for a, b in zip([0, *ends], ends)]
+            score = [p.score.get(x, p.unknown if len(x) == 1 else None) for x in parts]
+            if None not in score:
+                best.append((sum(score), ends))
+        top = [ends for s, ends in best if s == max(s for s, _ in best)]
+        found = p._paths(word)
+        if len(top) == 1:
+            assert found == p._pieces(word, top[0])
+        elif found is not None:
+            assert sorted(found) == sorted((ends, p._pieces(word, ends)) for ends in top)
+    for at, cuts in ((0, [1, 5]), (65_530, [2, 9]), (10**6, [3])):
+        assert pieces.tie_sum(at, cuts) == sum(pieces.tie(at + c) for c in cuts)
