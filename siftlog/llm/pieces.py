@@ -59,6 +59,16 @@ def tie(place: int) -> int:
     return ((x ^ x >> 13) * 0xC2B2AE3D & 0xFFFFFFFF) >> 12
 
 
+NO_PIECE: tuple = (None, {})
+#: The tie numbers of the places of most texts.
+TIES = [tie(place) for place in range(2 * CHUNK)]
+
+
+def tie_sum(at: int, cuts: list[int]) -> int:
+    """The sum of the tie numbers of ``cuts``, which are ascending, from place ``at`` on."""
+    return sum([TIES[at + c] for c in cuts] if at + cuts[-1] < len(TIES) else [tie(at + c) for c in cuts])
+
+
 class Pieces:
     """The vocabulary with its scores, and the best segmentation of words."""
 
@@ -79,7 +89,7 @@ class Pieces:
         self.ids = {p.replace("▁", " "): i for i, p, _ in normal}
         self.packed = {p: np.array([i], TYPE).tobytes() for p, i in self.ids.items()}
         self.begins = frozenset(p[:n] for p in self.score for n in range(1, len(p) + 1))
-        self.steps = {p: self.score.get(p, -np.inf) for p in self.begins}
+        self.tree = self._tree()
         self.bytes = [b""] * len(model.pieces)
         self.of_byte = [0] * 256
         for i, p, _ in normal:
@@ -92,6 +102,14 @@ class Pieces:
         self.words = re.compile(rf" *[^ {cut}]+|{cut}| +" if cut else r" *[^ ]+| +").findall
         self.memo: dict[str, bytes | list[tuple[list[int], bytes]] | None] = {}  # list: equal paths, which the place decides; None: many
 
+    def _tree(self) -> dict:
+        """The pieces by their characters: each character's score, if a piece ends with it, and the characters after it."""
+        made: dict = {}
+        none: dict = {}  # most pieces aren't the beginning of another one
+        for p in sorted(self.begins, key=len, reverse=True):
+            made.setdefault(p[:-1], {})[p[-1]] = (self.score.get(p), made.pop(p, none))
+        return made[""]
+
     @classmethod
     def get(cls, path: str) -> "Pieces":
         if path not in cls._shared:
@@ -100,25 +118,34 @@ class Pieces:
 
     def _pieces(self, word: str, cuts: list[int]) -> bytes:
         parts = [word[a:b] for a, b in zip([0, *cuts], cuts)]
+        try:
+            return b"".join([self.packed[x] for x in parts])
+        except KeyError:  # bytes stand for a character without a piece
+            pass
         return b"".join([self.packed[x] if x in self.packed else np.array([self.of_byte[b] for b in x.encode("utf-8", "replace")], TYPE).tobytes() for x in parts])
 
     def _paths(self, word: str) -> bytes | list[tuple[list[int], bytes]] | None:
         """The ids on the best path through a word; of a few equal paths each with its cuts; None of many."""
-        n, step, single, unknown = len(word), self.steps.get, self.score.get, self.unknown
+        n, begin, unknown = len(word), self.tree.get, self.unknown
         best, came, ways = [0.0, *[-np.inf] * n], [0] * (n + 1), [1] * (n + 1)
         for i in range(n):
-            here = best[i]
-            s = single(word[i], unknown)
-            for j in range(i + 1, n + 1):
-                if j > i + 1 and (s := step(word[i:j])) is None:
+            here, way, j = best[i], ways[i], i + 1
+            s, after = begin(word[i], NO_PIECE)
+            if s is None:
+                s = unknown  # a character alone always has a path
+            while True:
+                if s is not None:
+                    value, old = here + s, best[j]
+                    if value > old:
+                        best[j] = value
+                        came[j] = i
+                        ways[j] = way
+                    elif value == old:
+                        ways[j] += way
+                if j == n or (found := after.get(word[j])) is None:
                     break
-                value, old = here + s, best[j]
-                if value > old:
-                    best[j] = value
-                    came[j] = i
-                    ways[j] = ways[i]
-                elif value == old:
-                    ways[j] += ways[i]
+                s, after = found
+                j += 1
         if ways[n] == 1:
             cuts, end = [], n
             while end:
@@ -170,7 +197,7 @@ class Pieces:
         found = self.memo[word]
         if found is None:
             return self._placed(word, at)
-        return found if isinstance(found, bytes) else max(found, key=lambda path: sum(tie(at + c) for c in path[0]))[1]
+        return found if isinstance(found, bytes) else max(found, key=lambda path: tie_sum(at, path[0]))[1]
 
     def encode(self, text: str, at: int = 0) -> bytes:
         """The ids of a text, or of its part at place ``at`` that begins and ends at cuts; a space stands for the word mark."""
