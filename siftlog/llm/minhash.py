@@ -466,10 +466,16 @@ def keep_one(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFr
 
     Of rows whose identifier is null, those with equal texts are one, if any of them is a class of its own.
     """
-    kept, digest, text, number = fresh(docs, "kept", "kept_digest", "text_digest", "number")
-    keep = _classes(docs, params).where(F.col("stands") & F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(kept), F.col("node").alias(digest)).distinct()
-    stays = docs.join(keep, docs["doc_id"].eqNullSafe(keep[kept]) & F.unhex(F.md5(docs["text"])).eqNullSafe(keep[digest]), "left_semi")
-    # Rows with one identifier are few; of equal texts among them one stays. Rows without a text all stay, each by itself.
-    named = stays.withColumn(text, F.coalesce(F.md5("text"), F.monotonically_increasing_id().cast("string")))
-    order = F.row_number().over(Window.partitionBy("doc_id", text).orderBy(F.lit(1)))
-    return named.withColumn(number, order).where(F.col(number) == 1).drop(text, number)
+    key, kept, number = fresh(docs, "row_key", "kept_key", "number")
+    keep = _classes(docs, params).where(F.col("stands") & F.col("doc_id").eqNullSafe(F.col("class_id"))).select(_row_key(F.col("doc_id"), F.hex("node")).alias(kept)).distinct()
+    # One key, never null, for the join and the window, so that whole documents are dealt out once.
+    keyed = docs.withColumn(key, _row_key(docs["doc_id"].cast("long"), F.md5(docs["text"])))
+    stays = keyed.join(keep, keyed[key] == keep[kept], "left_semi")
+    # Rows with one identifier are few; of equal texts among them one stays. Rows without a text all stay.
+    order = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))
+    return stays.withColumn(number, order).where((F.col(number) == 1) | F.col("text").isNull()).drop(key, number)
+
+
+def _row_key(doc_id, digest):
+    """A row's identifier and the digest of its text as one string, also where either is null."""
+    return F.concat(F.coalesce(F.lower(digest), F.lit("")), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("")))

@@ -179,3 +179,57 @@ def test_paths_of_words_are_counted_along_the_tree_of_pieces():
             assert sorted(found) == sorted((ends, p._pieces(word, ends)) for ends in top)
     for at, cuts in ((0, [1, 5]), (65_530, [2, 9]), (10**6, [3])):
         assert pieces.tie_sum(at, cuts) == sum(pieces.tie(at + c) for c in cuts)
+
+
+def test_quality_writes_no_second_copy_of_the_documents(spark, tmp_path):
+    from pathlib import Path
+
+    from siftlog.llm import common, quality
+
+    rows = [(i, prose(i, 300), "en") for i in range(60)] + [(100, "too short", "en")]
+    shared = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(shared.iterdir())
+    good = quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    good.write.parquet(str(tmp_path / "good"))
+    assert [p.name for p in shared.iterdir() if p not in before and not p.name.startswith("word-counts-")] == []
+    assert {r["doc_id"] for r in good.collect()} == set(range(60))
+    # The filter stays above the counts: each is computed once.
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("monotonically_increasing_id()") and plan.count("Filter") == 1
+
+
+def test_keep_one_deals_documents_out_once(spark):
+    text = prose(1, 60)
+    rows = [(3, text), (3, text), (4, text), (None, None), (None, None), (6, None), (7, ""), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = minhash.keep_one(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted([(3, text), (None, None), (None, None), (6, None), (7, "")], key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    window, join = plan.index("row_number()"), plan.index("LeftSemi")
+    assert window < join and "Exchange" not in plan[window:join]
+
+
+def test_shuffle_files_go_with_the_query_that_stages(spark):
+    import time
+    from pathlib import Path
+
+    from siftlog.llm import common
+
+    def files() -> set[Path]:
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {p for d in dirs for p in Path(d).rglob("shuffle_*.data")}
+
+    before, setting = files(), spark.conf.get(common.CLEANUP)
+    df = spark.range(1000).repartition(3, "id")  # held, so that no collection of garbage removes its files
+    out = common.staged(df, "numbers")
+    assert spark.conf.get(common.CLEANUP) == setting
+    end = time.time() + 10
+    while time.time() < end and files() - before:
+        time.sleep(0.2)
+    assert not files() - before
+    assert out.count() == 1000
