@@ -125,3 +125,27 @@ def test_white_space_and_tokens_as_by_their_patterns(spark):
     for x, r in zip(values, got, strict=True):
         x = x or ""
         assert tuple(r) == (token(x), flat(x), flat(re.sub(r"\s+", " ", x, flags=re.A)), kinds.get(x, "other"))
+
+
+def test_counted_terms_are_only_those_that_a_fit_can_choose(spark, monkeypatch):
+    rows = docs(spark, 300).withColumn("fold", (F.col("doc_id") % 3).cast("int"))
+    monkeypatch.setattr(models, "_vocabulary", None)  # it would bring all terms to the driver
+    told = models.counted(rows, min_df=3, most=10, held=F.array(F.col("fold").cast("string"), "source"))
+    monkeypatch.undo()
+    told, size, picked = told.persist(), told.first()["terms"].size, set()
+    for away in (F.lit(False), *(F.col("fold") == i for i in range(3)), *(F.col("source") == f"s{i}" for i in range(4))):
+        picked |= set(models._vocabulary(rows.where(~away), "terms", 10, 3, 0.98)[0])
+    assert size == len(picked) < 80  # of 80 terms
+    for away in (F.col("fold") == 1, F.col("source") == "s2"):
+        by_terms, by_counts = (models.fit_classifier(d.where(~away), most=10, min_df=3, iterations=3) for d in (rows, told))
+        a, b = ({r["doc_id"]: [r[f"p_{x}"] for x in LABELS] for r in models.predict(m, d.where(away)).collect()} for m, d in ((by_terms, rows), (by_counts, told)))
+        assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-6) for k in a)
+
+
+def test_counted_terms_keep_the_bounds_on_frequency_of_each_part(spark):
+    rows = [(i, ["every", f"own{i % 2}", *(["half"] if i < 4 else []), *(["once"] if i == 7 else [])], i % 2) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, terms array<string>, part int")
+    names = models._choices(df, "terms", F.array("part"), 4, 2, 0.9, lambda d: d)
+    # In every row is nothing to tell by, in fewer than two no part has enough of; outside a part its own term is gone.
+    assert sorted(names) == ["half", "own0", "own1"]
+    assert models._choices(df, "terms", F.array("part"), 4, 9, 0.9, lambda d: d) == []
