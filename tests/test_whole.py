@@ -1,6 +1,7 @@
 """Queries about documents read whole texts."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 
@@ -15,9 +16,9 @@ def of(doc_id):
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
-    """60 documents of two sources that differ at their ends only, which tell their labels."""
+    """60 documents of two sources whose numbers are each in one only; their ends tell their labels."""
     at = f"file://{tmp_path_factory.mktemp('ends')}"
-    docs = [(i, SAME + ENDS[of(i)], f"src{i % 2}") for i in range(60)]
+    docs = [(i, f"n{i:02d} {SAME}{ENDS[of(i)]}", f"src{i % 2}") for i in range(60)]
     spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{at}/documents.parquet")
     marks = [(i, int(of(i) != "suspicious"), int(of(i) == "malicious")) for i in range(60)]
     spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
@@ -30,4 +31,9 @@ def rows(spark, folder, name):
 
 def test_a_balanced_classifier_tells_by_the_ends_of_texts(spark, folder):
     got = rows(spark, folder, "m4_balanced_classifier")
-    assert len(got) == 60 and all(r["pred"] == of(r["doc_id"]) for r in got)
+    assert len(got) == 60 and all(r["pred"] == of(int(r["doc_id"])) for r in got)
+
+
+def test_a_weighted_classifier_tells_by_the_ends_of_texts(spark, folder):
+    got = rows(spark, folder, "m5_weighted_classifier")
+    assert len(got) == 60 and all(r["pred"] == of(int(r["doc_id"])) for r in got)
