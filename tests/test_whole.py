@@ -37,3 +37,9 @@ def test_a_balanced_classifier_tells_by_the_ends_of_texts(spark, folder):
 def test_a_weighted_classifier_tells_by_the_ends_of_texts(spark, folder):
     got = rows(spark, folder, "m5_weighted_classifier")
     assert len(got) == 60 and all(r["pred"] == of(int(r["doc_id"])) for r in got)
+
+
+def test_document_clusters_go_by_the_ends_of_texts(spark, folder):
+    got = rows(spark, folder, "m10_document_clusters")
+    ends = {(r["cluster"], of(r["doc_id"])) for r in got}
+    assert len(got) == 60 and len(ends) == 3 and len({c for c, _ in ends}) == 3
