@@ -43,3 +43,12 @@ def test_document_clusters_go_by_the_ends_of_texts(spark, folder):
     got = rows(spark, folder, "m10_document_clusters")
     ends = {(r["cluster"], of(r["doc_id"])) for r in got}
     assert len(got) == 60 and len(ends) == 3 and len({c for c, _ in ends}) == 3
+
+
+def test_novelty_goes_by_the_ends_of_texts(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    strange = docs.withColumn("text", F.when(F.col("doc_id") == 4, SAME + "calm strange evil").otherwise(F.col("text")))
+    strange.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"file://{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r["maxsim"] for r in rows(spark, f"file://{tmp_path}", "m8_m9_novelty")}
+    assert len(got) == 15 and got.pop(4) < 0.9 and min(got.values()) > 0.999
