@@ -52,3 +52,8 @@ def test_novelty_goes_by_the_ends_of_texts(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"file://{tmp_path}/labels.parquet")
     got = {r["doc_id"]: r["maxsim"] for r in rows(spark, f"file://{tmp_path}", "m8_m9_novelty")}
     assert len(got) == 15 and got.pop(4) < 0.9 and min(got.values()) > 0.999
+
+
+def test_candidates_go_by_the_ends_of_texts(spark, folder):
+    (got,) = rows(spark, folder, "m9_candidates")
+    assert (got["queries"], got["recall"], got["loss"]) == (15, 1.0, 0.0)
