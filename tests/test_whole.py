@@ -57,3 +57,11 @@ def test_novelty_goes_by_the_ends_of_texts(spark, folder, tmp_path):
 def test_candidates_go_by_the_ends_of_texts(spark, folder):
     (got,) = rows(spark, folder, "m9_candidates")
     assert (got["queries"], got["recall"], got["loss"]) == (15, 1.0, 0.0)
+
+
+def test_top_terms_come_from_the_ends_of_texts(spark, folder):
+    top = {x: set() for x in ENDS}
+    for r in rows(spark, folder, "o4_top_terms"):
+        if r["weight"] > 0:
+            top[r["label"]].add(r["term"])
+    assert all(set(words.split()) <= top[x] for x, words in ENDS.items())
