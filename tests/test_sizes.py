@@ -149,3 +149,15 @@ def test_counted_terms_keep_the_bounds_on_frequency_of_each_part(spark):
     # In every row is nothing to tell by, in fewer than two no part has enough of; outside a part its own term is gone.
     assert sorted(names) == ["half", "own0", "own1"]
     assert models._choices(df, "terms", F.array("part"), 4, 9, 0.9, lambda d: d) == []
+
+
+def test_held_out_documents_meet_all_others_of_large_cells(spark, tmp_path):
+    import hashlib
+
+    # The last 40 of 20,040 documents of a cell by hash, which a cap of 20,000 dropped, are like those of the other source.
+    last = set(sorted(range(20_040), key=lambda i: hashlib.md5(f"{i}|0".encode()).hexdigest())[20_000:])
+    rows = [(i, [f"rare{i % 2}", "rare"] if i in last else [f"w{i % 9}", "often"], "benign", "a") for i in range(20_040)]
+    rows += [(30_000 + i, [f"rare{i}", "rare"], "benign", "b") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, terms array<string>, label string, source string")
+    got = jobs.holdout_novelty(df, f"file://{tmp_path}/n", [("loso", "b")], dims=14, threads=1).collect()
+    assert len(got) == 2 and all(r["maxsim"] > 0.999 for r in got)
