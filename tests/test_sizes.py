@@ -161,3 +161,15 @@ def test_held_out_documents_meet_all_others_of_large_cells(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, terms array<string>, label string, source string")
     got = jobs.holdout_novelty(df, f"file://{tmp_path}/n", [("loso", "b")], dims=14, threads=1).collect()
     assert len(got) == 2 and all(r["maxsim"] > 0.999 for r in got)
+
+
+def test_rows_that_stand_for_several_are_fitted_as_all_of_them(spark):
+    df = docs(spark, 40).select("terms", "label", (F.col("doc_id") % 2).cast("int").alias("fold")).withColumn("many", F.explode(F.sequence(F.lit(1), F.lit(6)))).drop("many")
+    few = models.fewer_rows(df, 60)
+    assert [tuple(r) for r in few.agg(F.sum("n"), F.max("n"), F.count("n")).collect()] == [(240, 4, 80)]
+    some = models.counted(models.fewer_rows(df, 240), most=30, held=F.array("fold"), times="n").groupBy("label", "fold", "terms", "terms_damped").agg(F.sum("n").alias("n")).persist()
+    assert some.count() == 40
+    settings = {"most": 30, "min_df": 3, "iterations": 2}
+    a, b = models.fit_classifier(df, **settings), models.fit_classifier(some, times="n", **settings)
+    assert a.stages[0].vocabulary and np.allclose(a.stages[2].getScalingVec().toArray().sum(), b.stages[1].getScalingVec().toArray().sum())
+    assert np.allclose(np.sort(a.stages[-1].coefficientMatrix.toArray()), np.sort(b.stages[-1].coefficientMatrix.toArray()), atol=0.02)
