@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from siftlog.operators import models
 
 #: Longer than what was read of a text once; every document begins with it.
 SAME = "word " * 1300
@@ -65,3 +66,20 @@ def test_top_terms_come_from_the_ends_of_texts(spark, folder):
         if r["weight"] > 0:
             top[r["label"]].add(r["term"])
     assert all(set(words.split()) <= top[x] for x, words in ENDS.items())
+
+
+def no_large_vocabulary(monkeypatch):
+    find = models._vocabulary
+
+    def found(df, words, most, *bounds):
+        assert most <= 120_000  # so many terms would come to the driver
+        return find(df, words, most, *bounds)
+
+    monkeypatch.setattr(models, "_vocabulary", found)
+
+
+def test_every_holdout_goes_by_the_ends_of_texts(spark, folder, monkeypatch):
+    no_large_vocabulary(monkeypatch)
+    got = rows(spark, folder, "m7_every_holdout")
+    assert {r["holdout"]: (r["items"], r["accuracy"]) for r in got if r["kind"] == "loso"} == {"src0": (30, 1.0), "src1": (30, 1.0)}
+    assert {r["holdout"]: r["items"] for r in got if r["kind"] == "loco"} == {f"src{i}|{x}": 10 for i in range(2) for x in ENDS}
