@@ -83,3 +83,9 @@ def test_every_holdout_goes_by_the_ends_of_texts(spark, folder, monkeypatch):
     got = rows(spark, folder, "m7_every_holdout")
     assert {r["holdout"]: (r["items"], r["accuracy"]) for r in got if r["kind"] == "loso"} == {"src0": (30, 1.0), "src1": (30, 1.0)}
     assert {r["holdout"]: r["items"] for r in got if r["kind"] == "loco"} == {f"src{i}|{x}": 10 for i in range(2) for x in ENDS}
+
+
+def test_a_time_probe_brings_no_large_vocabulary_to_the_driver(spark, monkeypatch):
+    no_large_vocabulary(monkeypatch)
+    (got,) = rows(spark, "/root/testdata/sf0.001", "m13_time_probe")
+    assert 0.3 < got["accuracy"] < 0.7 and 0.5 <= got["majority"] < 0.6
