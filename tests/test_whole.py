@@ -89,3 +89,9 @@ def test_a_time_probe_brings_no_large_vocabulary_to_the_driver(spark, monkeypatc
     no_large_vocabulary(monkeypatch)
     (got,) = rows(spark, "/root/testdata/sf0.001", "m13_time_probe")
     assert 0.3 < got["accuracy"] < 0.7 and 0.5 <= got["majority"] < 0.6
+
+
+def test_grouped_evaluation_brings_no_large_vocabulary_to_the_driver(spark, monkeypatch):
+    no_large_vocabulary(monkeypatch)
+    got = {r["documents"]: r for r in rows(spark, "/root/testdata/sf0.001", "m15_grouped_evaluation")}
+    assert got.keys() == {"full", "content"} and len({r["items"] for r in got.values()}) == 1 and min(r["accuracy"] for r in got.values()) > 0.8
